@@ -49,11 +49,16 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(words: Column, width: int) -> Column:
-    """Distinct runs of ``width`` consecutive words; empty for shorter texts."""
-    starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    runs = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(width))))
-    none = F.array().cast("array<string>")
-    return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(none)
+    """Distinct runs of ``width`` consecutive words; empty for shorter texts.
+
+    ``words`` should be a stored column. Shifted copies are joined word by word, so the
+    cost is linear in the length of the text.
+    """
+    runs = words
+    for step in range(1, width):
+        shifted = F.slice(words, F.lit(step + 1), F.size(words))
+        runs = F.zip_with(runs, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
 
 
 def trigrams(word: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import CacheConfig
-from paperloom.operators.skew import lookup_join, number_rows, top_rows
+from paperloom.operators.skew import number_rows, row_lookup, top_rows
 
 EWMA_DEPTH = 1100
 SIZE_LABELS = ("< 1KB", "< 1MB", "≥ 1MB")
@@ -76,10 +76,8 @@ def cached_query_rows(results: DataFrame, ttl_seconds: int = CacheConfig.ttl_sec
 
 def cache_hit_split(requests: DataFrame, cache: DataFrame, as_of: datetime) -> DataFrame:
     """Every request row with ``hit``: whether a live entry answers it."""
-    asked = requests.groupBy("key").agg(F.count("*").alias("asked"))
-    live = live_entries(cache, as_of).select("key", "size_bytes").join(asked, "key")
-    answered = live.withColumn("found", F.lit(True))
-    joined = lookup_join(requests, answered, ["key"], "asked", F.col("request_id"), "left")
+    live = live_entries(cache, as_of).select("key", "size_bytes", F.lit(True).alias("found"))
+    joined = row_lookup(requests, live, "key", F.col("request_id"))
     return joined.withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
 
 

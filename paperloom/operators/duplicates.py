@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import shingles, tokens
-from paperloom.operators.skew import lookup_join
+from paperloom.operators.skew import HOT_KEYS, HOT_MIN_ROWS, hot_values, lookup_join, row_lookup
 from paperloom.storage import materialize
 
-HOT_SHINGLES = 256
 SALTS = 16
 
 
@@ -25,11 +24,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(id, other)`` whose shingle sets reach the threshold, with their Jaccard.
 
-    One ``other`` may be asked for by very many documents, hence the weighted join.
+    One ``other`` may be asked for by very many documents, and is salted then.
     """
-    asked = pairs.groupBy("other").agg(F.count("*").alias("asked"))
-    others = reps.select(F.col("id").alias("other"), F.col("grams").alias("_b")).join(asked, "other")
-    with_other = lookup_join(pairs, others, ["other"], "asked", F.col("id"))
+    others = reps.select(F.col("id").alias("other"), F.col("grams").alias("_b"))
+    with_other = row_lookup(pairs, others, "other", F.col("id"), "inner")
     with_both = with_other.join(reps.select("id", "grams"), "id")
     common = F.size(F.array_intersect("grams", "_b"))
     jaccard = common / (F.size("grams") + F.size("_b") - common)
@@ -51,7 +49,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     4. What could still have a smaller partner than the one found is compared with the
        rest of its buckets, with the large ones spread over salts.
     """
-    worded = docs.select("doc_id", shingles(tokens(F.col("text")), width).alias("grams"))
+    worded = docs.select("doc_id", tokens(F.col("text")).alias("words")).select(
+        "doc_id", shingles(F.col("words"), width).alias("grams")
+    )
     sets = worded.where(F.size("grams") > 0).select(
         "doc_id",
         "grams",
@@ -60,29 +60,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     members = sets.groupBy("content").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("grams", "doc_id").alias("grams")
     )
-    reps = materialize(members)
+    reps = materialize(members, "shingle-sets")
 
     hashed = reps.select(
         "id", F.size("grams").alias("n"), F.transform("grams", lambda g: F.xxhash64(g)).alias("hashes")
     )
-    common = hashed.select(F.explode("hashes").alias("h")).select(
-        F.expr(f"approx_top_k(h, {HOT_SHINGLES}, {40 * HOT_SHINGLES})").alias("top")
-    )
-    last = [row["item"] for row in common.head()["top"] if row["count"] > 1][::-1]
-    last_hashes = F.array(*(F.lit(h) for h in last)).cast("array<bigint>")
+    common = hot_values(hashed.select(F.explode("hashes").alias("h")), "h", share=0.0, min_rows=1)
+    last_hashes = F.array(*(F.lit(h) for h in reversed(common))).cast("array<bigint>")
     ordered = F.concat(
         F.array_sort(F.array_except("hashes", last_hashes)), F.array_intersect(last_hashes, "hashes")
     )
     # Computed from the stored size, with a margin against rounding of t * n.
     needed = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
     prefix = hashed.select("id", "n", F.explode(F.slice(ordered, F.lit(1), needed)).alias("h"))
-    buckets = prefix.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
-    postings = materialize(
-        lookup_join(prefix, buckets.select("h", "df", F.col("df").alias("size"), "first"), ["h"], "df", F.col("id"))
-    )
+    buckets = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+    known = F.col("h").isin(*common) if common else F.lit(False)
+    postings = materialize(lookup_join(prefix, buckets, ["h"], F.col("id"), hot=known), "postings")
 
-    first_pairs = postings.where("first < id").select("id", F.col("first").alias("other")).distinct()
-    first_found = materialize(_verified(first_pairs, reps, threshold))
+    first_pairs = materialize(
+        postings.where("first < id").select("id", F.col("first").alias("other")).distinct(), "pairs"
+    )
+    first_found = materialize(_verified(first_pairs, reps, threshold), "first-matches")
     best = first_found.groupBy("id").agg(F.min("other").alias("found"))
 
     open_postings = (
@@ -98,11 +96,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         F.col("id").alias("other"), F.col("n").alias("m"), "h", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     )
     similar_size = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9)
-    rest_pairs = (
+    rest_pairs = materialize(
         salted.join(others, ["h", "salt"])
         .where((F.col("other") > F.col("first")) & (F.col("other") < F.col("below")) & similar_size)
         .select("id", "other")
-        .distinct()
+        .distinct(),
+        "pairs",
     )
     rest_found = _verified(rest_pairs, reps, threshold)
     answers = (
@@ -111,8 +110,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         .agg(F.min_by(F.struct("other", "jaccard"), "other").alias("match"))
     )
 
-    outcome = reps.select("content", "copies", "id").join(answers, "id", "left")
-    joined = lookup_join(sets.select("doc_id", "content"), outcome, ["content"], "copies", F.col("doc_id"))
+    most = reps.select("content", "copies").orderBy(F.desc("copies")).limit(HOT_KEYS).collect()
+    copied = [row["content"] for row in most if row["copies"] > HOT_MIN_ROWS]
+    outcome = reps.select("content", "id").join(answers, "id", "left")
+    joined = lookup_join(
+        sets.select("doc_id", "content"), outcome, ["content"], F.col("doc_id"),
+        hot=F.col("content").isin(*copied) if copied else F.lit(False),
+    )
     own_copy = F.struct(F.col("id").alias("other"), F.lit(1.0).alias("jaccard"))
     chosen = F.when(F.col("match").isNotNull(), F.col("match")).when(F.col("doc_id") != F.col("id"), own_copy)
     return (
@@ -131,9 +135,8 @@ def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """
     links = materialize(pairs.select("doc_id", F.col("duplicate_of").alias("root")))
     while True:
-        asked = links.groupBy("root").agg(F.count("*").alias("asked"))
-        onward = links.select(F.col("doc_id").alias("root"), F.col("root").alias("next")).join(asked, "root")
-        moved = lookup_join(links, onward, ["root"], "asked", F.col("doc_id"), "left").select(
+        onward = links.select(F.col("doc_id").alias("root"), F.col("root").alias("next"))
+        moved = row_lookup(links, onward, "root", F.col("doc_id")).select(
             "doc_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
         )
         stored = materialize(moved)

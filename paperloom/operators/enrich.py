@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,11 @@ from paperloom.operators.skew import lookup_join, top_rows
 ENTITY_PATTERNS = {**tx.PII_PATTERNS, "LICENSE": tx.LICENSE}
 
 
+def _tagged(values: Column, value: str, tag: str, label: str) -> Column:
+    """Array of ``{value, tag}`` with a constant tag."""
+    return F.transform(values, lambda v: F.struct(v.alias(value), F.lit(label).alias(tag)))
+
+
 def html_to_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", tx.html_text(F.col("html")).alias("text"))
 
@@ -65,12 +70,7 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 def citation_mentions(docs: DataFrame) -> DataFrame:
     """Each cited string with its form."""
     forms = {"numbered": tx.CITE_NUMBER, "author_year": tx.CITE_AUTHOR, "doi": tx.CITE_DOI}
-    found = [
-        F.transform(
-            F.regexp_extract_all("text", F.lit(p), 0), lambda m, f=f: F.struct(F.lit(f).alias("form"), m.alias("mention"))
-        )
-        for f, p in forms.items()
-    ]
+    found = [_tagged(F.regexp_extract_all("text", F.lit(p), 0), "mention", "form", f) for f, p in forms.items()]
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("_c")).select("doc_id", "_c.*")
 
 
@@ -80,7 +80,7 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     found = []
     for label, pattern in ENTITY_PATTERNS.items():
         hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-        found.append(F.transform(hits, lambda m, n=label: F.struct(m.alias("text"), F.lit(n).alias("label"))))
+        found.append(_tagged(hits, "text", "label", label))
         if label in tx.PII_PATTERNS:
             text = F.regexp_replace(text, pattern, f"<{label}>")
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("_e")).select("doc_id", "_e.*")
@@ -99,8 +99,8 @@ def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
     counts = term_counts(docs)
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n")).scalar()
-    weights = frequency.select("term", "df", F.log(total / F.col("df")).alias("idf"))
-    scored = lookup_join(counts, weights, ["term"], "df", F.col("doc_id")).select(
+    weights = frequency.select("term", F.log(total / F.col("df")).alias("idf"))
+    scored = lookup_join(counts, weights, ["term"], F.col("doc_id")).select(
         "doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
     return top_rows(scored, ["doc_id"], [F.desc("score"), F.asc("term")], k)
@@ -161,19 +161,18 @@ def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> Da
         .groupBy("doc_id", "word")
         .agg(F.count("*").alias("tf"))
     )
-    vocabulary = used.groupBy("word").agg(F.count("*").alias("df"))
+    vocabulary = used.select("word").distinct()
     cut = vocabulary.select("word", F.explode(tx.trigrams(F.col("word"))).alias("gram"))
-    gram_use = cut.groupBy("gram").agg(F.count("*").alias("uses"))
     by_language = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "c")).alias("langs"))
     word_scores = (
-        lookup_join(cut, by_language.join(gram_use, "gram"), ["gram"], "uses", F.col("word"))
+        lookup_join(cut, by_language, ["gram"], F.col("word"))
         .select("word", F.explode("langs").alias("_l"))
         .groupBy("word", F.col("_l.lang").alias("lang"))
         .agg(F.sum(F.log(F.col("_l.c") + 1)).alias("s"))
         .groupBy("word")
         .agg(F.collect_list(F.struct("lang", "s")).alias("langs"))
     )
-    scored = lookup_join(used, vocabulary.join(word_scores, "word", "left"), ["word"], "df", F.col("doc_id"))
+    scored = lookup_join(used, word_scores, ["word"], F.col("doc_id"))
     seen = (
         scored.select("doc_id", F.col("tf"), F.explode("langs").alias("_l"))
         .groupBy("doc_id", F.col("_l.lang").alias("lang"))

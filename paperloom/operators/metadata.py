@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators.skew import lookup_join, number_rows
+from paperloom.operators.skew import number_rows, row_lookup
 
 METADATA = T.StructType(
     [
@@ -88,8 +88,7 @@ def metadata_defaults(meta: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:
 
 def metadata_lookup(requests: DataFrame, meta: DataFrame, key: str, request_id: str) -> DataFrame:
     """Metadata of each requested document, null where there is none."""
-    asked = requests.groupBy(key).agg(F.count("*").alias("asked"))
-    return lookup_join(requests, meta.join(asked, key), [key], "asked", F.col(request_id), "left")
+    return row_lookup(requests, meta, key, F.col(request_id))
 
 
 def group_by_type(files: DataFrame, handlers: dict[str, str], type_col: str = "file_type") -> DataFrame:

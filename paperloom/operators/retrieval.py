@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import tokens
-from paperloom.operators.skew import lookup_join, top_rows
+from paperloom.operators.skew import lookup_join, row_lookup, top_rows
 from paperloom.operators.vectors import SCORE_DIGITS, vector_search
+from paperloom.storage import materialize
 
+# Both scores have six digits, so their weighted sum has at most seven and is kept exact.
+COMBINED_DIGITS = 7
+MEAN_DIGITS = 9
 BM25_K1 = 1.2
 BM25_B = 0.75
 
@@ -61,7 +65,7 @@ def rerank_threshold(paired: DataFrame, threshold: float = 0.7) -> DataFrame:
 def combined_score(config: SearchConfig = SearchConfig()) -> Column:
     return F.round(
         F.col("score") * config.vector_weight + F.col("rerank_score") * config.rerank_weight,
-        SCORE_DIGITS,
+        COMBINED_DIGITS,
     )
 
 
@@ -86,10 +90,8 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     )
     n = lengths.select("n").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = query_terms.groupBy("term").agg(F.count("*").alias("asked")).join(frequency, "term")
-    query_weights = lookup_join(
-        query_terms, weights.select("term", "asked", idf.alias("idf")), ["term"], "asked", F.col("query_id")
-    )
+    weights = frequency.join(query_terms.select("term").distinct(), "term").select("term", idf.alias("idf"))
+    query_weights = lookup_join(query_terms, weights, ["term"], F.col("query_id"))
     hit_words = worded.join(hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     counts = (
         hit_words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term"))
@@ -118,18 +120,21 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     )
 
 
+def _for_hits(top: DataFrame, rows: DataFrame) -> DataFrame:
+    """Join per-document ``rows`` to hits, of which one document may hold very many."""
+    wanted = top.select(F.col("id").alias("doc_id")).distinct()
+    found = rows.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    return row_lookup(top, found, "id", F.col("query_id"))
+
+
 def lookup_text(top: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts of the surviving hits; joined after the cut so that only those texts move."""
-    wanted = top.select(F.col("id").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("asked"))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return lookup_join(top, texts.withColumnRenamed("doc_id", "id"), ["id"], "asked", F.col("query_id"), "left")
+    return _for_hits(top, docs.select("doc_id", "text"))
 
 
 def results_metadata(top: DataFrame, meta: DataFrame, columns: list[str]) -> DataFrame:
     """Document metadata of the hits."""
-    wanted = top.select(F.col("id").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("asked"))
-    rows = meta.select("doc_id", *columns).join(wanted, "doc_id")
-    return lookup_join(top, rows.withColumnRenamed("doc_id", "id"), ["id"], "asked", F.col("query_id"), "left")
+    return _for_hits(top, meta.select("doc_id", *columns))
 
 
 def hybrid_search(
@@ -142,11 +147,11 @@ def hybrid_search(
     config: SearchConfig = SearchConfig(),
 ) -> DataFrame:
     """Retrieve 2k by vector, re-rank by text, combine both scores, keep k with content."""
-    hits = vector_search(queries, corpus, top_k * 2).drop("rank")
+    hits = materialize(vector_search(queries, corpus, top_k * 2).drop("rank"))
     if not rerank:
         return lookup_text(topk_per_query(hits, top_k), docs).withColumnRenamed("text", "content")
     paired = pair_scores(hits, rerank_lexical(hits, queries, docs))
-    top = topk_per_query(score_combine(paired, threshold, config), top_k)
+    top = materialize(topk_per_query(score_combine(paired, threshold, config), top_k))
     return lookup_text(top.drop("rerank_score"), docs).withColumnRenamed("text", "content")
 
 
@@ -158,10 +163,11 @@ def ranked_answers(
     config: SearchConfig = SearchConfig(),
 ) -> DataFrame:
     """Over-fetch, re-rank by the combined score, cut to k, then drop low confidence."""
-    hits = vector_search(queries, corpus, config.initial_results_multiplier * config.top_k).drop("rank")
+    fetched = config.initial_results_multiplier * config.top_k
+    hits = materialize(vector_search(queries, corpus, fetched).drop("rank"))
     paired = pair_scores(hits, rerank_lexical(hits, queries, docs))
     top = topk_per_query(paired.withColumn("score", combined_score(config)), config.top_k)
-    return confidence_filter(top, min_confidence).drop("rerank_score")
+    return materialize(confidence_filter(top, min_confidence).drop("rerank_score"))
 
 
 def build_context(top: DataFrame, docs: DataFrame) -> DataFrame:
@@ -182,7 +188,8 @@ def rag_query(
 ) -> DataFrame:
     """One row per question: context, source paths and confidences in rank order."""
     top = ranked_answers(queries, corpus, docs, min_confidence, config)
-    sourced = results_metadata(lookup_text(top, docs), meta, ["file_path"])
+    described = meta.select("doc_id", "file_path").join(docs.select("doc_id", "text"), "doc_id")
+    sourced = _for_hits(top, described)
     answers = sourced.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "file_path", "score", "text"))).alias("_h")
     )
@@ -212,7 +219,7 @@ def facet_results(top: DataFrame, meta: DataFrame, field: str) -> DataFrame:
         .agg(
             F.count("*").alias("hits"),
             F.max("score").alias("max_score"),
-            F.round(F.avg("score"), SCORE_DIGITS).alias("avg_score"),
+            F.round(F.avg("score"), MEAN_DIGITS).alias("avg_score"),
         )
     )
 

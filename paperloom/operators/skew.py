@@ -8,42 +8,52 @@ from pyspark.sql.window import Window
 
 from paperloom.storage import materialize
 
-HOT_SHARE = 0.001
-HOT_MIN_ROWS = 100_000
-FANOUT = 64
+HOT_KEYS = 256
+HOT_SHARE = 0.005
+HOT_MIN_ROWS = 50_000
+SALTS = 16
+
+
+def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> list:
+    """Values of ``key`` that hold more than ``share`` of all rows; at most ``HOT_KEYS``.
+
+    One pass with a mergeable frequent-items sketch: nothing is shuffled by key. Estimates
+    only decide which rows get salted, never which rows are kept.
+    """
+    row = df.agg(
+        F.expr(f"approx_top_k({key}, {HOT_KEYS}, {40 * HOT_KEYS})").alias("top"), F.count("*").alias("n")
+    ).head()
+    least = max(share * row["n"], min_rows)
+    return [item["item"] for item in row["top"] or [] if item["count"] > least]
 
 
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    weight: str,
     spread: Column,
     how: str = "inner",
-    hot_min_rows: int = HOT_MIN_ROWS,
+    hot: Column | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``left`` rows to the single ``right`` row of their key.
 
-    ``right[weight]`` is the number of left rows that carry the key. Keys above a
-    ``HOT_SHARE`` of all left rows number at most ``1 / HOT_SHARE``, so that list may be
-    broadcast. Their left rows are spread over ``FANOUT`` salts and their right row is
-    repeated once per salt; all other keys keep salt 0.
+    Left rows of a key are spread over ``salts`` by ``spread`` and its right row is repeated
+    once per salt. ``hot`` is a condition on the keys that limits this to named keys; it is
+    left out where the right side, such as a vocabulary, is far smaller than the left.
     """
-    total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).scalar()
-    hot = right.where(
-        F.col(weight) > F.greatest(F.lit(HOT_SHARE) * total, F.lit(hot_min_rows))
-    ).select(*keys, F.lit(FANOUT).alias("_fan"))
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_fan")), F.lit(0)).cast("int")
-    )
-    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1))
-    )
-    return (
-        salted_left.drop("_fan")
-        .join(salted_right.drop("_fan", weight), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    fan = F.lit(salts) if hot is None else F.when(hot, F.lit(salts)).otherwise(F.lit(1))
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), fan).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def row_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+    """``lookup_join`` that salts only the keys found to be hot in ``left``."""
+    values = hot_values(left, key)
+    if not values:
+        return left.join(right, key, how)
+    return lookup_join(left, right, [key], spread, how, hot=F.col(key).isin(*values))
 
 
 def number_rows(

@@ -58,12 +58,12 @@ def upsert_latest(t):
 @query(
     "cache_hit_split",
     with_parts(
-        f"""SELECT a.event_id AS request_id, a.key, c.size_bytes, c.key IS NOT NULL AS hit
+        f"""SELECT a.event_id AS request_id, a.key, coalesce(c.size_bytes, 0) AS size_bytes, c.key IS NOT NULL AS hit
             FROM audit a LEFT JOIN (SELECT * FROM cache WHERE expires_at > {NOW}) c ON c.key = a.key"""
     ),
 )
 def cache_hit_split(t):
-    return ops.cache_hit_split(requests(t), t.cache, AS_OF)
+    return ops.cache_hit_split(requests(t), t.cache, AS_OF).na.fill(0, ["size_bytes"])
 
 
 def requests(t):

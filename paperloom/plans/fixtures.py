@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.hashing import content_id, query_key
 from paperloom.operators.vectors import embed_hashing
+from paperloom.storage import spread_rows
 
 AS_OF = datetime(2024, 1, 31)
 EPOCH = datetime(2024, 1, 1)
@@ -37,11 +38,11 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread_rows(self.read("documents"))
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.read("pages")
+        return spread_rows(self.read("pages"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -106,7 +107,8 @@ class Tables:
     @cached_property
     def questions(self) -> DataFrame:
         """Everything users asked."""
-        return self.read("conversations").where(F.col("role") == "user").select(
+        turns = spread_rows(self.read("conversations"))
+        return turns.where(F.col("role") == "user").select(
             F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text")
         )
 

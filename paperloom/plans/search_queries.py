@@ -20,11 +20,11 @@ NEAR = "SELECT query_id, id, score FROM centre_scores"
 TYPED = "SELECT c.* FROM cosines c JOIN meta m ON m.doc_id = c.id WHERE m.file_type IN ('en', 'de', 'fr')"
 HITS = f"SELECT query_id, id, score FROM ({ranked('SELECT * FROM cosines', 2 * K)})"
 HITS_TYPED = f"SELECT query_id, id, score FROM ({ranked(TYPED, FETCH)})"
-MIXED = "SELECT query_id, id, round(score * 0.7 + rerank_score * 0.3, 6) AS score FROM paired"
+MIXED = "SELECT query_id, id, round(score * 0.7 + rerank_score * 0.3, 7) AS score FROM paired"
 ANSWERED = f"SELECT * FROM ({ranked(MIXED, K)}) WHERE score >= {CONFIDENCE}"
 CONTEXT = """SELECT a.query_id, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context,
                     string_agg(m.file_path, '|' ORDER BY rank) AS sources,
-                    string_agg(printf('%.6f', a.score), '|' ORDER BY rank) AS confidence_scores
+                    string_agg(printf('%.7f', a.score), '|' ORDER BY rank) AS confidence_scores
              FROM answered a JOIN documents d ON d.doc_id = a.id JOIN meta m ON m.doc_id = a.id GROUP BY 1"""
 
 
@@ -141,7 +141,7 @@ def rerank_threshold(t):
 @query(
     "score_combine",
     with_parts(
-        f"SELECT query_id, id, rerank_score, round(score * 0.7 + rerank_score * 0.3, 6) AS score FROM paired WHERE rerank_score > {THRESHOLD}",
+        f"SELECT query_id, id, rerank_score, round(score * 0.7 + rerank_score * 0.3, 7) AS score FROM paired WHERE rerank_score > {THRESHOLD}",
         hits=HITS,
     ),
 )
@@ -194,7 +194,7 @@ def results_metadata(t):
     ),
 )
 def rag_query(t):
-    scores = F.transform("confidence_scores", lambda s: F.format_string("%.6f", s))
+    scores = F.transform("confidence_scores", lambda s: F.format_string("%.7f", s))
     return answers(t).select(
         "query_id",
         "query_text",
@@ -230,7 +230,7 @@ def prompt_assembly(t):
 @query(
     "facet_results",
     with_parts(
-        """SELECT a.query_id, m.department, count(*) AS hits, max(a.score) AS max_score, round(avg(a.score), 6) AS avg_score
+        """SELECT a.query_id, m.department, count(*) AS hits, max(a.score) AS max_score, round(avg(a.score), 9) AS avg_score
            FROM answered a JOIN meta m ON m.doc_id = a.id GROUP BY 1, 2""",
         hits=HITS_TYPED,
         answered=ANSWERED,

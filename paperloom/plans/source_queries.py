@@ -102,7 +102,7 @@ def incremental_sync(t):
     return listings.incremental_sync(source, target, "o_orderkey", "o_orderdate")
 
 
-ADDED = """SELECT doc_id, quality, CAST(NULL AS INTEGER) AS toxic FROM labels
+ADDED = """SELECT doc_id, quality, CAST(-1 AS INTEGER) AS toxic FROM labels
            UNION ALL SELECT doc_id, quality, toxic FROM labels"""
 
 
@@ -111,7 +111,7 @@ def export_ndjson(t):
     path = scratch_path(t.spark, "ndjson")
     sinks.export_ndjson(t.labels.select("doc_id", "quality"), path)
     sinks.export_ndjson(t.labels, path)
-    return sinks.read_ndjson(t.spark, path, t.labels.schema)
+    return sinks.read_ndjson(t.spark, path, t.labels.schema).na.fill(-1, ["toxic"])
 
 
 @query("export_parquet_evolved", ADDED)
@@ -119,4 +119,4 @@ def export_parquet_evolved(t):
     path = scratch_path(t.spark, "evolved")
     sinks.export_parquet(t.labels.select("doc_id", "quality"), path)
     sinks.export_parquet(t.labels, path)
-    return sinks.read_evolved(t.spark, path).select("doc_id", "quality", "toxic")
+    return sinks.read_evolved(t.spark, path).select("doc_id", "quality", "toxic").na.fill(-1, ["toxic"])

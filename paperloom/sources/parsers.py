@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
+ROWS_PER_BATCH = 10_000
 OFFICE_SCHEMA = (
     "path string, part string, position int, sheet string, row int, col string, value string, "
     "status string, error string"
@@ -106,23 +107,30 @@ OFFICE_READERS: dict[str, Callable[[zipfile.ZipFile], Iterator[dict]]] = {
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    for name in ("position", "row"):
-        if name in columns:
-            frame[name] = frame[name].astype("Int32")
-    return frame.astype({c: object for c in columns if c not in ("position", "row")}).where(frame.notna(), None)
+    values = {c: [row.get(c) for row in rows] for c in columns}
+    numbers = {c: pd.array(values[c], dtype="Int32") for c in columns if c in ("position", "row")}
+    return pd.DataFrame({c: numbers.get(c, pd.Series(values[c], dtype=object)) for c in columns})
+
+
+def _office_rows(path: str, content: bytes) -> list[dict]:
+    try:
+        reader = OFFICE_READERS[posixpath.splitext(path)[1]]
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            rows = [{"path": path, "status": "success", **row} for row in reader(archive)]
+        return rows or [{"path": path, "status": "success", "part": "empty"}]
+    except Exception as problem:
+        return [{"path": path, "status": "failed", "error": f"{type(problem).__name__}: {problem}"}]
 
 
 def _office_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
+        rows: list[dict] = []
         for path, content in zip(part["path"], part["content"]):
-            try:
-                reader = OFFICE_READERS[posixpath.splitext(path)[1]]
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows = [{"path": path, "status": "success", **r} for r in reader(archive)]
-                rows = rows or [{"path": path, "status": "success", "part": "empty"}]
-            except Exception as problem:
-                rows = [{"path": path, "status": "failed", "error": f"{type(problem).__name__}: {problem}"}]
+            rows.extend(_office_rows(path, content))
+            if len(rows) >= ROWS_PER_BATCH:
+                yield _frame(rows, OFFICE_COLUMNS)
+                rows = []
+        if rows:
             yield _frame(rows, OFFICE_COLUMNS)
 
 

@@ -25,7 +25,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    The lineage ends at reliable storage, so losing an executor repeats no earlier step.
+    Readers of the table prune columns, and its known size lets Spark choose join types.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work at least one partition per core.
+
+    Only a table of fewer partitions than cores is redistributed, as one with a few large
+    row groups is; a large table already has more and is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
