@@ -75,7 +75,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     prefix = hashed.select("id", "n", F.explode(F.slice(ordered, F.lit(1), needed)).alias("h"))
     buckets = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
     known = F.col("h").isin(*common) if common else F.lit(False)
-    postings = materialize(lookup_join(prefix, buckets, ["h"], F.col("id"), hot=known), "postings")
+    postings = materialize(lookup_join(prefix, buckets, ["h"], F.col("id"), known), "postings")
 
     first_pairs = materialize(
         postings.where("first < id").select("id", F.col("first").alias("other")).distinct(), "pairs"
@@ -114,8 +114,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     copied = [row["content"] for row in most if row["copies"] > HOT_MIN_ROWS]
     outcome = reps.select("content", "id").join(answers, "id", "left")
     joined = lookup_join(
-        sets.select("doc_id", "content"), outcome, ["content"], F.col("doc_id"),
-        hot=F.col("content").isin(*copied) if copied else F.lit(False),
+        sets.select("doc_id", "content"),
+        outcome,
+        ["content"],
+        F.col("doc_id"),
+        F.col("content").isin(*copied) if copied else F.lit(False),
     )
     own_copy = F.struct(F.col("id").alias("other"), F.lit(1.0).alias("jaccard"))
     chosen = F.when(F.col("match").isNotNull(), F.col("match")).when(F.col("doc_id") != F.col("id"), own_copy)

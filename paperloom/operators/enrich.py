@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import text as tx
-from paperloom.operators.skew import lookup_join, top_rows
+from paperloom.operators.skew import lookup_join, top_keys, top_rows
 
 ENTITY_PATTERNS = {**tx.PII_PATTERNS, "LICENSE": tx.LICENSE}
 
@@ -97,10 +97,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
     """Top terms per document by tf * ln(N / df)."""
     counts = term_counts(docs)
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting on tf keeps this branch equal to the other, so the exchange is shared.
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total = docs.agg(F.count("*").alias("n")).scalar()
     weights = frequency.select("term", F.log(total / F.col("df")).alias("idf"))
-    scored = lookup_join(counts, weights, ["term"], F.col("doc_id")).select(
+    hot = top_keys(frequency, ["term"], "df")
+    scored = lookup_join(counts, weights, ["term"], F.col("doc_id"), hot).select(
         "doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
     return top_rows(scored, ["doc_id"], [F.desc("score"), F.asc("term")], k)
@@ -161,18 +163,20 @@ def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> Da
         .groupBy("doc_id", "word")
         .agg(F.count("*").alias("tf"))
     )
-    vocabulary = used.select("word").distinct()
+    # Counting on tf keeps this branch equal to the others, so the exchange is shared.
+    vocabulary = used.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
     cut = vocabulary.select("word", F.explode(tx.trigrams(F.col("word"))).alias("gram"))
+    uses = cut.groupBy("gram").agg(F.count("*").alias("uses"))
     by_language = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "c")).alias("langs"))
     word_scores = (
-        lookup_join(cut, by_language, ["gram"], F.col("word"))
+        lookup_join(cut, by_language, ["gram"], F.col("word"), top_keys(uses, ["gram"], "uses"))
         .select("word", F.explode("langs").alias("_l"))
         .groupBy("word", F.col("_l.lang").alias("lang"))
         .agg(F.sum(F.log(F.col("_l.c") + 1)).alias("s"))
         .groupBy("word")
         .agg(F.collect_list(F.struct("lang", "s")).alias("langs"))
     )
-    scored = lookup_join(used, word_scores, ["word"], F.col("doc_id"))
+    scored = lookup_join(used, word_scores, ["word"], F.col("doc_id"), top_keys(vocabulary, ["word"], "df"))
     seen = (
         scored.select("doc_id", F.col("tf"), F.explode("langs").alias("_l"))
         .groupBy("doc_id", F.col("_l.lang").alias("lang"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import tokens
-from paperloom.operators.skew import lookup_join, row_lookup, top_rows
+from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
 from paperloom.operators.vectors import SCORE_DIGITS, vector_search
 from paperloom.storage import materialize
 
@@ -90,8 +90,11 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     )
     n = lengths.select("n").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = frequency.join(query_terms.select("term").distinct(), "term").select("term", idf.alias("idf"))
-    query_weights = lookup_join(query_terms, weights, ["term"], F.col("query_id"))
+    asked = query_terms.groupBy("term").agg(F.count("*").alias("asked"))
+    weights = frequency.join(asked, "term").select("term", idf.alias("idf"))
+    query_weights = lookup_join(
+        query_terms, weights, ["term"], F.col("query_id"), top_keys(asked, ["term"], "asked")
+    )
     hit_words = worded.join(hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     counts = (
         hit_words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term"))

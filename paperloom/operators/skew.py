@@ -27,25 +27,40 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int
     return [item["item"] for item in row["top"] or [] if item["count"] > least]
 
 
+def top_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The ``HOT_KEYS`` most frequent keys of a count table.
+
+    Any other key holds less than 1 / ``HOT_KEYS`` of the counted rows.
+    """
+    return counts.orderBy(F.desc(count)).limit(HOT_KEYS).select(*keys)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     spread: Column,
+    hot: DataFrame | Column,
     how: str = "inner",
-    hot: Column | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``left`` rows to the single ``right`` row of their key.
 
-    Left rows of a key are spread over ``salts`` by ``spread`` and its right row is repeated
-    once per salt. ``hot`` is a condition on the keys that limits this to named keys; it is
-    left out where the right side, such as a vocabulary, is far smaller than the left.
+    ``hot`` names the keys with very many left rows: a table of at most ``HOT_KEYS`` keys,
+    which is broadcast, or a condition. Their left rows are spread over ``salts`` by
+    ``spread`` and their right row is repeated once per salt. Other keys have one salt.
     """
-    fan = F.lit(salts) if hot is None else F.when(hot, F.lit(salts)).otherwise(F.lit(1))
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), fan).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+    def with_fan(df: DataFrame) -> DataFrame:
+        if isinstance(hot, Column):
+            return df.withColumn("_fan", F.when(hot, F.lit(salts)).otherwise(F.lit(1)))
+        marked = df.join(F.broadcast(hot.select(*keys, F.lit(salts).alias("_hot"))), keys, "left")
+        return marked.withColumn("_fan", F.coalesce("_hot", F.lit(1))).drop("_hot")
+
+    salted_left = with_fan(left).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_fan")).cast("int"))
+    salted_right = with_fan(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1)))
+    joined = salted_left.drop("_fan").join(salted_right.drop("_fan"), [*keys, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def row_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
@@ -53,7 +68,7 @@ def row_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how:
     values = hot_values(left, key)
     if not values:
         return left.join(right, key, how)
-    return lookup_join(left, right, [key], spread, how, hot=F.col(key).isin(*values))
+    return lookup_join(left, right, [key], spread, F.col(key).isin(*values), how)
 
 
 def number_rows(

@@ -32,7 +32,7 @@ def read_binary(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text file; partition columns of the folder layout are kept."""
-    return spark.read.option("wholetext", "true").text(folder).withColumnRenamed("value", "text")
+    return spark.read.text(folder, wholetext=True).withColumnRenamed("value", "text")
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
