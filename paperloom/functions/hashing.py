@@ -15,14 +15,18 @@ def content_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def hex_int(digest: Column, start: int, length: int) -> Column:
-    """Integer value of some hex digits of a digest."""
-    return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
+def hex_digit(digest: Column, place: int) -> Column:
+    """Value of one hex digit of a digest; places count from 1."""
+    return F.position(F.substring(digest, place, 1), F.lit("0123456789abcdef")) - 1
 
 
 def feature_bucket(digest: Column, dims: int) -> Column:
-    return F.pmod(hex_int(digest, 1, 7), F.lit(dims)).cast("int")
+    """One of ``dims`` buckets from the first four hex digits."""
+    value = hex_digit(digest, 1)
+    for place in (2, 3, 4):
+        value = value * 16 + hex_digit(digest, place)
+    return value % dims
 
 
 def feature_sign(digest: Column) -> Column:
-    return F.when(hex_int(digest, 8, 1) < 8, F.lit(1)).otherwise(F.lit(-1))
+    return F.when(hex_digit(digest, 5) < 8, F.lit(1)).otherwise(F.lit(-1))

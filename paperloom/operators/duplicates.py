@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import shingles, tokens
@@ -10,6 +10,7 @@ from paperloom.operators.skew import HOT_KEYS, HOT_MIN_ROWS, hot_values, lookup_
 from paperloom.storage import materialize
 
 SALTS = 16
+KEY_MARGIN = 2
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -21,17 +22,49 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
     """Pairs ``(id, other)`` whose shingle sets reach the threshold, with their Jaccard.
 
-    One ``other`` may be asked for by very many documents, and is salted then.
+    Key sets are compared first, with a margin for two keys that are equal by chance; the
+    few pairs left are compared on the shingles. One ``other`` may be asked for by very
+    many documents, and is salted then.
     """
-    others = reps.select(F.col("id").alias("other"), F.col("grams").alias("_b"))
-    with_other = row_lookup(pairs, others, "other", F.col("id"), "inner")
-    with_both = with_other.join(reps.select("id", "grams"), "id")
-    common = F.size(F.array_intersect("grams", "_b"))
-    jaccard = common / (F.size("grams") + F.size("_b") - common)
-    return with_both.select("id", "other", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    keyed = reps.select("id", "n", "grams")
+    others = keyed.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("grams").alias("_b"))
+    shared = F.size(F.array_intersect("grams", "_b")) + KEY_MARGIN
+    likely = materialize(
+        row_lookup(pairs, others, "other", F.col("id"), "inner")
+        .join(keyed, "id")
+        .where(shared * (1 + threshold) >= threshold * (F.col("n") + F.col("m")))
+        .select("id", "other"),
+        "likely-pairs",
+    )
+    texts = reps.select("id", "words")
+    found = row_lookup(likely, texts.select(F.col("id").alias("other"), F.col("words").alias("_b")), "other", F.col("id"), "inner")
+    sets = found.join(texts, "id").select(
+        "id", "other", shingles(F.col("words"), width).alias("a"), shingles(F.col("_b"), width).alias("b")
+    )
+    sizes = sets.select(
+        "id", "other", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("c")
+    )
+    jaccard = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
+    return sizes.select("id", "other", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def _shingle_key(gram: Column) -> Column:
+    """63-bit key that sorts long shingles first: they are rarer, in every language."""
+    shortness = F.lit(1023) - F.least(F.length(gram), F.lit(1023))
+    return F.shiftleft(shortness.cast("bigint"), 53) + F.shiftrightunsigned(F.xxhash64(gram), 11)
+
+
+def _may_reach(threshold: float, at: str, size: str, other_at: str, other_size: str) -> Column:
+    """Whether two sets with a common element at these places can share enough.
+
+    Before the element at most the smaller place can be common, after it at most the
+    smaller rest (the positional filter of set-similarity joins).
+    """
+    most = F.least(at, other_at) + F.least(F.col(size) - F.col(at), F.col(other_size) - F.col(other_at))
+    return most * (1 + threshold) >= threshold * (F.col(size) + F.col(other_size)) - 1e-6
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) -> DataFrame:
@@ -40,47 +73,57 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     Exact over the sets of ``width``-word shingles; shorter texts take no part. The
     result has at most one row per document, also where very many documents are alike.
 
-    1. Equal sets are merged, and each member later inherits its representative's answer.
+    1. Equal word sequences are merged; each copy later inherits its representative's answer.
     2. Two sets can only reach the threshold if they share a shingle among the first
-       ``n - ceil(t * n) + 1`` in a common order (Chaudhuri 2006, Bayardo 2007). The
-       commonest shingles are put last, all others in hash order.
+       ``n - ceil(t * n) + 1`` in a common order (Chaudhuri 2006, Bayardo 2007). Long
+       shingles come first and the commonest ones last.
     3. Each set is first compared with the smallest id of every bucket it is in. In a
        large group of near copies that settles all of them with one comparison each.
     4. What could still have a smaller partner than the one found is compared with the
        rest of its buckets, with the large ones spread over salts.
-    """
-    worded = docs.select("doc_id", tokens(F.col("text")).alias("words")).select(
-        "doc_id", shingles(F.col("words"), width).alias("grams")
-    )
-    sets = worded.where(F.size("grams") > 0).select(
-        "doc_id",
-        "grams",
-        F.sha2(F.array_join(F.array_sort("grams"), "\n"), 256).alias("content"),
-    )
-    members = sets.groupBy("content").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("grams", "doc_id").alias("grams")
-    )
-    reps = materialize(members, "shingle-sets")
 
-    hashed = reps.select(
-        "id", F.size("grams").alias("n"), F.transform("grams", lambda g: F.xxhash64(g)).alias("hashes")
-    )
-    common = hot_values(hashed.select(F.explode("hashes").alias("h")), "h", share=0.0, min_rows=1)
-    last_hashes = F.array(*(F.lit(h) for h in reversed(common))).cast("array<bigint>")
-    ordered = F.concat(
-        F.array_sort(F.array_except("hashes", last_hashes)), F.array_intersect(last_hashes, "hashes")
+    Keys only propose pairs; every reported pair was compared on its shingles.
+    """
+    worded = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    content = F.sha2(F.array_join("words", " "), 256).alias("content")
+    members = worded.select("doc_id", "words", content).groupBy("content").agg(
+        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("words", "doc_id").alias("words")
     )
-    # Computed from the stored size, with a margin against rounding of t * n.
+    grams = members.select("*", shingles(F.col("words"), width).alias("_g"))
+    reps = materialize(
+        grams.select(
+            "id", "content", "copies", "words", F.size("_g").alias("n"), F.transform("_g", _shingle_key).alias("grams")
+        ),
+        "shingle-sets",
+    ).where("n > 0")
+
+    common = hot_values(reps.select(F.explode_outer("grams").alias("g")), "g", share=0.0, min_rows=1)
+    last = F.array(*(F.lit(g) for g in reversed(common))).cast("array<bigint>")
+    ordered = F.concat(F.sort_array(F.array_except("grams", last)), F.array_intersect(last, "grams"))
+    # A margin against rounding of t * n: one shingle too many does no harm.
     needed = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = hashed.select("id", "n", F.explode(F.slice(ordered, F.lit(1), needed)).alias("h"))
-    buckets = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-    known = F.col("h").isin(*common) if common else F.lit(False)
-    postings = materialize(lookup_join(prefix, buckets, ["h"], F.col("id"), known), "postings")
+    prefix = reps.select(
+        "id", "n", F.posexplode_outer(F.slice(ordered, F.lit(1), needed)).alias("at", "g")
+    ).withColumn("at", F.col("at") + 1)
+    buckets = prefix.groupBy("g").agg(
+        F.count("*").alias("size"), F.min(F.struct("id", "n", "at")).alias("first")
+    ).where("size > 1")
+    known = F.col("g").isin(*common) if common else F.lit(False)
+    postings = materialize(
+        lookup_join(prefix, buckets, ["g"], F.col("id"), known).select(
+            "id", "n", "at", "g", "size", F.col("first.id").alias("first"), F.col("first.n").alias("m"), F.col("first.at").alias("first_at")
+        ),
+        "postings",
+    )
 
     first_pairs = materialize(
-        postings.where("first < id").select("id", F.col("first").alias("other")).distinct(), "pairs"
+        postings.where("first < id")
+        .where(_may_reach(threshold, "at", "n", "first_at", "m"))
+        .select("id", F.col("first").alias("other"))
+        .distinct(),
+        "pairs",
     )
-    first_found = materialize(_verified(first_pairs, reps, threshold), "first-matches")
+    first_found = materialize(_verified(first_pairs, reps, width, threshold), "first-matches")
     best = first_found.groupBy("id").agg(F.min("other").alias("found"))
 
     open_postings = (
@@ -90,20 +133,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         .where(F.col("below") > F.col("first"))
     )
     salted = open_postings.select(
-        "id", "n", "h", "first", "below", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        "id", "n", "at", "g", "first", "below", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
     others = postings.where("size > 2").select(
-        F.col("id").alias("other"), F.col("n").alias("m"), "h", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+        F.col("id").alias("other"),
+        F.col("n").alias("m"),
+        F.col("at").alias("other_at"),
+        "g",
+        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    similar_size = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9)
     rest_pairs = materialize(
-        salted.join(others, ["h", "salt"])
-        .where((F.col("other") > F.col("first")) & (F.col("other") < F.col("below")) & similar_size)
+        salted.join(others, ["g", "salt"])
+        .where((F.col("other") > F.col("first")) & (F.col("other") < F.col("below")))
+        .where(_may_reach(threshold, "at", "n", "other_at", "m"))
         .select("id", "other")
         .distinct(),
         "pairs",
     )
-    rest_found = _verified(rest_pairs, reps, threshold)
+    rest_found = _verified(rest_pairs, reps, width, threshold)
     answers = (
         first_found.unionByName(rest_found)
         .groupBy("id")
@@ -114,7 +161,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     copied = [row["content"] for row in most if row["copies"] > HOT_MIN_ROWS]
     outcome = reps.select("content", "id").join(answers, "id", "left")
     joined = lookup_join(
-        sets.select("doc_id", "content"),
+        worded.select("doc_id", content),
         outcome,
         ["content"],
         F.col("doc_id"),

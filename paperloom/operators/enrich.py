@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import text as tx
 from paperloom.operators.skew import lookup_join, top_keys, top_rows
+from paperloom.storage import materialize
 
 ENTITY_PATTERNS = {**tx.PII_PATTERNS, "LICENSE": tx.LICENSE}
 
@@ -87,22 +88,28 @@ def extract_entities(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
+    """Word counts per document. Whole texts are placed by id, so no word row is exchanged."""
+    placed = docs.select("doc_id", "text").repartition("doc_id")
     return (
-        docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+        placed.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """Number of documents per word, summed up inside each task before the exchange."""
+    words = F.array_distinct(tx.tokens(F.col("text")))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
     """Top terms per document by tf * ln(N / df)."""
-    counts = term_counts(docs)
-    # Counting on tf keeps this branch equal to the other, so the exchange is shared.
-    frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    frequency = materialize(document_frequency(docs), "term-frequency")
     total = docs.agg(F.count("*").alias("n")).scalar()
     weights = frequency.select("term", F.log(total / F.col("df")).alias("idf"))
     hot = top_keys(frequency, ["term"], "df")
-    scored = lookup_join(counts, weights, ["term"], F.col("doc_id"), hot).select(
+    scored = lookup_join(term_counts(docs), weights, ["term"], F.col("doc_id"), hot).select(
         "doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
     return top_rows(scored, ["doc_id"], [F.desc("score"), F.asc("term")], k)
@@ -128,7 +135,7 @@ def summarize_extractive(docs: DataFrame, k: int = 3) -> DataFrame:
         F.round(F.sum(F.col("n") * F.col("total")) / F.sum("n"), 6).alias("score")
     )
     best = top_rows(scores, ["doc_id"], [F.desc("score"), F.asc("position")], k)
-    parts = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "sentence"))).alias("_s"))
+    parts = best.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "sentence"))).alias("_s"))
     return parts.select("doc_id", F.array_join(F.col("_s.sentence"), ". ").alias("summary"))
 
 
@@ -142,65 +149,67 @@ def language_model(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
     )
-    counts = (
+    counts = materialize(
         words.select("lang", "n", F.explode(tx.trigrams(F.col("word"))).alias("gram"))
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("c"))
+        .agg(F.sum("n").alias("c")),
+        "language-trigrams",
     )
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
-    return counts, totals
+    return counts, counts.groupBy("lang").agg(F.sum("c").alias("total"))
 
 
-def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Naive Bayes over character trigrams with add-one smoothing; ties go to the first name.
+def word_language_scores(vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per word: ``(lang, sum of ln(count + 1))`` of its trigrams, and its trigram number.
 
-    An unseen trigram adds ln 1 = 0 to the count part, so the count part runs over seen
-    pairs only, and the smoothing part is the document's trigram number times
-    ln(total + vocabulary). Each distinct word is scored once for the whole collection.
+    The number stands under the empty language name. A word of n characters gives n
+    trigrams once padded on both sides.
     """
-    used = (
-        docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("word"))
-        .groupBy("doc_id", "word")
-        .agg(F.count("*").alias("tf"))
-    )
-    # Counting on tf keeps this branch equal to the others, so the exchange is shared.
-    vocabulary = used.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
     cut = vocabulary.select("word", F.explode(tx.trigrams(F.col("word"))).alias("gram"))
     uses = cut.groupBy("gram").agg(F.count("*").alias("uses"))
     by_language = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "c")).alias("langs"))
-    word_scores = (
+    sums = (
         lookup_join(cut, by_language, ["gram"], F.col("word"), top_keys(uses, ["gram"], "uses"))
         .select("word", F.explode("langs").alias("_l"))
         .groupBy("word", F.col("_l.lang").alias("lang"))
         .agg(F.sum(F.log(F.col("_l.c") + 1)).alias("s"))
-        .groupBy("word")
-        .agg(F.collect_list(F.struct("lang", "s")).alias("langs"))
     )
-    scored = lookup_join(used, word_scores, ["word"], F.col("doc_id"), top_keys(vocabulary, ["word"], "df"))
-    seen = (
-        scored.select("doc_id", F.col("tf"), F.explode("langs").alias("_l"))
+    sizes = vocabulary.select("word", F.lit("").alias("lang"), F.length("word").cast("double").alias("s"))
+    return sums.unionByName(sizes).groupBy("word").agg(F.collect_list(F.struct("lang", "s")).alias("langs"))
+
+
+def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Naive Bayes over character trigrams with add-one smoothing; ties go to the first name.
+
+    An unseen trigram adds ln 1 = 0 to the count part, so the count part runs over seen
+    pairs only, and the smoothing part is the document's trigram number times
+    ln(total + vocabulary). Each distinct word is scored once for the whole collection;
+    documents then only look their words up.
+    """
+    words = F.explode(tx.tokens(F.col("text"))).alias("word")
+    vocabulary = materialize(docs.select(words).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
+    scores = materialize(word_language_scores(vocabulary, counts), "word-languages")
+    hot = top_keys(vocabulary, ["word"], "n")
+    sums = (
+        lookup_join(docs.select("doc_id", words), scores, ["word"], F.col("doc_id"), hot)
+        .select("doc_id", F.explode("langs").alias("_l"))
         .groupBy("doc_id", F.col("_l.lang").alias("lang"))
-        .agg(F.sum(F.col("tf") * F.col("_l.s")).alias("s"))
+        .agg(F.sum("_l.s").alias("s"))
         .groupBy("doc_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("sums"))
     )
-    # A word of n characters gives n trigrams once padded on both sides.
-    sizes = used.groupBy("doc_id").agg(F.sum(F.col("tf") * F.length("word")).alias("grams"))
     vocabulary_size = counts.select("gram").distinct().agg(F.count("*").alias("v")).scalar()
     smoothing = totals.withColumn("w", F.log(F.col("total") + vocabulary_size))
     languages = smoothing.agg(F.collect_list(F.struct("lang", "w")).alias("all")).scalar()
     ranked = F.transform(
         F.col("_langs"),
         lambda l: F.struct(
-            (-F.round(F.coalesce(F.element_at("sums", l["lang"]), F.lit(0.0)) - F.col("grams") * l["w"], 6)).alias("cost"),
+            (
+                -F.round(F.coalesce(F.element_at("sums", l["lang"]), F.lit(0.0)) - F.element_at("sums", F.lit("")) * l["w"], 6)
+            ).alias("cost"),
             l["lang"].alias("lang"),
         ),
     )
-    return (
-        sizes.join(seen, "doc_id", "left")
-        .withColumn("_langs", languages)
-        .select("doc_id", F.array_min(ranked)["lang"].alias("language"))
-    )
+    return sums.withColumn("_langs", languages).select("doc_id", F.array_min(ranked)["lang"].alias("language"))
 
 
 def enhance(docs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import tokens
+from paperloom.operators.enrich import document_frequency
 from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
 from paperloom.operators.vectors import SCORE_DIGITS, vector_search
 from paperloom.storage import materialize
@@ -80,14 +81,12 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     ``docs(doc_id, text)`` is the whole collection: document count, mean length and term
     document frequencies come from all of it. Term counts are taken of hit documents only.
     """
-    worded = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    lengths = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
+    words = tokens(F.col("text"))
+    lengths = docs.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("avg_len"))
     query_terms = queries.select(
         "query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")
     )
-    frequency = (
-        worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    )
+    frequency = document_frequency(docs)
     n = lengths.select("n").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = query_terms.groupBy("term").agg(F.count("*").alias("asked"))
@@ -95,9 +94,13 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     query_weights = lookup_join(
         query_terms, weights, ["term"], F.col("query_id"), top_keys(asked, ["term"], "asked")
     )
-    hit_words = worded.join(hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hit_docs = docs.select("doc_id", "text").join(
+        hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    )
+    # The outer form keeps Spark from computing the words again for a not-empty check.
     counts = (
-        hit_words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+        hit_docs.select("doc_id", words.alias("words"))
+        .select("doc_id", F.size("words").alias("len"), F.explode_outer("words").alias("term"))
         .groupBy("doc_id", "len", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -176,7 +179,7 @@ def ranked_answers(
 def build_context(top: DataFrame, docs: DataFrame) -> DataFrame:
     """Whole texts of a query's hits in rank order, parted by a blank line. At most k each."""
     rows = lookup_text(top, docs).groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_h")
+        F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_h")
     )
     return rows.select("query_id", F.array_join(F.col("_h.text"), "\n\n").alias("context"))
 
@@ -194,7 +197,7 @@ def rag_query(
     described = meta.select("doc_id", "file_path").join(docs.select("doc_id", "text"), "doc_id")
     sourced = _for_hits(top, described)
     answers = sourced.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "file_path", "score", "text"))).alias("_h")
+        F.sort_array(F.collect_list(F.struct("rank", "file_path", "score", "text"))).alias("_h")
     )
     none = F.array().cast("array<string>")
     return queries.select("query_id", "query_text").join(answers, "query_id", "left").select(

@@ -135,7 +135,7 @@ class Tables:
         cells = self.vectors.select("label", "collection", F.posexplode("embedding").alias("i", "x"))
         means = cells.groupBy("label", "collection", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
         return means.groupBy(F.col("label").alias("query_id"), "collection").agg(
-            F.array_sort(F.collect_list(F.struct("i", "x"))).getField("x").alias("query_vec")
+            F.sort_array(F.collect_list(F.struct("i", "x"))).getField("x").alias("query_vec")
         )
 
     @cached_property

@@ -10,6 +10,7 @@ from paperloom.operators import retrieval as ops
 from paperloom.operators import vectors as vec
 from paperloom.plans.catalog import query
 from paperloom.plans.sql import ranked, with_parts
+from paperloom.storage import materialize
 
 K = 5
 FETCH = 15
@@ -116,7 +117,7 @@ def embed_hashing(t):
 
 
 def question_hits(t, k):
-    return vec.vector_search(t.question_vectors, t.text_vectors, k).drop("rank")
+    return materialize(vec.vector_search(t.question_vectors, t.text_vectors, k).drop("rank"), "hits")
 
 
 @query("rerank_lexical", with_parts("SELECT query_id, id, rerank_score FROM paired", hits=HITS))
@@ -166,7 +167,7 @@ def hybrid_search(t):
     with_parts(f"SELECT r.query_id, r.id, r.score, r.rank, d.text FROM ({ranked('SELECT * FROM cosines', K)}) r JOIN documents d ON d.doc_id = r.id"),
 )
 def lookup_text(t):
-    return ops.lookup_text(vec.vector_search(t.question_vectors, t.text_vectors, K), t.documents)
+    return ops.lookup_text(ops.topk_per_query(question_hits(t, K), K), t.documents)
 
 
 @query(
@@ -177,7 +178,7 @@ def lookup_text(t):
     ),
 )
 def results_metadata(t):
-    top = vec.vector_search(t.question_vectors, t.text_vectors, K)
+    top = ops.topk_per_query(question_hits(t, K), K)
     return ops.results_metadata(top, t.meta, ["file_path", "file_type", "access_level"])
 
 
