@@ -15,18 +15,8 @@ def content_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def hex_digit(digest: Column, place: int) -> Column:
-    """Value of one hex digit of a digest; places count from 1."""
-    return F.position(F.substring(digest, place, 1), F.lit("0123456789abcdef")) - 1
-
-
-def feature_bucket(digest: Column, dims: int) -> Column:
-    """One of ``dims`` buckets from the first four hex digits."""
-    value = hex_digit(digest, 1)
-    for place in (2, 3, 4):
-        value = value * 16 + hex_digit(digest, place)
-    return value % dims
-
-
-def feature_sign(digest: Column) -> Column:
-    return F.when(hex_digit(digest, 5) < 8, F.lit(1)).otherwise(F.lit(-1))
+def hashed_feature(digest: Column, dims: int) -> tuple[Column, Column]:
+    """Bucket below ``dims`` and sign (1 or -1) from the first four hex digits of a digest."""
+    value = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+    odd = F.floor(value / dims) % 2 == 1
+    return value % dims, F.when(odd, F.lit(-1)).otherwise(F.lit(1))

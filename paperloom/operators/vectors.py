@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.hashing import feature_bucket, feature_sign
+from paperloom.functions.hashing import hashed_feature
 from paperloom.functions.text import tokens
 from paperloom.operators.skew import top_rows
 
@@ -27,12 +27,9 @@ def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, u
     ``unit=False`` the integer sums are kept, which cosine treats the same and which are
     exact whatever the order of addition.
     """
-    digest = docs.select(
-        F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t")
-    ).withColumn("_h", F.md5("_t"))
-    sums = digest.groupBy(id_col, feature_bucket(F.col("_h"), dims).alias("_b")).agg(
-        F.sum(feature_sign(F.col("_h"))).alias("_w")
-    )
+    bucket, sign = hashed_feature(F.col("_h"), dims)
+    hashed = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t")).withColumn("_h", F.md5("_t"))
+    sums = hashed.groupBy(id_col, bucket.alias("_b")).agg(F.sum(sign).alias("_w"))
     cells = sums.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"),
         F.sqrt(F.sum(F.col("_w") * F.col("_w")).cast("double")).alias("_n"),
@@ -235,14 +232,15 @@ def vector_search_ann(
     corpus: DataFrame,
     k: int,
     dims: int = 64,
-    bands: int = 16,
+    bands: int = 24,
     bits: int = 4,
     salts: int = 16,
 ) -> DataFrame:
     """Approximate cosine top-k: only vectors that share a signature band are scored.
 
     Corpus buckets are salted and the query side repeated per salt, so one full bucket
-    does not land in one task.
+    does not land in one task. More ``bits`` make buckets smaller and more ``bands`` raise
+    recall; a larger corpus wants more of both.
     """
     query_bands = signature_bands(queries, "query_id", "query_vec", dims, bands, bits).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -91,12 +91,12 @@ PARTS = {
     "doc_cells": f"""
         SELECT doc_id AS id, b, sum(s) AS w FROM (
           SELECT doc_id, ('0x' || substr(h, 1, 4))::BIGINT % 64 AS b,
-                 CASE WHEN ('0x' || substr(h, 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END AS s
+                 CASE WHEN ('0x' || substr(h, 1, 4))::BIGINT // 64 % 2 = 1 THEN -1 ELSE 1 END AS s
           FROM (SELECT doc_id, md5(unnest({words('text')})) AS h FROM documents)) GROUP BY ALL""",
     "question_cells": f"""
         SELECT query_id, b, sum(s) AS w FROM (
           SELECT query_id, ('0x' || substr(h, 1, 4))::BIGINT % 64 AS b,
-                 CASE WHEN ('0x' || substr(h, 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END AS s
+                 CASE WHEN ('0x' || substr(h, 1, 4))::BIGINT // 64 % 2 = 1 THEN -1 ELSE 1 END AS s
           FROM (SELECT query_id, md5(unnest({words('query_text')})) AS h FROM questions)) GROUP BY ALL""",
     "cosines": """
         SELECT q.query_id, d.id,
