@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns in the regular-expression subset Java and RE2 share.
@@ -100,6 +100,20 @@ def redact(text: Column) -> Column:
     return text
 
 
+def masked_texts(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Stepwise masked text columns, and which of them each kind is searched in.
+
+    Each step is a column of its own, computed once from the step before.
+    """
+    seen_by, last = {}, "text"
+    docs = docs.select("doc_id", "text")
+    for kind, pattern in PII_PATTERNS.items():
+        seen_by[kind] = last
+        docs = docs.select("*", F.regexp_replace(last, pattern, f"<{kind}>").alias(f"_no_{kind.lower()}"))
+        last = f"_no_{kind.lower()}"
+    return docs, {**seen_by, "REST": last}
+
+
 def file_suffix(path: Column) -> Column:
     """Case-sensitive suffix including the dot; empty when there is none."""
     return F.regexp_extract(path, r"(\.[^./]+)$", 1)

@@ -9,26 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import ComplianceConfig
-from paperloom.functions.text import PII_PATTERNS, pattern_count, redact
+from paperloom.functions.text import PII_PATTERNS, masked_texts, pattern_count, redact
 from paperloom.operators.cache import at
 
 CHECKS = ("retention_policy", "classification_ok", "access_controls", "encryption", "sensitive_data")
 
 
-def pii_counts(text: Column) -> dict[str, Column]:
-    """Matches per kind; a card number is not counted again as a phone number."""
-    counts = {}
-    for kind, pattern in PII_PATTERNS.items():
-        counts[f"{kind.lower()}_count"] = pattern_count(text, pattern)
-        text = F.regexp_replace(text, pattern, f"<{kind}>")
-    return counts
-
-
 def pii_scan(docs: DataFrame) -> DataFrame:
-    counted = docs.withColumns(pii_counts(F.col("text")))
-    names = [f"{kind.lower()}_count" for kind in PII_PATTERNS]
-    has = reduce(lambda a, b: a | b, (F.col(n) > 0 for n in names))
-    return counted.select("doc_id", *names, has.alias("has_pii"))
+    """Matches per kind; a card number is not counted again as a phone number."""
+    masked, seen_by = masked_texts(docs)
+    counts = {f"{k.lower()}_count": pattern_count(F.col(seen_by[k]), p) for k, p in PII_PATTERNS.items()}
+    counted = masked.select("doc_id", *(c.alias(n) for n, c in counts.items()))
+    return counted.withColumn("has_pii", reduce(lambda a, b: a | b, (F.col(n) > 0 for n in counts)))
 
 
 def pii_redact(docs: DataFrame) -> DataFrame:

@@ -77,14 +77,12 @@ def citation_mentions(docs: DataFrame) -> DataFrame:
 
 def extract_entities(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, label)`` per match; a matched span is not matched again."""
-    text = F.col("text")
-    found = []
-    for label, pattern in ENTITY_PATTERNS.items():
-        hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-        found.append(_tagged(hits, "text", "label", label))
-        if label in tx.PII_PATTERNS:
-            text = F.regexp_replace(text, pattern, f"<{label}>")
-    return docs.select("doc_id", F.explode(F.concat(*found)).alias("_e")).select("doc_id", "_e.*")
+    masked, seen_by = tx.masked_texts(docs)
+    found = [
+        _tagged(F.regexp_extract_all(seen_by.get(label, seen_by["REST"]), F.lit(pattern), 0), "text", "label", label)
+        for label, pattern in ENTITY_PATTERNS.items()
+    ]
+    return masked.select("doc_id", F.explode(F.concat(*found)).alias("_e")).select("doc_id", "_e.*")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -140,10 +140,10 @@ class Tables:
 
     @cached_property
     def listing(self) -> DataFrame:
-        """A landed library listing; some items name no file."""
+        """A landed library listing; a link to a place inside a page names no file."""
         return self.pages.select(
             "page_id",
-            F.when(F.col("page_id") % 10 != 0, F.col("url")).otherwise("").alias("FileRef"),
+            F.when(F.contains("url", F.lit("#")), "").otherwise(F.col("url")).alias("FileRef"),
             (F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("page_id").cast("int"))).alias("Created"),
             (F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("Modified"),
             F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("Author"),

@@ -78,7 +78,7 @@ def parse_email(t):
     "normalize_listing",
     """SELECT url, TIMESTAMP '2024-01-01' + to_minutes(page_id) AS created, TIMESTAMP '2024-01-01' + to_hours(page_id) AS modified,
               regexp_extract(url, '^https?://([^/]+)', 1) AS author, octet_length(encode(html)) AS size
-       FROM pages WHERE page_id % 10 <> 0""",
+       FROM pages WHERE NOT contains(url, '#')""",
 )
 def normalize_listing(t):
     return listings.normalize_listing(t.listing).select("url", "metadata.*")
@@ -91,15 +91,17 @@ def select_fields(t):
 
 @query(
     "incremental_sync",
-    """SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE 'changed' END AS change
-       FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0""",
+    """SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE 'changed' END AS change
+       FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'""",
 )
 def incremental_sync(t):
-    """The target lacks some orders and holds an older version of others."""
-    source = t.read("orders").select("o_orderkey", "o_orderdate")
-    older = F.col("o_orderdate") - F.make_dt_interval(days=F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
-    target = source.where(F.col("o_orderkey") % 10 != 0).withColumn("o_orderdate", older)
-    return listings.incremental_sync(source, target, "o_orderkey", "o_orderdate")
+    """The target lacks the pending orders and holds an older version of the urgent ones."""
+    orders = t.read("orders")
+    age = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)
+    held = orders.where(F.col("o_orderstatus") != "P").select(
+        "o_orderkey", (F.col("o_orderdate") - F.make_dt_interval(days=age)).alias("o_orderdate")
+    )
+    return listings.incremental_sync(orders.select("o_orderkey", "o_orderdate"), held, "o_orderkey", "o_orderdate")
 
 
 ADDED = """SELECT doc_id, quality, CAST(-1 AS INTEGER) AS toxic FROM labels
