@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.config import ComplianceConfig
-from paperloom.functions.text import PII_PATTERNS, masked_texts, pattern_count, redact
+from paperloom.functions.text import PII_PATTERNS, masked_texts, pattern_count
 from paperloom.operators.cache import at
 
 CHECKS = ("retention_policy", "classification_ok", "access_controls", "encryption", "sensitive_data")
@@ -24,7 +24,9 @@ def pii_scan(docs: DataFrame) -> DataFrame:
 
 
 def pii_redact(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", redact(F.col("text")))
+    """Texts with every match replaced by its kind."""
+    masked, seen_by = masked_texts(docs)
+    return masked.select("doc_id", F.col(seen_by["REST"]).alias("text"))
 
 
 def retention_ok(as_of: datetime) -> Column:

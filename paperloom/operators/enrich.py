@@ -71,7 +71,7 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 def citation_mentions(docs: DataFrame) -> DataFrame:
     """Each cited string with its form."""
     forms = {"numbered": tx.CITE_NUMBER, "author_year": tx.CITE_AUTHOR, "doi": tx.CITE_DOI}
-    found = [_tagged(F.regexp_extract_all("text", F.lit(p), 0), "mention", "form", f) for f, p in forms.items()]
+    found = [_tagged(tx.matches(F.col("text"), p), "mention", "form", f) for f, p in forms.items()]
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("_c")).select("doc_id", "_c.*")
 
 
@@ -79,7 +79,7 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, label)`` per match; a matched span is not matched again."""
     masked, seen_by = tx.masked_texts(docs)
     found = [
-        _tagged(F.regexp_extract_all(seen_by.get(label, seen_by["REST"]), F.lit(pattern), 0), "text", "label", label)
+        _tagged(tx.matches(F.col(seen_by.get(label, seen_by["REST"])), pattern), "text", "label", label)
         for label, pattern in ENTITY_PATTERNS.items()
     ]
     return masked.select("doc_id", F.explode(F.concat(*found)).alias("_e")).select("doc_id", "_e.*")
