@@ -1,3 +1,6 @@
+import glob
+import shutil
+
 from pyspark.sql import functions as F
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
@@ -5,7 +8,7 @@ from paperloom.plans.fixtures import audit_rows, change_rows
 from paperloom.streaming import jobs
 
 
-def split_stream(spark, tables, folder):
+def split_log(tables, folder):
     """The event log as four files in time order, one per batch."""
     events = tables.read("events")
     step = events.count() // 4
@@ -13,16 +16,15 @@ def split_stream(spark, tables, folder):
         piece = events.where(F.floor(F.col("event_id") / step).cast("int") == part) if part < 3 else events.where(F.col("event_id") >= 3 * step)
         path = f"{folder}/part{part}"
         piece.coalesce(1).write.parquet(path)
-        for file in __import__("glob").glob(f"{path}/*.parquet"):
-            __import__("shutil").copy(file, f"{folder}/events-{part}.parquet")
-    return jobs.read_table_stream(spark, str(folder), "events", events.schema, files_per_batch=1)
+        for file in glob.glob(f"{path}/*.parquet"):
+            shutil.copy(file, f"{folder}/events-{part}.parquet")
 
 
 def test_streams_equal_their_batch_forms(spark, tables, tmp_path):
     def stream():
         return audit_rows(jobs.read_table_stream(spark, str(tmp_path), "events", tables.read("events").schema, 1))
 
-    split_stream(spark, tables, tmp_path)
+    split_log(tables, tmp_path)
     batch = tables.audit
 
     averages = {r["key"]: (r["n"], r["ewma_ms"]) for r in jobs.run_latency_ewma(stream(), "action").collect()}
