@@ -31,3 +31,17 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.token_counts import token_counts
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.language_id import identify
+
+    return identify(table(spark, folder, "documents"))
