@@ -45,3 +45,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.language_id import identify
 
     return identify(table(spark, folder, "documents"))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
