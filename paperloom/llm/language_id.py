@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.buffers import SLICE, code_points, text_bytes, worker_cache
+from paperloom.llm.folds import remainder
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -31,11 +32,6 @@ ALPHA = 0.02
 NONE = "und"
 
 
-def remainder(doc_id: Column, divisor: int) -> Column:
-    """crc32 of the id as text, modulo ``divisor``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % divisor
-
-
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or 0 for what is not a letter."""
     table = np.zeros(0x110000, np.uint32)

@@ -52,3 +52,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
