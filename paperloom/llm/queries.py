@@ -59,3 +59,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.quality import quality_scores
 
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, folder, "documents"))
