@@ -1,0 +1,33 @@
+"""Connected components of a link table, by alternating star contraction in Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from paperloom.storage import materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``id, root`` for every end of ``links (a, b)``; the root is the smallest id reachable.
+
+    Large-star and small-star rounds (Kiveris et al. 2014) replace links by links to the
+    smallest neighbour until all are stars, in some log^2 of the size rounds. Each round is
+    a partial aggregate and a join, is stored, and moves no group into one task.
+    """
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = materialize(moved.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        if state == before:
+            break
+        before = state
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
+    )

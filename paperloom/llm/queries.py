@@ -66,3 +66,10 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.secrets import secret_spans
 
     return secret_spans(table(spark, folder, "documents"))
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.ngram_join import joined_documents
+
+    return joined_documents(table(spark, folder, "documents"))
