@@ -73,3 +73,10 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.ngram_join import joined_documents
 
     return joined_documents(table(spark, folder, "documents"))
+
+
+@query("op6_class_lm")
+def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.class_lm import class_scores
+
+    return class_scores(table(spark, folder, "documents"))
