@@ -80,3 +80,10 @@ def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.class_lm import class_scores
 
     return class_scores(table(spark, folder, "documents"))
+
+
+@query("op3_spot_signatures")
+def op3_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.spot_signatures import fingerprints
+
+    return fingerprints(table(spark, folder, "documents"))
