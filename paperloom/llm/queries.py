@@ -87,3 +87,10 @@ def op3_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.spot_signatures import fingerprints
 
     return fingerprints(table(spark, folder, "documents"))
+
+
+@query("op9_licenses")
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.licenses import license_scan
+
+    return license_scan(table(spark, folder, "documents"))
