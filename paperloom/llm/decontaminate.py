@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.buffers import byte_class, chained, mixed, slices, text_bytes, words
+from paperloom.llm.folds import free_name
+from paperloom.storage import materialize
 
 GRAM = 6
 WINDOW = 8
@@ -66,11 +68,6 @@ def winnowed(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return least[places], places
 
 
-def whole_run(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each run of all widths below ``SPAN`` is made with its width, as widths share an index."""
-    return mixed(chained(hashes, len(hashes)) ^ np.uint64(len(hashes)))
-
-
 class Items:
     """Items with an index from winnowed grams and from short whole sequences."""
 
@@ -283,13 +280,33 @@ def _with_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _collected(items: DataFrame, most_words: int) -> Items | None:
+    """The items' index if their size is within the bound; measured before any text is read."""
+    length = items.select(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("n")).head()["n"]
+    if length // 2 > most_words:
+        return None
+    rows = items.select(F.col("item_id").cast("string").alias("name"), "text").collect()
+    return Items([r["name"] for r in rows], [r["text"] for r in rows])
+
+
 def contamination(docs: DataFrame, items: DataFrame, share: int = 20, most_words: int = BROADCAST_WORDS) -> DataFrame:
     """Words of each document inside shared runs with benchmark items; see the module.
 
     ``contaminated`` when at least one in ``share`` words is hit.
     """
-    length = items.select(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("n"), F.count("*").alias("rows")).head()
-    if length["n"] // 2 > most_words:
-        return _verdict(_with_join(docs, items), share)
-    rows = items.select(F.col("item_id").cast("string").alias("name"), "text").collect()
-    return _verdict(_with_broadcast(docs, Items([r["name"] for r in rows], [r["text"] for r in rows])), share)
+    index = _collected(items, most_words)
+    found = _with_join(docs, items) if index is None else _with_broadcast(docs, index)
+    return _verdict(found, share)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, share: int = 20, most_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns.
+
+    A verdict belongs to a text, so rows meet their verdict by the text's sha2; only texts
+    with hits are in that table, and it is broadcast only while Spark's own limit allows.
+    """
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = docs.select(key.alias("doc_id"), "text")
+    name = free_name(docs, "_t")
+    bad = contamination(texts, items, share, most_words).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(materialize(bad, "contaminated"), name, "left_anti").select(*docs.columns)

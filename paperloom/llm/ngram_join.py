@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.llm.buffers import chained, mixed, not_white, slices, text_bytes, words
 from paperloom.llm.components import components
+from paperloom.llm.folds import free_name
 from paperloom.storage import materialize
 
 WIDTH = 4
@@ -241,14 +243,54 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return components(first.unionByName(second))
 
 
-def joined_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``; see the module."""
+def row_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n, k, component_id`` of every row of ``docs``."""
     rows = materialize(members(docs, width), "members")
     roots = linked_sets(docs, width, percent)
     least = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     labelled = least.join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = labelled.join(named, "root").select("k", "component_id")
-    own = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = rows.where("n > 0").join(final, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    final = labelled.join(named, "root").select("k", "component_id", "root")
+    own = rows.where("n = 0").select("doc_id", "n", "k", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"))
+    linked = rows.where("n > 0").join(final, "k", "left").select("doc_id", "n", "k", "component_id", "root")
     return linked.unionByName(own)
+
+
+def joined_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``; see the module."""
+    return row_components(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest id.
+
+    Rows without words all stay. Of rows with the same id and the same set one stays. Rows are
+    named by id and set; the list of names to drop is broadcast up to ``BROADCAST_SETS``, else
+    it is joined by a shuffle.
+    """
+    rows = materialize(row_components(docs, width, percent).where("n > 0").select("doc_id", "k", "root"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("k").alias("k"))
+    keep = rows.groupBy("root").agg(F.min(order).alias("o")).select("root", F.col("o.doc_id").alias("_id"), F.col("o.k").alias("_k"))
+    names = rows.groupBy("root", "doc_id", "k").agg(F.count("*").alias("times"))
+    joined = names.join(keep, "root").select(
+        F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "times", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).alias("kept")
+    )
+    odd = materialize(joined.where("not kept or times > 1"), "dropped")
+
+    key = free_name(docs, "_key")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(s) if len(s) else None for _, s in _each(batch, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, key])
+
+    named = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(key, LongType())]))
+    few = odd.count() <= BROADCAST_SETS
+    mark = F.broadcast if few else (lambda df: df)
+    same = named["doc_id"].eqNullSafe(odd["_id"]) & (named[key] == odd["_k"])
+    main = named.join(mark(odd), same, "left_anti").select(*docs.columns)
+    repeats = odd.where("kept")
+    if repeats.limit(1).count() == 0:
+        return main
+    again = named.join(mark(repeats), same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    return main.unionByName(again)

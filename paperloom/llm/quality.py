@@ -183,3 +183,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``; see the module."""
     stats = materialize(with_statistics(docs), "statistics")
     return scored(stats, fit(stats, labels))
+
+
+def without_rejects(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all columns, in one pass without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(materialize(with_statistics(docs), "statistics"), labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, all_offsets = text_bytes(batch.column("text"))
+            for first, last in slices(all_offsets):
+                base = all_offsets[first]
+                found = statistics(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
+                yield batch.slice(first, last - first).filter(pa.array(model.value.scores(found) >= KEEP_FROM))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -180,5 +180,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], more).alias("out"))
 
     done = F.aggregate("_spans", state, step, lambda s: F.concat(F.array_join(s["out"], ""), cut(s["at"], F.length(text).cast("bigint") - s["at"])))
-    masked = find_spans(docs).withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    return masked.select(*docs.columns)
+    # Columns of the input keep out of the way of the working columns.
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    masked = find_spans(packed).withColumn("_masked", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
+    return masked.select(*(F.col("_masked").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
