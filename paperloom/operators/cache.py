@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from paperloom.config import CacheConfig
 from paperloom.operators.skew import number_rows, row_lookup, top_rows
 
-EWMA_DEPTH = 1100
 SIZE_LABELS = ("< 1KB", "< 1MB", "≥ 1MB")
 AGE_LABELS = ("< 1 day", "< 1 week", "≥ 1 week")
 DAY_MICROS = 86_400_000_000
@@ -122,12 +121,14 @@ def latency_ewma(
 ) -> DataFrame:
     """Running ``avg = (avg + x) / 2`` from 0, in log order.
 
-    The n-th newest value weighs 2^-n. Past 1,100 steps that weight is zero in double
-    precision, so the newest 1,100 rows of a key give the same number as all of them,
-    and Spark cuts to those inside each task.
+    The n-th newest value weighs 2^-n. Rows are numbered by a distributed sort, so one key
+    may hold any share of them; sums are partial. A value that is not finite stays so
+    however old it is.
     """
-    newest = top_rows(log, keys, [F.desc(c) for c in order], EWMA_DEPTH, "_n")
-    average = F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("_n")))
+    newest = number_rows(log.select(*keys, *order, value), keys, [F.desc(c) for c in order], "_n")
+    weight = F.pow(F.lit(0.5), F.col("_n"))
+    endless = F.isnan(value) | (F.abs(value) == float("inf"))
+    average = F.sum(F.when(endless, F.col(value)).otherwise(F.col(value) * weight))
     return newest.groupBy(*keys).agg((average if digits is None else F.round(average, digits)).alias("ewma_ms"))
 
 

@@ -71,7 +71,8 @@ def latency_percentiles(log: DataFrame, key: str, points: tuple[float, ...] = (0
     """Exact interpolated percentiles per key.
 
     Rows are numbered by a distributed sort and only those next to a wanted position are
-    kept, so no task holds the values of a whole group.
+    kept, so no task holds the values of a whole group. A null key is a group, and a group
+    without values has null percentiles.
     """
     sizes = log.groupBy(key).agg(F.count("latency_ms").alias("_size"))
     numbered = number_rows(log.where(F.col("latency_ms").isNotNull()).select(key, "latency_ms"), [key], [F.asc("latency_ms")])
@@ -81,24 +82,19 @@ def latency_percentiles(log: DataFrame, key: str, points: tuple[float, ...] = (0
     edges = wanted.select(
         key, "_p", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("rn")
     )
-    near = edges.join(numbered, [key, "rn"])
+    values = numbered.select(F.col(key).alias("_key"), F.col("rn").alias("_rn"), "latency_ms")
+    near = edges.join(values, edges[key].eqNullSafe(F.col("_key")) & (F.col("rn") == F.col("_rn")))
     low = F.min_by("latency_ms", "rn")
     high = F.max_by("latency_ms", "rn")
     value = near.groupBy(key, "_p").agg(
         (low + (high - low) * F.max(F.col("_pos") - F.floor("_pos"))).alias("v")
     )
     names = {p: f"p{round(p * 100)}" for p in points}
-    return value.groupBy(key).agg(
+    found = value.groupBy(F.col(key).alias("_key")).agg(
         *(F.round(F.max(F.when(F.col("_p") == p, F.col("v"))), 6).alias(n) for p, n in names.items())
     )
-
-
-def latency_percentiles_approx(log: DataFrame, key: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Sketch-based form for dashboards that need no exact value."""
-    sketch = F.percentile_approx("latency_ms", list(points), 10_000)
-    return log.groupBy(key).agg(sketch.alias("_q")).select(
-        key, *(F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points))
-    )
+    # Groups of nulls only have no value, but stay.
+    return sizes.join(found, sizes[key].eqNullSafe(found["_key"]), "left").select(key, *names.values())
 
 
 def feedback_average(feedback: DataFrame) -> DataFrame:

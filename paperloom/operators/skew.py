@@ -89,10 +89,15 @@ def number_rows(
         Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    # Keys may be null, so the offsets are matched null-safe.
+    named = runs.select(F.col("_part").alias("_run"), *(F.col(k).alias(f"_run_{k}") for k in keys), "_first", "_before")
+    same = F.col("_part") == F.col("_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_run_{k}"))
     return (
-        stored.join(runs.drop("_rows"), ["_part", *keys])
+        stored.join(named, same)
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1)
-        .drop("_at", "_part", "_first", "_before")
+        .drop("_at", "_part", "_first", "_before", "_run", *(f"_run_{k}" for k in keys))
     )
 
 

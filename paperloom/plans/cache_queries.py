@@ -134,7 +134,7 @@ def cache_age_buckets(t):
     with_parts(
         """SELECT action, round(sum(latency_ms * power(0.5, n)), 6) AS ewma_ms FROM (
              SELECT action, latency_ms, row_number() OVER (PARTITION BY action ORDER BY "timestamp" DESC, event_id DESC) AS n FROM audit)
-           WHERE n <= 1100 GROUP BY 1"""
+           GROUP BY 1"""
     ),
 )
 def latency_ewma(t):

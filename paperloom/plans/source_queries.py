@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.catalog import query
 from paperloom.plans.fixtures import CUSTOMER, docx_files, mail_files, pptx_files, xlsx_files
+from paperloom.plans.sql import with_parts
 from paperloom.sources import files, listings, parsers, sinks
 from paperloom.storage import scratch_path
 
@@ -14,11 +15,23 @@ LINES = """SELECT d.doc_id || '{suffix}' AS path, o2 AS position, line AS value
              FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY u(line, o) WHERE line <> '') d"""
 
 
-@query("scan_by_extension")
+SUFFIX = r"regexp_extract(path, '(\.[^./]+)$', 1)"
+
+
+@query(
+    "scan_by_extension",
+    with_parts(
+        f"""SELECT path, {SUFFIX} AS suffix, bytes FROM (
+              SELECT file_path AS path, size_bytes AS bytes FROM meta
+              UNION ALL SELECT url AS path, octet_length(encode(html)) AS bytes FROM pages)
+            WHERE {SUFFIX} IN ('.en', '.fr', '.html')"""
+    ),
+)
 def scan_by_extension(t):
-    return files.scan_by_extension(t.spark, t.folder, [".parquet"]).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "suffix", F.col("length").alias("bytes")
-    )
+    """Listed document files and pages whose suffix is allowed."""
+    listed = t.meta.select(F.col("file_path").alias("path"), F.col("size_bytes").alias("bytes"))
+    pages = t.pages.select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("bytes"))
+    return files.keep_suffixes(listed.unionByName(pages), "path", [".en", ".fr", ".html"]).select("path", "suffix", "bytes")
 
 
 @query("read_text", "SELECT CAST(item_id AS INTEGER) AS item_id, text || chr(10) AS text FROM benchmark")

@@ -19,6 +19,11 @@ def scan_by_extension(spark: SparkSession, folder: str, allowed: list[str]) -> D
     )
 
 
+def keep_suffixes(rows: DataFrame, path: str, allowed: list[str]) -> DataFrame:
+    """Rows of a landed listing whose path ends in an allowed suffix, with ``suffix``."""
+    return rows.withColumn("suffix", file_suffix(F.col(path))).where(F.col("suffix").isin(*allowed))
+
+
 def read_binary(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """``(path, content)`` of the files with one suffix."""
     return (

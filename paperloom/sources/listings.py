@@ -30,9 +30,11 @@ def select_fields(table: DataFrame, fields: list[str]) -> DataFrame:
 def incremental_sync(source: DataFrame, target: DataFrame, key: str, modified: str) -> DataFrame:
     """Source rows that are new or newer than the target's, with ``change``.
 
-    Both sides are unique on ``key``, so one join on it decides both cases.
+    The target's newest row of a key counts. A known row without a time is older than any
+    source row that has one.
     """
-    seen = target.select(key, F.col(modified).alias("_seen"))
+    seen = target.groupBy(key).agg(F.max(modified).alias("_seen"), F.lit(True).alias("_known"))
     joined = source.join(seen, key, "left")
-    change = F.when(F.col("_seen").isNull(), "new").when(F.col(modified) > F.col("_seen"), "changed")
-    return joined.withColumn("change", change).where(F.col("change").isNotNull()).drop("_seen")
+    later = F.col(modified) > F.coalesce("_seen", F.lit("0001-01-01").cast("timestamp_ntz"))
+    change = F.when(F.col("_known").isNull(), "new").when(later, "changed")
+    return joined.withColumn("change", change).where(F.col("change").isNotNull()).drop("_seen", "_known")

@@ -12,9 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def runs_on_one_machine(master: str) -> bool:
+    """Whether driver and tasks share a disk: ``local`` or ``local[...]``."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, set to a local one only if there is none."""
+    """The session's checkpoint folder; only on one machine a local one stands in for it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not runs_on_one_machine(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="paperloom-"))
     return configured or spark.sparkContext.getCheckpointDir()

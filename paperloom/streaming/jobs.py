@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
 from paperloom.storage import scratch_path
@@ -21,32 +20,19 @@ def read_table_stream(spark: SparkSession, folder: str, table: str, schema: T.St
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a Parquet table and read it back."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("checkpointLocation", f"{path}/_progress")
-        .option("path", f"{path}/rows")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
-def run_to_batches(stream: DataFrame, name: str, prepare, mode: str = "append") -> DataFrame:
+def run_to_batches(stream: DataFrame, name: str, prepare, mode: str = "append", path: str | None = None) -> DataFrame:
     """Process everything available through ``foreachBatch`` and read all batches back.
 
     A batch is written to a folder of its own number, so a repeated batch replaces itself.
+    ``prepare`` gets a batch and the rows of all earlier ones (None for the first). With a
+    ``path`` of the caller's, a later call resumes where an earlier one stopped or failed.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        earlier = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") < number) if number else None
+        prepare(batch, earlier).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -59,30 +45,34 @@ def run_to_batches(stream: DataFrame, name: str, prepare, mode: str = "append")
     return spark.read.parquet(f"{path}/rows")
 
 
-def daily_usage_windows(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Closed day windows; a day is emitted once the watermark has passed its end."""
-    return (
-        log.withColumn("event_time", F.col("timestamp").cast("timestamp"))
-        .withWatermark("event_time", late)
-        .groupBy(F.window("event_time", "1 day").alias("w"))
-        .agg(F.count("*").alias("uses"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("day"), "uses")
-    )
+def daily_usage(log: DataFrame) -> DataFrame:
+    """Running uses per day, for update mode; the state is one row a day, and no row is late."""
+    return log.groupBy(F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("uses"))
 
 
-def ingest_once(docs: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each document once, however often it arrives within the watermark."""
-    return (
-        docs.withColumn("event_time", F.col("creation_date").cast("timestamp"))
-        .withWatermark("event_time", late)
-        .dropDuplicatesWithinWatermark(["doc_id"])
-        .drop("event_time")
-    )
+def run_daily_usage(log: DataFrame, name: str = "daily-usage", path: str | None = None) -> DataFrame:
+    """Uses of every day, the open one included; counts only grow, so the largest is the newest."""
+    updates = run_to_batches(daily_usage(log), name, lambda batch, _: batch, "update", path)
+    return updates.groupBy("day").agg(F.max("uses").alias("uses"))
+
+
+def run_ingest(docs: DataFrame, name: str = "ingest", path: str | None = None) -> DataFrame:
+    """Each document once, however often and in whatever order it arrives.
+
+    What was stored by earlier batches is left out of a new one by an anti-join on the id
+    column, so no date decides over a document. Of one id in a batch the newest stays.
+    """
 
+    def fresh(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        once = upsert_latest(batch, ["doc_id"], ["creation_date", "checksum"])
+        return once if earlier is None else once.join(earlier.select("doc_id"), "doc_id", "left_anti")
 
-def cache_change_log(changes: DataFrame, name: str = "cache-changes") -> DataFrame:
+    return run_to_batches(docs, name, fresh, path=path).drop("batch")
+
+
+def cache_change_log(changes: DataFrame, name: str = "cache-changes", path: str | None = None) -> DataFrame:
     """Stored changes, already cut to the last one per key inside each batch."""
-    return run_to_batches(changes, name, lambda batch: upsert_latest(batch, ["key"], ["written_at", "seq"]))
+    return run_to_batches(changes, name, lambda batch, _: upsert_latest(batch, ["key"], ["written_at", "seq"]), path=path)
 
 
 def current_cache(change_log: DataFrame) -> DataFrame:
@@ -99,26 +89,18 @@ def user_totals(log: DataFrame) -> DataFrame:
 
 def run_user_totals(log: DataFrame, name: str = "user-totals") -> DataFrame:
     """Keep the newest total of every user; counts only grow, so the largest is the newest."""
-    updates = run_to_batches(user_totals(log), name, lambda batch: batch, "update")
+    updates = run_to_batches(user_totals(log), name, lambda batch, _: batch, "update")
     return upsert_latest(updates.drop("batch"), ["user_id"], ["actions"])
 
 
-def _ewma_part(batch: DataFrame) -> DataFrame:
-    """Per key of one batch: row count and the running average started from 0."""
-    counts = batch.groupBy("key").agg(F.count("*").alias("n"))
-    return latency_ewma(batch, ["key"], ["timestamp", "event_id"], "latency_ms", digits=None).join(counts, "key")
-
+def run_latency_ewma(log: DataFrame, key: str, name: str = "latency-ewma", path: str | None = None) -> DataFrame:
+    """Running latency average per key, whatever the order in which batches arrive.
 
-def run_latency_ewma(log: DataFrame, key: str, name: str = "latency-ewma") -> DataFrame:
-    """Running latency average per key over batches that arrive in time order.
-
-    Averages of consecutive pieces combine: a piece counts with 2^-(rows after it). So each
-    batch is reduced by Spark to one row per key and no task walks through a key's rows.
+    Batches are stored as they come; the average is taken over the stored rows in log order
+    by a distributed sort, so a late batch only changes the numbers it should.
     """
     rows = log.select(F.col(key).alias("key"), "timestamp", "event_id", "latency_ms")
-    parts = run_to_batches(rows, name, _ewma_part)
-    after = Window.partitionBy("key").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
-    weighed = parts.withColumn("_after", F.coalesce(F.sum("n").over(after), F.lit(0)))
-    return weighed.groupBy("key").agg(
-        F.sum("n").alias("n"), F.round(F.sum(F.col("ewma_ms") * F.pow(F.lit(0.5), F.col("_after"))), 6).alias("ewma_ms")
-    )
+    stored = run_to_batches(rows, name, lambda batch, _: batch, path=path)
+    averages = latency_ewma(stored, ["key"], ["timestamp", "event_id"], "latency_ms").withColumnRenamed("key", "_key")
+    counts = stored.groupBy("key").agg(F.count("*").alias("n"))
+    return counts.join(averages, F.col("key").eqNullSafe(F.col("_key"))).select("key", "n", "ewma_ms")

@@ -4,7 +4,8 @@ import shutil
 from pyspark.sql import functions as F
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
-from paperloom.plans.fixtures import audit_rows, change_rows
+from paperloom.operators.metrics import daily_usage
+from paperloom.plans.fixtures import audit_rows, change_rows, describe
 from paperloom.streaming import jobs
 
 
@@ -40,3 +41,36 @@ def test_streams_equal_their_batch_forms(spark, tables, tmp_path):
 
     totals = jobs.run_user_totals(stream()).select("user_id", "actions").collect()
     assert sorted(totals) == sorted(batch.groupBy("user_id").count().collect())
+
+
+def test_no_document_is_lost_for_its_date_or_a_restart(spark, tables, tmp_path):
+    docs = describe(tables.documents).select("doc_id", "file_path", "checksum", "size_bytes", "creation_date")
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    ranked = docs.orderBy(F.desc("creation_date")).toPandas()
+    step = len(ranked) // 4
+    for at in range(4):  # newest first
+        piece = spark.createDataFrame(ranked.iloc[at * step : (at + 1) * step if at < 3 else None], docs.schema)
+        piece.coalesce(1).write.parquet(f"{tmp_path}/p{at}")
+        shutil.copy(glob.glob(f"{tmp_path}/p{at}/*.parquet")[0], f"{folder}/documents-{at}.parquet")
+        if at == 1:  # stop here and go on later, with a repeated file among the new ones
+            stream = jobs.read_table_stream(spark, str(folder), "documents", docs.schema, 1)
+            assert jobs.run_ingest(stream, path=state).count() == 2 * step
+    shutil.copy(f"{folder}/documents-0.parquet", f"{folder}/documents-9.parquet")
+    stream = jobs.read_table_stream(spark, str(folder), "documents", docs.schema, 1)
+    found = jobs.run_ingest(stream, path=state).select(docs.columns)
+    assert sorted(found.collect()) == sorted(docs.collect())
+
+
+def test_usage_has_every_day_and_averages_any_order(spark, tables, tmp_path):
+    split_log(tables, tmp_path)
+    for part in (0, 3):  # the last quarter arrives first
+        shutil.move(f"{tmp_path}/events-{part}.parquet", f"{tmp_path}/events_{3 - part}.parquet")
+
+    def stream():
+        return audit_rows(jobs.read_table_stream(spark, str(tmp_path), "events", tables.read("events").schema, 1))
+
+    assert sorted(jobs.run_daily_usage(stream()).collect()) == sorted(daily_usage(tables.audit).collect())
+    averages = {r["key"]: r["ewma_ms"] for r in jobs.run_latency_ewma(stream(), "action").collect()}
+    expected = latency_ewma(tables.audit, ["action"], ["timestamp", "event_id"], "latency_ms").collect()
+    assert averages == {r["action"]: r["ewma_ms"] for r in expected}
