@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from paperloom.functions import text as tx
 from paperloom.operators.skew import lookup_join, top_keys, top_rows
 from paperloom.storage import materialize
 
+BROADCAST_GRAMS = 1_000_000
 ENTITY_PATTERNS = {**tx.PII_PATTERNS, "LICENSE": tx.LICENSE}
 
 
@@ -95,10 +97,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """Number of documents per word, summed up inside each task before the exchange."""
-    words = F.array_distinct(tx.tokens(F.col("text")))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Number of documents per word, of ``asked(term)`` words only if given.
+
+    Asked words are picked before the count, and counts are summed inside each task.
+    """
+    words = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    if asked is not None:
+        words = words.join(asked.select("term"), "term", "left_semi")
+    return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -116,25 +123,23 @@ def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
 def summarize_extractive(docs: DataFrame, k: int = 3) -> DataFrame:
     """The k sentences whose words are most frequent in the document, in text order.
 
-    Documents are placed by id once, before their words are listed; every later step
-    groups within a document and needs no further exchange.
+    Only sentence numbers travel with the words, so a long sentence costs its own length;
+    the winning sentences are cut from the texts at the end. A text without words has a
+    null summary.
     """
-    placed = docs.select("doc_id", "text").repartition("doc_id")
-    sentences = placed.select(
-        "doc_id", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("position", "sentence")
-    ).select("doc_id", "position", F.trim("sentence").alias("sentence"))
-    words = sentences.select(
-        "doc_id", "position", "sentence", F.explode(tx.tokens(F.col("sentence"))).alias("term")
-    )
-    used = words.groupBy("doc_id", "position", "sentence", "term").agg(F.count("*").alias("n"))
+    sentences = docs.select("doc_id", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("position", "sentence"))
+    words = sentences.select("doc_id", "position", F.explode(tx.tokens(F.col("sentence"))).alias("term"))
+    used = words.groupBy("doc_id", "position", "term").agg(F.count("*").alias("n"))
     in_document = Window.partitionBy("doc_id", "term")
     weighed = used.withColumn("total", F.sum("n").over(in_document))
-    scores = weighed.groupBy("doc_id", "position", "sentence").agg(
+    scores = weighed.groupBy("doc_id", "position").agg(
         F.round(F.sum(F.col("n") * F.col("total")) / F.sum("n"), 6).alias("score")
     )
     best = top_rows(scores, ["doc_id"], [F.desc("score"), F.asc("position")], k)
-    parts = best.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "sentence"))).alias("_s"))
-    return parts.select("doc_id", F.array_join(F.col("_s.sentence"), ". ").alias("summary"))
+    chosen = best.groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("_at"))
+    parts = F.split("text", tx.SENTENCE_END)
+    summary = F.array_join(F.transform("_at", lambda at: F.trim(F.get(parts, at))), ". ")
+    return docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("doc_id", summary.alias("summary"))
 
 
 def language_model(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,58 +161,36 @@ def language_model(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, counts.groupBy("lang").agg(F.sum("c").alias("total"))
 
 
-def word_language_scores(vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per word: ``(lang, sum of ln(count + 1))`` of its trigrams, and its trigram number.
-
-    The number stands under the empty language name. A word of n characters gives n
-    trigrams once padded on both sides.
-    """
-    cut = vocabulary.select("word", F.explode(tx.trigrams(F.col("word"))).alias("gram"))
-    uses = cut.groupBy("gram").agg(F.count("*").alias("uses"))
-    by_language = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "c")).alias("langs"))
-    sums = (
-        lookup_join(cut, by_language, ["gram"], F.col("word"), top_keys(uses, ["gram"], "uses"))
-        .select("word", F.explode("langs").alias("_l"))
-        .groupBy("word", F.col("_l.lang").alias("lang"))
-        .agg(F.sum(F.log(F.col("_l.c") + 1)).alias("s"))
-    )
-    sizes = vocabulary.select("word", F.lit("").alias("lang"), F.length("word").cast("double").alias("s"))
-    return sums.unionByName(sizes).groupBy("word").agg(F.collect_list(F.struct("lang", "s")).alias("langs"))
-
-
 def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Naive Bayes over character trigrams with add-one smoothing; ties go to the first name.
 
-    An unseen trigram adds ln 1 = 0 to the count part, so the count part runs over seen
-    pairs only, and the smoothing part is the document's trigram number times
-    ln(total + vocabulary). Each distinct word is scored once for the whole collection;
-    documents then only look their words up.
+    An unseen trigram adds ln 1 = 0 to the count part, and the smoothing part is the
+    document's trigram number times ln(total + vocabulary). The trigram table has one row a
+    trigram with a number per language. Up to ``BROADCAST_GRAMS`` rows it is broadcast, so
+    that each text is scored where it is and only sums per document are exchanged; a larger
+    one is met by a salted join. A text without words has a null language.
     """
-    words = F.explode(tx.tokens(F.col("text"))).alias("word")
-    vocabulary = materialize(docs.select(words).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
-    scores = materialize(word_language_scores(vocabulary, counts), "word-languages")
-    hot = top_keys(vocabulary, ["word"], "n")
-    sums = (
-        lookup_join(docs.select("doc_id", words), scores, ["word"], F.col("doc_id"), hot)
-        .select("doc_id", F.explode("langs").alias("_l"))
-        .groupBy("doc_id", F.col("_l.lang").alias("lang"))
-        .agg(F.sum("_l.s").alias("s"))
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("sums"))
+    languages = [(r["lang"], r["total"]) for r in totals.orderBy("lang").collect()]
+    logs = [F.sum(F.when(F.col("lang") == lang, F.log(F.col("c") + 1)).otherwise(0.0)) for lang, _ in languages]
+    table = counts.groupBy("gram").agg(F.array(*logs).cast("array<double>").alias("logs"), F.sum("c").alias("uses"))
+    table = materialize(table, "trigram-logs")
+    size = table.count()
+    words = docs.select("doc_id", F.explode_outer(tx.tokens(F.col("text"))).alias("word"))
+    grams = words.select("doc_id", F.explode_outer(tx.trigrams(F.col("word"))).alias("gram"))
+    if size <= BROADCAST_GRAMS:
+        met = grams.join(F.broadcast(table.drop("uses")), "gram", "left")
+    else:
+        met = lookup_join(grams, table.drop("uses"), ["gram"], F.col("doc_id"), top_keys(table, ["gram"], "uses"), "left")
+    found = met.groupBy("doc_id").agg(
+        F.count("gram").alias("n"), *(F.coalesce(F.sum(F.get("logs", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(languages)))
     )
-    vocabulary_size = counts.select("gram").distinct().agg(F.count("*").alias("v")).scalar()
-    smoothing = totals.withColumn("w", F.log(F.col("total") + vocabulary_size))
-    languages = smoothing.agg(F.collect_list(F.struct("lang", "w")).alias("all")).scalar()
-    ranked = F.transform(
-        F.col("_langs"),
-        lambda l: F.struct(
-            (
-                -F.round(F.coalesce(F.element_at("sums", l["lang"]), F.lit(0.0)) - F.element_at("sums", F.lit("")) * l["w"], 6)
-            ).alias("cost"),
-            l["lang"].alias("lang"),
-        ),
-    )
-    return sums.withColumn("_langs", languages).select("doc_id", F.array_min(ranked)["lang"].alias("language"))
+    costs = [
+        F.struct((-F.round(F.col(f"s{i}") - F.col("n") * math.log(total + size), 6)).alias("cost"), F.lit(lang).alias("lang"))
+        for i, (lang, total) in enumerate(languages)
+    ]
+    if not costs:
+        return found.select("doc_id", F.lit(None).cast("string").alias("language"))
+    return found.select("doc_id", F.when(F.col("n") > 0, F.array_min(F.array(*costs))["lang"]).alias("language"))
 
 
 def enhance(docs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.config import SearchConfig
 from paperloom.functions.text import tokens
@@ -82,15 +83,14 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     document frequencies come from all of it. Term counts are taken of hit documents only.
     """
     words = tokens(F.col("text"))
-    lengths = docs.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("avg_len"))
     query_terms = queries.select(
         "query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")
     )
-    frequency = document_frequency(docs)
-    n = lengths.select("n").scalar()
+    asked = materialize(query_terms.groupBy("term").agg(F.count("*").alias("asked")), "asked")
+    lengths = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(words)), F.lit(1.0)).alias("avg_len")).head()
+    n, avg_len = F.lit(lengths["n"]), F.lit(lengths["avg_len"])
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = query_terms.groupBy("term").agg(F.count("*").alias("asked"))
-    weights = frequency.join(asked, "term").select("term", idf.alias("idf"))
+    weights = materialize(document_frequency(docs, asked).select("term", idf.alias("idf")), "weights")
     query_weights = lookup_join(
         query_terms, weights, ["term"], F.col("query_id"), top_keys(asked, ["term"], "asked")
     )
@@ -104,7 +104,6 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
         .groupBy("doc_id", "len", "term")
         .agg(F.count("*").alias("tf"))
     )
-    avg_len = lengths.select("avg_len").scalar()
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / avg_len)
     # Hits number at most k per query, so their terms are the smaller side here.
     matched = (
@@ -115,10 +114,9 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
         .groupBy("query_id", F.col("doc_id").alias("id"))
         .agg(F.sum("part").alias("bm25"))
     )
-    best = matched.groupBy("query_id").agg(F.max("bm25").alias("best"))
-    scaled = matched.join(best, "query_id").select(
-        "query_id", "id", F.round(F.col("bm25") / F.col("best"), SCORE_DIGITS).alias("_r")
-    )
+    # A query has at most k hits, so this window is small.
+    best = F.max("bm25").over(Window.partitionBy("query_id"))
+    scaled = matched.select("query_id", "id", F.round(F.col("bm25") / best, SCORE_DIGITS).alias("_r"))
     return (
         hits.select("query_id", "id")
         .join(scaled, ["query_id", "id"], "left")

@@ -9,13 +9,18 @@ from pyspark.sql.window import Window
 from paperloom.storage import materialize
 
 HOT_KEYS = 256
-HOT_SHARE = 0.005
 HOT_MIN_ROWS = 50_000
 SALTS = 16
 
 
-def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> list:
-    """Values of ``key`` that hold more than ``share`` of all rows; at most ``HOT_KEYS``.
+class HotKeys(list):
+    """Frequent keys, with the row count of the most frequent one."""
+
+    most = 0
+
+
+def hot_values(df: DataFrame, key: str, share: float = 0.0, min_rows: int = HOT_MIN_ROWS) -> HotKeys:
+    """Values of ``key`` with more rows than one task should have; at most ``HOT_KEYS``.
 
     One pass with a mergeable frequent-items sketch: nothing is shuffled by key. Estimates
     only decide which rows get salted, never which rows are kept.
@@ -24,7 +29,10 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int
         F.expr(f"approx_top_k({key}, {HOT_KEYS}, {40 * HOT_KEYS})").alias("top"), F.count("*").alias("n")
     ).head()
     least = max(share * row["n"], min_rows)
-    return [item["item"] for item in row["top"] or [] if item["count"] > least]
+    found = [item for item in row["top"] or [] if item["count"] > least]
+    keys = HotKeys(item["item"] for item in found)
+    keys.most = max((item["count"] for item in found), default=0)
+    return keys
 
 
 def top_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -64,11 +72,16 @@ def lookup_join(
 
 
 def row_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
-    """``lookup_join`` that salts only the keys found to be hot in ``left``."""
+    """``lookup_join`` that salts only the keys found to be hot in ``left``.
+
+    The number of salts follows the rows of the most frequent key, so a task gets some
+    ``HOT_MIN_ROWS`` of it whatever its share; at most ``HOT_KEYS`` right rows are repeated.
+    """
     values = hot_values(left, key)
     if not values:
         return left.join(right, key, how)
-    return lookup_join(left, right, [key], spread, F.col(key).isin(*values), how)
+    salts = max(SALTS, -(-getattr(values, "most", 0) // HOT_MIN_ROWS))
+    return lookup_join(left, right, [key], spread, F.col(key).isin(*values), how, salts)
 
 
 def number_rows(

@@ -21,26 +21,29 @@ QUERY_BLOCK = 256
 
 
 def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, unit: bool = True) -> DataFrame:
-    """Signed feature hashing of word counts (Weinberger et al. 2009).
+    """Signed feature hashing of word counts (Weinberger et al. 2009), inside each row.
 
-    Partial sums leave at most ``dims`` rows per document before the shuffle. With
-    ``unit=False`` the integer sums are kept, which cosine treats the same and which are
-    exact whatever the order of addition.
+    Words become small codes in Spark; a batched function counts them. Nothing is
+    exchanged. With ``unit=False`` the integer sums are kept, which cosine treats the same.
+    A text without words has a vector of zeros.
     """
-    bucket, sign = hashed_feature(F.col("_h"), dims)
-    hashed = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t")).withColumn("_h", F.md5("_t"))
-    sums = hashed.groupBy(id_col, bucket.alias("_b")).agg(F.sum(sign).alias("_w"))
-    cells = sums.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"),
-        F.sqrt(F.sum(F.col("_w") * F.col("_w")).cast("double")).alias("_n"),
-    )
-    value = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"),
-    )
-    if unit:
-        value = F.transform(value, lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x))
-    return cells.select(id_col, value.alias("embedding"))
+
+    @F.pandas_udf("array<double>")
+    def counted(codes: pd.Series) -> pd.Series:
+        found = []
+        for own in codes:
+            cells = np.bincount(own if own is not None and len(own) else np.zeros(0, np.int64), minlength=2 * dims)
+            sums = (cells[:dims] - cells[dims:]).astype(float)
+            length = np.sqrt((sums * sums).sum())
+            found.append(sums / length if unit and length > 0 else sums)
+        return pd.Series(found)
+
+    def code(word: Column) -> Column:
+        bucket, sign = hashed_feature(F.md5(word), dims)
+        return (bucket + F.when(sign < 0, F.lit(dims)).otherwise(F.lit(0))).cast("int")
+
+    codes = F.transform(tokens(F.col(text_col)), code)
+    return docs.select(id_col, counted(codes).alias("embedding"))
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:

@@ -90,11 +90,12 @@ def key_phrases(t):
 @query(
     "summarize_extractive",
     with_parts(
-        """SELECT doc_id, string_agg(sentence, '. ' ORDER BY position) AS summary FROM (
+        """SELECT d.doc_id, x.summary FROM documents d LEFT JOIN (
+           SELECT doc_id, string_agg(sentence, '. ' ORDER BY position) AS summary FROM (
              SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS r FROM (
                SELECT s.doc_id, s.position, s.sentence, round(sum(tf) / count(*), 6) AS score
                FROM sentence_terms s JOIN doc_terms d ON d.doc_id = s.doc_id AND d.term = s.term GROUP BY 1, 2, 3))
-           WHERE r <= 3 GROUP BY 1""",
+           WHERE r <= 3 GROUP BY 1) x ON x.doc_id = d.doc_id""",
         sentence_terms=SENTENCE_TERMS,
     ),
 )
@@ -105,11 +106,12 @@ def summarize_extractive(t):
 @query(
     "detect_language",
     with_parts(
-        """SELECT doc_id, arg_min(lang, (cost, lang)) AS language FROM (
+        """SELECT d.doc_id, x.language FROM documents d LEFT JOIN (
+           SELECT doc_id, arg_min(lang, (cost, lang)) AS language FROM (
              SELECT g.doc_id, l.lang, -round(sum(g.tf * ln(coalesce(m.c, 0) + 1)) - sum(g.tf) * any_value(ln(l.total + v.n)), 6) AS cost
              FROM doc_grams g CROSS JOIN lang_totals l CROSS JOIN (SELECT count(DISTINCT gram) AS n FROM lang_grams) v
              LEFT JOIN lang_grams m ON m.lang = l.lang AND m.gram = g.gram GROUP BY 1, 2)
-           GROUP BY 1""",
+           GROUP BY 1) x ON x.doc_id = d.doc_id""",
         word_use=f"SELECT doc_id, lang, w, count(*) AS n FROM (SELECT doc_id, lang, unnest({words('text')}) AS w FROM documents) GROUP BY ALL",
         doc_grams="""SELECT doc_id, lang, gram, sum(n) AS tf FROM (
             SELECT doc_id, lang, n, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram FROM word_use)
