@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import shingles, tokens
-from paperloom.operators.skew import HOT_KEYS, HOT_MIN_ROWS, hot_values, lookup_join, row_lookup
+from paperloom.operators.components import components
+from paperloom.operators.skew import HOT_KEYS, HOT_MIN_ROWS, lookup_join, row_lookup
 from paperloom.storage import materialize
 
-SALTS = 16
 KEY_MARGIN = 2
+BUCKET_ROWS = 4096
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -52,9 +53,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, threshold: float) -
 
 
 def _shingle_key(gram: Column) -> Column:
-    """63-bit key that sorts long shingles first: they are rarer, in every language."""
-    shortness = F.lit(1023) - F.least(F.length(gram), F.lit(1023))
-    return F.shiftleft(shortness.cast("bigint"), 53) + F.shiftrightunsigned(F.xxhash64(gram), 11)
+    return F.xxhash64(gram)
 
 
 def _may_reach(threshold: float, at: str, size: str, other_at: str, other_size: str) -> Column:
@@ -67,22 +66,13 @@ def _may_reach(threshold: float, at: str, size: str, other_at: str, other_size:
     return most * (1 + threshold) >= threshold * (F.col(size) + F.col(other_size)) - 1e-6
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) -> DataFrame:
-    """For each document, the smallest earlier document with Jaccard >= ``threshold``.
-
-    Exact over the sets of ``width``-word shingles; shorter texts take no part. The
-    result has at most one row per document, also where very many documents are alike.
+def _prepared(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts by content, their shingle sets, and the postings of their prefixes.
 
-    1. Equal word sequences are merged; each copy later inherits its representative's answer.
-    2. Two sets can only reach the threshold if they share a shingle among the first
-       ``n - ceil(t * n) + 1`` in a common order (Chaudhuri 2006, Bayardo 2007). Long
-       shingles come first and the commonest ones last.
-    3. Each set is first compared with the smallest id of every bucket it is in. In a
-       large group of near copies that settles all of them with one comparison each.
-    4. What could still have a smaller partner than the one found is compared with the
-       rest of its buckets, with the large ones spread over salts.
-
-    Keys only propose pairs; every reported pair was compared on its shingles.
+    Two sets can only reach the threshold if they share a shingle among the first
+    ``n - ceil(t * n) + 1`` in a common order (Chaudhuri 2006, Bayardo 2007). The order is by
+    exact count, rarest first: shingles of one set alone fill the front, and a passage that
+    many texts share comes last. Postings hold what other sets have too, with places.
     """
     worded = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     content = F.sha2(F.array_join("words", " "), 256).alias("content")
@@ -96,36 +86,69 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         ),
         "shingle-sets",
     ).where("n > 0")
-
-    common = hot_values(reps.select(F.explode_outer("grams").alias("g")), "g", share=0.0, min_rows=1)
-    last = F.array(*(F.lit(g) for g in reversed(common))).cast("array<bigint>")
-    ordered = F.concat(F.sort_array(F.array_except("grams", last)), F.array_intersect(last, "grams"))
+    uses = reps.select("id", F.explode("grams").alias("g"))
+    shared = uses.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    found = uses.join(shared, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("found"))
     # A margin against rounding of t * n: one shingle too many does no harm.
-    needed = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = reps.select(
-        "id", "n", F.posexplode_outer(F.slice(ordered, F.lit(1), needed)).alias("at", "g")
-    ).withColumn("at", F.col("at") + 1)
+    needed = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    placed = reps.select("id", "n").join(found, "id").select(
+        "id", "n", needed.alias("_needed"), F.posexplode("found").alias("_at", "_f"), (F.col("n") - F.size("found") + 1).alias("_first")
+    )
+    prefix = placed.select("id", "n", (F.col("_at") + F.col("_first")).alias("at"), F.col("_f.g").alias("g"), "_needed").where("at <= _needed")
+    prefix = materialize(prefix.drop("_needed"), "prefixes")
     buckets = prefix.groupBy("g").agg(
         F.count("*").alias("size"), F.min(F.struct("id", "n", "at")).alias("first")
     ).where("size > 1")
-    known = F.col("g").isin(*common) if common else F.lit(False)
     postings = materialize(
-        lookup_join(prefix, buckets, ["g"], F.col("id"), known).select(
+        row_lookup(prefix, buckets, "g", F.col("id"), "inner").select(
             "id", "n", "at", "g", "size", F.col("first.id").alias("first"), F.col("first.n").alias("m"), F.col("first.at").alias("first_at")
         ),
         "postings",
     )
+    return worded.select("doc_id", content), reps, postings, prefix
+
 
-    first_pairs = materialize(
+def _first_matches(reps: DataFrame, postings: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Each set against the smallest id of every bucket it is in: one comparison a member."""
+    pairs = materialize(
         postings.where("first < id")
         .where(_may_reach(threshold, "at", "n", "first_at", "m"))
         .select("id", F.col("first").alias("other"))
         .distinct(),
         "pairs",
     )
-    first_found = materialize(_verified(first_pairs, reps, width, threshold), "first-matches")
+    return materialize(_verified(pairs, reps, width, threshold), "first-matches")
+
+
+def _with_content(texts: DataFrame, reps: DataFrame, outcome: DataFrame) -> DataFrame:
+    """What was found for each set, for every document that has its content."""
+    most = reps.select("content", "copies").orderBy(F.desc("copies")).limit(HOT_KEYS).collect()
+    copied = [row["content"] for row in most if row["copies"] > HOT_MIN_ROWS]
+    return lookup_join(
+        texts, outcome, ["content"], F.col("doc_id"), F.col("content").isin(*copied) if copied else F.lit(False)
+    )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) -> DataFrame:
+    """For each document, the smallest earlier document with Jaccard >= ``threshold``.
+
+    Exact over the sets of ``width``-word shingles; shorter texts take no part. The
+    result has at most one row per document, also where very many documents are alike.
+
+    1. Equal word sequences are merged; each copy later inherits its representative's answer.
+    2. Prefixes by rarity give buckets of sets that may be alike (see ``_prepared``).
+    3. Each set is first compared with the smallest id of every bucket it is in. In a
+       large group of near copies that settles all of them with one comparison each.
+    4. What could still have a smaller partner than the one found is compared with the
+       rest of its buckets; a bucket is cut into pieces by its own size.
+
+    Keys only propose pairs; every reported pair was compared on its shingles.
+    """
+    texts, reps, postings, _ = _prepared(docs, threshold, width)
+    first_found = _first_matches(reps, postings, width, threshold)
     best = first_found.groupBy("id").agg(F.min("other").alias("found"))
 
+    fan = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET_ROWS)).cast("int")
     open_postings = (
         postings.where("size > 2 and first < id")
         .join(best, "id", "left")
@@ -133,14 +156,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         .where(F.col("below") > F.col("first"))
     )
     salted = open_postings.select(
-        "id", "n", "at", "g", "first", "below", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        "id", "n", "at", "g", "first", "below", F.explode(F.sequence(F.lit(0), fan - 1)).alias("salt")
     )
     others = postings.where("size > 2").select(
         F.col("id").alias("other"),
         F.col("n").alias("m"),
         F.col("at").alias("other_at"),
         "g",
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("id"), fan).cast("int").alias("salt"),
     )
     rest_pairs = materialize(
         salted.join(others, ["g", "salt"])
@@ -156,17 +179,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
         .groupBy("id")
         .agg(F.min_by(F.struct("other", "jaccard"), "other").alias("match"))
     )
-
-    most = reps.select("content", "copies").orderBy(F.desc("copies")).limit(HOT_KEYS).collect()
-    copied = [row["content"] for row in most if row["copies"] > HOT_MIN_ROWS]
-    outcome = reps.select("content", "id").join(answers, "id", "left")
-    joined = lookup_join(
-        worded.select("doc_id", content),
-        outcome,
-        ["content"],
-        F.col("doc_id"),
-        F.col("content").isin(*copied) if copied else F.lit(False),
-    )
+    joined = _with_content(texts, reps, reps.select("content", "id").join(answers, "id", "left"))
     own_copy = F.struct(F.col("id").alias("other"), F.lit(1.0).alias("jaccard"))
     chosen = F.when(F.col("match").isNotNull(), F.col("match")).when(F.col("doc_id") != F.col("id"), own_copy)
     return (
@@ -176,22 +189,35 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 3) ->
     )
 
 
-def duplicate_clusters(pairs: DataFrame) -> DataFrame:
-    """Connected components of ``(doc_id, duplicate_of)`` links, named by smallest id.
+def duplicate_clusters(docs: DataFrame, threshold: float = 0.8, width: int = 3) -> DataFrame:
+    """Connected components over all near-duplicate links, named by their smallest id.
 
-    Every link points to a smaller id, so following links to the end gives the component.
-    Each round replaces a target by its target's target: the number of rounds grows with
-    the logarithm of the longest chain. Rounds are stored, so a lost executor repeats one.
+    First matches give components. A link that is left must be between two components that
+    share a bucket, so there the sets outside the bucket's largest component meet those of
+    every other component; inside a component nothing more is compared.
     """
-    links = materialize(pairs.select("doc_id", F.col("duplicate_of").alias("root")))
-    while True:
-        onward = links.select(F.col("doc_id").alias("root"), F.col("root").alias("next"))
-        moved = row_lookup(links, onward, "root", F.col("doc_id")).select(
-            "doc_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
-        )
-        stored = materialize(moved)
-        links = stored.drop("moved")
-        if stored.where("moved").limit(1).count() == 0:
-            break
-    roots = links.select(F.col("root").alias("doc_id"), "root").distinct()
-    return links.unionByName(roots).select("doc_id", F.col("root").alias("cluster_id"))
+    texts, reps, postings, prefix = _prepared(docs, threshold, width)
+    first = _first_matches(reps, postings, width, threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    roots = materialize(components(first), "roots")
+    entries = materialize(
+        prefix.join(roots, "id", "left").select("id", "n", "at", "g", F.coalesce("root", "id").alias("root")), "entries"
+    )
+    shares = entries.groupBy("g", "root").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("g").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    inside = entries.join(mixed.select("g", F.col("most.root").alias("main")), "g")
+    others = inside.select(
+        "g", F.col("id").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root")
+    )
+    pairs = materialize(
+        inside.where("root <> main")
+        .join(others, "g")
+        .where("root <> other_root")
+        .where(_may_reach(threshold, "at", "n", "other_at", "m"))
+        .select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
+        .distinct(),
+        "pairs",
+    )
+    rest = _verified(pairs, reps, width, threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    named = components(first.unionByName(rest))
+    outcome = reps.select("content", "id", "copies").join(named, "id", "left").where("root is not null or copies > 1")
+    return _with_content(texts, reps, outcome.select("content", F.coalesce("root", "id").alias("cluster_id"))).select("doc_id", "cluster_id")

@@ -138,17 +138,16 @@ def near_duplicates(t):
     return dup.near_duplicates(t.documents)
 
 
+LINKS = """SELECT p.doc_id, p.other FROM (
+             SELECT x.doc_id, y.doc_id AS other, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND y.doc_id <> x.doc_id GROUP BY 1, 2) p
+           JOIN gram_sizes a ON a.doc_id = p.doc_id JOIN gram_sizes b ON b.doc_id = p.other WHERE p.c / (a.n + b.n - p.c) >= 0.8"""
+
+
 @query(
     "duplicate_clusters",
-    "WITH RECURSIVE "
-
-    + f"""grams AS MATERIALIZED ({GRAMS}), gram_sizes AS MATERIALIZED ({SIZES}), near_pairs AS MATERIALIZED ({NEAR}),
-        chain AS (
-          SELECT DISTINCT duplicate_of AS doc_id, duplicate_of AS cluster_id FROM near_pairs
-          WHERE duplicate_of NOT IN (SELECT doc_id FROM near_pairs)
-          UNION ALL
-          SELECT p.doc_id, c.cluster_id FROM near_pairs p JOIN chain c ON p.duplicate_of = c.doc_id)
-        SELECT doc_id, cluster_id FROM chain""",
+    f"""WITH RECURSIVE grams AS MATERIALIZED ({GRAMS}), gram_sizes AS MATERIALIZED ({SIZES}), links AS MATERIALIZED ({LINKS}),
+        reach AS (SELECT doc_id, other FROM links UNION SELECT r.doc_id, l.other FROM reach r JOIN links l ON r.other = l.doc_id)
+        SELECT doc_id, min(least(doc_id, other)) AS cluster_id FROM reach GROUP BY 1""",
 )
 def duplicate_clusters(t):
-    return dup.duplicate_clusters(dup.near_duplicates(t.documents))
+    return dup.duplicate_clusters(t.documents)

@@ -56,11 +56,46 @@ def test_equals_brute_force_with_large_groups(spark):
     assert len(found) > 150
 
 
-def test_clusters_are_components_of_the_links(spark):
-    pairs = [(2, 1), (3, 2), (4, 3), (5, 4), (9, 8), (12, 9), (20, 1)]
-    df = spark.createDataFrame(pairs, "doc_id bigint, duplicate_of bigint")
-    got = {r["doc_id"]: r["cluster_id"] for r in dup.duplicate_clusters(df).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 20: 1, 8: 8, 9: 8, 12: 8}
+def all_links(texts, threshold=0.8):
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in texts.items() if len(w := t.split()) >= 3}
+    ids = sorted(sets)
+    for at, i in enumerate(ids):
+        for j in ids[:at]:
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= threshold:
+                yield i, j
+
+
+def test_clusters_are_components_of_all_links(spark):
+    texts = sample()
+    drift = [f"d{i}" for i in range(60)]
+    for step in range(12):  # each version is near the last one only
+        drift[(step * 5) % 60] = f"v{step}"
+        texts[900 - step] = " ".join(drift)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = set()
+    for i, j in all_links(texts):
+        linked |= {i, j}
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: r["cluster_id"] for r in dup.duplicate_clusters(docs).collect()}
+    assert got == {i: find(i) for i in linked}
+
+
+def test_a_common_passage_proposes_few_pairs(spark):
+    passage = " ".join(f"commonpassage{i}" for i in range(400))
+    texts = {i: passage + " " + " ".join(f"own{i}x{j}" for j in range(200)) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    _, _, postings, _ = dup._prepared(docs, 0.8, 3)
+    assert postings.count() <= 2 * len(texts)
+    assert dup.near_duplicates(docs).count() == 0
 
 
 def test_no_documents_no_links(spark):
