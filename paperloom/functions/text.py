@@ -119,7 +119,6 @@ def masked_texts(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     Each step is a column of its own, computed once from the step before.
     """
     seen_by, last = {}, "text"
-    docs = docs.select("doc_id", "text")
     for kind in PII_PATTERNS:
         seen_by[kind] = last
         docs = docs.select("*", masked(F.col(last), kind).alias(f"_no_{kind.lower()}"))

@@ -80,6 +80,22 @@ def cache_hit_split(requests: DataFrame, cache: DataFrame, as_of: datetime) -> D
     return joined.withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
 
 
+def cache_touch(requests: DataFrame, cache: DataFrame, as_of: datetime) -> DataFrame:
+    """The cache after ``requests(key, requested_at)`` were read from it.
+
+    Dead entries go. A live entry's counter grows by its requests and its last access moves
+    to the latest one. Requests are counted per key before they meet the cache.
+    """
+    read = requests.groupBy("key").agg(F.count("*").alias("_reads"), F.max("requested_at").alias("_latest"))
+    touched = live_entries(cache, as_of).join(read, "key", "left")
+    return touched.withColumns(
+        {
+            "access_count": F.col("access_count") + F.coalesce("_reads", F.lit(0)),
+            "last_accessed": F.greatest("last_accessed", "_latest"),
+        }
+    ).drop("_reads", "_latest")
+
+
 def cache_totals(cache: DataFrame, max_size_bytes: int) -> DataFrame:
     used = F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint")
     share = F.col("total_bytes") / F.lit(max_size_bytes) * 100 if max_size_bytes > 0 else F.lit(0.0)

@@ -12,17 +12,27 @@ from paperloom.config import ComplianceConfig
 from paperloom.functions.text import PII_PATTERNS, masked_texts, pattern_count
 from paperloom.operators.cache import at
 
+# Check names and the sections of a full report, as their readers expect them.
+FULL_SECTIONS = {"data_retention": "retention_policy", "access_control": "access_controls", "encryption_status": "encryption"}
 CHECKS = ("retention_policy", "classification_ok", "access_controls", "encryption", "sensitive_data")
 
 
-def pii_scan(docs: DataFrame) -> DataFrame:
-    """Matches per kind; a card number is not counted again as a phone number."""
+def with_pii(docs: DataFrame) -> DataFrame:
+    """``docs`` with counts per kind and ``has_pii``, in the row; no join.
+
+    A card number is not counted again as a phone number.
+    """
     masked, seen_by = masked_texts(docs)
     counts = {f"{k.lower()}_count": pattern_count(F.col(seen_by[k]), p) for k, p in PII_PATTERNS.items()}
-    counted = masked.select("doc_id", *(c.alias(n) for n, c in counts.items()))
+    counted = masked.select(*docs.columns, *(c.alias(n) for n, c in counts.items()))
     return counted.withColumn("has_pii", reduce(lambda a, b: a | b, (F.col(n) > 0 for n in counts)))
 
 
+def pii_scan(docs: DataFrame) -> DataFrame:
+    """Matches per kind of every document."""
+    return with_pii(docs.select("doc_id", "text")).drop("text")
+
+
 def pii_redact(docs: DataFrame) -> DataFrame:
     """Texts with every match replaced by its kind."""
     masked, seen_by = masked_texts(docs)
@@ -49,11 +59,6 @@ def sensitive_ok() -> Column:
     return ~F.col("has_pii")
 
 
-def with_pii(meta: DataFrame, docs: DataFrame) -> DataFrame:
-    """Metadata rows with ``has_pii``."""
-    return meta.join(pii_scan(docs).select("doc_id", "has_pii"), "doc_id")
-
-
 def verify_compliance(meta: DataFrame, as_of: datetime, config: ComplianceConfig = ComplianceConfig()) -> DataFrame:
     """Five checks per document and their conjunction.
 
@@ -129,39 +134,31 @@ def report_violations(checked: DataFrame) -> DataFrame:
     return checked.unpivot(["doc_id"], list(CHECKS), "check", "passed").where(~F.col("passed")).drop("passed")
 
 
-def _section(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
-    return df.select(
-        F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("bigint").alias("value")
-    )
-
-
 def compliance_report(
     log: DataFrame, checked: DataFrame, start: datetime, end: datetime, report_type: str = "full"
 ) -> DataFrame:
-    """Long-form ``(section, key, value)`` report; ``full`` adds three document sections."""
-    activity = report_user_activity(log, start, end)
-    security = report_security_events(log, start, end).groupBy("action").agg(F.count("*").alias("n"))
-    violations = report_violations(checked).groupBy("check").agg(F.count("*").alias("n"))
-    operations = report_operations(log, start, end).groupBy("action").agg(F.sum("operations").alias("n"))
-    sections = [
-        _section(report_access_logs(log, start, end), "access_logs", F.col("action"), F.col("entries")),
-        _section(operations, "document_operations", F.col("action"), F.col("n")),
-        _section(activity, "user_activity", F.col("user_id"), F.col("actions")),
-        _section(security, "security_events", F.col("action"), F.col("n")),
-        _section(violations, "compliance_violations", F.col("check"), F.col("n")),
-    ]
+    """Long-form ``(section, key, value)`` report; ``full`` adds three document sections.
+
+    The log is counted once by action, user and status, and all check outcomes of the
+    documents are counted in one row; the sections are cut from these two.
+    """
+    counted = in_period(log, start, end).groupBy("action", "user_id", "status").agg(F.count("*").alias("n"))
+    rows = [("access_logs", F.col("action")), ("document_operations", F.col("action")), ("user_activity", F.col("user_id").cast("string"))]
+    entries = [F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in rows]
+    failed = F.when(F.col("status") != "success", F.struct(F.lit("security_events").alias("section"), F.col("action").alias("key")))
+    exploded = counted.select("n", F.explode(F.array(*entries, failed)).alias("_s")).where(F.col("_s").isNotNull())
+    logged = exploded.groupBy("_s.section", "_s.key").agg(F.sum("n").alias("value"))
+    cells = [("compliance_violations", c, ~F.col(c)) for c in CHECKS]
     if report_type == "full":
-        for section, check in (
-            ("data_retention", "retention_policy"),
-            ("access_control", "access_controls"),
-            ("encryption_status", "encryption"),
-        ):
-            outcome = F.when(F.col(check), "passed").otherwise("failed")
-            counts = checked.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-            sections.append(_section(counts, section, F.col("outcome"), F.col("n")))
-    return reduce(lambda a, b: a.unionByName(b), sections)
-
-
-def document_permissions(meta: DataFrame, grants: dict[str, list[str]], role: str) -> DataFrame:
-    """Documents a role may see, by its granted access levels."""
-    return meta.where(F.col("access_level").isin(*grants.get(role, [])))
+        for section, check in FULL_SECTIONS.items():
+            passed = F.coalesce(F.col(check), F.lit(False))
+            cells += [(section, "passed", passed), (section, "failed", ~passed)]
+    totals = checked.agg(*(F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(cells)))
+    listed = [F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.col(f"c{i}").alias("value")) for i, (s, k, _) in enumerate(cells)]
+    documents = totals.select(F.explode(F.array(*listed)).alias("_c")).select("_c.*").where("value > 0")
+    return logged.unionByName(documents)
+
+
+def document_permissions(meta: DataFrame, grants: DataFrame) -> DataFrame:
+    """``(role, document)`` rows a role may see, from a table ``grants(role, access_level)``."""
+    return meta.join(grants.select("role", "access_level").distinct(), "access_level")

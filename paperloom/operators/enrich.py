@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import text as tx
-from paperloom.operators.skew import lookup_join, top_keys, top_rows
+from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
 from paperloom.storage import materialize
 
 BROADCAST_GRAMS = 1_000_000
+CITE_FORMS = {"numbered": tx.CITE_NUMBER, "author_year": tx.CITE_AUTHOR, "doi": tx.CITE_DOI}
 ENTITY_PATTERNS = {**tx.PII_PATTERNS, "LICENSE": tx.LICENSE}
 
 
@@ -72,8 +73,7 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 
 def citation_mentions(docs: DataFrame) -> DataFrame:
     """Each cited string with its form."""
-    forms = {"numbered": tx.CITE_NUMBER, "author_year": tx.CITE_AUTHOR, "doi": tx.CITE_DOI}
-    found = [_tagged(tx.matches(F.col("text"), p), "mention", "form", f) for f, p in forms.items()]
+    found = [_tagged(tx.matches(F.col("text"), p), "mention", "form", f) for f, p in CITE_FORMS.items()]
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("_c")).select("doc_id", "_c.*")
 
 
@@ -193,6 +193,23 @@ def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> Da
     return found.select("doc_id", F.when(F.col("n") > 0, F.array_min(F.array(*costs))["lang"]).alias("language"))
 
 
-def enhance(docs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """One row per document with the chosen enrichments, each joined on ``doc_id``."""
-    return reduce(lambda d, name: d.join(parts[name], "doc_id", "left"), parts, docs)
+def enhance(docs: DataFrame, switches: set[str]) -> DataFrame:
+    """One row per document with the enrichments that are switched on.
+
+    ``citations`` and ``entities`` are computed in the row; ``copies`` counts equal texts by
+    their checksum, so no text is exchanged.
+    """
+    columns = ["doc_id"]
+    rows = docs
+    if "citations" in switches:
+        forms = {f: tx.pattern_count(F.col("text"), p) for f, p in CITE_FORMS.items()}
+        rows, columns = rows.withColumns(forms), [*columns, *forms]
+    if "entities" in switches:
+        rows, seen_by = tx.masked_texts(rows)
+        found = [tx.pattern_count(F.col(seen_by.get(label, seen_by["REST"])), p) for label, p in ENTITY_PATTERNS.items()]
+        rows, columns = rows.withColumn("entities", reduce(lambda a, b: a + b, found)), [*columns, "entities"]
+    rows = rows.select(*columns, F.md5("text").alias("_sum"))
+    if "copies" in switches:
+        sizes = rows.groupBy("_sum").agg(F.count("*").alias("copies"))
+        rows = row_lookup(rows, sizes, "_sum", F.col("doc_id"))
+    return rows.drop("_sum")

@@ -66,6 +66,22 @@ def cache_hit_split(t):
     return ops.cache_hit_split(requests(t), t.cache, AS_OF).na.fill(0, ["size_bytes"])
 
 
+@query(
+    "cache_touch",
+    with_parts(
+        f"""SELECT c.key, size_bytes, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed, coalesce(latest, last_accessed)) AS last_accessed,
+                   expires_at, created_at FROM cache c
+            LEFT JOIN (SELECT key, count(*) AS n, max(ts + INTERVAL 1 MINUTE) AS latest FROM (
+                         SELECT a.key, a."timestamp" AS ts FROM audit a WHERE action = 'view') GROUP BY 1) r ON r.key = c.key
+            WHERE expires_at > {NOW}"""
+    ),
+)
+def cache_touch(t):
+    """Every view reads its entry a minute later."""
+    views = t.audit.where("action = 'view'").select("key", (F.col("timestamp") + F.make_dt_interval(mins=F.lit(1))).alias("requested_at"))
+    return ops.cache_touch(views, t.cache, AS_OF)
+
+
 def requests(t):
     return t.audit.select(F.col("event_id").alias("request_id"), "key")
 

@@ -15,11 +15,10 @@ from paperloom.plans.sql import PII, PII_COUNTS, with_parts
 
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 25)
 PERIOD = "\"timestamp\" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"
-GRANTS = {"reader": ["public"], "staff": ["public", "internal"]}
 
 
 def checked(t):
-    return ops.verify_compliance(ops.with_pii(t.meta, t.documents), AS_OF)
+    return ops.verify_compliance(t.meta_with_pii, AS_OF)
 
 
 @query("pii_scan", with_parts(f"SELECT doc_id, email_count, ip_count, card_count, phone_count, has_pii FROM pii"))
@@ -44,7 +43,7 @@ def check_classification(t):
 
 @query("check_access", with_parts("SELECT doc_id, access_controls AS ok FROM checked"))
 def check_access(t):
-    return ops.with_pii(t.meta, t.documents).select("doc_id", ops.access_ok(ComplianceConfig()).alias("ok"))
+    return t.meta_with_pii.select("doc_id", ops.access_ok(ComplianceConfig()).alias("ok"))
 
 
 @query("check_sensitive", with_parts("SELECT doc_id, NOT has_pii AS ok FROM pii"))
@@ -167,7 +166,15 @@ def compliance_report(t):
 
 @query(
     "document_permissions",
-    with_parts("SELECT doc_id, file_path, access_level FROM meta WHERE access_level IN ('public')"),
+    with_parts(
+        """SELECT g.role, doc_id, file_path, access_level FROM meta JOIN (
+             SELECT DISTINCT role, CASE WHEN role = 'user' THEN 'public' ELSE 'internal' END AS access_level FROM conversations
+             UNION SELECT DISTINCT role, 'public' FROM conversations) g USING (access_level)"""
+    ),
 )
 def document_permissions(t):
-    return ops.document_permissions(t.meta, GRANTS, "reader").select("doc_id", "file_path", "access_level")
+    """Everyone in a conversation may see public documents, all but users also internal ones."""
+    roles = t.read("conversations").select("role").distinct()
+    own = F.when(F.col("role") == "user", "public").otherwise("internal")
+    levels = roles.select("role", F.explode(F.array_distinct(F.array(own, F.lit("public")))).alias("access_level"))
+    return ops.document_permissions(t.meta, levels).select("role", "doc_id", "file_path", "access_level")

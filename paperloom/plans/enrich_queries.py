@@ -125,6 +125,31 @@ def detect_language(t):
     return ops.detect_language(t.documents, counts, totals)
 
 
+@query(
+    "enhance_documents",
+    with_parts(
+        f"""SELECT d.doc_id, c.numbered, c.author_year, c.doi, coalesce(e.entities, 0) AS entities, x.copies
+            FROM documents d
+            JOIN (SELECT doc_id, {count_of('text', tx.CITE_NUMBER)} AS numbered, {count_of('text', tx.CITE_AUTHOR)} AS author_year,
+                         {count_of('text', tx.CITE_DOI)} AS doi FROM documents) c USING (doc_id)
+            LEFT JOIN (SELECT doc_id, count(*) AS entities FROM ({ENTITY_SQL}) GROUP BY 1) e USING (doc_id)
+            JOIN (SELECT md5(text) AS checksum, count(*) AS copies FROM documents GROUP BY 1) x ON x.checksum = md5(d.text)"""
+    ),
+)
+def enhance_documents(t):
+    return ops.enhance(t.documents, {"citations", "entities", "copies"})
+
+
+@query(
+    "citation_mentions",
+    " UNION ALL ".join(
+        f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS mention, '{f}' AS form FROM documents" for f, p in ops.CITE_FORMS.items()
+    ),
+)
+def citation_mentions(t):
+    return ops.citation_mentions(t.documents)
+
+
 @query(
     "exact_duplicates",
     "SELECT md5(text) AS checksum, min(doc_id) AS canonical, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",

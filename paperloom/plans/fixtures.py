@@ -51,7 +51,17 @@ class Tables:
     @cached_property
     def meta(self) -> DataFrame:
         """Document metadata records."""
-        described = describe(self.documents).join(self.labels, "doc_id", "left")
+        return self._labelled(describe(self.documents))
+
+    @cached_property
+    def meta_with_pii(self) -> DataFrame:
+        """Metadata with ``has_pii``, from one scan of the documents."""
+        from paperloom.operators.compliance import with_pii
+
+        return self._labelled(describe(with_pii(self.documents), "has_pii"))
+
+    def _labelled(self, described: DataFrame) -> DataFrame:
+        described = described.join(self.labels, "doc_id", "left")
         return described.withColumns(
             {
                 "author": F.when(F.col("quality").isNotNull(), "curator").otherwise(""),
@@ -156,11 +166,12 @@ class Tables:
         return read_table_stream(self.spark, self.folder, name, self.read(name).schema)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Metadata that follows from a document alone."""
+def describe(docs: DataFrame, *more: str) -> DataFrame:
+    """Metadata that follows from a document alone, and further columns of it."""
     doc_id = F.col("doc_id")
     return docs.select(
         "doc_id",
+        *more,
         content_id(F.col("text")).alias("document_id"),
         F.concat(F.col("source"), F.lit("/"), doc_id, F.lit("."), F.col("lang")).alias("file_path"),
         F.col("lang").alias("file_type"),
