@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.config import SearchConfig
+from paperloom.functions.hashing import query_key
 from paperloom.functions.text import tokens
 from paperloom.operators.enrich import document_frequency
 from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
@@ -149,14 +151,26 @@ def hybrid_search(
     threshold: float = 0.7,
     rerank: bool = True,
     config: SearchConfig = SearchConfig(),
+    metric: str = "cosine",
+    meta: DataFrame | None = None,
+    scorer: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Retrieve 2k by vector, re-rank by text, combine both scores, keep k with content."""
-    hits = materialize(vector_search(queries, corpus, top_k * 2).drop("rank"))
-    if not rerank:
-        return lookup_text(topk_per_query(hits, top_k), docs).withColumnRenamed("text", "content")
-    paired = pair_scores(hits, rerank_lexical(hits, queries, docs))
-    top = materialize(topk_per_query(score_combine(paired, threshold, config), top_k))
-    return lookup_text(top.drop("rerank_score"), docs).withColumnRenamed("text", "content")
+    """Retrieve 2k by vector, re-rank by text, combine both scores, keep k with content.
+
+    ``metric`` is the collection's own, ``scorer`` another re-ranker with the arguments and
+    result columns of ``rerank_lexical``, ``meta(doc_id, ...)`` adds a struct ``metadata``.
+    """
+    hits = materialize(vector_search(queries, corpus, top_k * 2, metric).drop("rank"))
+    if rerank:
+        paired = pair_scores(hits, (scorer or rerank_lexical)(hits, queries, docs))
+        top = materialize(topk_per_query(score_combine(paired, threshold, config), top_k).drop("rerank_score"))
+    else:
+        top = topk_per_query(hits, top_k)
+    found = lookup_text(top, docs).withColumnRenamed("text", "content")
+    if meta is None:
+        return found
+    columns = [c for c in meta.columns if c != "doc_id"]
+    return _for_hits(found, meta.select("doc_id", F.struct(*columns).alias("metadata")))
 
 
 def ranked_answers(
@@ -207,6 +221,29 @@ def rag_query(
     )
 
 
+def answer_pipeline(
+    questions: DataFrame,
+    queries: DataFrame,
+    cache: DataFrame,
+    corpus: DataFrame,
+    docs: DataFrame,
+    meta: DataFrame,
+    min_confidence: float = 0.7,
+    config: SearchConfig = SearchConfig(),
+) -> DataFrame:
+    """``query_id, origin, answer``: from ``cache(key, value)`` if it has the question, else searched.
+
+    Only questions that miss the cache reach the search. ``queries`` are the questions with
+    vectors; one that has none and is not cached has no answer.
+    """
+    keyed = questions.select("query_id", query_key(F.col("query_text")).alias("key"))
+    split = materialize(row_lookup(keyed, cache.select("key", "value"), "key", F.col("query_id")), "split")
+    cached = split.where("value is not null").select("query_id", F.lit("cache").alias("origin"), F.col("value").alias("answer"))
+    missed = queries.join(split.where("value is null").select("query_id"), "query_id", "left_semi")
+    searched = rag_query(missed, corpus, docs, meta, min_confidence, config)
+    return cached.unionByName(searched.select("query_id", F.lit("search").alias("origin"), F.col("context").alias("answer")))
+
+
 def prompt_assembly(answers: DataFrame) -> DataFrame:
     """One prompt per question, ready for an offline model job."""
     return answers.select(

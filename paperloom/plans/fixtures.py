@@ -126,12 +126,14 @@ class Tables:
     def question_vectors(self) -> DataFrame:
         """Questions with the vector of their text; one that has no word cannot be asked."""
         vectors = embed_hashing(self.questions, "query_id", "query_text", unit=False)
-        return self.questions.join(vectors, "query_id").withColumnRenamed("embedding", "query_vec")
+        spoken = vectors.where(F.exists("embedding", lambda x: x != 0))
+        return self.questions.join(spoken, "query_id").withColumnRenamed("embedding", "query_vec")
 
     @cached_property
     def text_vectors(self) -> DataFrame:
-        """Document vectors by the same embedder."""
-        return embed_hashing(self.documents, "doc_id", "text", unit=False).withColumnRenamed("doc_id", "id")
+        """Document vectors by the same embedder; a text without words has no direction to be found by."""
+        vectors = embed_hashing(self.documents, "doc_id", "text", unit=False).withColumnRenamed("doc_id", "id")
+        return vectors.where(F.exists("embedding", lambda x: x != 0))
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from paperloom.functions.hashing import query_key
 from paperloom.operators import retrieval as ops
 from paperloom.operators import vectors as vec
 from paperloom.plans.catalog import query
@@ -20,6 +21,7 @@ TYPES = ["en", "de", "fr"]
 NEAR = "SELECT query_id, id, score FROM centre_scores"
 TYPED = "SELECT c.* FROM cosines c JOIN meta m ON m.doc_id = c.id WHERE m.file_type IN ('en', 'de', 'fr')"
 HITS = f"SELECT query_id, id, score FROM ({ranked('SELECT * FROM cosines', 2 * K)})"
+HITS_WIDE = f"SELECT query_id, id, score FROM ({ranked('SELECT * FROM cosines', FETCH)})"
 HITS_TYPED = f"SELECT query_id, id, score FROM ({ranked(TYPED, FETCH)})"
 MIXED = "SELECT query_id, id, round(score * 0.7 + rerank_score * 0.3, 7) AS score FROM paired"
 ANSWERED = f"SELECT * FROM ({ranked(MIXED, K)}) WHERE score >= {CONFIDENCE}"
@@ -40,13 +42,19 @@ def typed_vectors(t):
 
 
 def answered(t):
-    return ops.ranked_answers(t.question_vectors, typed_vectors(t), t.documents, CONFIDENCE)
+    return ops.ranked_answers(t.question_vectors, t.text_vectors, t.documents, CONFIDENCE)
 
 
 def answers(t):
+    """Answers from the documents of some types only."""
     return ops.rag_query(t.question_vectors, typed_vectors(t), t.documents, t.meta, CONFIDENCE)
 
 
+def wide_answers(t):
+    """Answers from all documents."""
+    return ops.rag_query(t.question_vectors, t.text_vectors, t.documents, t.meta, CONFIDENCE)
+
+
 @query("vector_search", with_parts(f"SELECT query_id, id, score, rank FROM ({ranked(NEAR, FETCH)})"))
 def vector_search(t):
     return centre_hits(t, FETCH)
@@ -162,6 +170,43 @@ def hybrid_search(t):
     return ops.hybrid_search(t.question_vectors, t.text_vectors, t.documents, K, THRESHOLD)
 
 
+@query(
+    "hybrid_search_metadata",
+    with_parts(
+        f"""SELECT r.query_id, r.id, r.score, r.rank, d.text AS content, m.file_path, m.department
+            FROM ({ranked(MIXED + f' WHERE rerank_score > {THRESHOLD}', K)}) r JOIN documents d ON d.doc_id = r.id JOIN meta m ON m.doc_id = r.id""",
+        hits=HITS,
+    ),
+)
+def hybrid_search_metadata(t):
+    """Hits carry metadata of their documents."""
+    found = ops.hybrid_search(t.question_vectors, t.text_vectors, t.documents, K, THRESHOLD, meta=t.meta.select("doc_id", "file_path", "department"))
+    return found.select("query_id", "id", "score", "rank", "content", "metadata.*")
+
+
+@query(
+    "answer_pipeline",
+    with_parts(
+        """SELECT q.query_id, CASE WHEN r.reply IS NULL THEN 'search' ELSE 'cache' END AS origin, coalesce(r.reply, c.context, '') AS answer
+           FROM questions q LEFT JOIN replies r ON r.key = 'query_' || md5(q.query_text) LEFT JOIN contexts c ON c.query_id = q.query_id
+           WHERE r.reply IS NOT NULL OR q.query_id IN (SELECT query_id FROM question_cells)""",
+        hits=HITS_WIDE,
+        answered=ANSWERED,
+        contexts=CONTEXT,
+        replies="""SELECT 'query_' || md5(u.text) AS key, min(a.text) AS reply FROM conversations u
+                   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+                   WHERE u.role = 'user' AND u.conv_id % 2 = 0 GROUP BY 1""",
+    ),
+)
+def answer_pipeline(t):
+    """Replies in every second conversation are the cache; all other questions are searched."""
+    turns = t.read("conversations")
+    asked = turns.where("role = 'user' and conv_id % 2 = 0").select("conv_id", (F.col("turn") + 1).alias("turn"), query_key(F.col("text")).alias("key"))
+    replies = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("value"))
+    cache = asked.join(replies, ["conv_id", "turn"]).groupBy("key").agg(F.min("value").alias("value"))
+    return ops.answer_pipeline(t.questions, t.question_vectors, cache, t.text_vectors, t.documents, t.meta, CONFIDENCE)
+
+
 @query(
     "lookup_text",
     with_parts(f"SELECT r.query_id, r.id, r.score, r.rank, d.text FROM ({ranked('SELECT * FROM cosines', K)}) r JOIN documents d ON d.doc_id = r.id"),
@@ -207,7 +252,7 @@ def rag_query(t):
 
 @query(
     "build_context",
-    with_parts("SELECT query_id, context FROM contexts", hits=HITS_TYPED, answered=ANSWERED, contexts=CONTEXT),
+    with_parts("SELECT query_id, context FROM contexts", hits=HITS_WIDE, answered=ANSWERED, contexts=CONTEXT),
 )
 def build_context(t):
     return ops.build_context(answered(t), t.documents)
@@ -219,13 +264,13 @@ def build_context(t):
         """SELECT q.query_id, 'Context: ' || coalesce(c.context, '') || chr(10) || 'Query: ' || q.query_text AS prompt
            FROM questions q LEFT JOIN contexts c ON c.query_id = q.query_id
            WHERE q.query_id IN (SELECT query_id FROM question_cells)""",
-        hits=HITS_TYPED,
+        hits=HITS_WIDE,
         answered=ANSWERED,
         contexts=CONTEXT,
     ),
 )
 def prompt_assembly(t):
-    return ops.prompt_assembly(answers(t))
+    return ops.prompt_assembly(wide_answers(t))
 
 
 @query(
@@ -233,7 +278,7 @@ def prompt_assembly(t):
     with_parts(
         """SELECT a.query_id, m.department, count(*) AS hits, max(a.score) AS max_score, round(avg(a.score), 9) AS avg_score
            FROM answered a JOIN meta m ON m.doc_id = a.id GROUP BY 1, 2""",
-        hits=HITS_TYPED,
+        hits=HITS_WIDE,
         answered=ANSWERED,
     ),
 )
@@ -245,7 +290,7 @@ def facet_results(t):
     "export_results_csv",
     with_parts(
         """SELECT m.file_path AS "Source", a.score AS "Confidence" FROM answered a JOIN meta m ON m.doc_id = a.id""",
-        hits=HITS_TYPED,
+        hits=HITS_WIDE,
         answered=ANSWERED,
     ),
 )
@@ -254,5 +299,5 @@ def export_results_csv(t):
     from paperloom.storage import scratch_path
 
     path = scratch_path(t.spark, "results")
-    export(ops.result_rows(answers(t)), path)
+    export(ops.result_rows(wide_answers(t)), path)
     return t.spark.read.csv(path, header=True, schema="Source string, Confidence double")

@@ -72,3 +72,26 @@ def test_upsert_resets_counters(spark):
     assert stored["k"]["value"] == "new" and stored["k"]["access_count"] == 0
     assert stored["j"]["size_bytes"] == 2
     assert stored["j"]["expires_at"] - stored["j"]["created_at"] == timedelta(hours=1)
+
+
+def test_ewma_has_no_depth_and_keeps_what_is_not_finite(spark):
+    rows = [("a", i, 1.0 + i % 7) for i in range(3000)] + [("b", 0, float("inf"))] + [("b", i, 1.0) for i in range(1, 2000)]
+    log = spark.createDataFrame(rows, "key string, seq bigint, ms double")
+    got = {r["key"]: r["ewma_ms"] for r in ops.latency_ewma(log, ["key"], ["seq"], "ms").collect()}
+    average = 0.0
+    for _, _, ms in rows[:3000]:
+        average = (average + ms) / 2
+    assert got["a"] == pytest.approx(average, abs=1e-6) and got["b"] == float("inf")
+
+
+def test_a_read_cache_loses_dead_entries_and_counts_reads(spark):
+    from datetime import datetime
+
+    day = lambda d: datetime(2024, 1, d)
+    cache = spark.createDataFrame(
+        [("a", 1, day(2), day(9)), ("b", 5, day(3), day(9)), ("dead", 7, day(1), day(2)), ("never", 0, day(1), None)],
+        "key string, access_count bigint, last_accessed timestamp_ntz, expires_at timestamp_ntz",
+    )
+    reads = spark.createDataFrame([("a", day(4)), ("a", day(3)), ("b", day(1)), ("dead", day(4)), ("other", day(4))], "key string, requested_at timestamp_ntz")
+    got = sorted(tuple(r)[:3] for r in ops.cache_touch(reads, cache, day(5)).collect())
+    assert got == [("a", 3, day(4)), ("b", 6, day(3))]

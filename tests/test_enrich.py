@@ -54,3 +54,24 @@ def test_language_with_no_known_trigram_still_has_an_answer(spark):
     d = docs(spark, "the dog", "die katze", "zzz")
     got = {r["doc_id"]: r["language"] for r in enrich.detect_language(d, counts, totals).collect()}
     assert got[0] == "en" and got[1] == "de" and got[2] == "en"
+
+
+def test_texts_without_words_stay(spark):
+    d = docs(spark, "the dog", "...", "", None)
+    counts, totals = enrich.language_model(spark.createDataFrame([("the cat", "en"), ("die katze", "de")], "text string, lang string"))
+    assert {r["doc_id"]: r["language"] for r in enrich.detect_language(d, counts, totals).collect()} == {0: "en", 1: None, 2: None, 3: None}
+    assert {r["doc_id"]: r["summary"] for r in enrich.summarize_extractive(d).collect()} == {0: "the dog", 1: None, 2: None, 3: None}
+
+
+def test_both_ways_to_meet_trigrams_agree(spark, monkeypatch):
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    counts, totals = enrich.language_model(train)
+    d = docs(spark, "the dog", "die katze", "zzz", "")
+    expected = sorted(enrich.detect_language(d, counts, totals).collect())
+    monkeypatch.setattr(enrich, "BROADCAST_GRAMS", 0)
+    assert sorted(enrich.detect_language(d, counts, totals).collect(), key=str) == sorted(expected, key=str)
+
+
+def test_a_very_long_sentence_is_summarised(spark):
+    d = docs(spark, " ".join(f"w{i % 5000}" for i in range(20_000)) + ". short one")
+    assert len(enrich.summarize_extractive(d, 1).head()["summary"]) > 9

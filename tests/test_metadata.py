@@ -83,3 +83,21 @@ def test_public_documents_must_not_hold_personal_data(spark):
     df = spark.createDataFrame(rows, "access_level string, has_pii boolean")
     got = [r[0] for r in df.select(compliance.access_ok(compliance.ComplianceConfig())).collect()]
     assert got == [False, True, True, False]
+
+
+def test_percentiles_keep_null_keys_and_groups_without_values(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)]
+    got = {r["k"]: tuple(r)[1:] for r in metrics.latency_percentiles(spark.createDataFrame(rows, "k string, latency_ms double"), "k").collect()}
+    assert got == {None: (2.0, 2.9, 2.98), "a": (None, None, None), "b": (2.0, 2.0, 2.0)}
+
+
+def test_sync_knows_rows_without_a_time(spark):
+    from datetime import datetime
+
+    from paperloom.sources.listings import incremental_sync
+
+    kind = "k bigint, m timestamp_ntz"
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    source = spark.createDataFrame([(1, new), (2, new), (3, new), (4, old), (5, None)], kind)
+    target = spark.createDataFrame([(1, None), (2, old), (2, new), (4, new), (5, None)], kind)
+    assert {r["k"]: r["change"] for r in incremental_sync(source, target, "k", "m").collect()} == {1: "changed", 3: "new"}

@@ -1,9 +1,4 @@
-"""Queries next to their reference SQL on the smallest tables.
-
-Set ``ORACLE=all`` to include the queries that only cut or re-arrange another one's result.
-"""
-
-import os
+"""Every query with reference SQL next to it on the smallest tables."""
 
 import pytest
 from check_oracle import compare, connect
@@ -11,14 +6,7 @@ from check_oracle import compare, connect
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-SIMILAR = {
-    "pair_scores", "rerank_threshold", "score_combine", "build_context", "prompt_assembly", "export_results_csv",
-    "facet_results", "rerank_lexical", "results_metadata", "topk_per_query", "topk_global", "confidence_filter",
-    "cache_hit_rate", "cache_stats_snapshot", "check_access", "check_sensitive", "check_retention",
-    "check_classification", "parse_pptx", "duplicate_clusters", "live_entries", "purge_expired",
-    "report_violations", "error_counts", "export_parquet_evolved", "stream_user_totals",
-}
-NAMES = [n for n in entry.oracle_sql() if os.environ.get("ORACLE") == "all" or n not in SIMILAR]
+NAMES = list(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +24,7 @@ def test_every_query_has_a_name_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_is_lazy_and_typed(spark):
+def test_entry_is_typed(spark):
     result = entry.entry(spark)
     assert result.columns == ["id", "query_id", "score", "rank", "content"]
     assert result.head() is not None

@@ -43,9 +43,17 @@ def test_document_filter_on_types_is_pushed(spark, tables):
     assert "In(lang, [de,en])" in plan(kept.select("doc_id")) or "In(lang, [en,de])" in plan(kept.select("doc_id"))
 
 
-def test_words_of_a_document_are_not_exchanged(spark, tables):
-    text = plan(enrich.summarize_extractive(tables.documents))
-    assert text.count("hashpartitioning(") == 1
+def test_no_text_is_exchanged_for_languages(spark, tables):
+    counts, totals = enrich.language_model(tables.documents.select("text", "lang"))
+    text = plan(enrich.detect_language(tables.documents, counts, totals))
+    assert "BroadcastHashJoin" in text
+    exchanged = [line for line in text.split("\n") if line.startswith("Arguments: hashpartitioning(")]
+    assert exchanged and all("hashpartitioning(doc_id" in line for line in exchanged)
+
+
+def test_policy_checks_scan_the_documents_once(spark, tables):
+    text = plan(entry.queries()["verify_compliance"](spark, SMALL))
+    assert sum("documents.parquet" in line for line in text.split("\n") if "Location" in line) == 1
 
 
 @pytest.mark.parametrize(

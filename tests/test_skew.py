@@ -54,3 +54,19 @@ def test_row_lookup_with_a_hot_key(spark, monkeypatch):
     right = df.groupBy("key").agg(F.count("*").alias("n"))
     found = skew.row_lookup(df, right, "key", F.col("id"))
     assert found.where("key = 'hot'").agg(F.count("*"), F.min("n")).head() == (1000, 1000)
+
+
+def test_number_rows_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 4), (3, "a", 1), (4, "a", None), (5, None, 6)], "id bigint, key string, v int")
+    found = {r["id"]: r["rn"] for r in skew.number_rows(df, ["key"], [F.asc("v"), F.asc("id")]).collect()}
+    assert found == {2: 1, 1: 2, 5: 3, 4: 1, 3: 2}
+
+
+def test_salts_follow_the_rows_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 20)
+    _, df = hot_rows(spark)
+    found = skew.hot_values(df, "key", min_rows=20)
+    assert found[0] == "hot" and found.most == 1000
+    right = df.groupBy("key").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(skew, "hot_values", lambda df, key: found)
+    assert skew.row_lookup(df, right, "key", F.col("id")).count() == 3000

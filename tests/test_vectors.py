@@ -93,3 +93,10 @@ def test_embeddings_are_unit_or_whole(spark):
     assert sum(x * x for x in unit[0]["embedding"]) == pytest.approx(1.0)
     whole = vec.embed_hashing(docs, "doc_id", "text", unit=False).head()["embedding"]
     assert all(x == int(x) for x in whole)
+
+
+def test_a_text_without_words_has_a_vector_of_zeros(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "..."), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["embedding"] for r in vec.embed_hashing(df, "doc_id", "text", 8).collect()}
+    assert sum(x * x for x in got[1]) == pytest.approx(1.0) and got[2] == got[3] == [0.0] * 8
+    assert "Exchange" not in vec.embed_hashing(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
