@@ -7,6 +7,40 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+WHITE_WORDS = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
+
+CONTAMINATION = f"""
+WITH item_words AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run
+  FROM (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+doc_words AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {ITEM_WORDS} AS w FROM documents),
+runs AS (
+  SELECT r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM windows))),
+found AS MATERIALIZED (SELECT r, i, k, item_id FROM runs JOIN windows USING (k, run)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) FROM found) GROUP BY 1),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+COMPONENTS = f"""
+WITH RECURSIVE doc_words AS MATERIALIZED (SELECT doc_id, {WHITE_WORDS} AS w FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM doc_words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * p.c >= 85 * (m.n + n.n - p.c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) c USING (doc_id)"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +67,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", CONTAMINATION)
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.decontaminate import contamination
 
@@ -68,7 +102,7 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans(table(spark, folder, "documents"))
 
 
-@query("op5_ngram_join")
+@query("op5_ngram_join", COMPONENTS)
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.ngram_join import joined_documents
 
