@@ -2,12 +2,15 @@
 
 Method: grouped prefix join. A set is its distinct ``WIDTH``-word shingles (64-bit hashes).
 Equal sets are one. In one global order of shingles two sets that reach the threshold share
-an element among their first ``n - ceil(t * n) + 1`` (the prefix). The order is: hashes below
-``BAND`` of the hash range first, by document frequency (exact counts over all distinct sets), then
-all others by hash. So only a fifth of the shingles is counted and shuffled, and frequent
-passages stay out of the prefixes all the same. Sets with identical prefix and size collapse
-into one group; group pairs are filtered by size and by the places of the common element;
-members of what remains are verified on their whole sets with integer arithmetic.
+an element among their first ``n - ceil(t * n) + 1`` (the prefix), wherever the order comes
+from. It is used twice. First with hashes below the ``BAND``-th part of the hash range in front, by
+document frequency, then all others by hash: only a fifth of the shingles is counted and
+shuffled, and sets that share no prefix element with another set are done. For the candidates
+left, whole sets are stored, and the order is by frequency over all their shingles, so that
+shingles of one set alone come first and edited copies meet only what they can reach. Sets with
+identical prefix and size collapse into one group; group pairs are filtered by size and by
+the places of the common element; members of what remains are verified on their whole sets
+with integer arithmetic.
 
 Not all pairs inside a group of copies are compared. First every set meets the leader of each
 of its buckets (the set with the fewest unique shingles), in a group its group's leader.
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.llm.buffers import chained, mixed, not_white, slices, text_bytes, words
-from paperloom.llm.components import components
 from paperloom.llm.folds import free_name
+from paperloom.operators.components import components
 from paperloom.storage import materialize
 
 WIDTH = 4
@@ -118,34 +121,29 @@ def leading(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return found.groupBy("k").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("front").alias("front"))
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``k, n, alone, prefix`` of sets that can have a partner.
+def prefixes(sets: DataFrame, percent: int, edge: int | None = None) -> DataFrame:
+    """``k, n, alone, prefix`` of sets that can have a partner, from ``k, n, band, front``.
 
     ``prefix`` holds the shingles of the prefix that other sets have too, with their places;
-    ``alone`` is the number of shingles in ``front`` that no other set has.
+    ``alone`` is the number of shingles in ``front`` that no other set has. The order is by
+    frequency below ``edge`` (everywhere if there is none), then by hash.
     """
     posts = sets.select("k", F.explode("front").alias("h"))
     shared = posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    edge = int(_signed(np.array([EDGE]))[0])
-    element = F.struct((F.col("h") >= edge).cast("int").alias("far"), F.when(F.col("h") < edge, F.col("df")).otherwise(F.lit(0)).alias("df"), F.col("h").alias("h"))
-    listed = posts.join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_list(element)).alias("found"))
+    far = F.lit(0) if edge is None else (F.col("h") >= edge).cast("int")
+    element = F.struct(far.alias("far"), F.when(far == 0, F.col("df")).otherwise(F.lit(0)).alias("df"), F.col("h").alias("h"))
+    listed = posts.join(shared, "h").groupBy("k").agg(
+        F.sort_array(F.collect_list(element)).alias("found"), F.count_if(far == 0).alias("near"), F.count("*").alias("met")
+    )
     joined = sets.select("k", "n", "band", F.size("front").alias("_front")).join(listed, "k")
-    near = F.size(F.filter("found", lambda x: x["far"] == 0))
+    # Shingles of this set alone come first in the band, so found ones begin after them.
+    first = F.col("band") - F.col("near")
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    placed = joined.withColumn("_near", near).withColumn("_length", length).withColumn(
-        "prefix",
-        F.transform(
-            "found",
-            lambda x, i: F.struct(
-                x["h"].alias("h"),
-                F.when(x["far"] == 0, F.col("band") - F.col("_near") + i).otherwise(F.col("band") + i - F.col("_near")).alias("at"),
-            ),
-        ),
-    )
+    inside = F.least(F.greatest(length - first, F.lit(0)), F.col("met")).cast("int")
+    placed = joined.where(inside > 0).select("k", "n", (F.col("_front") - F.col("met")).alias("alone"), first.alias("first"), F.slice("found", F.lit(1), inside).alias("found"))
     return placed.select(
-        "k", "n", (F.col("_front") - F.size("found")).alias("alone"),
-        F.filter("prefix", lambda x: x["at"] < F.col("_length")).alias("prefix"),
-    ).where(F.size("prefix") > 0)
+        "k", "n", "alone", F.transform("found", lambda x, i: F.struct(x["h"].alias("h"), (F.col("first") + i).alias("at"))).alias("prefix")
+    )
 
 
 def enough(percent: int, n: Column, at: Column, m: Column, other_at: Column) -> Column:
@@ -158,14 +156,12 @@ def enough(percent: int, n: Column, at: Column, m: Column, other_at: Column) ->
     return (most * (100 + percent) >= (n + m) * percent) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of set names that link; whole sets meet at ``b``.
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``k, s``: whole sets of the wanted names, made from the texts.
 
-    Sets are made anew from the texts. If at most ``BROADCAST_SETS`` sets are asked for, their
-    names (8 bytes each) go to the tasks, which pass on only these sets; else all sets are
-    made and a join picks them.
+    If at most ``BROADCAST_SETS`` sets are asked for, their names (8 bytes each) go to the
+    tasks, which pass on only these sets; else all sets are made and a join picks them.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     names = wanted.limit(BROADCAST_SETS + 1).toPandas()["k"].to_numpy(dtype=np.int64)
     few = len(names) <= BROADCAST_SETS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(names) if few else None)
@@ -187,17 +183,31 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     sets = docs.select("text").mapInArrow(build, "k bigint, s array<bigint>")
     if not few:
         sets = sets.join(wanted, "k", "left_semi")
-    sets = materialize(sets.groupBy("k").agg(F.first("s").alias("s")), "sets")
+    return sets.groupBy("k").agg(F.first("s").alias("s"))
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of set names that link; whole sets meet at ``b``."""
     left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("_a")), "a")
     both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("_b")), "b")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b")).alias("t")).where(F.expr(f"100 * c >= {percent} * (t - c)")).select("a", "b")
 
 
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``k``: names of the sets whose prefix, by the cheap order, shares an element."""
+    fronts = materialize(leading(docs, width, percent), "fronts")
+    edge = int(_signed(np.array([EDGE]))[0])
+    posts = materialize(prefixes(fronts, percent, edge).select("k", F.explode("prefix.h").alias("h")), "postings")
+    shared = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return materialize(posts.join(shared, "h").select("k").distinct(), "candidates")
+
+
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``id, root``: components of the sets that have links, by set name."""
-    sets = materialize(leading(docs, width, percent), "fronts")
-    found = prefixes(sets, percent)
+    sets = materialize(whole_sets(docs, candidates(docs, width, percent), width), "sets")
+    size = F.size("s").cast("bigint")
+    found = prefixes(sets.select("k", size.alias("n"), size.alias("band"), F.col("s").alias("front")), percent)
     # Identical prefix and size: one group. A shingle of its own makes a prefix unique.
     same = F.when(F.col("alone") == 0, F.xxhash64("n", "prefix")).otherwise(F.col("k"))
     stored = materialize(found.withColumn("same", same), "prefixes")
@@ -219,10 +229,10 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         .unionByName(grouped.where("k <> g").select(F.col("k").alias("a"), F.col("g").alias("b")))
         .distinct()
     )
-    first = materialize(verified(docs, materialize(star, "pairs"), width, percent), "links")
+    first = materialize(verified(sets, materialize(star, "pairs"), percent), "links")
     roots = materialize(components(first), "roots")
     labelled = grouped.join(roots.withColumnRenamed("id", "k"), "k", "left").select(
-        "k", "n", "g", F.coalesce("root", "k").alias("root"), "prefix"
+        "k", "n", F.coalesce("root", "k").alias("root"), "prefix"
     )
     entries = materialize(labelled.select("k", "n", "root", F.explode("prefix").alias("e")).select("k", "n", "root", "e.h", "e.at"), "entries")
     shares = entries.groupBy("h", "root").agg(F.count("*").alias("c"))
@@ -239,8 +249,7 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     rest = materialize(rest, "pairs")
     if rest.limit(1).count() == 0:
         return roots
-    second = verified(docs, rest, width, percent)
-    return components(first.unionByName(second))
+    return components(first.unionByName(verified(sets, rest, percent)))
 
 
 def row_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
