@@ -1,4 +1,4 @@
-"""Vector search: exact block scoring, banded approximate search, embeddings."""
+"""Vector search: exact block scoring, inverted lists for approximate search, embeddings."""
 
 from __future__ import annotations
 
@@ -7,17 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.hashing import hashed_feature
 from paperloom.functions.text import tokens
 from paperloom.operators.skew import top_rows
+from paperloom.storage import materialize
 
 SCORE_DIGITS = 6
 BROADCAST_QUERIES = 4096
 CHUNK_ROWS = 50_000
 QUERY_BLOCK = 256
+MOST_LISTS = 4096
+LIST_ROWS = 50_000
 
 
 def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, unit: bool = True) -> DataFrame:
@@ -207,62 +212,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(squares > 0, dot(a, b) / F.sqrt(squares)).otherwise(F.lit(0.0))
 
 
-def signature_bands(df: DataFrame, id_col: str, vec_col: str, dims: int, bands: int, bits: int, seed: int = 7) -> DataFrame:
-    """``(id, band, bits)`` rows: the signs of random projections (Charikar 2002)."""
-    planes = np.random.default_rng(seed).standard_normal((dims, bands * bits))
-    weights = 1 << np.arange(bits)
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            vectors = np.array(part[vec_col].tolist(), dtype=np.float64)
-            positive = (vectors @ planes > 0).reshape(len(part), bands, bits)
-            yield pd.DataFrame(
-                {
-                    id_col: np.repeat(part[id_col].to_numpy(), bands),
-                    "band": np.tile(np.arange(bands, dtype=np.int32), len(part)),
-                    "bits": (positive * weights).sum(2).ravel().astype(np.int32),
-                }
-            )
+def nearest_lists(centroids: np.ndarray, count: int):
+    """Column function: the ``count`` centroids nearest to a vector by angle, nearest first."""
+    units = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        scores = np.array(vectors.tolist(), dtype=np.float64) @ units.T
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)))
 
-    return df.select(id_col, vec_col).mapInPandas(sign, f"{id_col} {id_type}, band int, bits int")
+    return nearest
 
 
 def vector_search_ann(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    dims: int = 64,
-    bands: int = 24,
-    bits: int = 4,
-    salts: int = 16,
+    queries: DataFrame, corpus: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 7
 ) -> DataFrame:
-    """Approximate cosine top-k: only vectors that share a signature band are scored.
+    """Approximate cosine top-k by inverted lists: only the vectors of ``probes`` lists are scored.
 
-    Corpus buckets are salted and the query side repeated per salt, so one full bucket
-    does not land in one task. More ``bits`` make buckets smaller and more ``bands`` raise
-    recall; a larger corpus wants more of both.
+    K-means over all corpus vectors gives ``lists`` centroids (by default one for 25 vectors,
+    between 16 and ``MOST_LISTS``, so their broadcast is bounded); every vector is in the list
+    of its nearest one. By default a tenth of the lists is probed, and so about a tenth of
+    the pairs is scored. A list larger than ``LIST_ROWS`` is cut into pieces by its own size.
+    Vectors of zeros have no direction: they are neither found nor can they ask.
     """
-    query_bands = signature_bands(queries, "query_id", "query_vec", dims, bands, bits).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    corpus_bands = signature_bands(corpus, "id", "embedding", dims, bands, bits).withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    )
-    candidates = (
-        query_bands.join(corpus_bands, ["band", "bits", "salt"])
-        .select("query_id", "id")
-        .distinct()
-    )
-    scored = (
-        candidates.join(queries.select("query_id", "query_vec"), "query_id")
-        .join(corpus.select("id", "embedding"), "id")
-        .select(
-            "query_id",
-            "id",
-            F.round(cosine(F.col("query_vec"), F.col("embedding")), SCORE_DIGITS).alias("score"),
-        )
+    spoken = corpus.where(F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = spoken.count()
+    asking = queries.where(F.exists("query_vec", lambda x: x != 0)).select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    lists = min(lists or max(16, min(MOST_LISTS, size // 25)), max(size, 1))
+    probes = min(probes or max(2, lists // 10), lists)
+    if size < 2:
+        centroids = np.ones((1, 1))
+        placed = spoken.withColumn("list", F.lit(0))
+        probed = asking.withColumn("list", F.lit(0))
+    else:
+        features = spoken.select(array_to_vector("embedding").alias("features"))
+        model = KMeans(k=lists, distanceMeasure="cosine", maxIter=5, seed=seed).fit(features)
+        centroids = np.array(model.clusterCenters())
+        placed = spoken.withColumn("list", nearest_lists(centroids, 1)("embedding")[0])
+        probed = asking.withColumn("list", F.explode(nearest_lists(centroids, probes)("query_vec")))
+    placed = materialize(placed, "lists")
+    fans = placed.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / LIST_ROWS)).cast("int").alias("fan"))
+    cut = placed.join(F.broadcast(fans), "list").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int"))
+    asked = probed.join(F.broadcast(fans), "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
+    scored = asked.join(cut.drop("fan"), ["list", "piece"]).select(
+        "query_id", "id", F.round(cosine(F.col("query_vec"), F.col("embedding")), SCORE_DIGITS).alias("score")
     )
     return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)

@@ -86,10 +86,34 @@ def test_approximate_search_finds_planted_neighbours(spark):
     assert hits / 200 >= 0.9
 
 
+def recall(exact, near):
+    return sum(len(set(exact[n]) & set(near.get(n, []))) for n in exact) / sum(map(len, exact.values()))
+
+
+def test_lists_find_neighbours_among_a_tenth_of_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((25, 32))
+    corpus = np.repeat(centres, 40, axis=0) + 0.2 * rng.standard_normal((1000, 32))
+    q = frame(spark, [f"q{i}" for i in range(25)], centres, "query_id", "query_vec", "string")
+    c = frame(spark, range(1000), corpus, "id", "embedding", "bigint")
+    near = by_query(vec.vector_search_ann(q, c, 10))  # 4 of 40 lists
+    assert recall(by_query(vec.vector_search(q, c, 10)), near) >= 0.95
+
+
+def test_lists_on_the_stored_vectors(spark, tables):
+    exact = by_query(vec.vector_search(tables.label_centres, tables.vectors, 10))
+    found = vec.vector_search_ann(tables.label_centres, tables.vectors, 10, lists=16, probes=13)
+    assert recall(exact, by_query(found)) >= 0.9
+    every = vec.vector_search_ann(tables.label_centres, tables.vectors, 10, lists=16, probes=16)
+    assert by_query(every) == exact
+    few = vec.vector_search_ann(tables.label_centres, tables.vectors.limit(1), 3)
+    assert few.count() == tables.label_centres.count()
+
+
 def test_embeddings_are_unit_or_whole(spark):
     docs = spark.createDataFrame([(1, "One two two three"), (2, "...")], "doc_id bigint, text string")
     unit = vec.embed_hashing(docs, "doc_id", "text").collect()
-    assert [r["doc_id"] for r in unit] == [1]
+    assert [r["doc_id"] for r in unit] == [1, 2]
     assert sum(x * x for x in unit[0]["embedding"]) == pytest.approx(1.0)
     whole = vec.embed_hashing(docs, "doc_id", "text", unit=False).head()["embedding"]
     assert all(x == int(x) for x in whole)
