@@ -37,21 +37,27 @@ def evict_lru(cache: DataFrame, config: CacheConfig = CacheConfig()) -> DataFram
     """What stays after eviction: above the size limit, the least recent tenth goes.
 
     The count to evict uses whole-number division, so fewer than ten entries lose none.
+    Entries are counted per hour of last access; whole hours go or stay, and only the hour
+    that holds the cut is sorted. An entry never accessed is the least recent.
     """
-    totals = cache.agg(
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("entries")
-    )
-    over = totals.select(
-        F.when(
-            F.col("bytes") > config.max_size_bytes,
-            F.floor(F.col("entries") * config.evict_percent / 100),
-        )
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    ).scalar()
-    order = [F.asc_nulls_first("last_accessed"), F.asc("key")]
-    numbered = number_rows(cache, [], order, "_lru")
-    return numbered.where(F.col("_lru") > over).drop("_lru")
+    hour = F.date_trunc("hour", "last_accessed")
+    counts = cache.groupBy(hour.alias("hour")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+    hours = sorted((tuple(r) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0]))  # one row an hour
+    entries = sum(n for _, n, _ in hours)
+    over = entries * config.evict_percent // 100 if sum(b or 0 for *_, b in hours) > config.max_size_bytes else 0
+    gone = 0
+    for moment, n, _ in hours:
+        if gone + n > over:
+            break
+        gone += n
+    if over == 0 or not hours:
+        return cache
+    marked = cache.withColumn("_hour", hour)
+    cut = F.lit(moment).cast("timestamp")
+    later = F.col("_hour").isNotNull() if moment is None else F.col("_hour") > cut
+    numbered = number_rows(marked.where(F.col("_hour").eqNullSafe(cut)), [], [F.asc_nulls_first("last_accessed"), F.asc("key")], "_lru")
+    kept = numbered.where(F.col("_lru") > over - gone).drop("_lru")
+    return marked.where(later).unionByName(kept).drop("_hour")
 
 
 def upsert_latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -154,11 +160,12 @@ def stats_snapshot(cache: DataFrame, lookups: DataFrame, as_of: datetime, evicti
         F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("total_size_bytes"),
         F.count("*").alias("queries_cached"),
     )
-    rate = cache_hit_rate(lookups)
+    # One look-up pass gives both numbers.
+    rate = cache_hit_rate(lookups).select(F.struct("hits", "misses").alias("both")).scalar()
     return totals.select(
         at(as_of).alias("timestamp"),
-        rate.select("hits").scalar().alias("hits"),
-        rate.select("misses").scalar().alias("misses"),
+        rate["hits"].alias("hits"),
+        rate["misses"].alias("misses"),
         "total_size_bytes",
         "queries_cached",
         F.lit(evictions).cast("bigint").alias("evictions"),
