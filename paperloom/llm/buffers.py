@@ -34,9 +34,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     A null text is an empty one.
     """
-    column = column.cast(pa.large_string()).fill_null("")
+    pa.default_memory_pool().release_unused()  # what earlier batches freed goes back to the system
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type)
+    if not wide and not pa.types.is_string(column.type):
+        column, wide = column.cast(pa.large_string()), True
+    kind = np.dtype(np.int64 if wide else np.int32)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset) if offsets else np.zeros(1, np.int64)
+    if not len(column) or offsets is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(offsets, dtype=kind, count=len(column) + 1, offset=kind.itemsize * column.offset).astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
 

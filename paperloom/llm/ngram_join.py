@@ -46,6 +46,7 @@ BAND = 5
 EDGE = np.uint64((1 << 64) // BAND)
 FLIP = np.uint64(1 << 63)
 BROADCAST_SETS = 1_000_000
+KEYED_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -279,8 +280,9 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     rows = materialize(row_components(docs, width, percent).where("n > 0").select("doc_id", "k", "root"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("k").alias("k"))
-    keep = rows.groupBy("root").agg(F.min(order).alias("o")).select("root", F.col("o.doc_id").alias("_id"), F.col("o.k").alias("_k"))
-    names = rows.groupBy("root", "doc_id", "k").agg(F.count("*").alias("times"))
+    # Stored, so that the join deals it anew and can split a component that holds very many rows.
+    keep = materialize(rows.groupBy("root").agg(F.min(order).alias("o")).select("root", F.col("o.doc_id").alias("_id"), F.col("o.k").alias("_k")), "kept")
+    names = materialize(rows.groupBy("root", "doc_id", "k").agg(F.count("*").alias("times")), "names")
     joined = names.join(keep, "root").select(
         F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "times", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).alias("kept")
     )
@@ -290,8 +292,10 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_key(s) if len(s) else None for _, s in _each(batch, width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, key])
+            for first in range(0, batch.num_rows, KEYED_ROWS):
+                part = batch.slice(first, KEYED_ROWS)
+                keys = [set_key(s) if len(s) else None for _, s in _each(part, width)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, key])
 
     named = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(key, LongType())]))
     few = odd.count() <= BROADCAST_SETS

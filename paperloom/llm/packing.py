@@ -39,7 +39,7 @@ from paperloom.storage import materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_ROWS = 1 << 21
+CACHE_ROWS = 1 << 19
 NODES = 2000
 STEPS = 1000
 FILLINGS = 4
