@@ -37,6 +37,7 @@ GRAM = 6
 WINDOW = 8
 SPAN = GRAM + WINDOW - 1
 BROADCAST_WORDS = 1_000_000
+FILTER_ROWS = 1000
 EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 
 
@@ -146,37 +147,42 @@ def _verdict(rows: DataFrame, share: int) -> DataFrame:
     return rows.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
+def _judged(index: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words, hit words, items and digest of each text of a batch."""
+    prints = np.unique(index.keys)
+    data, all_offsets = text_bytes(column)
+    n = len(column)
+    n_words, n_hit, n_items = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    digests = [EMPTY_DIGEST] * n
+    for first, last in slices(all_offsets):
+        base = all_offsets[first]
+        hashes, offsets = word_hashes(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
+        n_words[first:last] = np.diff(offsets)
+        least, places = winnowed(hashes, offsets)
+        fresh = np.ones(len(least), bool)
+        fresh[1:] = least[1:] != least[:-1]
+        least, places = least[fresh], places[fresh]
+        hits = places[np.isin(least, prints)]
+        todo = set(np.searchsorted(offsets, hits, side="right").tolist())
+        for width, known in index.short.items():
+            keys = np.fromiter(known, np.uint64, len(known))
+            at = np.flatnonzero(np.isin(chained(hashes, width), keys))
+            todo |= set(np.searchsorted(offsets, at, side="right").tolist())
+        for doc in (d - 1 for d in todo):
+            mine = hashes[offsets[doc] : offsets[doc + 1]]
+            spans = index.spans(mine)
+            names = {index.names[item] for *_, item in spans} - {None}
+            n_hit[first + doc] = covered(spans, len(mine))
+            n_items[first + doc], digests[first + doc] = len(names), digest(names)
+    return n_words, n_hit, n_items, digests
+
+
 def _with_broadcast(docs: DataFrame, items: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        prints = np.unique(index.keys)
         for batch in batches:
-            data, all_offsets = text_bytes(batch.column("text"))
-            n = batch.num_rows
-            n_words, n_hit, n_items = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            digests = [EMPTY_DIGEST] * n
-            for first, last in slices(all_offsets):
-                base = all_offsets[first]
-                hashes, offsets = word_hashes(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
-                n_words[first:last] = np.diff(offsets)
-                least, places = winnowed(hashes, offsets)
-                fresh = np.ones(len(least), bool)
-                fresh[1:] = least[1:] != least[:-1]
-                least, places = least[fresh], places[fresh]
-                hits = places[np.isin(least, prints)]
-                todo = set(np.searchsorted(offsets, hits, side="right").tolist())
-                for width, known in index.short.items():
-                    keys = np.fromiter(known, np.uint64, len(known))
-                    at = np.flatnonzero(np.isin(chained(hashes, width), keys))
-                    todo |= set(np.searchsorted(offsets, at, side="right").tolist())
-                for doc in (d - 1 for d in todo):
-                    mine = hashes[offsets[doc] : offsets[doc + 1]]
-                    spans = index.spans(mine)
-                    names = {index.names[item] for *_, item in spans} - {None}
-                    n_hit[first + doc] = covered(spans, len(mine))
-                    n_items[first + doc], digests[first + doc] = len(names), digest(names)
+            n_words, n_hit, n_items, digests = _judged(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests)],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
@@ -302,11 +308,23 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, most_words
 def without_contaminated(docs: DataFrame, items: DataFrame, share: int = 20, most_words: int = BROADCAST_WORDS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all columns.
 
-    A verdict belongs to a text, so rows meet their verdict by the text's sha2; only texts
-    with hits are in that table, and it is broadcast only while Spark's own limit allows.
+    With a broadcast index each task filters its own rows and nothing is shuffled. Beyond the
+    bound a verdict belongs to a text, so rows meet the contaminated texts by their sha2.
     """
+    index = _collected(items, most_words)
+    if index is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, FILTER_ROWS):
+                    part = batch.slice(first, FILTER_ROWS)
+                    n_words, n_hit, *_ = _judged(shared.value, part.column("text"))
+                    yield part.filter(pa.array(~((n_hit > 0) & (share * n_hit >= n_words))))
+
+        return docs.mapInArrow(keep, docs.schema)
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     texts = docs.select(key.alias("doc_id"), "text")
     name = free_name(docs, "_t")
-    bad = contamination(texts, items, share, most_words).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    bad = _verdict(_with_join(texts, items), share).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
     return docs.withColumn(name, key).join(materialize(bad, "contaminated"), name, "left_anti").select(*docs.columns)
