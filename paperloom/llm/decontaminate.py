@@ -159,11 +159,11 @@ def _judged(index: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
         hashes, offsets = word_hashes(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
         n_words[first:last] = np.diff(offsets)
         least, places = winnowed(hashes, offsets)
+        owner = np.searchsorted(offsets, places, side="right")
         fresh = np.ones(len(least), bool)
-        fresh[1:] = least[1:] != least[:-1]
-        least, places = least[fresh], places[fresh]
-        hits = places[np.isin(least, prints)]
-        todo = set(np.searchsorted(offsets, hits, side="right").tolist())
+        fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+        least, owner = least[fresh], owner[fresh]
+        todo = set(owner[np.isin(least, prints)].tolist())
         for width, known in index.short.items():
             keys = np.fromiter(known, np.uint64, len(known))
             at = np.flatnonzero(np.isin(chained(hashes, width), keys))

@@ -65,6 +65,18 @@ def test_op8_awkward_rows_by_both_ways(spark, most_words):
     assert kept.count() == sum(not r[5] for r in expected)
 
 
+@pytest.mark.parametrize("most_words", [10**9, 0])
+def test_op8_neighbours_with_equal_windows_are_each_judged(spark, most_words):
+    item = [f"item{i}" for i in range(20)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    sizes = [13, 13, 13, 16, 16, 16, 20, 20, 20, 12]
+    docs = spark.createDataFrame([(n, " ".join(item[:size])) for n, size in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    expected = brute_contamination(pairs(docs, "doc_id", "text"), pairs(items, "item_id", "text"))
+    assert [r[2] for r in expected] == sizes[:-1] + [0]
+    assert ordered(contamination(docs, items, most_words=most_words).collect()) == ordered(expected)
+    assert [r["doc_id"] for r in without_contaminated(docs, items, most_words=most_words).collect()] == [9]
+
+
 def test_op8_without_items_marks_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(awkward(spark), none).where("n_hit > 0").count() == 0
