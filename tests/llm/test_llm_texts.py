@@ -9,7 +9,7 @@ import numpy as np
 from samples import SMALL, awkward, empty, ordered
 
 from paperloom.llm.language_id import identify
-from paperloom.llm.licenses import TEMPLATES, aligned, increasing, license_scan
+from paperloom.llm.licenses import NOTICES, TEMPLATES, aligned, increasing, license_scan
 from paperloom.llm.quality import Discriminant, quality_scores, without_rejects
 from paperloom.llm.queries import QUERIES
 from paperloom.llm.secrets import find_spans, redacted, secret_spans, window_entropy
@@ -192,6 +192,37 @@ def test_op9_awkward_rows_and_changed_notices(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_op9_near_misses_get_their_own_license_or_none(spark):
+    notices = dict(NOTICES[::-1])
+    gpl, bsd = notices["GPL-3.0"], notices["BSD-2-Clause"]
+    long_gpl = NOTICES[6][1]
+    cases = [
+        ("Released under the BSD License.", ""),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        (gpl.replace("version 3", "version 2"), "GPL-2.0"),
+        (gpl.replace("version 3", "version 1"), ""),
+        (long_gpl.replace("version 3", "version 2"), "GPL-2.0"),
+        (long_gpl.replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+        (long_gpl, "GPL-3.0"),
+        (bsd, "BSD-2-Clause"),
+        (NOTICES[2][1].replace("Neither the name of the copyright holder", "3. Neither the name of Example Ltd."), "BSD-3-Clause"),
+        (NOTICES[2][1] + " z" * 60 + bsd, "BSD-2-Clause,BSD-3-Clause"),
+        ("released last week, under pressure, the new version of the MIT course needs a license", ""),
+        ("Apache helicopters, licensed in version 2 of the plan, under the license 0", ""),
+        ("y Released under the MIT License. Released under the MIT License. Released under the MIT License. y", "MIT"),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan(docs).collect()}
+    assert [rows[i]["licenses"] for i in range(len(cases))] == [name for _, name in cases]
+    assert all((rows[i]["license"] or "") in rows[i]["licenses"].split(",") for i in rows)
+    assert rows[10]["license"] == "BSD-3-Clause"
+    own = (("short", "one two three four five"), ("long", " ".join(f"w{i}" for i in range(40))))
+    texts = ["one two three four six", "x one two three four five", " ".join(f"w{i}" for i in range(36)), " x x ".join(f"w{i}" for i in range(40))]
+    found = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {0: "", 1: "short", 2: "long", 3: ""}
+
+
 def test_op9_alignment_against_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(200):
