@@ -213,3 +213,22 @@ def test_op6_exchange_separates_two_vocabularies():
     label = class_lm.exchange(table, classes=3)
     assert len(set(label[:10])) == len(set(label[10:20])) == 1
     assert label[0] != label[10]
+
+
+def test_op6_exchange_goes_on_until_no_unit_moves():
+    def bits(table, label, classes):
+        grid = np.zeros((classes, classes))
+        np.add.at(grid, (label[:, None], label[None, :]), table)
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(grid) - f(grid.sum(axis=0)) - f(grid.sum(axis=1))
+
+    rng = np.random.default_rng(4)
+    size, classes = 301, 24
+    table = rng.poisson(rng.gamma(0.3, 1, (size, size)))
+    label = class_lm.exchange(table, classes=classes)
+    best = bits(table, label, classes)
+    for w in rng.permutation(size - 1)[:20].tolist():
+        for new in range(1, classes):
+            other = label.copy()
+            other[w] = new
+            assert bits(table, other, classes) <= best + 1e-5
