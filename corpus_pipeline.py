@@ -35,7 +35,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    The rule is that of op5's own contract (4-word shingles, Jaccard 0.85), not five words and 0.8.
+    """
     small_batches(spark)
     return one_of_each(docs)
 
