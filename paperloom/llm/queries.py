@@ -41,6 +41,11 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) c USING (doc_id)"""
 
+EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +133,10 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.licenses import license_scan
 
     return license_scan(table(spark, folder, "documents"))
+
+
+@query("op12_exact_dedup", EXACT)
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, folder, "documents"))
