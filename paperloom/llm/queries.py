@@ -46,6 +46,33 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+TRIE = f"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         sha256(length(coalesce(role, '')) || '|' || coalesce(role, '') || '|' || coalesce(text, '')) AS k, length(coalesce(text, '')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+made AS (
+  SELECT c.conv_id, 0 AS own, t.i, t.k, t.w FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.k, t.w FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+members AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER path AS d, sha256(string_agg(k, '') OVER path) AS key, w FROM made WINDOW path AS (PARTITION BY conv_id ORDER BY own, i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+chained AS MATERIALIZED (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM members),
+nodes AS MATERIALIZED (
+  SELECT key, any_value(d) AS d, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ended FROM chained GROUP BY 1),
+kids AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+below AS (
+  SELECT a.key, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.w) AS saved
+  FROM nodes x JOIN members a ON a.conv_id = x.conv_id AND a.d <= x.d LEFT JOIN kids c ON c.key = x.key GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(c.n, 0) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(x.ended) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.key = x.up LEFT JOIN kids c ON c.key = x.key JOIN below b ON b.key = x.key"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -140,3 +167,10 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie", TRIE)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))

@@ -1,12 +1,16 @@
 """Exact copies, conversation tries and spelling variants against brute force."""
 
 import hashlib
+import math
+import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from samples import SMALL, awkward, empty, ordered
 
-from paperloom.llm import exact_dedup
+from paperloom.llm import exact_dedup, prefix_trie
 from paperloom.llm.queries import QUERIES
 
 
@@ -76,3 +80,68 @@ def test_op12_filter_keeps_columns(spark):
     kept = exact_dedup.without_copies(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in brute_copies(pairs(docs)) if r[3])
+
+
+def brute_trie(rows):
+    """Every node by its turns themselves: rows are (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    made = {}
+    for c, mine in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        made[c] = tuple(turns.get(c - int(math.fmod(c, 100)), [])[:h] + mine[h:])
+    nodes = defaultdict(list)
+    for c in sorted(made):
+        for d in range(len(made[c]) + 1):
+            nodes[made[c][:d]].append(c)
+    kids, leaves, saved = Counter(k[:-1] for k in nodes if k), Counter(), Counter()
+    for k, members in nodes.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not kids[k]
+            saved[k[:d]] += (len(members) - 1) * len(k[-1][1]) if k else 0
+    return [
+        (m[0], len(k), nodes[k[:-1]][0] if k else None, len(m), kids[k], leaves[k], saved[k], sha(",".join(str(c) for c in m if len(made[c]) == len(k))))
+        for k, m in nodes.items()
+    ]
+
+
+TURNS = "conv_id long, turn long, role string, text string, key string, path int, kind string"
+
+
+def odd_turns(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice("ua"), rng.choice(["x", "y", "zé😀"])) for c in range(0, 420) for t in range(rng.randint(0, 4))]
+    rows += [(c, t, "u", "same") for c in range(1000, 1080) for t in range(3)]
+    rows += [(700, None, "u", None), (700, None, None, "a"), (700, 1, "u", "b"), (700, 1, "u", "b"), (None, 1, "u", "lost"), (-5, 0, "u", "x"), (0, 0, "u", "x")]
+    rows += [(801, t, "u", "long") for t in range(700)] + [(803, t, "u", "long") for t in range(650)] + [(805, 0, "ua", "b"), (806, 0, "u", "ab")]
+    return spark.createDataFrame([(*r, "k", 1, "t") for r in rows], TURNS)
+
+
+def four(df):
+    return [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()]
+
+
+@pytest.mark.parametrize(("cells", "batch"), [(1 << 20, 10_000), (40, 10_000), (2000, 7)])
+def test_op13_equals_brute_force_however_it_is_sliced(spark, monkeypatch, cells, batch):
+    monkeypatch.setattr(prefix_trie, "CELLS", cells)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", batch == 10_000)
+    turns = odd_turns(spark)
+    assert ordered(prefix_trie.prefix_trie(turns).collect()) == ordered(brute_trie(four(turns)))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_op13_on_the_whole_table_and_on_nothing(spark):
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    assert ordered(QUERIES["op13_prefix_trie"](spark, SMALL).collect()) == ordered(brute_trie(four(turns)))
+    assert prefix_trie.prefix_trie(empty(spark, TURNS)).count() == 0
+
+
+def test_op13_matrix_masks(spark):
+    digests = np.array([[1, 1], [1, 2], [1, 1], [1, 1]], ">u8")
+    assert prefix_trie.matrix(digests, np.array([2, 0, 1, 1])).tolist() == [[1, 2], [0, 0], [1, 0], [1, 0]]
+    assert list(prefix_trie.cuts(np.array([1, 1, prefix_trie.CELLS + 1, 1]))) == [(0, 2), (2, 3), (3, 4)]
