@@ -174,3 +174,10 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     from paperloom.llm.prefix_trie import prefix_trie
 
     return prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from paperloom.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"))

@@ -3,14 +3,15 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from samples import SMALL, awkward, empty, ordered
+from samples import SMALL, awkward, empty, lower, ordered
 
-from paperloom.llm import exact_dedup, prefix_trie
+from paperloom.llm import exact_dedup, prefix_trie, spelling_variants
 from paperloom.llm.queries import QUERIES
 
 
@@ -145,3 +146,88 @@ def test_op13_matrix_masks(spark):
     digests = np.array([[1, 1], [1, 2], [1, 1], [1, 1]], ">u8")
     assert prefix_trie.matrix(digests, np.array([2, 0, 1, 1])).tolist() == [[1, 2], [0, 0], [1, 0], [1, 0]]
     assert list(prefix_trie.cuts(np.array([1, 1, prefix_trie.CELLS + 1, 1]))) == [(0, 2), (2, 3), (3, 4)]
+
+
+def brute_words(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def brute_variants(rows):
+    words = brute_words(rows)
+    near, masked = defaultdict(set), defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            masked[w[:i], w[i + 1 :]].add(w)
+            if w[:i] + w[i + 1 :] in words:
+                near[w].add(w[:i] + w[i + 1 :])
+                near[w[:i] + w[i + 1 :]].add(w)
+    for group in masked.values():
+        for w in group:
+            near[w] |= group - {w}
+    forms = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        if best and words[best] >= 2 * words[w]:
+            forms[w] = best
+    found = []
+    for w, n in words.items():
+        root = w
+        while root in forms:
+            root = forms[root]
+        found.append((w, forms.get(w), root, n, len(near[w]), words.get(forms.get(w))))
+    return found
+
+
+def misspelt(spark):
+    rng = random.Random(11)
+    letters = "abéÿ×"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(4, 7))) for _ in range(400)) for _ in range(60)]
+    chain = " ".join(" ".join([w] * n) for w, n in (("abcde", 3), ("abcdef", 6), ("abcdefg", 12), ("abcdefgh", 24), ("abcdefgx", 24)))
+    long = "q" * 3000
+    runs = f"{long} {long} {long} {long}r {long}r {long}r {long[:1000]}z{long[:1999]} " * 3
+    return awkward(spark, [*enumerate(texts, 100), (50, chain), (51, runs), (52, "VWXYZ Vwxyz aaaaa aaaaaa aaaaaa aaaaaaa " * 3), (None, "nulls nulls nulls")])
+
+
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_op11_equals_brute_force_in_whole_and_cut_partitions(spark, monkeypatch, most):
+    monkeypatch.setattr(spelling_variants, "MOST", most)
+    docs = misspelt(spark)
+    expected = brute_variants(pairs(docs))
+    assert ordered(spelling_variants.spelling_variants(docs).collect()) == ordered(expected)
+    roots = {r[0]: r[2] for r in expected}
+    assert roots["abcde"] == roots["abcdef"] == "abcdefgh"
+
+
+def test_op11_on_the_whole_table_and_on_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    expected = brute_variants(pairs(docs))
+    assert ordered(QUERIES["op11_spelling_variants"](spark, SMALL).collect()) == ordered(expected)
+    assert any(r[1] for r in expected)
+    assert spelling_variants.spelling_variants(empty(spark)).count() == 0
+
+
+def test_op11_acceptor_is_minimal_and_ranks_are_right():
+    machine = spelling_variants.Acceptor()
+    words = sorted(a + b + c for a in "abc" for b in "xy" for c in "123")
+    first = machine.add(words)
+    assert len(machine.moves) == 4 and machine.size[first] == len(words)
+    near = {(words[i], words[j]) for i, j in machine.replacements(first)}
+    assert near == {(u, v) for u in words for v in words if u < v and sum(a != b for a, b in zip(u, v, strict=True)) == 1}
+
+
+def test_op11_runs_have_the_crc_of_their_bytes():
+    texts = [b"abc", b"", b"x" * 64, b"y" * 65, b"z" * 400, "é×".encode()]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    before = np.array([zlib.crc32(b"%d:" % i) for i in range(len(texts))], np.uint32)
+    found = spelling_variants.run_crcs(data, starts, ends, before)
+    assert found.tolist() == [zlib.crc32(b"%d:" % i + t) for i, t in enumerate(texts)]
