@@ -7,11 +7,12 @@ Method: documents are cut into pieces of at most ``capacity`` tokens; full piece
 sequences of their own. For the others only the number of pieces of each length matters, so
 the problem is a table of at most ``capacity`` rows whatever the corpus. Bin completion
 branches on the undominated fillings around the largest length left: fillings to which no
-left piece can be added and in which no piece can be swapped for a larger left one. A first
-descent that takes the fullest filling each time is the best-fit incumbent; a branch is
-pruned when its waste so far exceeds what a better solution may waste in total. The search
-ends when a lower bound is met (proven best) or ``nodes`` branchings after the incumbent. A filling is
-used as often as the lengths left allow, so a plan is a short list of (filling, times).
+left piece can be added and in which no piece can be swapped for a larger left one (dominance
+by single swaps). Best-fit decreasing over the table is the incumbent; a branch is pruned when
+its waste so far exceeds what a better solution may waste in total. The search ends when a lower
+bound is met (proven best) or after ``NODES`` branchings; as a node keeps its ``FILLINGS`` fullest
+fillings, an end without the bound is no proof. A filling is used as often as the lengths left
+allow, so a plan is a short list of (filling, times).
 
 Placement: pieces of one length are numbered over all partitions by offsets from counts per
 partition and length (no global sort, no window over a group), and find their sequence by
@@ -39,51 +40,101 @@ from paperloom.storage import materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_ROWS = 1 << 19
+#: Distinct pieces in each of the two generations of a worker; a power of two.
+CACHE_ROWS = 1 << 20
 NODES = 2000
 STEPS = 1000
 FILLINGS = 4
 
 
+class Generation:
+    """Token ids of up to ``most`` pieces by 64-bit hash, in an open-addressing table of fixed size."""
+
+    def __init__(self, most: int, kind: np.dtype) -> None:
+        self.most, self.count = most, 0
+        self.mask = np.uint64(2 * most - 1)
+        self.keys = np.zeros(2 * most, np.uint64)
+        self.slots = np.full(2 * most, -1, np.int32)
+        self.starts = np.zeros(most + 1, np.int64)
+        self.ids = np.zeros(4 * most, kind)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it is not kept."""
+        found = np.full(len(hashes), -1, np.int64)
+        open_rows, at = np.arange(len(hashes)), hashes & self.mask
+        while len(open_rows):
+            slots = self.slots[at]
+            same = (slots >= 0) & (self.keys[at] == hashes[open_rows])
+            found[open_rows[same]] = slots[same]
+            going = (slots >= 0) & ~same
+            open_rows, at = open_rows[going], (at[going] + np.uint64(1)) & self.mask
+        return found
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep distinct hashes that are not here yet, with their ids one after another."""
+        first, used = self.count, int(self.starts[self.count])
+        self.count += len(hashes)
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * len(ids), self.ids.dtype)])
+        self.ids[used : used + len(ids)] = ids
+        self.starts[first + 1 : self.count + 1] = used + np.cumsum(sizes)
+        rows, at = np.arange(len(hashes)), hashes & self.mask
+        while len(rows):
+            free = self.slots[at] < 0
+            # Of several rows at one free place the last written gets it; the others go on.
+            self.slots[at[free]] = first + rows[free]
+            self.keys[at[free]] = hashes[rows[free]]
+            put = free & (self.slots[at] == first + rows)
+            rows, at = rows[~put], (at[~put] + np.uint64(1)) & self.mask
+
+    def ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given slots one after another, and how many each has."""
+        begin, size = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        place = np.cumsum(size) - size
+        return self.ids[np.repeat(begin - place, size) + np.arange(int(size.sum()))], size
+
+
 class Pieces:
-    """Token ids of white-space separated pieces, by their hash; kept within a bound."""
+    """Token ids of white-space separated pieces, by their hash; kept in two generations.
+
+    New pieces enter the young generation. When it is full it becomes the old one, and what is
+    asked for again is copied from there, so frequent pieces stay and single ones go.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hashes = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.young, self.old = Generation(CACHE_ROWS, self.kind), Generation(1, self.kind)
         self.inside = ~byte_class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
 
+    def make_room(self, count: int) -> None:
+        if self.young.count + count > self.young.most:
+            self.old, self.young = self.young, Generation(max(CACHE_ROWS, 1 << (count - 1).bit_length()), self.kind)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, with offsets; no separators."""
         starts, ends, owner = runs(self.inside[data], offsets)
         distinct, where, inverse = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > CACHE_ROWS:
-            self.hashes, self.slot = self.hashes[:0], self.slot[:0]
-            self.starts, self.ids = self.starts[:1], self.ids[:0]
-        at = np.searchsorted(self.hashes, distinct)
-        fresh = np.ones(len(distinct), bool)
-        if len(self.hashes):
-            fresh = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
-        if fresh.any():
+        if self.young.count + len(distinct) > self.young.most:
+            self.make_room(len(distinct))
+        asked = np.flatnonzero(self.young.find(distinct) < 0)
+        kept = self.old.find(distinct[asked])
+        again = kept >= 0
+        if again.any():
+            self.young.add(distinct[asked[again]], *self.old.ids_of(kept[again]))
+        fresh = asked[~again]
+        if len(fresh):
             raw = data.tobytes()
             new = [raw[s:e].decode() for s, e in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             sizes = np.array([len(x) for x in encoded], np.int64)
-            slots = len(self.starts) - 1 + np.arange(len(new))
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in encoded)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.hashes = np.insert(self.hashes, at[fresh], distinct[fresh])
-            self.slot = np.insert(self.slot, at[fresh], slots)
-        mine = self.slot[np.searchsorted(self.hashes, distinct)][inverse]
-        first, size = self.starts[mine], self.starts[mine + 1] - self.starts[mine]
-        begin = np.cumsum(size) - size
-        ids = self.ids[np.repeat(first - begin, size) + np.arange(int(size.sum()))]
+            ids = np.fromiter((i for x in encoded for i in x), self.kind, int(sizes.sum()))
+            self.young.add(distinct[fresh], ids, sizes)
+        ids, size = self.young.ids_of(self.young.find(distinct)[inverse])
         per_text = np.bincount(owner, weights=size, minlength=len(offsets) - 1).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_text)])
+        return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(per_text)])
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -187,15 +238,49 @@ def times(filling: tuple[int, ...], left: dict[int, int]) -> int:
     return min(left[x] // filling.count(x) for x in set(filling))
 
 
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan of (filling, times): every piece, the longest first, goes where least space is left.
+
+    Pieces of one length go into sequences of one free space together: the fullest that can
+    take one takes as many as it can, so a length costs a step per free space, not per piece.
+    """
+    open_bins: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+    for x in sorted((x for x, n in counts.items() if n > 0), reverse=True):
+        n, free = counts[x], x
+        while n:
+            while free < capacity and not open_bins[free]:
+                free += 1
+            if free == capacity:
+                copies = capacity // x
+                for used, times in ((copies, n // copies), (n % copies, 1)):
+                    if used and times:
+                        open_bins[capacity - used * x].append(((x,) * used, times))
+                break
+            filling, times = open_bins[free].pop()
+            copies = free // x
+            whole = min(times, n // copies)
+            rest = min(n - whole * copies, copies) if whole < times else 0
+            for used, number in ((copies, whole), (rest, 1)):
+                if used and number:
+                    open_bins[free - used * x].append((filling + (x,) * used, number))
+                    n -= used * number
+                    times -= number
+            if times:
+                open_bins[free].append((filling, times))
+    return [plan for plans in open_bins for plan in plans]
+
+
 def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """A plan of (filling, times) that places every piece, and the lower bound of sequences.
 
-    Bin completion with depth-first branching; the first descent is the best-fit incumbent.
+    Bin completion with depth-first branching. The incumbent is best-fit decreasing, so no
+    plan is worse than that; a descent that fills the fullest way first often improves on it.
     """
     total = sum(x * n for x, n in counts.items())
     bound = lower_bound(counts, capacity)
-    best: list[tuple[tuple[int, ...], int]] = []
-    best_bins = None
+    best = best_fit_decreasing(counts, capacity)
+    best_bins = sum(n for _, n in best)
+    nodes += 2 * len(counts)  # what the first descent may need
     # Explicit stack: the fillings still to try at each level and what each took.
     left = {x: n for x, n in counts.items() if n > 0}
     path: list[tuple[tuple[int, ...], int]] = []
@@ -226,14 +311,14 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
 
     while True:
         if not left:
-            if best_bins is None or bins < best_bins:
+            if bins < best_bins:
                 best, best_bins = list(path), bins
         # A better solution has fewer sequences, so it wastes less than this in total.
-        hopeless = best_bins is not None and waste > (best_bins - 1) * capacity - total
-        if best_bins is not None and (best_bins == bound or visited >= nodes):
+        hopeless = waste > (best_bins - 1) * capacity - total
+        if best_bins == bound or visited >= nodes:
             return best, bound
         if left and not hopeless:
-            visited += best_bins is not None
+            visited += 1
             levels.append(choices())
         else:
             while levels and not levels[-1]:

@@ -1,5 +1,6 @@
 """Token counts and packing against the tokenizer library."""
 
+import bisect
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,8 @@ import pytest
 from samples import SMALL, awkward, empty
 from tokenizers import Tokenizer
 
-from paperloom.llm.packing import fillings, lower_bound, pack_documents, pack_lengths
+from paperloom.llm import packing
+from paperloom.llm.packing import best_fit_decreasing, fillings, lower_bound, pack_documents, pack_lengths
 from paperloom.llm.queries import QUERIES
 from paperloom.llm.token_counts import Vocabulary, count_texts, token_counts
 
@@ -108,3 +110,41 @@ def test_fillings_are_undominated_and_bounds_hold():
     assert lower_bound({7: 3}, 10) == 3
     assert pack_lengths({}, 10) == ([], 0)
     assert sum(n for _, n in pack_lengths({1: 5000}, 2048)[0]) == 3
+
+
+def plain_best_fit(sizes, capacity):
+    """Sequences that piece-by-piece best-fit decreasing uses."""
+    free = []
+    for x in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(free, x)
+        left = free.pop(at) - x if at < len(free) else capacity - x
+        bisect.insort(free, left)
+    return len(free)
+
+
+@pytest.mark.parametrize(("low", "high"), [(600, 1100), (690, 1300), (500, 1000), (300, 700), (1, 2048), (3, 40)])
+def test_plans_are_never_behind_best_fit_decreasing(low, high):
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(20_000)]
+    counts = dict(Counter(sizes))
+    first = best_fit_decreasing(counts, 2048)
+    used = Counter()
+    for filling, times in first:
+        assert sum(filling) <= 2048
+        used.update({x: times * filling.count(x) for x in set(filling)})
+    assert used == counts
+    assert sum(n for _, n in first) == plain_best_fit(sizes, 2048)
+    assert sum(n for _, n in pack_lengths(counts)[0]) <= plain_best_fit(sizes, 2048)
+
+
+def test_pieces_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ROWS", 16)
+    known, library = packing.Pieces(WORDS), Tokenizer.from_file(WORDS)
+    rng = random.Random(9)
+    for _ in range(300):
+        texts = [" ".join(rng.choice(["the", "of", str(rng.randint(0, 400)), "word" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *(len(t) for t in raw)])
+        ids, at = known.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == expected
