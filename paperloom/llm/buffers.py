@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE = 1 << 20
 STEP = 0x9E3779B97F4A7C15 | 1
@@ -29,6 +30,22 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def shared_object(spark: SparkSession, made: Any) -> Callable[[], Any]:
+    """Broadcast an object of a class of this package; in a task the result gives the object.
+
+    Only its plain attributes are broadcast. The class travels with the task's function, by
+    value, so workers need no install; a broadcast object itself would be pickled by reference.
+    """
+    kind, shared = type(made), spark.sparkContext.broadcast(vars(made))
+
+    def get() -> Any:
+        one = kind.__new__(kind)
+        one.__dict__.update(shared.value)
+        return one
+
+    return get
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and offsets: text i is ``data[offsets[i]:offsets[i + 1]]``.
 

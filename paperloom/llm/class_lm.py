@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.buffers import mixed, not_white, slices, text_bytes, words
+from paperloom.llm.buffers import mixed, not_white, shared_object, slices, text_bytes, words
 from paperloom.llm.folds import remainder
 from paperloom.storage import materialize
 
@@ -123,7 +123,7 @@ def _with_ends(bounds: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def unit_bigrams(docs: DataFrame, known: Lexicon) -> np.ndarray:
     """How often each unit follows each other one; at most ``UNITS`` rows reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = shared_object(docs.sparkSession, known)
     schema = "u int, counts binary"
 
     def blocks(table: np.ndarray) -> pa.RecordBatch:
@@ -131,10 +131,10 @@ def unit_bigrams(docs: DataFrame, known: Lexicon) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[u].tobytes() for u in some], pa.binary())], ["u", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((UNITS, UNITS), np.int64)
+        table, lex = np.zeros((UNITS, UNITS), np.int64), shared()
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                *_, units = shared.value.look_up(hashes, bins)
+                *_, units = lex.look_up(hashes, bins)
                 tokens, _, _ = _with_ends(bounds, units)
                 if len(tokens):
                     before = np.append(END_UNIT, tokens[:-1])
@@ -246,11 +246,11 @@ def score(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, model: ClassMo
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     train, types = int(totals["n"]), int(totals["v"])
     floor = float(np.log10(train + 0.5 * (types + 1)))
-    shared = docs.sparkSession.sparkContext.broadcast((known, model))
+    words, classes = shared_object(docs.sparkSession, known), shared_object(docs.sparkSession, model)
     ends = int(known.counts[known.hashes == END].sum())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, lm = shared.value
+        lex, lm = words(), classes()
         for batch in batches:
             for first, last, bounds, hashes, bins in _word_batches(batch):
                 n = last - first

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.buffers import byte_class, chained, mixed, slices, text_bytes, words
+from paperloom.llm.buffers import byte_class, chained, mixed, shared_object, slices, text_bytes, words
 from paperloom.llm.folds import free_name
 from paperloom.storage import materialize
 
@@ -178,11 +178,12 @@ def _judged(index: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _with_broadcast(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = shared_object(docs.sparkSession, items)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared()
         for batch in batches:
-            n_words, n_hit, n_items, digests = _judged(shared.value, batch.column("text"))
+            n_words, n_hit, n_items, digests = _judged(index, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests)],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
@@ -313,13 +314,14 @@ def without_contaminated(docs: DataFrame, items: DataFrame, share: int = 20, mos
     """
     index = _collected(items, most_words)
     if index is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = shared_object(docs.sparkSession, index)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared()
             for batch in batches:
                 for first in range(0, batch.num_rows, FILTER_ROWS):
                     part = batch.slice(first, FILTER_ROWS)
-                    n_words, n_hit, *_ = _judged(shared.value, part.column("text"))
+                    n_words, n_hit, *_ = _judged(known, part.column("text"))
                     yield part.filter(pa.array(~((n_hit > 0) & (share * n_hit >= n_words))))
 
         return docs.mapInArrow(keep, docs.schema)

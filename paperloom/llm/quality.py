@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.buffers import byte_class, mixed, not_white, run_hashes, runs, slices, text_bytes
+from paperloom.llm.buffers import byte_class, mixed, not_white, run_hashes, runs, shared_object, slices, text_bytes
 from paperloom.llm.folds import remainder
 from paperloom.storage import materialize
 
@@ -161,12 +161,13 @@ def fit(stats: DataFrame, labels: DataFrame, divisor: int = 5, held: int = 0) ->
 
 
 def scored(stats: DataFrame, model: Discriminant, divisor: int = 5, held: int = 0) -> DataFrame:
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    shared = shared_object(stats.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shared.value.scores(matrix(batch.column("stats"))))], ["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(known.scores(matrix(batch.column("stats"))))], ["doc_id", "score"]
             )
 
     kind = stats.schema["doc_id"].dataType.simpleString()
@@ -187,14 +188,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_rejects(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all columns, in one pass without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(materialize(with_statistics(docs), "statistics"), labels))
+    model = shared_object(docs.sparkSession, fit(materialize(with_statistics(docs), "statistics"), labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model()
         for batch in batches:
             data, all_offsets = text_bytes(batch.column("text"))
             for first, last in slices(all_offsets):
                 base = all_offsets[first]
                 found = statistics(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
-                yield batch.slice(first, last - first).filter(pa.array(model.value.scores(found) >= KEEP_FROM))
+                yield batch.slice(first, last - first).filter(pa.array(known.scores(found) >= KEEP_FROM))
 
     return docs.mapInArrow(keep, docs.schema)

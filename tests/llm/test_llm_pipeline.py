@@ -66,3 +66,26 @@ def test_entry_without_the_subpackage(tmp_path):
             (tmp_path / "paperloom" / name).symlink_to(f"{root}/paperloom/{name}")
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 98 and not [n for n in e.queries() if n.startswith('op1')]"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_workers_need_no_install(tmp_path):
+    """All operators and the pipeline where the workers cannot import the package."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+def lacks(batches):
+    import importlib.util
+    import pyarrow as pa
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("paperloom") is None])], ["lacks"])
+assert spark.range(1).mapInArrow(lacks, "lacks boolean").head()["lacks"]
+for name, query in entry.queries().items():
+    if name.startswith("op") or name == "pipeline":
+        assert query(spark, {SMALL!r}).count(), name
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=environment)
