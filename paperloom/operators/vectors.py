@@ -1,28 +1,19 @@
-"""Vector search: exact block scoring, inverted lists for approximate search, embeddings."""
+"""Vector search: exact join by pivots, a neighbour graph for approximate search, embeddings."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.hashing import hashed_feature
 from paperloom.functions.text import tokens
+from paperloom.operators.neighbours import BEAM, HOPS, KEPT, Graph, beam_search, neighbour_graph
+from paperloom.operators.pivots import knn_join
 from paperloom.operators.skew import top_rows
-from paperloom.storage import materialize
 
 SCORE_DIGITS = 6
-BROADCAST_QUERIES = 4096
-CHUNK_ROWS = 50_000
-QUERY_BLOCK = 256
-MOST_LISTS = 4096
-LIST_ROWS = 50_000
 
 
 def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, unit: bool = True) -> DataFrame:
@@ -51,137 +42,22 @@ def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, u
     return docs.select(id_col, counted(codes).alias("embedding"))
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    raw = queries @ vectors.T
-    if metric == "dot":
-        return raw
-    squares = np.outer((queries * queries).sum(1), (vectors * vectors).sum(1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(squares > 0, raw / np.sqrt(squares), 0.0)
-
-
-def _round_half_up(x: np.ndarray) -> np.ndarray:
-    scale = 10.0**SCORE_DIGITS
-    return np.copysign(np.floor(np.abs(x) * scale + 0.5) / scale, x) + 0.0
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: the k best by (score descending, id ascending). Shapes are 2-d."""
-    if scores.shape[1] > 4 * k:
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        kept_scores, kept_ids = [], []
-        for row in range(scores.shape[0]):
-            at = np.flatnonzero(scores[row] >= kth[row])
-            at = at[np.lexsort((ids[row][at], -scores[row][at]))][:k]
-            kept_scores.append(scores[row][at])
-            kept_ids.append(ids[row][at])
-        return np.array(kept_scores), np.array(kept_ids)
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def _search_block(query_matrix: np.ndarray, parts: Iterator[pd.DataFrame], k: int, metric: str):
-    """Running top-k of a query block over a stream of corpus batches."""
-    best_scores = np.empty((len(query_matrix), 0))
-    best_ids = np.empty((len(query_matrix), 0), dtype=np.int64)
-    for part in parts:
-        if not len(part):
-            continue
-        vectors = np.array(part["embedding"].tolist(), dtype=np.float64)
-        if vectors.ndim != 2 or vectors.shape[1] != query_matrix.shape[1]:
-            raise ValueError("query and corpus vectors differ in length")
-        ids = part["id"].to_numpy(dtype=np.int64)
-        found_scores, found_ids = [], []
-        for start in range(0, len(query_matrix), QUERY_BLOCK):
-            block = query_matrix[start : start + QUERY_BLOCK]
-            scores = _round_half_up(_scores(block, vectors, metric))
-            s, i = _best(scores, np.broadcast_to(ids, scores.shape), k)
-            found_scores.append(s)
-            found_ids.append(i)
-        best_scores, best_ids = _best(
-            np.hstack([best_scores, np.vstack(found_scores)]),
-            np.hstack([best_ids, np.vstack(found_ids)]),
-            k,
-        )
-    return best_scores, best_ids
-
-
-def _hits(query_ids: list, scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    width = scores.shape[1]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.array(query_ids, dtype=object), width),
-            "id": ids.ravel(),
-            "score": scores.ravel(),
-        }
-    )
-
-
-def vector_search(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    metric: str = "cosine",
-    broadcast_queries: int = BROADCAST_QUERIES,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", pivots: int | None = None) -> DataFrame:
     """Exact top-k of ``corpus(id, embedding)`` for each of ``queries(query_id, query_vec)``.
 
-    Each task scores its corpus rows against a block of queries by matrix product and
-    passes on k rows per query, so the shuffle carries results and never pairs. Up to
-    ``broadcast_queries`` query vectors travel to every task and the corpus is not moved
-    at all. A larger query set is cut, like the corpus, into bounded pieces, and every
-    piece of one meets every piece of the other in one bounded task.
+    A join by pivots (``operators/pivots.py``): one way for any number of queries, neither
+    side is broadcast, and only pieces of the corpus that can hold a better row are scored.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, id bigint, score double"
-    corpus = corpus.select("id", "embedding")
-    queries = queries.select("query_id", "query_vec")
-    few = queries.limit(broadcast_queries + 1).collect()
-    if len(few) <= broadcast_queries:
-        query_ids = [row["query_id"] for row in few]
-        lengths = {len(row["query_vec"]) for row in few}
-        if len(lengths) > 1:
-            raise ValueError("query vectors differ in length")
-        matrix = np.array([row["query_vec"] for row in few], dtype=np.float64)
-        shipped = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, block = shipped.value
-            if names:
-                yield _hits(names, *_search_block(block, parts, k, metric))
-
-        partial = corpus.mapInPandas(scan, schema)
-    else:
-        blocks = math.ceil(queries.count() / broadcast_queries)
-        chunks = max(1, math.ceil(corpus.count() / chunk_rows))
-
-        def cell(query_part: pd.DataFrame, corpus_part: pd.DataFrame) -> pd.DataFrame:
-            if not len(query_part) or not len(corpus_part):
-                return _hits([], np.empty((0, 0)), np.empty((0, 0), dtype=np.int64))
-            block = np.array(query_part["query_vec"].tolist(), dtype=np.float64)
-            found = _search_block(block, iter([corpus_part]), k, metric)
-            return _hits(query_part["query_id"].tolist(), *found)
-
-        def spread(df: DataFrame, key: str, own: str, pieces: int, other: str, copies: int) -> DataFrame:
-            return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int")).withColumn(
-                other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-            )
-
-        query_cells = spread(queries, "query_id", "_block", blocks, "_chunk", chunks)
-        corpus_cells = spread(corpus, "id", "_chunk", chunks, "_block", blocks)
-        partial = (
-            query_cells.groupBy("_block", "_chunk")
-            .cogroup(corpus_cells.groupBy("_block", "_chunk"))
-            .applyInPandas(cell, schema)
-        )
-    return top_rows(partial, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    one = F.lit("all").alias("collection")
+    asked, rows = queries.select("query_id", "query_vec", one), corpus.select("id", "embedding", one)
+    found = knn_join(asked, rows, k, {"all": metric}, pivots)
+    return top_rows(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def search_collections(
     queries: DataFrame, corpus: DataFrame, metrics: dict[str, str], k: int
 ) -> DataFrame:
-    """Search each named collection with its own metric.
+    """Search each named collection with its own metric, all in one join.
 
     Both inputs carry ``collection``. A query for a collection that is not configured is
     an error, as is one for a content type that has an embedder but no collection.
@@ -189,16 +65,9 @@ def search_collections(
     unknown = queries.where(~F.col("collection").isin(*metrics)).select("collection").head()
     if unknown is not None:
         raise KeyError(f"no such collection: {unknown['collection']}")
-    found = None
-    for name, metric in metrics.items():
-        part = vector_search(
-            queries.where(F.col("collection") == name),
-            corpus.where(F.col("collection") == name),
-            k,
-            metric,
-        ).withColumn("collection", F.lit(name))
-        found = part if found is None else found.unionByName(part)
-    return found
+    found = knn_join(queries, corpus.where(F.col("collection").isin(*metrics)), k, metrics)
+    ranked = top_rows(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return ranked.join(queries.select("query_id", "collection"), "query_id")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -212,51 +81,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(squares > 0, dot(a, b) / F.sqrt(squares)).otherwise(F.lit(0.0))
 
 
-def nearest_lists(centroids: np.ndarray, count: int):
-    """Column function: the ``count`` centroids nearest to a vector by angle, nearest first."""
-    units = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        scores = np.array(vectors.tolist(), dtype=np.float64) @ units.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)))
-
-    return nearest
-
-
 def vector_search_ann(
-    queries: DataFrame, corpus: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 7
+    queries: DataFrame, corpus: DataFrame, k: int, graph: Graph | None = None, beam: int = BEAM, kept: int = KEPT, hops: int = HOPS
 ) -> DataFrame:
-    """Approximate cosine top-k by inverted lists: only the vectors of ``probes`` lists are scored.
+    """Approximate cosine top-k by beam search over a neighbour graph (``operators/neighbours.py``).
 
-    K-means over all corpus vectors gives ``lists`` centroids (by default one for 25 vectors,
-    between 16 and ``MOST_LISTS``, so their broadcast is bounded); every vector is in the list
-    of its nearest one. By default a tenth of the lists is probed, and so about a tenth of
-    the pairs is scored. A list larger than ``LIST_ROWS`` is cut into pieces by its own size.
-    Vectors of zeros have no direction: they are neither found nor can they ask.
+    The graph of ``corpus(id, embedding)`` is built unless one is given; build it once for many
+    searches. Vectors of zeros have no direction: they are neither found nor can they ask.
     """
-    spoken = corpus.where(F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    size = spoken.count()
-    asking = queries.where(F.exists("query_vec", lambda x: x != 0)).select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
-    lists = min(lists or max(16, min(MOST_LISTS, size // 25)), max(size, 1))
-    probes = min(probes or max(2, lists // 10), lists)
-    if size < 2:
-        centroids = np.ones((1, 1))
-        placed = spoken.withColumn("list", F.lit(0))
-        probed = asking.withColumn("list", F.lit(0))
-    else:
-        features = spoken.select(array_to_vector("embedding").alias("features"))
-        model = KMeans(k=lists, distanceMeasure="cosine", maxIter=5, seed=seed).fit(features)
-        centroids = np.array(model.clusterCenters())
-        placed = spoken.withColumn("list", nearest_lists(centroids, 1)("embedding")[0])
-        probed = asking.withColumn("list", F.explode(nearest_lists(centroids, probes)("query_vec")))
-    placed = materialize(placed, "lists")
-    fans = placed.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / LIST_ROWS)).cast("int").alias("fan"))
-    cut = placed.join(F.broadcast(fans), "list").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int"))
-    asked = probed.join(F.broadcast(fans), "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
-    scored = asked.join(cut.drop("fan"), ["list", "piece"]).select(
-        "query_id", "id", F.round(cosine(F.col("query_vec"), F.col("embedding")), SCORE_DIGITS).alias("score")
-    )
-    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    seen = beam_search(queries, graph or neighbour_graph(corpus), beam, max(kept, k), hops)
+    return top_rows(seen, ["query_id"], [F.desc("score"), F.asc("id")], k)

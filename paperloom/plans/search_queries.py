@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from paperloom.functions.hashing import query_key
+from paperloom.operators import quality
 from paperloom.operators import retrieval as ops
 from paperloom.operators import vectors as vec
 from paperloom.plans.catalog import query
@@ -18,7 +19,7 @@ FETCH = 15
 CONFIDENCE = 0.7
 THRESHOLD = 0.1
 TYPES = ["en", "de", "fr"]
-NEAR = "SELECT query_id, id, score FROM centre_scores"
+NEAR = "SELECT query_id, id, score FROM row_scores"
 TYPED = "SELECT c.* FROM cosines c JOIN meta m ON m.doc_id = c.id WHERE m.file_type IN ('en', 'de', 'fr')"
 HITS = f"SELECT query_id, id, score FROM ({ranked('SELECT * FROM cosines', 2 * K)})"
 HITS_WIDE = f"SELECT query_id, id, score FROM ({ranked('SELECT * FROM cosines', FETCH)})"
@@ -31,8 +32,8 @@ CONTEXT = """SELECT a.query_id, string_agg(d.text, chr(10) || chr(10) ORDER BY r
              FROM answered a JOIN documents d ON d.doc_id = a.id JOIN meta m ON m.doc_id = a.id GROUP BY 1"""
 
 
-def centre_hits(t, k):
-    return vec.vector_search(t.label_centres, t.vectors, k)
+def row_hits(t, k):
+    return vec.vector_search(t.vector_queries, t.vectors, k)
 
 
 def typed_vectors(t):
@@ -57,18 +58,48 @@ def wide_answers(t):
 
 @query("vector_search", with_parts(f"SELECT query_id, id, score, rank FROM ({ranked(NEAR, FETCH)})"))
 def vector_search(t):
-    return centre_hits(t, FETCH)
+    return row_hits(t, FETCH)
 
 
 @query("vector_search_ann")
 def vector_search_ann(t):
-    """The stored vectors have no clusters, so most lists are probed to reach the recall."""
-    return vec.vector_search_ann(t.label_centres, t.vectors, 10, lists=16, probes=13)
+    return vec.vector_search_ann(t.vector_queries, t.vectors, 10)
+
+
+@query("ann_recall")
+def ann_recall(t):
+    """Per label, the share of the exact ten best that the approximate search finds, and of the pairs it scores."""
+    graph = vec.neighbour_graph(t.vectors)
+    seen = materialize(vec.beam_search(t.vector_queries, graph), "seen")
+    found = vec.top_rows(seen, ["query_id"], [F.desc("score"), F.asc("id")], 10)
+    return quality.search_recall(row_hits(t, 10), found, seen, t.vector_queries.select("query_id", "label"), ["label"], graph.nodes.count())
+
+
+GAINS = "sum(CASE WHEN label = query_label THEN 1 / log2(rank + 1) ELSE 0 END)"
+
+
+@query(
+    "search_quality",
+    with_parts(
+        f"""SELECT query_label AS label, count(*) AS queries, round(avg(hits / 10.0), 6) AS precision_at_k, round(avg(hits / least(relevant, 10)), 6) AS recall_at_k,
+                   round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(gain / ideal), 6) AS ndcg
+            FROM (SELECT query_id, query_label, CAST(sum(CASE WHEN label = query_label THEN 1 ELSE 0 END) AS DOUBLE) AS hits,
+                         min(CASE WHEN label = query_label THEN rank END) AS first, {GAINS} AS gain
+                  FROM ({ranked('SELECT * FROM row_scores WHERE id <> query_id', 10)}) GROUP BY 1, 2)
+            JOIN (SELECT label AS query_label, count(*) - 1 AS relevant, list_sum(list_transform(range(1, least(count(*) - 1, 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal
+                  FROM embeddings GROUP BY 1 HAVING count(*) > 1) USING (query_label) GROUP BY 1"""
+    ),
+)
+def search_quality(t):
+    """How well the ten nearest others of a vector have its label."""
+    hits = row_hits(t, 11).where("id <> query_id").drop("rank")
+    judged = t.vectors.select("id", "label")
+    return quality.search_quality(ops.topk_per_query(hits, 10), t.vector_queries.select("query_id", "label"), judged, 10, skip_self=True)
 
 
 @query("topk_per_query", with_parts(f"SELECT query_id, id, score, rank FROM ({ranked(NEAR, K)})"))
 def topk_per_query(t):
-    return ops.topk_per_query(centre_hits(t, FETCH), K)
+    return ops.topk_per_query(row_hits(t, FETCH), K)
 
 
 @query(
@@ -76,12 +107,12 @@ def topk_per_query(t):
     with_parts(f"SELECT query_id, id, score FROM ({ranked(NEAR, 100)}) ORDER BY score DESC, id LIMIT 100"),
 )
 def topk_global(t):
-    return ops.topk_global(centre_hits(t, 100).drop("rank"), 100)
+    return ops.topk_global(row_hits(t, 100).drop("rank"), 100)
 
 
 @query("confidence_filter", with_parts(f"SELECT query_id, id, score, rank FROM ({ranked(NEAR, FETCH)}) WHERE score >= 0.4"))
 def confidence_filter(t):
-    return ops.confidence_filter(centre_hits(t, FETCH), 0.4)
+    return ops.confidence_filter(row_hits(t, FETCH), 0.4)
 
 
 @query(
@@ -106,14 +137,15 @@ def payload_filter(t):
     "multi_collection_search",
     with_parts(
         f"SELECT query_id, id, score, rank, collection FROM ({ranked('SELECT * FROM both_scores', K)})",
-        both_scores="""SELECT c.query_id, c.collection, e.vec_id AS id,
-            round(CASE WHEN collection = 'code' THEN list_dot_product(query_vec, CAST(embedding AS DOUBLE[]))
-                       ELSE list_cosine_similarity(query_vec, CAST(embedding AS DOUBLE[])) END, 6) AS score
-            FROM centres c JOIN embeddings e ON (CASE WHEN e.label % 2 = 1 THEN 'code' ELSE 'default' END) = c.collection""",
+        both_scores="""SELECT q.vec_id AS query_id, q.collection, e.vec_id AS id,
+            round(CASE WHEN q.collection = 'code' THEN list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
+                       ELSE list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) END, 6) AS score
+            FROM (SELECT *, CASE WHEN label % 2 = 1 THEN 'code' ELSE 'default' END AS collection FROM embeddings WHERE vec_id % 20 = 0) q
+            JOIN embeddings e ON (CASE WHEN e.label % 2 = 1 THEN 'code' ELSE 'default' END) = q.collection""",
     ),
 )
 def multi_collection_search(t):
-    return vec.search_collections(t.label_centres, t.vectors, {"default": "cosine", "code": "dot"}, K)
+    return vec.search_collections(t.vector_queries, t.vectors, {"default": "cosine", "code": "dot"}, K)
 
 
 @query("embed_hashing", with_parts(

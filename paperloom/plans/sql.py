@@ -125,16 +125,10 @@ PARTS = {
         SELECT h.query_id, h.id, h.score,
                coalesce(round(bm25 / max(bm25) OVER (PARTITION BY h.query_id), 6), 0) AS rerank_score
         FROM hits h LEFT JOIN bm25 b ON b.query_id = h.query_id AND b.id = h.id""",
-    "centres": """
-        SELECT label AS query_id, CASE WHEN label % 2 = 1 THEN 'code' ELSE 'default' END AS collection,
-               list(x ORDER BY i) AS query_vec
-        FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x
-              FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2)
-        GROUP BY label""",
-    "centre_scores": """
-        SELECT c.query_id, e.vec_id AS id,
-               round(list_cosine_similarity(query_vec, CAST(embedding AS DOUBLE[])), 6) AS score
-        FROM centres c CROSS JOIN embeddings e""",
+    "row_scores": """
+        SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS query_label, e.label,
+               round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0""",
 }
 
 

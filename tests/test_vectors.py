@@ -1,8 +1,13 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.operators import neighbours, pivots, quality
 from paperloom.operators import vectors as vec
+from paperloom.plans import search_queries
 
 
 def frame(spark, names, matrix, id_col, vec_col, kind):
@@ -41,13 +46,44 @@ def by_query(found):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
-@pytest.mark.parametrize("limits", [(4096, 50_000), (7, 100)])
-def test_exact_search_small_and_large_query_sets(sample, metric, limits):
+@pytest.mark.parametrize("limits", [(256, 20_000, 20_000), (5, 40, 7)])
+def test_exact_search_in_whole_and_cut_pieces(sample, monkeypatch, metric, limits):
     queries, corpus, q, c = sample
-    found = vec.vector_search(q, c, 6, metric, *limits)
+    for name, value in zip(("PIVOTS", "PIECE_ROWS", "QUERY_ROWS"), limits, strict=True):
+        monkeypatch.setattr(pivots, name, value)
+    found = vec.vector_search(q, c, 6, metric)
     assert by_query(found) == brute(queries, corpus, 6, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_zeros_lengths_and_short_collections(spark, metric):
+    rng = np.random.default_rng(4)
+    corpus = rng.standard_normal((200, 8)) * rng.choice([0.01, 1.0, 30.0], (200, 1))
+    corpus[::9], corpus[5] = 0.0, -corpus[6]
+    queries = np.vstack([rng.standard_normal((10, 8)), np.zeros((1, 8)), corpus[6:8]])
+    q = frame(spark, [f"q{i}" for i in range(len(queries))], queries, "query_id", "query_vec", "string")
+    c = frame(spark, range(200), corpus, "id", "embedding", "bigint")
+    found = by_query(vec.vector_search(q, c, 25, metric, 7))
+    with np.errstate(invalid="ignore"):
+        raw = queries @ corpus.T
+        if metric == "cosine":
+            raw = np.nan_to_num(raw / np.sqrt(np.outer((queries**2).sum(1), (corpus**2).sum(1))))
+    scores = pivots.rounded(raw)
+    assert found == {f"q{i}": sorted(range(200), key=lambda j: (-scores[i][j], j))[:25] for i in range(len(queries))}
+    assert vec.vector_search(q, c.limit(3), 25, metric).count() == 3 * len(queries)
+
+
+def test_bounds_leave_clustered_rows_alone(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16))
+    corpus = np.repeat(centres, 50, axis=0) + 0.1 * rng.standard_normal((2000, 16))
+    c = frame(spark, range(2000), corpus, "id", "embedding", "bigint")
+    q = frame(spark, [f"q{i}" for i in range(40)], corpus[::50], "query_id", "query_vec", "string")
+    one = F.lit("all").alias("collection")
+    work = pivots.search_work(q.select("*", one), c.select("*", one), 10, {"all": "cosine"}).agg(F.sum("rows_scored"), F.sum("rows")).head()
+    assert work[0] < 0.25 * work[1]
+
+
 def test_equal_scores_go_by_id_and_top_k_is_monotone(sample):
     _, _, q, c = sample
     five, ten = by_query(vec.vector_search(q, c, 5)), by_query(vec.vector_search(q, c, 10))
@@ -90,24 +126,45 @@ def recall(exact, near):
     return sum(len(set(exact[n]) & set(near.get(n, []))) for n in exact) / sum(map(len, exact.values()))
 
 
-def test_lists_find_neighbours_among_a_tenth_of_clustered_vectors(spark):
+def test_graph_finds_neighbours_of_clustered_vectors(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((25, 32))
     corpus = np.repeat(centres, 40, axis=0) + 0.2 * rng.standard_normal((1000, 32))
+    corpus[900:] = corpus[899]
     q = frame(spark, [f"q{i}" for i in range(25)], centres, "query_id", "query_vec", "string")
     c = frame(spark, range(1000), corpus, "id", "embedding", "bigint")
-    near = by_query(vec.vector_search_ann(q, c, 10))  # 4 of 40 lists
-    assert recall(by_query(vec.vector_search(q, c, 10)), near) >= 0.95
-
-
-def test_lists_on_the_stored_vectors(spark, tables):
-    exact = by_query(vec.vector_search(tables.label_centres, tables.vectors, 10))
-    found = vec.vector_search_ann(tables.label_centres, tables.vectors, 10, lists=16, probes=13)
-    assert recall(exact, by_query(found)) >= 0.9
-    every = vec.vector_search_ann(tables.label_centres, tables.vectors, 10, lists=16, probes=16)
-    assert by_query(every) == exact
-    few = vec.vector_search_ann(tables.label_centres, tables.vectors.limit(1), 3)
-    assert few.count() == tables.label_centres.count()
+    near = vec.vector_search_ann(q, c, 10)
+    assert recall(by_query(vec.vector_search(q, c, 10)), by_query(near)) >= 0.95
+
+
+def test_graph_recall_on_the_stored_vectors(spark, tables):
+    rows = search_queries.ann_recall(tables).collect()
+    assert sum(r["recall"] * r["queries"] for r in rows) / sum(r["queries"] for r in rows) >= 0.9
+    assert all(r["scored_share"] < 0.9 for r in rows)
+    assert sum(r["queries"] for r in rows) == tables.vectors.where("id % 20 = 0").count()
+
+
+def test_graph_of_few_or_no_vectors(spark, tables):
+    few = vec.vector_search_ann(tables.vector_queries, tables.vectors.limit(1), 3)
+    assert few.count() == tables.vector_queries.count()
+    assert vec.vector_search_ann(tables.vector_queries, tables.vectors.where("false"), 3).count() == 0
+    zeros = frame(spark, [1, 2], [[0.0] * 64, [1.0] * 64], "id", "embedding", "bigint")
+    assert {r["id"] for r in vec.vector_search_ann(tables.vector_queries, zeros, 3).collect()} == {2}
+
+
+def test_groups_of_sorted_batches():
+    table = pa.table({"k": [1, 1, 2, 2, 2, 3], "v": list(range(6))})
+    batches = [b for part in (table.slice(0, 1), table.slice(1, 3), table.slice(4)) for b in part.to_batches()]
+    assert [t.column("v").to_pylist() for t in neighbours.groups(iter(batches), ["k"])] == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_quality_counts_queries_without_hits(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "query_id int, id int, rank int")
+    queries = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 9)], "query_id int, label int")
+    judged = spark.createDataFrame([(10, 1), (11, 0), (12, 1), (13, 0)], "id int, label int")
+    rows = {r["label"]: tuple(r)[1:] for r in quality.search_quality(hits, queries, judged, 2).collect()}
+    assert rows[0] == (2, 0.25, 0.25, 0.25, round((1 / math.log2(3)) / (1 + 1 / math.log2(3)) / 2, 6))
+    assert rows[1] == (1, 0.5, 0.5, 1.0, round(1 / (1 + 1 / math.log2(3)), 6)) and set(rows) == {0, 1}
 
 
 def test_embeddings_are_unit_or_whole(spark):
