@@ -35,6 +35,7 @@ def load() -> None:
         cache_queries,
         compliance_queries,
         enrich_queries,
+        link_queries,
         metric_queries,
         search_queries,
         source_queries,
