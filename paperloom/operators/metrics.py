@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators.skew import number_rows
+from paperloom.operators.skew import running_totals
+from paperloom.storage import materialize
 
 
 def query_kpis(history: DataFrame, docs: DataFrame) -> DataFrame:
@@ -70,20 +73,20 @@ def throughput_by_hour(log: DataFrame) -> DataFrame:
 def latency_percentiles(log: DataFrame, key: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact interpolated percentiles per key.
 
-    Rows are numbered by a distributed sort and only those next to a wanted position are
-    kept, so no task holds the values of a whole group. A null key is a group, and a group
+    Rows are counted by (key, value) first, so a value that very many rows share is one row,
+    and the distinct values get running counts by a distributed sort; no task holds a group. Of
+    these only the ones at a wanted position are kept. A null key is a group, and a group
     without values has null percentiles.
     """
-    sizes = log.groupBy(key).agg(F.count("latency_ms").alias("_size"))
-    numbered = number_rows(log.where(F.col("latency_ms").isNotNull()).select(key, "latency_ms"), [key], [F.asc("latency_ms")])
-    wanted = sizes.select(key, "_size", F.explode(F.array(*(F.lit(p) for p in points))).alias("_p")).withColumn(
-        "_pos", F.col("_p") * (F.col("_size") - 1) + 1
-    )
-    edges = wanted.select(
-        key, "_p", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("rn")
-    )
-    values = numbered.select(F.col(key).alias("_key"), F.col("rn").alias("_rn"), "latency_ms")
-    near = edges.join(values, edges[key].eqNullSafe(F.col("_key")) & (F.col("rn") == F.col("_rn")))
+    counted = log.groupBy(key, "latency_ms").agg(F.count("latency_ms").alias("_n"))
+    counted = materialize(counted, "value-counts")
+    sizes = materialize(counted.groupBy(key).agg(F.sum("_n").alias("_size")), "sizes")
+    totals = running_totals(counted.where(F.col("latency_ms").isNotNull()), [key], [F.asc("latency_ms")], "_n", "_upto")
+    named = sizes.select(F.col(key).alias("_key"), "_size")
+    position = F.transform(F.array(*(F.lit(p) for p in points)), lambda p: F.struct(p.alias("_p"), (p * (F.col("_size") - 1) + 1).alias("_pos")))
+    edges = F.flatten(F.transform(position, lambda e: F.transform(F.array_distinct(F.array(F.floor(e["_pos"]), F.ceil(e["_pos"]))), lambda rn: F.struct(e["_p"].alias("_p"), e["_pos"].alias("_pos"), rn.alias("rn")))))
+    held = F.filter(edges, lambda e: (e["rn"] > F.col("_upto") - F.col("_n")) & (e["rn"] <= F.col("_upto")))
+    near = totals.join(named, F.col(key).eqNullSafe(F.col("_key"))).select(key, "latency_ms", F.explode(held).alias("e")).select(key, "latency_ms", "e.*")
     low = F.min_by("latency_ms", "rn")
     high = F.max_by("latency_ms", "rn")
     value = near.groupBy(key, "_p").agg(
@@ -130,3 +133,40 @@ def routing_effect(attempts: DataFrame) -> DataFrame:
         F.round(F.avg((F.col("tries") > 1).cast("int")), 6).alias("fallback_rate"),
         F.round(F.avg(F.col("solved").cast("int")), 6).alias("solved_rate"),
     )
+
+
+def latency_sketches(log: DataFrame, keys: list[str], size: int = 200) -> DataFrame:
+    """A mergeable quantile sketch (KLL) per day and ``keys``, to be stored; ``n`` values each.
+
+    A sketch has a bounded size whatever it has seen, and is merged in parts before the
+    exchange. The rank error is about 1.7 / ``size`` at 99 % confidence.
+    """
+    day = F.to_date("timestamp").alias("day")
+    return log.where(F.col("latency_ms").isNotNull()).groupBy(day, *keys).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double("latency_ms", F.lit(size)).alias("sketch")
+    )
+
+
+def sketched_percentiles(sketches: DataFrame, keys: list[str], first: date, last: date, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """``keys, n, p, value`` of any period of whole days, from stored sketches alone."""
+    chosen = sketches.where(F.col("day").between(F.lit(first), F.lit(last)))
+    merged = chosen.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    values = [F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("value")) for p in points]
+    return merged.select(*keys, "n", F.explode(F.array(*values)).alias("_v")).select(*keys, "n", "_v.*")
+
+
+def rank_errors(log: DataFrame, estimates: DataFrame, key: str) -> DataFrame:
+    """``key, n, p, error``: how far the true ranks of estimated percentiles are from the wanted ones.
+
+    The share of values below the estimate and the share up to it enclose the ranks it
+    stands for; within them the error is 0.
+    """
+    counted = log.where(F.col("latency_ms").isNotNull()).groupBy(key, "latency_ms").agg(F.count("*").alias("c"))
+    named = estimates.select(F.col(key).alias("_key"), "n", "p", "value")
+    both = counted.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("_key")))
+    shares = both.groupBy(key, "n", "p", "value").agg(
+        F.sum(F.when(F.col("latency_ms") < F.col("value"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("latency_ms") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"),
+    )
+    error = F.greatest(F.col("below") / F.col("n") - F.col("p"), F.col("p") - F.col("upto") / F.col("n"), F.lit(0.0))
+    return shares.select(key, "n", "p", error.alias("error"))

@@ -114,6 +114,22 @@ def number_rows(
     )
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], weight: str, name: str = "upto") -> DataFrame:
+    """Sum of ``weight`` of all rows up to each one inside its ``keys`` group, as ``number_rows`` numbers them."""
+    ordered = df.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    stored = materialize(ordered).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    runs = stored.groupBy("_part", *keys).agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    named = runs.select(F.col("_part").alias("_run"), *(F.col(k).alias(f"_run_{k}") for k in keys), "_before")
+    same = F.col("_part") == F.col("_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_run_{k}"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = stored.withColumn("_here", F.sum(weight).over(inside)).join(named, same)
+    return counted.withColumn(name, F.col("_here") + F.col("_before")).drop("_at", "_part", "_here", "_before", "_run", *(f"_run_{k}" for k in keys))
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group; Spark cuts to k inside each task before the shuffle."""
     ranked = Window.partitionBy(*keys).orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import metrics as ops
@@ -9,6 +11,7 @@ from paperloom.operators.metadata import with_status
 from paperloom.plans.catalog import query
 from paperloom.plans.fixtures import HANDLERS
 from paperloom.plans.sql import with_parts
+from paperloom.storage import materialize
 
 ERRORS = "SELECT 'query_' || document_id || '_error' AS error_key FROM audit WHERE action = 'error'"
 
@@ -86,6 +89,19 @@ def latency_percentiles(t):
     return ops.latency_percentiles(t.audit, "action")
 
 
+@query(
+    "latency_sketch_percentiles",
+    """SELECT event_type AS action, count(value) AS n, CAST(p.p AS DOUBLE) AS p, true AS within_bound
+       FROM events CROSS JOIN (VALUES (0.5), (0.95), (0.99)) p(p) GROUP BY ALL""",
+)
+def latency_sketch_percentiles(t):
+    """Percentiles of the whole period from stored daily sketches, judged by the true ranks of all values."""
+    stored = materialize(ops.latency_sketches(t.audit, ["action"]), "sketches")
+    estimates = ops.sketched_percentiles(stored, ["action"], date(1970, 1, 1), date(9999, 12, 31))
+    found = ops.rank_errors(t.audit, materialize(estimates, "estimates"), "action")
+    return found.select("action", "n", "p", (F.col("error") <= 0.02).alias("within_bound"))
+
+
 @query("feedback_average", "SELECT count(quality) AS ratings, round(avg(quality), 6) AS avg_feedback FROM labels")
 def feedback_average(t):
     return ops.feedback_average(t.labels.select(F.col("quality").alias("score")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.plans.catalog import query
-from paperloom.plans.fixtures import CUSTOMER, docx_files, mail_files, pptx_files, xlsx_files
+from paperloom.plans.fixtures import AS_OF, CUSTOMER, EPOCH, docx_files, mail_files, pptx_files, xlsx_files
 from paperloom.plans.sql import with_parts
-from paperloom.sources import files, listings, parsers, sinks
+from paperloom.sources import files, listings, parsers, sinks, sync
 from paperloom.storage import scratch_path
 
 LINES = """SELECT d.doc_id || '{suffix}' AS path, o2 AS position, line AS value FROM (
@@ -117,6 +117,43 @@ def incremental_sync(t):
     return listings.incremental_sync(orders.select("o_orderkey", "o_orderdate"), held, "o_orderkey", "o_orderdate")
 
 
+KEPT_ORDERS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def landed_orders(t):
+    """The source lacks the open orders; the target held all but the pending ones, the urgent ones at another price."""
+    orders = t.read("orders").select("o_orderkey", *KEPT_ORDERS)
+    price = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.where("o_orderstatus <> 'O'"), orders.where("o_orderstatus <> 'P'").withColumn("o_totalprice", price)
+
+
+CHANGES = """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'deleted' WHEN o_orderstatus = 'P' THEN 'new' ELSE 'changed' END AS change
+             FROM orders WHERE o_orderstatus IN ('O', 'P') OR o_orderpriority = '1-URGENT'"""
+
+
+@query("digest_sync", CHANGES)
+def digest_sync(t):
+    """New, changed and deleted orders, found by digests of buckets of keys."""
+    return sync.digest_changes(*landed_orders(t), "o_orderkey", KEPT_ORDERS)
+
+
+@query(
+    "sync_versions",
+    """WITH held AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+                            o_orderpriority, o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' AS ends FROM orders WHERE o_orderstatus <> 'P')
+       SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, TIMESTAMP '2024-01-01' AS valid_from,
+              CASE WHEN ends THEN TIMESTAMP '2024-01-31' END AS valid_to FROM held
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, TIMESTAMP '2024-01-31', NULL FROM orders
+       WHERE o_orderstatus = 'P' OR o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT'""",
+)
+def sync_versions(t):
+    """The versions of all orders after that sync."""
+    source, held = landed_orders(t)
+    since, none = F.lit(EPOCH).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    history = held.withColumns({"valid_from": since, "valid_to": none})
+    return sync.synced_versions(history, source, "o_orderkey", KEPT_ORDERS, F.lit(AS_OF).cast("timestamp_ntz"))
+
+
 ADDED = """SELECT doc_id, quality, CAST(-1 AS INTEGER) AS toxic FROM labels
            UNION ALL SELECT doc_id, quality, toxic FROM labels"""
 

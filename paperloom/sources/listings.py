@@ -35,6 +35,6 @@ def incremental_sync(source: DataFrame, target: DataFrame, key: str, modified: s
     """
     seen = target.groupBy(key).agg(F.max(modified).alias("_seen"), F.lit(True).alias("_known"))
     joined = source.join(seen, key, "left")
-    later = F.col(modified) > F.coalesce("_seen", F.lit("0001-01-01").cast("timestamp_ntz"))
+    later = (F.col("_seen").isNull() & F.col(modified).isNotNull()) | (F.col(modified) > F.col("_seen"))
     change = F.when(F.col("_known").isNull(), "new").when(later, "changed")
     return joined.withColumn("change", change).where(F.col("change").isNotNull()).drop("_seen", "_known")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
 from paperloom.storage import scratch_path
@@ -24,15 +29,14 @@ def run_to_batches(stream: DataFrame, name: str, prepare, mode: str = "append",
     """Process everything available through ``foreachBatch`` and read all batches back.
 
     A batch is written to a folder of its own number, so a repeated batch replaces itself.
-    ``prepare`` gets a batch and the rows of all earlier ones (None for the first). With a
+    ``prepare`` gets a batch alone; what earlier ones left is in the state store. With a
     ``path`` of the caller's, a later call resumes where an earlier one stopped or failed.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        earlier = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") < number) if number else None
-        prepare(batch, earlier).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        prepare(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -52,27 +56,37 @@ def daily_usage(log: DataFrame) -> DataFrame:
 
 def run_daily_usage(log: DataFrame, name: str = "daily-usage", path: str | None = None) -> DataFrame:
     """Uses of every day, the open one included; counts only grow, so the largest is the newest."""
-    updates = run_to_batches(daily_usage(log), name, lambda batch, _: batch, "update", path)
+    updates = run_to_batches(daily_usage(log), name, lambda batch: batch, "update", path)
     return updates.groupBy("day").agg(F.max("uses").alias("uses"))
 
 
+def first_seen(docs: DataFrame) -> DataFrame:
+    """Per id the newest row of its first batch, for update mode; a later batch changes the arrival range.
+
+    The state holds one row an id. ``_since`` and ``_until`` are the times of the first and the last
+    batch that had the id, which are equal in the batch that brings it.
+    """
+    arrived = docs.withColumn("_arrived", F.current_timestamp())
+    newest = F.max_by(F.struct(*docs.columns), F.struct("creation_date", "checksum"))
+    return arrived.groupBy("doc_id").agg(newest.alias("_row"), F.min("_arrived").alias("_since"), F.max("_arrived").alias("_until"))
+
+
 def run_ingest(docs: DataFrame, name: str = "ingest", path: str | None = None) -> DataFrame:
     """Each document once, however often and in whatever order it arrives.
 
-    What was stored by earlier batches is left out of a new one by an anti-join on the id
-    column, so no date decides over a document. Of one id in a batch the newest stays.
+    Known ids are in the state store, by key, so a batch reads what it touches and never the
+    rows that are stored. No date decides over a document. Of one id in a batch the newest stays.
     """
 
-    def fresh(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-        once = upsert_latest(batch, ["doc_id"], ["creation_date", "checksum"])
-        return once if earlier is None else once.join(earlier.select("doc_id"), "doc_id", "left_anti")
+    def fresh(batch: DataFrame) -> DataFrame:
+        return batch.where("_since = _until").select("_row.*")
 
-    return run_to_batches(docs, name, fresh, path=path).drop("batch")
+    return run_to_batches(first_seen(docs), name, fresh, "update", path).drop("batch")
 
 
 def cache_change_log(changes: DataFrame, name: str = "cache-changes", path: str | None = None) -> DataFrame:
     """Stored changes, already cut to the last one per key inside each batch."""
-    return run_to_batches(changes, name, lambda batch, _: upsert_latest(batch, ["key"], ["written_at", "seq"]), path=path)
+    return run_to_batches(changes, name, lambda batch: upsert_latest(batch, ["key"], ["written_at", "seq"]), path=path)
 
 
 def current_cache(change_log: DataFrame) -> DataFrame:
@@ -89,18 +103,66 @@ def user_totals(log: DataFrame) -> DataFrame:
 
 def run_user_totals(log: DataFrame, name: str = "user-totals") -> DataFrame:
     """Keep the newest total of every user; counts only grow, so the largest is the newest."""
-    updates = run_to_batches(user_totals(log), name, lambda batch, _: batch, "update")
+    updates = run_to_batches(user_totals(log), name, lambda batch: batch, "update")
     return upsert_latest(updates.drop("batch"), ["user_id"], ["actions"])
 
 
-def run_latency_ewma(log: DataFrame, key: str, name: str = "latency-ewma", path: str | None = None) -> DataFrame:
+#: Newer rows after which an older finite one weighs nothing: 2^-1100 of the largest double is below any digit.
+KEEP = 1100
+#: A key's rows are spread over so many states, so that one key may hold any share of a log.
+PARTS = 16
+KEPT = "n bigint, endless double, at array<bigint>, id array<bigint>, x array<double>, none array<boolean>"
+
+
+def newest_rows(log: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Keyed state of a latency log ``key, timestamp, event_id, latency_ms``, for update mode.
+
+    Per key and part: the number of rows, the ``KEEP`` newest of them, and the sum of older
+    values that are not finite, which stay for ever. Rows may come in any order: a late one
+    is put in its place, or is older than all that matters.
+    """
+
+    def keep(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, endless, *kept = state.get if state.exists else (0, 0.0, [], [], [], [])
+        held = pd.DataFrame(dict(zip(("at", "id", "x", "none"), kept, strict=True)))
+        for batch in batches:
+            n += len(batch)
+            held = pd.concat([held, batch[["at", "id", "x", "none"]]]) if len(held) else batch[["at", "id", "x", "none"]]
+            held = held.sort_values(["at", "id"], ascending=False, kind="stable")
+            older = held.iloc[KEEP:]
+            older = older[~older["none"].astype(bool)]["x"]
+            endless += float(older[~np.isfinite(older)].sum(skipna=False)) if len(older) else 0.0
+            held = held.iloc[:KEEP]
+        columns = [held[c].tolist() for c in ("at", "id", "x", "none")]
+        columns[3] = [bool(v) for v in columns[3]]
+        state.update((n, endless, *columns))
+        yield pd.DataFrame({"key": [group[0]], "part": [group[1]], "n": [n], "endless": [endless], **dict(zip(("at", "id", "x", "none"), ([c] for c in columns), strict=True))})
+
+    rows = log.select(
+        "key",
+        F.pmod(F.xxhash64("event_id"), F.lit(parts)).cast("int").alias("part"),
+        F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(2**63))).alias("at"),
+        F.coalesce(F.col("event_id").cast("bigint"), F.lit(-1)).alias("id"),
+        F.coalesce("latency_ms", F.lit(0.0)).cast("double").alias("x"),
+        F.col("latency_ms").isNull().alias("none"),
+    )
+    kind = log.schema["key"].dataType.simpleString()
+    return rows.groupBy("key", "part").applyInPandasWithState(keep, f"key {kind}, part int, {KEPT}", KEPT, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_latency_ewma(log: DataFrame, key: str, name: str = "latency-ewma", path: str | None = None, parts: int = PARTS) -> DataFrame:
     """Running latency average per key, whatever the order in which batches arrive.
 
-    Batches are stored as they come; the average is taken over the stored rows in log order
-    by a distributed sort, so a late batch only changes the numbers it should.
+    The newest rows of every key are keyed state; the average is taken over those alone, so no
+    stored log is sorted again.
     """
     rows = log.select(F.col(key).alias("key"), "timestamp", "event_id", "latency_ms")
-    stored = run_to_batches(rows, name, lambda batch, _: batch, path=path)
-    averages = latency_ewma(stored, ["key"], ["timestamp", "event_id"], "latency_ms").withColumnRenamed("key", "_key")
-    counts = stored.groupBy("key").agg(F.count("*").alias("n"))
-    return counts.join(averages, F.col("key").eqNullSafe(F.col("_key"))).select("key", "n", "ewma_ms")
+    updates = run_to_batches(newest_rows(rows, parts), name, lambda batch: batch, "update", path)
+    last = updates.groupBy("key", "part").agg(F.max_by(F.struct("n", "endless", "at", "id", "x", "none"), "n").alias("s")).select("key", "s.*")
+    kept = last.select("key", F.explode(F.arrays_zip("at", "id", "x", "none")).alias("r")).select(
+        "key", "r.at", "r.id", F.when(~F.col("r.none"), F.col("r.x")).alias("latency_ms")
+    )
+    averages = latency_ewma(kept, ["key"], ["at", "id"], "latency_ms", None).withColumnRenamed("key", "_key")
+    totals = last.groupBy("key").agg(F.sum("n").alias("n"), F.sum("endless").alias("_endless"))
+    average = F.round(F.col("ewma_ms") + F.col("_endless"), 6)
+    return totals.join(averages, F.col("key").eqNullSafe(F.col("_key"))).select("key", "n", average.alias("ewma_ms"))

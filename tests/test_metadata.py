@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom.config import IngestConfig
@@ -101,3 +102,27 @@ def test_sync_knows_rows_without_a_time(spark):
     source = spark.createDataFrame([(1, new), (2, new), (3, new), (4, old), (5, None)], kind)
     target = spark.createDataFrame([(1, None), (2, old), (2, new), (4, new), (5, None)], kind)
     assert {r["k"]: r["change"] for r in incremental_sync(source, target, "k", "m").collect()} == {1: "changed", 3: "new"}
+
+
+def test_percentiles_when_one_value_has_most_rows(spark):
+    rows = [("a", 7.0)] * 900 + [("a", float(i)) for i in range(100)] + [("b", 1.0), ("b", 2.0)]
+    got = {r["k"]: tuple(r)[1:] for r in metrics.latency_percentiles(spark.createDataFrame(rows, "k string, latency_ms double").repartition(3), "k").collect()}
+    values = [v for k, v in rows if k == "a"]
+    assert got["a"] == tuple(round(float(np.percentile(values, p)), 6) for p in (50, 95, 99))
+    assert got["b"] == (1.5, 1.95, 1.99)
+
+
+def test_daily_sketches_merge_to_any_period(spark):
+    from datetime import date
+
+    rng = np.random.default_rng(1)
+    values = rng.lognormal(3, 1, 30_000)
+    rows = [(f"k{i % 2}", datetime(2024, 1, 1 + i % 5), float(v)) for i, v in enumerate(values)]
+    log = spark.createDataFrame(rows, "k string, timestamp timestamp_ntz, latency_ms double").repartition(7)
+    stored = metrics.latency_sketches(log, ["k"])
+    assert stored.count() == 10 and stored.selectExpr("max(length(sketch))").head()[0] < 20_000
+    for first, last in ((date(2024, 1, 1), date(2024, 1, 5)), (date(2024, 1, 2), date(2024, 1, 3))):
+        part = log.where(F.to_date("timestamp").between(first, last))
+        found = metrics.rank_errors(part, metrics.sketched_percentiles(stored, ["k"], first, last), "k").collect()
+        assert len(found) == 6 and max(r["error"] for r in found) < 0.02
+        assert {(r["k"], r["n"]) for r in found} == {(r["k"], r["count"]) for r in part.groupBy("k").count().collect()}

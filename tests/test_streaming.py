@@ -1,7 +1,11 @@
 import glob
+import random
 import shutil
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
 from paperloom.operators.metrics import daily_usage
@@ -74,3 +78,54 @@ def test_usage_has_every_day_and_averages_any_order(spark, tables, tmp_path):
     averages = {r["key"]: r["ewma_ms"] for r in jobs.run_latency_ewma(stream(), "action").collect()}
     expected = latency_ewma(tables.audit, ["action"], ["timestamp", "event_id"], "latency_ms").collect()
     assert averages == {r["action"]: r["ewma_ms"] for r in expected}
+
+
+def test_averages_from_bounded_state_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [("a", start + timedelta(seconds=i), i, rng.choice([1.0, 250.5, 1e300, None])) for i in range(4000)]
+    rows += [("b", start + timedelta(seconds=i // 3), i, float(i)) for i in range(4000, 4300)] + [("c", start, 1, float("inf"))]
+    rows += [("c", start + timedelta(seconds=i), i, 1.0) for i in range(5000, 6500)] + [(None, start, 9000, 3.0)]
+    kind = "action string, timestamp timestamp_ntz, event_id bigint, latency_ms double"
+    whole = spark.createDataFrame(rows, kind)
+    rng.shuffle(rows)
+    for part in range(5):
+        spark.createDataFrame(rows[part::5], kind).coalesce(1).write.parquet(f"{tmp_path}/p{part}")
+        shutil.copy(glob.glob(f"{tmp_path}/p{part}/*.parquet")[0], f"{tmp_path}/log-{part}.parquet")
+    stream = jobs.read_table_stream(spark, str(tmp_path), "log", whole.schema, 1)
+    path = f"{tmp_path}/state"
+    got = {r["key"]: (r["n"], r["ewma_ms"]) for r in jobs.run_latency_ewma(stream, "action", path=path, parts=1).collect()}
+    counts = {r["action"]: r["count"] for r in whole.groupBy("action").count().collect()}
+    expected = latency_ewma(whole, ["action"], ["timestamp", "event_id"], "latency_ms").collect()
+    assert got == {r["action"]: (counts[r["action"]], r["ewma_ms"]) for r in expected}
+    updates = spark.read.parquet(f"{path}/rows")
+    assert updates.agg(F.max(F.size("at"))).head()[0] == jobs.KEEP
+
+
+def test_a_batch_of_ingest_touches_its_own_ids_only(spark, tmp_path):
+    kind = "doc_id bigint, file_path string, checksum string, size_bytes bigint, creation_date timestamp_ntz"
+    for part in range(6):
+        rows = [(i, f"f{i}", f"c{part}", part, datetime(2024, 1, 1)) for i in range(part * 50, part * 50 + 60)]  # ten ids come again
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/p{part}")
+        shutil.copy(glob.glob(f"{tmp_path}/p{part}/*.parquet")[0], f"{tmp_path}/documents-{part}.parquet")
+    stream = jobs.read_table_stream(spark, str(tmp_path), "documents", spark.createDataFrame([], kind).schema, 1)
+    touched = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+
+        def onQueryProgress(self, event):
+            touched.extend(s.numRowsUpdated for s in event.progress.stateOperators if event.progress.numInputRows)
+
+        def onQueryIdle(self, event): ...
+
+        def onQueryTerminated(self, event): ...
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    found = jobs.run_ingest(stream, path=f"{tmp_path}/state").collect()
+    time.sleep(2)
+    spark.streams.removeListener(listener)
+    assert sorted(r["doc_id"] for r in found) == list(range(310))
+    assert all(r["checksum"] == f"c{max(0, (r['doc_id'] - 10) // 50) if r['doc_id'] % 50 < 10 else r['doc_id'] // 50}" for r in found)
+    assert touched == [60] * 6
