@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
 
 
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For a column of word lists in a task: row and code of every word, and the words by code."""
+    sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    if column.null_count:
+        sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    encoded = column.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(sizes)), sizes), encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+
+
 def shingles(words: Column, width: int) -> Column:
     """Distinct runs of ``width`` consecutive words; empty for shorter texts.
 

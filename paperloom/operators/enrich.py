@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,34 +90,42 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     return masked.select("doc_id", F.explode(F.concat(*found)).alias("_e")).select("doc_id", "_e.*")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """Word counts per document. Whole texts are placed by id, so no word row is exchanged."""
-    placed = docs.select("doc_id", "text").repartition("doc_id")
-    return (
-        placed.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def term_lists(docs: DataFrame) -> DataFrame:
+    """``doc_id, len, terms``: number of words, and each distinct word with its count, inside the row.
 
+    Words are split in Spark and counted in batches, so nothing is exchanged. A null text has
+    no length and no terms.
+    """
 
-def document_frequency(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """Number of documents per word, of ``asked(term)`` words only if given.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            owner, codes, distinct = tx.word_codes(words)
+            pairs, times = np.unique(owner * max(len(distinct), 1) + codes, return_counts=True)
+            row, code = np.divmod(pairs, max(len(distinct), 1))
+            terms = pa.StructArray.from_arrays([pa.array(distinct, pa.string()).take(pa.array(code)), pa.array(times)], ["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32()), terms)
+            sizes = pa.array(np.bincount(owner, minlength=len(words)), pa.int64(), mask=words.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, lists], ["doc_id", "len", "terms"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", tx.tokens(F.col("text")).alias("words")).mapInArrow(
+        count, f"doc_id {kind}, len bigint, terms array<struct<term: string, tf: bigint>>"
+    )
 
-    Asked words are picked before the count, and counts are summed inside each task.
-    """
-    words = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    if asked is not None:
-        words = words.join(asked.select("term"), "term", "left_semi")
-    return words.groupBy("term").agg(F.count("*").alias("df"))
+
+def postings(lists: DataFrame) -> DataFrame:
+    """``doc_id, len, term, tf`` rows of term lists."""
+    return lists.select("doc_id", "len", F.explode("terms").alias("_t")).select("doc_id", "len", "_t.*")
 
 
 def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
     """Top terms per document by tf * ln(N / df)."""
-    frequency = materialize(document_frequency(docs), "term-frequency")
-    total = docs.agg(F.count("*").alias("n")).scalar()
+    lists = materialize(term_lists(docs), "terms")
+    frequency = materialize(postings(lists).groupBy("term").agg(F.count("*").alias("df")), "term-frequency")
+    total = lists.agg(F.count("*").alias("n")).scalar()
     weights = frequency.select("term", F.log(total / F.col("df")).alias("idf"))
-    hot = top_keys(frequency, ["term"], "df")
-    scored = lookup_join(term_counts(docs), weights, ["term"], F.col("doc_id"), hot).select(
+    scored = row_lookup(postings(lists), weights, "term", F.col("doc_id"), "inner").select(
         "doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
     return top_rows(scored, ["doc_id"], [F.desc("score"), F.asc("term")], k)

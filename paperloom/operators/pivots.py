@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from paperloom.storage import materialize
 
 #: Pivots are corpus rows; their number is bounded, so they are broadcast.
-PIVOTS = 256
+LEAST_PIVOTS, PIVOTS, CELL_ROWS = 16, 256, 500
 RINGS = 64
 PIECE_ROWS = 20_000
 #: Piece bounds (some 50 bytes each) are broadcast; beyond this many, pieces get larger.
@@ -126,6 +126,11 @@ class Bounds:
         return np.concatenate([np.zeros(0, np.int64), *found_queries]), np.concatenate([np.zeros(0, np.int64), *found_pieces])
 
 
+def pivot_count(rows: int) -> int:
+    """A cell should have enough rows for a product of matrices to be worth a task's visit."""
+    return min(PIVOTS, max(LEAST_PIVOTS, rows // CELL_ROWS))
+
+
 def pivot_rows(corpus: DataFrame, count: int) -> np.ndarray:
     """Directions of ``count`` rows, taken evenly by a hash of their id."""
     spoken = corpus.where(F.exists("embedding", lambda x: x != 0))
@@ -241,8 +246,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metrics: dict[str, s
     Queries and corpus carry ``collection``; a query is scored with the rows of its own one, by
     the metric named for it. Query ids are distinct.
     """
-    known = pivot_rows(corpus, pivots or PIVOTS)
-    rows = materialize(placed(corpus, known), "placed")
+    stored = materialize(corpus.select("collection", "id", "embedding"), "corpus")
+    known = pivot_rows(stored, pivots or pivot_count(stored.count()))
+    rows = materialize(placed(stored, known), "placed")
     pieced, bounds = in_pieces(rows)
     asked = materialize(queries.select("query_id", "collection", "query_vec"), "queries")
     shared = corpus.sparkSession.sparkContext.broadcast((known, bounds, metrics))
@@ -256,7 +262,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metrics: dict[str, s
 
 def search_work(queries: DataFrame, corpus: DataFrame, k: int, metrics: dict[str, str], pivots: int | None = None) -> DataFrame:
     """``query_id, pieces, pieces_visited, rows, rows_scored``: how much the bounds leave to be scored."""
-    known = pivot_rows(corpus, pivots or PIVOTS)
+    known = pivot_rows(corpus, pivots or pivot_count(corpus.count()))
     pieced, bounds = in_pieces(materialize(placed(corpus, known), "placed"))
     asked = materialize(queries.select("query_id", "collection", "query_vec"), "queries")
     shared = corpus.sparkSession.sparkContext.broadcast((known, bounds, metrics))

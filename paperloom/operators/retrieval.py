@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from paperloom.config import SearchConfig
 from paperloom.functions.hashing import query_key
 from paperloom.functions.text import tokens
-from paperloom.operators.enrich import document_frequency
-from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
+from paperloom.operators.enrich import postings, term_lists
+from paperloom.operators.skew import row_lookup, top_rows
 from paperloom.operators.vectors import SCORE_DIGITS, vector_search
 from paperloom.storage import materialize
 
@@ -82,30 +82,19 @@ def rerank_lexical(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Data
     """BM25 of every hit over the distinct query terms, scaled to [0, 1] per query.
 
     ``docs(doc_id, text)`` is the whole collection: document count, mean length and term
-    document frequencies come from all of it. Term counts are taken of hit documents only.
+    document frequencies come from all of it. It is split into words once.
     """
-    words = tokens(F.col("text"))
     query_terms = queries.select(
         "query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")
     )
     asked = materialize(query_terms.groupBy("term").agg(F.count("*").alias("asked")), "asked")
-    lengths = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(words)), F.lit(1.0)).alias("avg_len")).head()
+    lists = materialize(term_lists(docs), "terms")
+    lengths = lists.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len")).head()
     n, avg_len = F.lit(lengths["n"]), F.lit(lengths["avg_len"])
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = materialize(document_frequency(docs, asked).select("term", idf.alias("idf")), "weights")
-    query_weights = lookup_join(
-        query_terms, weights, ["term"], F.col("query_id"), top_keys(asked, ["term"], "asked")
-    )
-    hit_docs = docs.select("doc_id", "text").join(
-        hits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
-    # The outer form keeps Spark from computing the words again for a not-empty check.
-    counts = (
-        hit_docs.select("doc_id", words.alias("words"))
-        .select("doc_id", F.size("words").alias("len"), F.explode_outer("words").alias("term"))
-        .groupBy("doc_id", "len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = materialize(postings(lists).join(asked.select("term"), "term", "left_semi"), "postings")
+    weights = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    query_weights = row_lookup(query_terms, materialize(weights, "weights"), "term", F.col("query_id"), "inner")
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / avg_len)
     # Hits number at most k per query, so their terms are the smaller side here.
     matched = (

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.hashing import hashed_feature
-from paperloom.functions.text import tokens
+from paperloom.functions.text import tokens, word_codes
 from paperloom.operators.neighbours import BEAM, HOPS, KEPT, Graph, beam_search, neighbour_graph
 from paperloom.operators.pivots import knn_join
 from paperloom.operators.skew import top_rows
@@ -19,27 +21,26 @@ SCORE_DIGITS = 6
 def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, unit: bool = True) -> DataFrame:
     """Signed feature hashing of word counts (Weinberger et al. 2009), inside each row.
 
-    Words become small codes in Spark; a batched function counts them. Nothing is
-    exchanged. With ``unit=False`` the integer sums are kept, which cosine treats the same.
-    A text without words has a vector of zeros.
+    Words are split in Spark; a batched function hashes each distinct word of a batch once
+    and adds up. Nothing is exchanged. With ``unit=False`` the integer sums are kept, which
+    cosine treats the same. A text without words has a vector of zeros.
     """
 
-    @F.pandas_udf("array<double>")
-    def counted(codes: pd.Series) -> pd.Series:
-        found = []
-        for own in codes:
-            cells = np.bincount(own if own is not None and len(own) else np.zeros(0, np.int64), minlength=2 * dims)
-            sums = (cells[:dims] - cells[dims:]).astype(float)
-            length = np.sqrt((sums * sums).sum())
-            found.append(sums / length if unit and length > 0 else sums)
-        return pd.Series(found)
-
-    def code(word: Column) -> Column:
-        bucket, sign = hashed_feature(F.md5(word), dims)
-        return (bucket + F.when(sign < 0, F.lit(dims)).otherwise(F.lit(0))).cast("int")
-
-    codes = F.transform(tokens(F.col(text_col)), code)
-    return docs.select(id_col, counted(codes).alias("embedding"))
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, codes, distinct = word_codes(batch.column("words"))
+            marks = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in distinct]
+            cells = np.array([m % dims for m in marks], np.int64)
+            signs = np.array([-1.0 if m // dims % 2 == 1 else 1.0 for m in marks])
+            sums = np.bincount(owner * dims + cells[codes], weights=signs[codes], minlength=batch.num_rows * dims).reshape(-1, dims)
+            if unit:
+                length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+                sums = sums / np.where(length > 0, length, 1.0)
+            vectors = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), vectors], [id_col, "embedding"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, tokens(F.col(text_col)).alias("words")).mapInArrow(embed, f"{id_col} {kind}, embedding array<double>")
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", pivots: int | None = None) -> DataFrame:

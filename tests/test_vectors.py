@@ -49,7 +49,7 @@ def by_query(found):
 @pytest.mark.parametrize("limits", [(256, 20_000, 20_000), (5, 40, 7)])
 def test_exact_search_in_whole_and_cut_pieces(sample, monkeypatch, metric, limits):
     queries, corpus, q, c = sample
-    for name, value in zip(("PIVOTS", "PIECE_ROWS", "QUERY_ROWS"), limits, strict=True):
+    for name, value in zip(("LEAST_PIVOTS", "PIECE_ROWS", "QUERY_ROWS"), limits, strict=True):
         monkeypatch.setattr(pivots, name, value)
     found = vec.vector_search(q, c, 6, metric)
     assert by_query(found) == brute(queries, corpus, 6, metric)
@@ -80,7 +80,7 @@ def test_bounds_leave_clustered_rows_alone(spark):
     c = frame(spark, range(2000), corpus, "id", "embedding", "bigint")
     q = frame(spark, [f"q{i}" for i in range(40)], corpus[::50], "query_id", "query_vec", "string")
     one = F.lit("all").alias("collection")
-    work = pivots.search_work(q.select("*", one), c.select("*", one), 10, {"all": "cosine"}).agg(F.sum("rows_scored"), F.sum("rows")).head()
+    work = pivots.search_work(q.select("*", one), c.select("*", one), 10, {"all": "cosine"}, 100).agg(F.sum("rows_scored"), F.sum("rows")).head()
     assert work[0] < 0.25 * work[1]
 
 
