@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.config import ComplianceConfig
 from paperloom.functions.text import PII_PATTERNS, masked_texts, pattern_count
 from paperloom.operators.cache import at
+from paperloom.storage import materialize
 
 # Check names and the sections of a full report, as their readers expect them.
 FULL_SECTIONS = {"data_retention": "retention_policy", "access_control": "access_controls", "encryption_status": "encryption"}
@@ -77,14 +78,16 @@ def verify_compliance(meta: DataFrame, as_of: datetime, config: ComplianceConfig
 
 
 def audit_entries(log: DataFrame) -> DataFrame:
-    """Full audit records from access-log rows."""
+    """Full audit records from access-log rows. Reading changes nothing; its latency is a detail."""
     details = F.create_map(F.lit("latency_ms"), F.format_string("%.2f", "latency_ms"))
+    none = F.create_map().cast("map<string,string>")
     return log.select(
         "timestamp",
         F.col("user_id").cast("string").alias("user_id"),
         "action",
         F.col("document_id").cast("string").alias("document_id"),
-        details.alias("changes"),
+        none.alias("changes"),
+        details.alias("details"),
         F.lit("").alias("ip_address"),
         F.lit("").alias("session_id"),
         "status",
@@ -162,3 +165,33 @@ def compliance_report(
 def document_permissions(meta: DataFrame, grants: DataFrame) -> DataFrame:
     """``(role, document)`` rows a role may see, from a table ``grants(role, access_level)``."""
     return meta.join(grants.select("role", "access_level").distinct(), "access_level")
+
+
+def inherited_roles(inherits: DataFrame) -> DataFrame:
+    """``role, ancestor`` for every role and all it inherits from, itself included.
+
+    ``inherits(role, parent)`` may hold cycles: rounds join what is known with itself, which
+    doubles the reach, until nothing is new.
+    """
+    names = inherits.select("role").unionByName(inherits.select(F.col("parent").alias("role"))).where("role is not null").distinct()
+    links = inherits.where("role is not null and parent is not null").select("role", F.col("parent").alias("ancestor"))
+    known = materialize(names.select("role", F.col("role").alias("ancestor")).unionByName(links).distinct(), "roles")
+    count = known.count()
+    while True:
+        further = known.select(F.col("role").alias("ancestor"), F.col("ancestor").alias("_far"))
+        known = materialize(known.join(further, "ancestor").select("role", F.col("_far").alias("ancestor")).distinct(), "roles")
+        found = known.count()
+        if found == count:
+            return known
+        count = found
+
+
+def inherited_permissions(meta: DataFrame, grants: DataFrame, inherits: DataFrame) -> DataFrame:
+    """``(role, document)`` rows a role may see by its own grants or those of a role it inherits from.
+
+    A role without a grant of its own or of an ancestor sees nothing.
+    """
+    reach = inherited_roles(inherits)
+    own = grants.select("role", F.col("role").alias("ancestor"))
+    passed = reach.unionByName(own).distinct().join(grants.select(F.col("role").alias("ancestor"), "access_level"), "ancestor")
+    return document_permissions(meta, passed.select("role", "access_level"))

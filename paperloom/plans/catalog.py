@@ -37,6 +37,7 @@ def load() -> None:
         enrich_queries,
         link_queries,
         metric_queries,
+        record_queries,
         search_queries,
         source_queries,
         stream_queries,

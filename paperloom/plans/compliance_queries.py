@@ -81,7 +81,7 @@ def audit_append(t):
         "user_id",
         "action",
         "document_id",
-        F.col("changes")["latency_ms"].alias("latency_ms"),
+        F.col("details")["latency_ms"].alias("latency_ms"),
         "ip_address",
         "session_id",
         "status",
@@ -178,3 +178,24 @@ def document_permissions(t):
     own = F.when(F.col("role") == "user", "public").otherwise("internal")
     levels = roles.select("role", F.explode(F.array_distinct(F.array(own, F.lit("public")))).alias("access_level"))
     return ops.document_permissions(t.meta, levels).select("role", "doc_id", "file_path", "access_level")
+
+
+@query(
+    "inherited_permissions",
+    with_parts(
+        """SELECT DISTINCT r.role, doc_id, file_path, access_level FROM meta JOIN (
+             WITH RECURSIVE reach AS (
+               SELECT DISTINCT role, role AS ancestor FROM conversations
+               UNION SELECT r.role, CASE WHEN r.ancestor = 'user' THEN 'guest' ELSE 'user' END FROM reach r WHERE r.ancestor <> 'guest')
+             SELECT role, CASE WHEN ancestor = 'guest' THEN 'public' ELSE 'internal' END AS access_level FROM reach WHERE ancestor <> 'user') r USING (access_level)
+           WHERE r.role <> 'user' OR access_level = 'public'"""
+    ),
+)
+def inherited_permissions(t):
+    """Guests see public documents; users inherit from guests, all others from users, with internal documents of their own."""
+    roles = t.read("conversations").select("role").distinct()
+    grants = roles.where("role <> 'user'").select("role", F.lit("internal").alias("access_level"))
+    grants = grants.unionByName(roles.sparkSession.sql("SELECT 'guest' AS role, 'public' AS access_level"))
+    inherits = roles.select("role", F.when(F.col("role") == "user", "guest").otherwise("user").alias("parent"))
+    found = ops.inherited_permissions(t.meta, grants, inherits).where("role <> 'guest'")
+    return found.select("role", "doc_id", "file_path", "access_level")
