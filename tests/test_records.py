@@ -28,7 +28,7 @@ def test_fields_change_their_type_between_rows(spark):
     )
     kinds = {(r["field"], r["kind"]): (r["rows"], r["values"]) for r in records.field_kinds(records.record_fields(rows, "id", "props")).collect()}
     assert kinds["k", "number"] == (2, 2) and kinds["k", "text"] == (1, 1) and kinds["z", "none"] == (1, 0)
-    assert "k: VARIANT" in records.merged_schema(rows, "props").head()["schema"]
+    assert "k: VARIANT" in records.merged_schema(rows.where("id <> 6"), "props").head()["schema"]
     typed = rows.select("id", records.typed_field("props", "$.k", "bigint").alias("k")).collect()
     assert {r["id"]: r["k"] for r in typed} == {1: 1, 2: None, 3: None, 4: None, 5: 1, 6: None, 7: None, 8: None}
 
