@@ -204,12 +204,20 @@ def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> Da
     return found.select("doc_id", F.when(F.col("n") > 0, F.array_min(F.array(*costs))["lang"]).alias("language"))
 
 
+SWITCHES = ("citations", "entities", "copies", "language", "summary", "near")
+
+
 def enhance(docs: DataFrame, switches: set[str]) -> DataFrame:
-    """One row per document with the enrichments that are switched on.
+    """One row per document with the enrichments that are switched on, of ``SWITCHES``.
 
     ``citations`` and ``entities`` are computed in the row; ``copies`` counts equal texts by
-    their checksum, so no text is exchanged.
+    their checksum, so no text is exchanged. ``language`` (learned from the rows' own ``lang``), ``summary``
+    and ``near`` (the smallest earlier near duplicate, or null) are joined by ``doc_id``, which names
+    one document. An unknown switch is an error.
     """
+    unknown = set(switches) - set(SWITCHES)
+    if unknown:
+        raise ValueError(f"unknown enrichments: {sorted(unknown)}")
     columns = ["doc_id"]
     rows = docs
     if "citations" in switches:
@@ -223,4 +231,45 @@ def enhance(docs: DataFrame, switches: set[str]) -> DataFrame:
     if "copies" in switches:
         sizes = rows.groupBy("_sum").agg(F.count("*").alias("copies"))
         rows = row_lookup(rows, sizes, "_sum", F.col("doc_id"))
-    return rows.drop("_sum")
+    rows = rows.drop("_sum")
+    if "language" in switches:
+        rows = rows.join(detect_language(docs, *language_model(docs.select("text", "lang"))), "doc_id", "left")
+    if "summary" in switches:
+        rows = rows.join(summarize_extractive(docs).select("doc_id", "summary"), "doc_id", "left")
+    if "near" in switches:
+        from paperloom.operators.duplicates import near_duplicates
+
+        rows = rows.join(near_duplicates(docs).select("doc_id", "duplicate_of"), "doc_id", "left")
+    return rows
+
+
+def entity_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line, entity, label``: the distinct entities of every line of a text."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    masked, seen_by = tx.masked_texts(lines)
+    found = [
+        _tagged(tx.matches(F.col(seen_by.get(label, seen_by["REST"])), pattern), "entity", "label", label)
+        for label, pattern in ENTITY_PATTERNS.items()
+    ]
+    listed = F.explode(F.array_distinct(F.concat(*found))).alias("_e")
+    return masked.select("doc_id", F.col("line").cast("bigint").alias("line"), listed).select("doc_id", "line", "_e.*")
+
+
+def entity_relations(docs: DataFrame, support: int = 2) -> DataFrame:
+    """``first, second, lines, pmi``: entities that stand in one line at least ``support`` times.
+
+    Entities of fewer lines are dropped before any pair is made, as no pair of theirs can have
+    the support. ``pmi`` is ln(p(first, second) / (p(first) p(second))) over the lines that hold an
+    entity, rounded to 6 digits. Lines meet themselves by (document, line), so a frequent entity's
+    pairs are spread over its lines, and pairs are counted in parts.
+    """
+    mentions = materialize(entity_lines(docs), "entity-lines")
+    uses = materialize(mentions.groupBy("entity").agg(F.count_distinct("doc_id", "line").alias("n")).where(F.col("n") >= support), "entities")
+    total = mentions.select("doc_id", "line").distinct().count()
+    known = mentions.select("doc_id", "line", "entity").distinct()
+    kept = materialize(row_lookup(known, uses, "entity", F.struct("doc_id", "line"), "inner"), "frequent-entities")
+    other = kept.select("doc_id", "line", F.col("entity").alias("second"), F.col("n").alias("m"))
+    met = kept.join(other, ["doc_id", "line"]).where(F.col("entity") < F.col("second"))
+    pairs = met.groupBy(F.col("entity").alias("first"), "second", "n", "m").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
+    pmi = F.log(F.col("lines") * F.lit(float(total)) / (F.col("n") * F.col("m")))
+    return pairs.select("first", "second", "lines", F.round(pmi, 6).alias("pmi"))

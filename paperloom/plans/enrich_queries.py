@@ -5,7 +5,7 @@ from __future__ import annotations
 from paperloom.functions import text as tx
 from paperloom.operators import duplicates as dup
 from paperloom.operators import enrich as ops
-from paperloom.plans.catalog import query
+from paperloom.plans.catalog import SQL, query
 from paperloom.plans.sql import PII, count_of, html_text, inner_text, with_parts, words
 
 SENTENCE_TERMS = f"""SELECT doc_id, o - 1 AS position, trim(s) AS sentence, unnest({words('s')}) AS term
@@ -140,6 +140,38 @@ def enhance_documents(t):
     return ops.enhance(t.documents, {"citations", "entities", "copies"})
 
 
+@query(
+    "enhance_all",
+    f"""SELECT e.*, l.language, s.summary, n.duplicate_of FROM ({SQL['enhance_documents']}) e
+        LEFT JOIN ({SQL['detect_language']}) l USING (doc_id) LEFT JOIN ({SQL['summarize_extractive']}) s USING (doc_id)
+        LEFT JOIN ({with_parts("SELECT * FROM near_pairs", near_pairs=NEAR, grams=GRAMS, gram_sizes=SIZES)}) n USING (doc_id)""",
+)
+def enhance_all(t):
+    """Every enrichment in one row a document."""
+    return ops.enhance(t.documents, set(ops.SWITCHES))
+
+
+LINE_MENTIONS = " UNION ALL ".join(
+    f"SELECT doc_id, line, unnest(regexp_extract_all({PII.get(label, PII['DONE'])}, '{pattern}')) AS entity FROM lines"
+    for label, pattern in ops.ENTITY_PATTERNS.items()
+)
+
+
+@query(
+    "entity_relations",
+    f"""WITH lines AS MATERIALIZED (SELECT doc_id, o AS line, text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(parts) WITH ORDINALITY u(text, o)),
+        seen AS MATERIALIZED (SELECT DISTINCT * FROM ({LINE_MENTIONS})),
+        uses AS (SELECT entity, count(*) AS n FROM seen GROUP BY 1),
+        total AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, line FROM seen))
+        SELECT first, second, p.lines, round(ln(p.lines * CAST((SELECT n FROM total) AS DOUBLE) / (a.n * b.n)), 6) AS pmi
+        FROM (SELECT x.entity AS first, y.entity AS second, count(*) AS lines FROM seen x JOIN seen y ON x.doc_id = y.doc_id AND x.line = y.line AND x.entity < y.entity
+              GROUP BY 1, 2 HAVING count(*) >= 2) p JOIN uses a ON a.entity = p.first JOIN uses b ON b.entity = p.second""",
+)
+def entity_relations(t):
+    """Entities that stand together in at least two lines."""
+    return ops.entity_relations(t.documents, 2)
+
+
 @query(
     "citation_mentions",
     " UNION ALL ".join(

@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -75,3 +78,20 @@ def test_both_ways_to_meet_trigrams_agree(spark, monkeypatch):
 def test_a_very_long_sentence_is_summarised(spark):
     d = docs(spark, " ".join(f"w{i % 5000}" for i in range(20_000)) + ". short one")
     assert len(enrich.summarize_extractive(d, 1).head()["summary"]) > 9
+
+
+def test_relations_need_support_and_distinct_lines(spark):
+    text = "mail a@x.org and b@x.org\na@x.org b@x.org b@x.org\nlone c@x.org"
+    rows = [(1, text), (2, "a@x.org c@x.org"), (3, None), (4, "no entity here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in enrich.entity_relations(docs, 2).collect()]
+    assert got == [("a@x.org", "b@x.org", 2, round(math.log(2 * 4 / (3 * 2)), 6))]
+    assert {(r["first"], r["second"]) for r in enrich.entity_relations(docs, 1).collect()} == {("a@x.org", "b@x.org"), ("a@x.org", "c@x.org")}
+    assert enrich.entity_relations(docs.where("false")).count() == 0
+
+
+def test_enrichments_are_switched_and_unknown_ones_refused(spark, tables):
+    one = enrich.enhance(tables.documents, {"language", "near"})
+    assert one.columns == ["doc_id", "language", "duplicate_of"] and one.count() == tables.documents.count()
+    with pytest.raises(ValueError, match="mood"):
+        enrich.enhance(tables.documents, {"mood"})
