@@ -1,18 +1,26 @@
 """Language-model scores from a class-based bigram model (Brown et al. 1992).
 
-Method: exchange clustering assigns every word to a class. A word counts as itself if it is
-among the ``CORE`` most frequent, else as one of ``BINS`` bins by its last three bytes, so the
-units to cluster and their bigram table have a fixed bound while every word has a class. Each
-unit in turn moves to the class that raises the likelihood of the bigrams most, until no unit
-moves. Then
+Method: exchange clustering assigns every word to a class, in two steps.
+
+1. The ``CORE`` most frequent words and ``BINS`` bins of all others (by their last three bytes)
+   are clustered one by one on the driver, whose bigram table so has a fixed bound: each
+   unit in turn moves to the class that raises the likelihood of the bigrams most, until no
+   unit moves.
+2. Every other word of the corpus then gets the class of its own neighbours: Spark counts the
+   classes to the left and right of each word, gathers these counts by word, and each word
+   moves to its best class, its own bigrams taken out of the class table first. Such a pass
+   moves all words at once, so it is kept only if the likelihood rose; ``PASSES`` are tried. What is
+   counted, shuffled and decided grows with the vocabulary and the text.
+
+Bins remain for unknown words only. Then
 ``log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class)``, with the
 transition counts smoothed towards class frequencies and emissions by adding 0.5 a word;
 a bin's class keeps one more half count for unknown words.
 
-What is learned covers all rows outside the held-out fold: word counts (a Spark aggregate over
-64-bit word hashes), bigram counts of units, words a unit. Counts of at most ``TABLE`` words
-with the highest counts are broadcast (16 bytes each); all other words of a text meet their
-counts in a join, so any vocabulary is exact.
+What is learned covers all rows outside the held-out fold. Counts and classes of at most ``TABLE``
+words with the highest counts are broadcast (some 20 bytes each); all other words of a text meet
+theirs in a join, so any vocabulary is exact. Only the class table that transitions are
+estimated from takes these other words at the class of their bin.
 
 Results: one row per document row. Null text is empty: one end token. A null id is neither
 held out nor learned from. Repeated rows are each scored. Without training rows N and V are 0
@@ -27,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm.buffers import mixed, not_white, shared_object, slices, text_bytes, words
 from paperloom.llm.folds import remainder
@@ -37,7 +46,11 @@ BINS = 512
 END_UNIT = CORE + BINS
 UNITS = END_UNIT + 1
 CLASSES = 64
+END_CLASS = 0
+PASSES = 2
 TABLE = 1 << 19
+#: (word, neighbour class) counts that a task holds before it passes them on.
+ENTRIES = 1 << 20
 TREND = 20.0
 END = np.uint64(0x243F6A8885A308D3)
 
@@ -74,26 +87,57 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Counts of the frequent words, and which of them are units of their own."""
+    """Counts and classes of the frequent words, and which of them are units of their own."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, bins: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+        self.hashes, self.counts, self.bins = hashes[order], counts[order], bins[order].astype(np.int16)
         top = np.lexsort((self.hashes, -self.counts))
         top = top[self.hashes[top] != END][:CORE]
-        self.unit = np.full(len(self.hashes), -1, np.int64)
+        self.unit = np.full(len(self.hashes), -1, np.int16)
         self.unit[top] = np.arange(len(top))
+        self.bin_class = np.zeros(UNITS, np.int64)
+        self.classes = np.zeros(len(self.hashes), np.int8)
 
-    def look_up(self, hashes: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count, whether listed, and unit of each word."""
+    def labelled(self, label: np.ndarray) -> Lexicon:
+        """The same words with the classes of their units."""
+        return self._with(label, label[np.where(self.unit >= 0, self.unit, self.bins)].astype(np.int8))
+
+    def moved(self, hashes: np.ndarray, classes: np.ndarray) -> Lexicon:
+        """The same words, of which these have other classes."""
+        found = self.classes.copy()
+        found[np.searchsorted(self.hashes, hashes)] = classes
+        return self._with(self.bin_class, found)
+
+    def _with(self, bin_class: np.ndarray, classes: np.ndarray) -> Lexicon:
+        other = Lexicon.__new__(Lexicon)
+        other.__dict__.update(self.__dict__ | {"bin_class": bin_class, "classes": classes})
+        return other
+
+    def core(self) -> np.ndarray:
+        return np.flatnonzero(self.unit >= 0)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word in the table, and whether it is there."""
         if not len(self.hashes) or not len(hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool), bins
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         found, inverse = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        listed = self.hashes[at] == found
-        counts = np.where(listed, self.counts[at], 0)[inverse]
-        unit = np.where(listed, self.unit[at], -1)[inverse]
-        return counts, listed[inverse], np.where(unit >= 0, unit, bins)
+        return at[inverse], (self.hashes[at] == found)[inverse]
+
+    def units(self, hashes: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        at, listed = self.find(hashes)
+        unit = self._take(self.unit, at, listed, -1)
+        return np.where(unit >= 0, unit, bins)
+
+    def word_classes(self, hashes: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """Class of each word; one outside the table has that of its bin."""
+        at, listed = self.find(hashes)
+        return self._take(self.classes, at, listed, self.bin_class[bins])
+
+    @staticmethod
+    def _take(values: np.ndarray, at: np.ndarray, listed: np.ndarray, other: np.ndarray | int) -> np.ndarray:
+        return np.where(listed, values[at], other).astype(np.int64) if len(values) else np.broadcast_to(other, at.shape).astype(np.int64)
 
 
 def lexicon(vocabulary: DataFrame, most: int = TABLE) -> Lexicon:
@@ -106,41 +150,39 @@ def lexicon(vocabulary: DataFrame, most: int = TABLE) -> Lexicon:
             break
         least, total = s, total + n
     if least is None:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = vocabulary.where(step >= least).select("h", "c").toPandas()
-    return Lexicon(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows = vocabulary.where(step >= least).select("h", "c", "bin").toPandas()
+    return Lexicon(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64))
 
 
-def _with_ends(bounds: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units with an end after each text, text index of each, and place of each word."""
+def _with_ends(bounds: np.ndarray, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values with an end after each text, text index of each, and place of each word."""
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    tokens = np.full(len(units) + n, END_UNIT, np.int64)
-    places = np.arange(len(units)) + owner
-    tokens[places] = units
+    tokens = np.full(len(values) + n, end, values.dtype)
+    places = np.arange(len(values)) + owner
+    tokens[places] = values
     return tokens, np.repeat(np.arange(n), np.diff(bounds) + 1), places
 
 
-def unit_bigrams(docs: DataFrame, known: Lexicon) -> np.ndarray:
-    """How often each unit follows each other one; at most ``UNITS`` rows reach the driver."""
+def bigrams(docs: DataFrame, known: Lexicon, size: int) -> np.ndarray:
+    """How often each unit (``size`` is ``UNITS``) or class follows each; ``size`` rows reach the driver."""
     shared = shared_object(docs.sparkSession, known)
     schema = "u int, counts binary"
-
-    def blocks(table: np.ndarray) -> pa.RecordBatch:
-        some = np.flatnonzero(table.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[u].tobytes() for u in some], pa.binary())], ["u", "counts"])
+    by_unit, end = size == UNITS, END_UNIT if size == UNITS else END_CLASS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lex = np.zeros((UNITS, UNITS), np.int64), shared()
+        table, lex = np.zeros((size, size), np.int64), shared()
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                *_, units = lex.look_up(hashes, bins)
-                tokens, _, _ = _with_ends(bounds, units)
+                found = lex.units(hashes, bins) if by_unit else lex.word_classes(hashes, bins)
+                tokens, _, _ = _with_ends(bounds, found, end)
                 if len(tokens):
-                    before = np.append(END_UNIT, tokens[:-1])
-                    pairs, n = np.unique(before * UNITS + tokens, return_counts=True)
+                    before = np.append(end, tokens[:-1])
+                    pairs, n = np.unique(before * size + tokens, return_counts=True)
                     table.ravel()[pairs] += n
-        yield blocks(table)
+        some = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[u].tobytes() for u in some], pa.binary())], ["u", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -150,21 +192,26 @@ def unit_bigrams(docs: DataFrame, known: Lexicon) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["u", "counts"])
 
-    table = np.zeros((UNITS, UNITS), np.int64)
+    table = np.zeros((size, size), np.int64)
     for row in docs.select("text").mapInArrow(count, schema).repartition("u").mapInArrow(add, schema).collect():
         table[row["u"]] = np.frombuffer(bytes(row["counts"]), np.int64)
     return table
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, up to a constant of the words."""
+    return float(xlogx(grid).sum() - xlogx(grid.sum(axis=0)).sum() - xlogx(grid.sum(axis=1)).sum())
+
+
 def exchange(table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each unit. The end is class 0 alone; other units move while likelihood grows.
 
     A move must raise it by more than rounding could, so the sweeps come to an end.
     """
-
-    def xlogx(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     table = table.astype(np.float64)
     size = len(table)
     frequency = table.sum(axis=0)
@@ -192,7 +239,7 @@ def exchange(table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             gain = (xlogx(grid + right) - base).sum(axis=1) + (xlogx(grid + left[:, None]) - base).sum(axis=0)
             here = np.diag(grid)
             gain -= xlogx(here + right) + xlogx(here + left) - xlogx(here) - xlogx(here + right + left + self_count)
-            outs, ins = grid.sum(axis=1), grid.sum(axis=0)
+            outs, ins = grid.sum(axis=1) + left, grid.sum(axis=0) + right
             gain -= xlogx(outs + right.sum() + self_count) - xlogx(outs)
             gain -= xlogx(ins + left.sum() + self_count) - xlogx(ins)
             gain[0] = -np.inf
@@ -208,64 +255,223 @@ def exchange(table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return label
 
 
+def best_classes(grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood most if this word alone moves.
+
+    ``left`` and ``right`` count the classes beside the words (a row a word), ``own`` how often
+    a word follows itself. The class table includes these bigrams under the class ``old``.
+    """
+    rows, gain = np.arange(len(old)), np.zeros(left.shape)
+    for beside, across, table in ((right, left, grid), (left, right, grid.T)):
+        word, other = np.nonzero(beside)
+        n = beside[word, other]
+        cells = table.T[other].astype(np.float64)
+        cells[np.arange(len(word)), old[word]] -= n
+        home = other == old[word]
+        cells[home] -= across[word[home]]
+        change = xlogx(cells + n[:, None]) - xlogx(cells)
+        change[np.arange(len(word)), other] = 0  # the cell of a class with itself comes below
+        firsts = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(firsts):
+            gain[word[firsts]] += np.add.reduceat(change, firsts, axis=0)
+        total = beside.sum(axis=1) + own
+        sums = np.tile(table.sum(axis=1).astype(np.float64), (len(old), 1))
+        sums[rows, old] -= total
+        gain -= xlogx(sums + total[:, None]) - xlogx(sums)
+    both = left + right + own[:, None]
+    here = np.tile(np.diag(grid).astype(np.float64), (len(old), 1))
+    here[rows, old] -= both[rows, old]
+    gain += xlogx(here + both) - xlogx(here)
+    gain[:, END_CLASS] = -np.inf
+    new = np.argmax(gain, axis=1)
+    least = 1e-9 + 1e-13 * float(xlogx(grid.sum()))
+    return np.where(gain[rows, new] > gain[rows, old] + least, new, old)
+
+
+def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of word and code, those of equal ones added up."""
+    order = np.lexsort((code, word))
+    word, code, n = word[order], code[order], n[order]
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
+    at = np.flatnonzero(fresh)
+    return word[at], code[at], np.add.reduceat(n, at) if len(at) else n
+
+
+#: Codes of an entry: a class to the left, one to the right, the word itself to the left.
+RIGHT, OWN = CLASSES, 2 * CLASSES
+
+
+def neighbours(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """Words outside the core with the classes beside them: a few rows a word and task.
+
+    ``old`` is the class that the class table counts the word under; ``entries`` are counts
+    times 256 plus code.
+    """
+    shared = shared_object(docs.sparkSession, known)
+
+    def rows(word: np.ndarray, code: np.ndarray, n: np.ndarray, old: dict[int, int], lex: Lexicon) -> Iterator[pa.RecordBatch]:
+        packed = n * 256 + code
+        starts = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
+        starts = np.append(0, starts) if len(word) else starts
+        found = word[starts[:-1]]
+        _, listed = lex.find(found.view(np.uint64))
+        for first in range(0, len(found), 10_000):
+            last = min(first + 10_000, len(found))
+            base, ends = starts[first], starts[first : last + 1]
+            offsets = pa.py_buffer(((ends - base) * 8).astype(np.int32))
+            entries = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, pa.py_buffer(packed[base : ends[-1]].copy())])
+            classes = np.array([old[h] for h in found[first:last].tolist()], np.int8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[first:last]), pa.array(listed[first:last]), pa.array(classes), entries], ["h", "listed", "old", "entries"]
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared()
+        kept = [np.zeros(0, np.int64)] * 3
+        old: dict[int, int] = {}
+        for batch in batches:
+            for _, _, bounds, hashes, bins in _word_batches(batch):
+                own = lex.word_classes(hashes, bins)
+                classes, _, places = _with_ends(bounds, own, END_CLASS)
+                words_, _, _ = _with_ends(bounds, hashes.view(np.int64), int(END.view(np.int64)))
+                loose = lex.units(hashes, bins) >= CORE
+                at, mine = places[loose], hashes[loose].view(np.int64)
+                again = np.append(False, words_[1:] == words_[:-1])
+                beside_left = np.append(END_CLASS, classes[:-1])[at]
+                code = np.concatenate([np.where(again[at], OWN, beside_left), RIGHT + classes[at + 1]])
+                here = np.concatenate([np.ones(len(at), bool), ~again[at + 1]])
+                found, where, inverse = np.unique(mine, return_index=True, return_inverse=True)
+                keys, n = np.unique(np.concatenate([inverse, inverse])[here] * 256 + code[here], return_counts=True)
+                old.update(zip(found.tolist(), own[loose][where].tolist(), strict=True))
+                kept = [np.concatenate(pair) for pair in zip(kept, (found[keys >> 8] if len(keys) else found, keys & 255, n), strict=True)]
+                if len(kept[0]) > ENTRIES:
+                    kept = list(_summed(*kept))
+                    if len(kept[0]) > ENTRIES // 2:
+                        yield from rows(*kept, old, lex)
+                        kept, old = [np.zeros(0, np.int64)] * 3, {}
+        yield from rows(*_summed(*kept), old, lex)
+
+    return docs.select("text").mapInArrow(count, "h bigint, listed boolean, old tinyint, entries binary")
+
+
+def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> DataFrame:
+    """``h, listed, c, class`` of every word outside the core, each moved to its best class."""
+    shared = beside.sparkSession.sparkContext.broadcast(grid)
+
+    def choose(word: np.ndarray, code: np.ndarray, n: np.ndarray, marks: dict[int, tuple[bool, int]]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(word, prepend=word[0] - 1 if len(word) else 0))
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + most)))
+            upto = starts[last] if last < len(starts) else len(word)
+            here = slice(starts[first], upto)
+            found, at = np.unique(word[here], return_inverse=True)
+            tables = np.zeros((2 * CLASSES + 1, len(found)))
+            tables[code[here], at] = n[here]
+            left, right, own = tables[:RIGHT].T.copy(), tables[RIGHT:OWN].T.copy(), tables[OWN]
+            known = [marks[h] for h in found.tolist()]
+            new = best_classes(shared.value, np.array([k[1] for k in known], np.int64), left, right, own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array([k[0] for k in known]), pa.array((left.sum(axis=1) + own).astype(np.int64)), pa.array(new.astype(np.int8))],
+                ["h", "listed", "c", "class"],
+            )
+            first = last
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        marks: dict[int, tuple[bool, int]] = {}
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            if not len(h):
+                continue
+            marks.update(zip(h.tolist(), zip(batch.column("listed").to_pylist(), batch.column("old").to_pylist(), strict=True), strict=True))
+            lists = batch.column("entries").to_pylist()
+            packed = np.frombuffer(b"".join(lists), np.int64)
+            word = np.repeat(h, [len(x) // 8 for x in lists])
+            kept = list(_summed(*(np.concatenate(pair) for pair in zip(kept, (word, packed & 255, packed >> 8), strict=True))))
+            cut = int(np.searchsorted(kept[0], h[-1]))  # rows come in order, so the last word may go on
+            yield from choose(*(k[:cut] for k in kept), marks)
+            kept, marks = [k[cut:] for k in kept], {int(h[-1]): marks[int(h[-1])]}
+        yield from choose(*kept, marks)
+
+    return beside.repartition("h").sortWithinPartitions("h").mapInArrow(decide, "h bigint, listed boolean, c bigint, class tinyint")
+
+
 class ClassModel:
     """Log10 transition and emission tables of a clustering."""
 
-    def __init__(self, table: np.ndarray, label: np.ndarray, types: np.ndarray) -> None:
-        onto = np.zeros((len(label), CLASSES))
-        onto[np.arange(len(label)), label] = 1
-        grid = onto.T @ table @ onto
-        bins = np.zeros(len(label))
-        bins[CORE:END_UNIT] = 0.5  # one unknown word type a bin
-        bins[END_UNIT] = 0.0 if types[END_UNIT] else 0.5  # nothing learned: the end is unknown too
-        mass = table.sum(axis=0) + 0.5 * types + bins
-        per_class = np.bincount(label, weights=mass, minlength=CLASSES)
-        share = per_class / per_class.sum()
-        self.label = label
+    def __init__(self, grid: np.ndarray, mass: np.ndarray) -> None:
+        share = mass / mass.sum()
         with np.errstate(divide="ignore"):
             self.move = np.log10((grid + TREND * share) / (grid.sum(axis=1, keepdims=True) + TREND))
-            self.root = np.log10(per_class)[label]
+            self.root = np.log10(mass)
 
 
-def fit(docs: DataFrame, vocabulary: DataFrame, known: Lexicon) -> ClassModel:
-    table = unit_bigrams(docs, known)
-    types = np.zeros(UNITS)
-    for row in vocabulary.groupBy("bin").agg(F.count("*").alias("n")).collect():  # at most UNITS rows
-        types[row["bin"]] = row["n"]
-    # Words that are units of their own are not types of their bins.
-    core = np.flatnonzero(known.unit >= 0)
-    bins = vocabulary.where(F.col("h").isin([int(h) for h in known.hashes[core].view(np.int64)])).select("bin").collect()
-    for row in bins:
-        types[row["bin"]] -= 1
-    types[known.unit[core]] = 1
-    return ClassModel(table, exchange(table), types)
+def first_classes(vocabulary: DataFrame, known: Lexicon) -> DataFrame:
+    """Every word outside the core with the class of its bin."""
+    core = [int(h) for h in known.hashes[known.core()].view(np.int64)]
+    by_bin = F.array(*(F.lit(int(c)).cast("tinyint") for c in known.bin_class))
+    rest = vocabulary.where(~F.col("h").isin([*core, int(END.view(np.int64))]))
+    return rest.select("h", "c", F.get(by_bin, F.col("bin").cast("int")).alias("class"))
 
 
-def score(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, model: ClassModel) -> DataFrame:
+def fit(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, passes: int = PASSES) -> tuple[Lexicon, DataFrame, ClassModel]:
+    """Classes of the listed words, classes of all words outside the core, and the model."""
+    table = bigrams(docs, known, UNITS)
+    label = exchange(table)
+    known = known.labelled(label)
+    onto = np.zeros((UNITS, CLASSES), np.int64)
+    onto[np.arange(UNITS), label] = 1
+    grid = onto.T @ table @ onto
+    loose = first_classes(vocabulary, known)
+    for _ in range(passes):
+        decided = materialize(reassigned(neighbours(docs, known), grid), "classes")
+        mine = decided.where("listed").select("h", "class").toPandas()  # at most TABLE rows
+        tried = known.moved(mine["h"].to_numpy(np.int64).view(np.uint64), mine["class"].to_numpy(np.int8))
+        found = bigrams(docs, tried, CLASSES)
+        if likelihood(found) <= likelihood(grid):
+            break
+        known, grid, loose = tried, found, decided.select("h", "c", "class")
+    core = known.core()
+    mass = np.bincount(label[CORE:END_UNIT], minlength=CLASSES) * 0.5  # one unknown word type a bin
+    mass += np.bincount(known.classes[core], weights=known.counts[core] + 0.5, minlength=CLASSES)
+    for row in loose.groupBy("class").agg((F.sum("c") + F.count("*") * 0.5).alias("m")).collect():  # at most CLASSES rows
+        mass[row["class"]] += row["m"]
+    mass[END_CLASS] += grid[:, END_CLASS].sum() + 0.5  # nothing learned: the end is unknown too
+    return known, loose, ClassModel(grid, mass)
+
+
+def score(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, loose: DataFrame, model: ClassModel) -> DataFrame:
     """Add up the parts of every row; words outside the broadcast table get theirs in a join."""
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    train, types = int(totals["n"]), int(totals["v"])
+    end = F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))
+    totals = vocabulary.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.col("c"), "n"), (end, "ends"))), F.count("*").alias("v")).head()
+    train, types, ends = int(totals["n"]), int(totals["v"]), int(totals["ends"])
     floor = float(np.log10(train + 0.5 * (types + 1)))
     words, classes = shared_object(docs.sparkSession, known), shared_object(docs.sparkSession, model)
-    ends = int(known.counts[known.hashes == END].sum())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, lm = words(), classes()
         for batch in batches:
             for first, last, bounds, hashes, bins in _word_batches(batch):
                 n = last - first
-                counts, listed, units = lex.look_up(hashes, bins)
-                tokens, owner, places = _with_ends(bounds, units)
+                at, listed = lex.find(hashes)
+                own = np.where(listed, lex.word_classes(hashes, bins), -1)
+                tokens, owner, places = _with_ends(bounds, own, END_CLASS)
                 log_count = np.full(len(tokens), np.log10(ends + 0.5))
-                log_count[places] = np.where(listed, np.log10(counts + 0.5), 0.0)
-                before = np.append(END_UNIT, tokens[:-1]) if n else tokens
-                moves = lm.move[lm.label[before], lm.label[tokens]] - lm.root[tokens]
+                log_count[places] = np.where(listed, np.log10(lex.counts[at] + 0.5), 0.0) if len(lex.counts) else 0.0
+                before = np.append(END_CLASS, tokens[:-1])
+                moves = np.where((before >= 0) & (tokens >= 0), lm.move[before, tokens], 0.0) - np.where(tokens >= 0, lm.root[tokens], 0.0)
                 sums = [np.bincount(owner, weights=w, minlength=n) for w in (log_count, moves)]
                 mine = np.repeat(np.arange(n), np.diff(bounds))
                 seen = np.bincount(mine[listed], minlength=n) + (ends > 0)
                 rare = np.flatnonzero(~listed)
                 cut = np.searchsorted(mine[rare], np.arange(n + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+                where = rare - bounds[:-1][mine[rare]]
+                # Place, class before, class after (0 for one that is not listed, else 1 more) and class of the bin.
+                beside = (before[places[rare]] + 1) * 65536 + (tokens[places[rare] + 1] + 1) * 256 + lex.bin_class[bins[rare]]
+                asked = pa.StructArray.from_arrays([pa.array(hashes[rare].view(np.int64)), pa.array(where * (1 << 24) + beside)], ["h", "spot"])
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), asked)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(bounds) + 1),
                      pa.array(seen), pa.array(sums[0]), pa.array(sums[1]), lists],
@@ -274,21 +480,43 @@ def score(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, model: ClassMo
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select("doc_id", "held_out", "text").mapInArrow(
-        part, f"doc_id {kind}, held_out boolean, n_tokens bigint, seen bigint, log_counts double, moves double, rare array<bigint>"
+        part,
+        f"doc_id {kind}, held_out boolean, n_tokens bigint, seen bigint, log_counts double, moves double, rare array<struct<h: bigint, spot: bigint>>",
     )
     stored = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
-    asked = stored.select("row", F.explode("rare").alias("h"))
-    found = (
-        asked.join(vocabulary.select("h", "c"), "h", "left")
-        .groupBy("row")
-        .agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("known"))
-    )
+    found = rare_parts(stored.select("row", F.inline("rare")), loose, model)
+    known_words = F.col("seen") + F.coalesce("known", F.lit(0))
     log_counts = F.col("log_counts") + F.coalesce("more", F.lit(0.0))
     return stored.drop("rare").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(train).cast("bigint").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", known_words.alias("n_known"), F.lit(train).cast("bigint").alias("train_tokens"),
         (log_counts - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (log_counts + F.col("moves")).alias("score"),
+        (log_counts + F.col("moves") + F.coalesce("turns", F.lit(0.0))).alias("score"),
+    )
+
+
+def rare_parts(asked: DataFrame, loose: DataFrame, model: ClassModel) -> DataFrame:
+    """``row, more, known, turns``: what the words outside the broadcast table add to each row."""
+    spark = asked.sparkSession
+    spot = F.col("spot")
+    met = asked.join(loose, "h", "left").select(
+        "row", "spot", "c",
+        F.coalesce(F.col("class").cast("int"), spot.bitwiseAND(F.lit(255)).cast("int")).alias("class"),
+        (F.shiftright(spot, 16).bitwiseAND(F.lit(255)) - 1).cast("int").alias("before"),
+        (F.shiftright(spot, 8).bitwiseAND(F.lit(255)) - 1).cast("int").alias("after"),
+    )
+    # A word before that is not listed either is the row before this one.
+    back = F.lag("class").over(Window.partitionBy("row").orderBy("spot"))
+    linked = met.withColumn("before", F.when(F.col("before") >= 0, F.col("before")).otherwise(back))
+    moves = [(a, b, float(model.move[a, b])) for a in range(CLASSES) for b in range(CLASSES)]
+    into = spark.createDataFrame([(a, b, m - float(model.root[b])) for a, b, m in moves], "before int, class int, into double")
+    out = spark.createDataFrame(moves, "class int, after int, out double")
+    return (
+        linked.join(F.broadcast(into), ["before", "class"], "left").join(F.broadcast(out), ["class", "after"], "left")
+        .groupBy("row")
+        .agg(
+            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("known"),
+            F.sum(F.col("into") + F.coalesce("out", F.lit(0.0))).alias("turns"),
+        )
     )
 
 
@@ -297,7 +525,6 @@ def class_scores(docs: DataFrame, divisor: int = 5, held: int = 1) -> DataFrame:
     rest = remainder(F.col("doc_id"), divisor)
     train = docs.where(rest != held)
     vocabulary = materialize(word_counts(train), "vocabulary")
-    known = lexicon(vocabulary)
-    model = fit(train, vocabulary, known)
+    known, loose, model = fit(train, vocabulary, lexicon(vocabulary))
     marked = docs.select("doc_id", "text", F.coalesce(rest == held, F.lit(False)).alias("held_out"))
-    return score(marked, vocabulary, known, model)
+    return score(marked, vocabulary, known, loose, model)

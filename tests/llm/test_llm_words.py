@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import SMALL, awkward, empty, lower, ordered
 
@@ -232,3 +233,64 @@ def test_op6_exchange_goes_on_until_no_unit_moves():
             other = label.copy()
             other[w] = new
             assert bits(table, other, classes) <= best + 1e-5
+
+
+def test_op6_best_class_equals_counting_the_likelihood_again():
+    rng = np.random.default_rng(1)
+    count, classes = 40, class_lm.CLASSES
+    label = np.append(0, rng.integers(1, classes, count))
+    tokens = rng.integers(0, count + 1, 3000)
+    tokens[1::9] = tokens[: len(tokens[1::9]) * 9 : 9]  # words that follow themselves
+
+    def grid(of):
+        table = np.zeros((classes, classes), np.int64)
+        np.add.at(table, (of[tokens[:-1]], of[tokens[1:]]), 1)
+        return table
+
+    before, after = tokens[:-1], tokens[1:]
+    for w in range(1, count + 1):
+        left = np.bincount(label[before[(after == w) & (before != w)]], minlength=classes)[None, :]
+        right = np.bincount(label[after[(before == w) & (after != w)]], minlength=classes)[None, :]
+        own = np.array([((before == w) & (after == w)).sum()])
+        new = class_lm.best_classes(grid(label), label[w : w + 1], left, right, own)[0]
+        found = []
+        for k in range(1, classes):
+            other = label.copy()
+            other[w] = k
+            found.append(class_lm.likelihood(grid(other)))
+        assert math.isclose(found[new - 1], max(found), abs_tol=1e-6)
+
+
+def brute_score(docs, known, loose, model):
+    """Log10 probability of each text by the fitted tables, token by token."""
+    classes = {int(r["h"]): (r["c"], r["class"]) for r in loose.collect()}
+    core = {int(known.hashes[i].view(np.int64)): (int(known.counts[i]), int(known.classes[i])) for i in known.core()}
+    ends = sum(int(c) for h, c in zip(known.hashes, known.counts, strict=True) if h == class_lm.END)
+    scores = []
+    for text in docs:
+        batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
+        (_, _, _, hashes, bins), = class_lm._word_batches(batch)
+        total, before = 0.0, class_lm.END_CLASS
+        for h, b in [*zip(hashes.view(np.int64).tolist(), bins.tolist(), strict=True), (None, None)]:
+            c, k = (ends, class_lm.END_CLASS) if h is None else core.get(h) or classes.get(h) or (0, int(known.bin_class[b]))
+            total += model.move[before, k] + math.log10(c + 0.5) - model.root[k]
+            before = k
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize("table", [1 << 19, 600])
+def test_op6_scores_equal_the_model_token_by_token(spark, monkeypatch, table):
+    monkeypatch.setattr(class_lm.lexicon, "__defaults__", (table,))
+    kept = {}
+    fit = class_lm.fit
+    monkeypatch.setattr(class_lm, "fit", lambda *args: kept.setdefault("model", fit(*args)))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = sorted((r["doc_id"], r["score"]) for r in class_lm.class_scores(docs).collect())
+    texts = dict(pairs(docs, "doc_id", "text"))
+    known, loose, model = kept["model"]
+    expected = brute_score([texts[i] for i, _ in found], known, loose, model)
+    assert np.allclose([s for _, s in found], expected)
+    assert math.isclose((10 ** (model.move)).sum(axis=1).max(), 1.0) and math.isclose((10 ** (model.move)).sum(axis=1).min(), 1.0)
+    # Words outside the core are not bound to the class of their bin.
+    assert any(r["class"] != known.bin_class[r["bin"]] for r in loose.join(class_lm.word_counts(docs).select("h", "bin"), "h").collect())
