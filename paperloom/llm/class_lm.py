@@ -50,7 +50,8 @@ END_CLASS = 0
 PASSES = 2
 TABLE = 1 << 19
 #: (word, neighbour class) counts that a task holds before it passes them on.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 21
+FEW = 16
 TREND = 20.0
 END = np.uint64(0x243F6A8885A308D3)
 
@@ -118,25 +119,24 @@ class Lexicon:
         return np.flatnonzero(self.unit >= 0)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word in the table, and whether it is there."""
-        if not len(self.hashes) or not len(hashes):
+        """Place of each of distinct words in the table, and whether it is there."""
+        if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        found, inverse = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return at[inverse], (self.hashes[at] == found)[inverse]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
     def units(self, hashes: np.ndarray, bins: np.ndarray) -> np.ndarray:
         at, listed = self.find(hashes)
-        unit = self._take(self.unit, at, listed, -1)
+        unit = self.taken(self.unit, at, listed, -1)
         return np.where(unit >= 0, unit, bins)
 
     def word_classes(self, hashes: np.ndarray, bins: np.ndarray) -> np.ndarray:
         """Class of each word; one outside the table has that of its bin."""
         at, listed = self.find(hashes)
-        return self._take(self.classes, at, listed, self.bin_class[bins])
+        return self.taken(self.classes, at, listed, self.bin_class[bins])
 
     @staticmethod
-    def _take(values: np.ndarray, at: np.ndarray, listed: np.ndarray, other: np.ndarray | int) -> np.ndarray:
+    def taken(values: np.ndarray, at: np.ndarray, listed: np.ndarray, other: np.ndarray | int) -> np.ndarray:
         return np.where(listed, values[at], other).astype(np.int64) if len(values) else np.broadcast_to(other, at.shape).astype(np.int64)
 
 
@@ -151,8 +151,8 @@ def lexicon(vocabulary: DataFrame, most: int = TABLE) -> Lexicon:
         least, total = s, total + n
     if least is None:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    rows = vocabulary.where(step >= least).select("h", "c", "bin").toPandas()
-    return Lexicon(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64))
+    rows = vocabulary.where(step >= least).select("h", "c", F.col("bin").cast("smallint")).toArrow()
+    return Lexicon(rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy(), rows["bin"].to_numpy())
 
 
 def _with_ends(bounds: np.ndarray, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +175,9 @@ def bigrams(docs: DataFrame, known: Lexicon, size: int) -> np.ndarray:
         table, lex = np.zeros((size, size), np.int64), shared()
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                found = lex.units(hashes, bins) if by_unit else lex.word_classes(hashes, bins)
-                tokens, _, _ = _with_ends(bounds, found, end)
+                distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                found = (lex.units if by_unit else lex.word_classes)(distinct, bins[where])
+                tokens, _, _ = _with_ends(bounds, found[inverse], end)
                 if len(tokens):
                     before = np.append(end, tokens[:-1])
                     pairs, n = np.unique(before * size + tokens, return_counts=True)
@@ -264,24 +265,31 @@ def best_classes(grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.
     rows, gain = np.arange(len(old)), np.zeros(left.shape)
     for beside, across, table in ((right, left, grid), (left, right, grid.T)):
         word, other = np.nonzero(beside)
-        n = beside[word, other]
-        cells = table.T[other].astype(np.float64)
-        cells[np.arange(len(word)), old[word]] -= n
-        home = other == old[word]
-        cells[home] -= across[word[home]]
-        change = xlogx(cells + n[:, None]) - xlogx(cells)
-        change[np.arange(len(word)), other] = 0  # the cell of a class with itself comes below
+        n, at, mine = beside[word, other], np.arange(len(word)), old[word]
+        cells = np.ascontiguousarray(table.T, dtype=np.float64)
+        # Small counts take their changes from a table.
+        steps = xlogx(cells + np.arange(FEW)[:, None, None]) - xlogx(cells)
+        change = steps[np.minimum(n, FEW - 1).astype(np.int64), other]
+        fresh = np.flatnonzero((n >= FEW) | (other == mine))
+        some = cells[other[fresh]]
+        home = other[fresh] == mine[fresh]
+        some[home] -= across[word[fresh[home]]]
+        change[fresh] = xlogx(some + n[fresh, None]) - xlogx(some)
+        whole = cells[other, mine]
+        change[at, mine] = xlogx(whole) - xlogx(whole - n)
+        change[at, other] = 0  # the cell of a class with itself comes below
         firsts = np.flatnonzero(np.diff(word, prepend=-1))
         if len(firsts):
             gain[word[firsts]] += np.add.reduceat(change, firsts, axis=0)
-        total = beside.sum(axis=1) + own
-        sums = np.tile(table.sum(axis=1).astype(np.float64), (len(old), 1))
-        sums[rows, old] -= total
-        gain -= xlogx(sums + total[:, None]) - xlogx(sums)
-    both = left + right + own[:, None]
-    here = np.tile(np.diag(grid).astype(np.float64), (len(old), 1))
-    here[rows, old] -= both[rows, old]
-    gain += xlogx(here + both) - xlogx(here)
+        totals, kind = np.unique(beside.sum(axis=1) + own, return_inverse=True)
+        sums = table.sum(axis=1).astype(np.float64)
+        gain -= (xlogx(sums + totals[:, None]) - xlogx(sums))[kind]
+        whole, less = sums[old], sums[old] - totals[kind]
+        gain[rows, old] += xlogx(whole + totals[kind]) - xlogx(whole) - xlogx(whole) + xlogx(less)
+    word, k = np.nonzero(left + right + own[:, None])
+    n = left[word, k] + right[word, k] + own[word]
+    here = np.diag(grid).astype(np.float64)[k] - np.where(k == old[word], n, 0)
+    gain[word, k] += xlogx(here + n) - xlogx(here)
     gain[:, END_CLASS] = -np.inf
     new = np.argmax(gain, axis=1)
     least = 1e-9 + 1e-13 * float(xlogx(grid.sum()))
@@ -298,102 +306,119 @@ def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return word[at], code[at], np.add.reduceat(n, at) if len(at) else n
 
 
-#: Codes of an entry: a class to the left, one to the right, the word itself to the left.
+#: Codes of an entry: a class to the left, one to the right, the word itself to the left; the class that the
+#: class table counts the word under, for words outside the broadcast table and (the last codes) in it.
 RIGHT, OWN = CLASSES, 2 * CLASSES
+OLD, LISTED = 2 * CLASSES, 3 * CLASSES  # plus the class, which is never the end's
 
 
 def neighbours(docs: DataFrame, known: Lexicon) -> DataFrame:
     """Words outside the core with the classes beside them: a few rows a word and task.
 
-    ``old`` is the class that the class table counts the word under; ``entries`` are counts
-    times 256 plus code.
+    ``entries`` are 64-bit numbers, 256 times a count plus a code.
     """
     shared = shared_object(docs.sparkSession, known)
 
-    def rows(word: np.ndarray, code: np.ndarray, n: np.ndarray, old: dict[int, int], lex: Lexicon) -> Iterator[pa.RecordBatch]:
+    def rows(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         packed = n * 256 + code
-        starts = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
-        starts = np.append(0, starts) if len(word) else starts
-        found = word[starts[:-1]]
-        _, listed = lex.find(found.view(np.uint64))
+        starts = np.flatnonzero(np.diff(word, prepend=word[:1] - 1))
+        found, starts = word[starts], np.append(starts, len(word))
         for first in range(0, len(found), 10_000):
             last = min(first + 10_000, len(found))
             base, ends = starts[first], starts[first : last + 1]
             offsets = pa.py_buffer(((ends - base) * 8).astype(np.int32))
             entries = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, pa.py_buffer(packed[base : ends[-1]].copy())])
-            classes = np.array([old[h] for h in found[first:last].tolist()], np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[first:last]), pa.array(listed[first:last]), pa.array(classes), entries], ["h", "listed", "old", "entries"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(found[first:last]), entries], ["h", "entries"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared()
-        kept = [np.zeros(0, np.int64)] * 3
-        old: dict[int, int] = {}
+        none = [np.zeros(0, np.int64)] * 3
+        parts, held = [none], 0
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                own = lex.word_classes(hashes, bins)
-                classes, _, places = _with_ends(bounds, own, END_CLASS)
-                words_, _, _ = _with_ends(bounds, hashes.view(np.int64), int(END.view(np.int64)))
-                loose = lex.units(hashes, bins) >= CORE
-                at, mine = places[loose], hashes[loose].view(np.int64)
-                again = np.append(False, words_[1:] == words_[:-1])
-                beside_left = np.append(END_CLASS, classes[:-1])[at]
-                code = np.concatenate([np.where(again[at], OWN, beside_left), RIGHT + classes[at + 1]])
-                here = np.concatenate([np.ones(len(at), bool), ~again[at + 1]])
-                found, where, inverse = np.unique(mine, return_index=True, return_inverse=True)
-                keys, n = np.unique(np.concatenate([inverse, inverse])[here] * 256 + code[here], return_counts=True)
-                old.update(zip(found.tolist(), own[loose][where].tolist(), strict=True))
-                kept = [np.concatenate(pair) for pair in zip(kept, (found[keys >> 8] if len(keys) else found, keys & 255, n), strict=True)]
-                if len(kept[0]) > ENTRIES:
-                    kept = list(_summed(*kept))
-                    if len(kept[0]) > ENTRIES // 2:
-                        yield from rows(*kept, old, lex)
-                        kept, old = [np.zeros(0, np.int64)] * 3, {}
-        yield from rows(*_summed(*kept), old, lex)
-
-    return docs.select("text").mapInArrow(count, "h bigint, listed boolean, old tinyint, entries binary")
+                distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                bins = bins[where]
+                at, listed = lex.find(distinct)
+                own = lex.taken(lex.classes, at, listed, lex.bin_class[bins])
+                loose = lex.taken(lex.unit, at, listed, -1) < 0
+                classes, _, places = _with_ends(bounds, own[inverse], END_CLASS)
+                tokens, _, _ = _with_ends(bounds, inverse.astype(np.int64), -1)
+                again = np.append(False, (tokens[1:] == tokens[:-1]) & (tokens[1:] >= 0))
+                free = np.flatnonzero(loose[inverse])
+                spots, mine = places[free], inverse[free]
+                left = np.where(again[spots], OWN, np.append(END_CLASS, classes[:-1])[spots])
+                after = ~again[spots + 1]
+                marks = np.flatnonzero(loose)
+                keys, n = np.unique(
+                    np.concatenate([mine * 256 + left, mine[after] * 256 + RIGHT + classes[spots[after] + 1], marks * 256 + np.where(listed, LISTED, OLD)[marks] + own[marks]]),
+                    return_counts=True,
+                )
+                parts.append([distinct.view(np.int64)[keys >> 8], keys & 255, n])
+                held += len(keys)
+                if held > ENTRIES:
+                    summed = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, held = [summed], len(summed[0])
+                    if held > ENTRIES // 2:
+                        yield from rows(*summed)
+                        parts, held = [none], 0
+        yield from rows(*_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+
+    return docs.select("text").mapInArrow(count, "h bigint, entries binary")
 
 
 def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> DataFrame:
     """``h, listed, c, class`` of every word outside the core, each moved to its best class."""
     shared = beside.sparkSession.sparkContext.broadcast(grid)
 
-    def choose(word: np.ndarray, code: np.ndarray, n: np.ndarray, marks: dict[int, tuple[bool, int]]) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(word, prepend=word[0] - 1 if len(word) else 0))
+    def answer(found: np.ndarray, listed: np.ndarray, c: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array(listed), pa.array(c.astype(np.int64)), pa.array(new.astype(np.int8))], ["h", "listed", "c", "class"]
+        )
+
+    def choose(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(word, prepend=word[:1] - 1))
+        found, sizes = word[starts], np.diff(np.append(starts, len(word)))
+        mark = starts + sizes - 1  # the mark has the largest code of a word
+        listed = code[mark] > LISTED
+        old = code[mark] - np.where(listed, LISTED, OLD)
+        # Words that stand once have one class on either side; equal ones are decided together.
+        once = (sizes == 3) & (n[starts] == 1) & (code[starts] < RIGHT)
+        at = starts[once]
+        once_kinds, kind = np.unique((old[once] * 256 + code[at]) * 256 + code[at + 1], return_inverse=True)
+        tables = np.zeros((2 * CLASSES + 1, len(once_kinds)))
+        tables[(once_kinds >> 8) & 255, np.arange(len(once_kinds))] = 1
+        tables[once_kinds & 255, np.arange(len(once_kinds))] = 1
+        new = best_classes(shared.value, once_kinds >> 16, tables[:RIGHT].T, tables[RIGHT:OWN].T, tables[OWN])[kind]
+        yield answer(found[once], listed[once], np.ones(len(at)), new)
+        rest = np.flatnonzero(~once)
+        ends = np.cumsum(sizes[rest])
         first = 0
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + most)))
-            upto = starts[last] if last < len(starts) else len(word)
-            here = slice(starts[first], upto)
-            found, at = np.unique(word[here], return_inverse=True)
-            tables = np.zeros((2 * CLASSES + 1, len(found)))
-            tables[code[here], at] = n[here]
-            left, right, own = tables[:RIGHT].T.copy(), tables[RIGHT:OWN].T.copy(), tables[OWN]
-            known = [marks[h] for h in found.tolist()]
-            new = best_classes(shared.value, np.array([k[1] for k in known], np.int64), left, right, own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array([k[0] for k in known]), pa.array((left.sum(axis=1) + own).astype(np.int64)), pa.array(new.astype(np.int8))],
-                ["h", "listed", "c", "class"],
-            )
+        while first < len(rest):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most)))
+            some = rest[first:last]
+            size = sizes[some] - 1  # without the mark
+            w = np.repeat(np.arange(len(some)), size)
+            entry = np.repeat(starts[some] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(w))
+            tables = np.zeros((2 * CLASSES + 1, len(some)))
+            tables[code[entry], w] = n[entry]
+            left, right, own = tables[:RIGHT].T, tables[RIGHT:OWN].T, tables[OWN]
+            yield answer(found[some], listed[some], left.sum(axis=1) + own, best_classes(shared.value, old[some], left, right, own))
             first = last
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
-        marks: dict[int, tuple[bool, int]] = {}
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False)
             if not len(h):
                 continue
-            marks.update(zip(h.tolist(), zip(batch.column("listed").to_pylist(), batch.column("old").to_pylist(), strict=True), strict=True))
             lists = batch.column("entries").to_pylist()
             packed = np.frombuffer(b"".join(lists), np.int64)
             word = np.repeat(h, [len(x) // 8 for x in lists])
             kept = list(_summed(*(np.concatenate(pair) for pair in zip(kept, (word, packed & 255, packed >> 8), strict=True))))
             cut = int(np.searchsorted(kept[0], h[-1]))  # rows come in order, so the last word may go on
-            yield from choose(*(k[:cut] for k in kept), marks)
-            kept, marks = [k[cut:] for k in kept], {int(h[-1]): marks[int(h[-1])]}
-        yield from choose(*kept, marks)
+            yield from choose(*(k[:cut] for k in kept))
+            kept = [k[cut:] for k in kept]
+        yield from choose(*kept)
 
     return beside.repartition("h").sortWithinPartitions("h").mapInArrow(decide, "h bigint, listed boolean, c bigint, class tinyint")
 
@@ -427,8 +452,8 @@ def fit(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, passes: int = PA
     loose = first_classes(vocabulary, known)
     for _ in range(passes):
         decided = materialize(reassigned(neighbours(docs, known), grid), "classes")
-        mine = decided.where("listed").select("h", "class").toPandas()  # at most TABLE rows
-        tried = known.moved(mine["h"].to_numpy(np.int64).view(np.uint64), mine["class"].to_numpy(np.int8))
+        mine = decided.where("listed").select("h", "class").toArrow()  # at most TABLE rows
+        tried = known.moved(mine["h"].to_numpy().view(np.uint64), mine["class"].to_numpy())
         found = bigrams(docs, tried, CLASSES)
         if likelihood(found) <= likelihood(grid):
             break
@@ -455,11 +480,14 @@ def score(docs: DataFrame, vocabulary: DataFrame, known: Lexicon, loose: DataFra
         for batch in batches:
             for first, last, bounds, hashes, bins in _word_batches(batch):
                 n = last - first
-                at, listed = lex.find(hashes)
-                own = np.where(listed, lex.word_classes(hashes, bins), -1)
+                distinct, inverse = np.unique(hashes, return_inverse=True)
+                at, listed = lex.find(distinct)
+                own = lex.taken(lex.classes, at, listed, -1)[inverse]
+                log_counts = np.where(listed, np.log10(lex.counts[at] + 0.5), 0.0)[inverse] if len(lex.counts) else 0.0
+                listed = listed[inverse]
                 tokens, owner, places = _with_ends(bounds, own, END_CLASS)
                 log_count = np.full(len(tokens), np.log10(ends + 0.5))
-                log_count[places] = np.where(listed, np.log10(lex.counts[at] + 0.5), 0.0) if len(lex.counts) else 0.0
+                log_count[places] = log_counts
                 before = np.append(END_CLASS, tokens[:-1])
                 moves = np.where((before >= 0) & (tokens >= 0), lm.move[before, tokens], 0.0) - np.where(tokens >= 0, lm.root[tokens], 0.0)
                 sums = [np.bincount(owner, weights=w, minlength=n) for w in (log_count, moves)]
