@@ -50,7 +50,7 @@ END_CLASS = 0
 PASSES = 2
 TABLE = 1 << 19
 #: (word, neighbour class) counts that a task holds before it passes them on.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 FEW = 16
 TREND = 20.0
 END = np.uint64(0x243F6A8885A308D3)
@@ -71,13 +71,22 @@ def _word_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
         yield first, last, np.searchsorted(owner, np.arange(len(offsets))), hashes, bins
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, a place of each, and which of them each word is."""
+    distinct, inverse = np.unique(hashes, return_inverse=True)
+    where = np.zeros(len(distinct), np.int64)
+    where[inverse] = np.arange(len(hashes))
+    return distinct, where, inverse
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``h, bin, c`` of every distinct word and of the end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, _, hashes, bins in _word_batches(batch):
-                found, where, n = np.unique(hashes, return_index=True, return_counts=True)
+                found, where, inverse = _distinct(hashes)
+                n = np.bincount(inverse, minlength=len(found))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(found, END).view(np.int64)), pa.array(np.append(bins[where], END_UNIT)), pa.array(np.append(n, last - first))],
                     ["h", "bin", "c"],
@@ -175,13 +184,16 @@ def bigrams(docs: DataFrame, known: Lexicon, size: int) -> np.ndarray:
         table, lex = np.zeros((size, size), np.int64), shared()
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                distinct, where, inverse = _distinct(hashes)
                 found = (lex.units if by_unit else lex.word_classes)(distinct, bins[where])
                 tokens, _, _ = _with_ends(bounds, found[inverse], end)
                 if len(tokens):
-                    before = np.append(end, tokens[:-1])
-                    pairs, n = np.unique(before * size + tokens, return_counts=True)
-                    table.ravel()[pairs] += n
+                    pairs = np.append(end, tokens[:-1]) * size + tokens
+                    if by_unit:
+                        pairs, n = np.unique(pairs, return_counts=True)
+                        table.ravel()[pairs] += n
+                    else:
+                        table += np.bincount(pairs, minlength=size * size).reshape(size, size)
         some = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[u].tobytes() for u in some], pa.binary())], ["u", "counts"])
 
@@ -298,12 +310,13 @@ def best_classes(grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.
 
 def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries in order of word and code, those of equal ones added up."""
-    order = np.lexsort((code, word))
-    word, code, n = word[order], code[order], n[order]
-    fresh = np.ones(len(word), bool)
-    fresh[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
-    at = np.flatnonzero(fresh)
-    return word[at], code[at], np.add.reduceat(n, at) if len(at) else n
+    distinct, inverse = np.unique(word, return_inverse=True)
+    keys = inverse * 256 + code
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys = keys[at]
+    return distinct[keys >> 8], keys & 255, np.add.reduceat(n, at) if len(at) else n
 
 
 #: Codes of an entry: a class to the left, one to the right, the word itself to the left; the class that the
@@ -336,14 +349,14 @@ def neighbours(docs: DataFrame, known: Lexicon) -> DataFrame:
         parts, held = [none], 0
         for batch in batches:
             for _, _, bounds, hashes, bins in _word_batches(batch):
-                distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                distinct, where, inverse = _distinct(hashes)
                 bins = bins[where]
                 at, listed = lex.find(distinct)
                 own = lex.taken(lex.classes, at, listed, lex.bin_class[bins])
                 loose = lex.taken(lex.unit, at, listed, -1) < 0
                 classes, _, places = _with_ends(bounds, own[inverse], END_CLASS)
-                tokens, _, _ = _with_ends(bounds, inverse.astype(np.int64), -1)
-                again = np.append(False, (tokens[1:] == tokens[:-1]) & (tokens[1:] >= 0))
+                again = np.zeros(len(classes) + 1, bool)
+                again[places[1:]] = (inverse[1:] == inverse[:-1]) & (places[1:] == places[:-1] + 1)
                 free = np.flatnonzero(loose[inverse])
                 spots, mine = places[free], inverse[free]
                 left = np.where(again[spots], OWN, np.append(END_CLASS, classes[:-1])[spots])
