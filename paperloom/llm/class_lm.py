@@ -52,6 +52,7 @@ TABLE = 1 << 19
 #: (word, neighbour class) counts that a task holds before it passes them on.
 ENTRIES = 1 << 20
 FEW = 16
+MOST_COUNT = (1 << 24) - 1
 TREND = 20.0
 END = np.uint64(0x243F6A8885A308D3)
 
@@ -268,19 +269,26 @@ def exchange(table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return label
 
 
-def best_classes(grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+def small_steps(grid: np.ndarray) -> list[np.ndarray]:
+    """What fewer than ``FEW`` more bigrams change in each cell, for classes to the right and to the left."""
+    tables = [np.ascontiguousarray(t, dtype=np.float64) for t in (grid.T, grid)]
+    return [xlogx(t + np.arange(FEW)[:, None, None]) - xlogx(t) for t in tables]
+
+
+def best_classes(
+    grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, few: list[np.ndarray] | None = None
+) -> np.ndarray:
     """Class of each word that raises the likelihood most if this word alone moves.
 
     ``left`` and ``right`` count the classes beside the words (a row a word), ``own`` how often
     a word follows itself. The class table includes these bigrams under the class ``old``.
     """
+    few = few or small_steps(grid)
     rows, gain = np.arange(len(old)), np.zeros(left.shape)
-    for beside, across, table in ((right, left, grid), (left, right, grid.T)):
+    for beside, across, table, steps in ((right, left, grid, few[0]), (left, right, grid.T, few[1])):
         word, other = np.nonzero(beside)
         n, at, mine = beside[word, other], np.arange(len(word)), old[word]
         cells = np.ascontiguousarray(table.T, dtype=np.float64)
-        # Small counts take their changes from a table.
-        steps = xlogx(cells + np.arange(FEW)[:, None, None]) - xlogx(cells)
         change = steps[np.minimum(n, FEW - 1).astype(np.int64), other]
         fresh = np.flatnonzero((n >= FEW) | (other == mine))
         some = cells[other[fresh]]
@@ -308,9 +316,13 @@ def best_classes(grid: np.ndarray, old: np.ndarray, left: np.ndarray, right: np.
     return np.where(gain[rows, new] > gain[rows, old] + least, new, old)
 
 
-def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries in order of word and code, those of equal ones added up."""
-    distinct, inverse = np.unique(word, return_inverse=True)
+def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray, together: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of word and code, those of equal ones added up; ``together``: words are in order already."""
+    if together:
+        new = np.diff(word, prepend=word[:1] - 1) != 0
+        distinct, inverse = word[new], np.cumsum(new) - 1
+    else:
+        distinct, inverse = np.unique(word, return_inverse=True)
     keys = inverse * 256 + code
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
@@ -328,18 +340,23 @@ OLD, LISTED = 2 * CLASSES, 3 * CLASSES  # plus the class, which is never the end
 def neighbours(docs: DataFrame, known: Lexicon) -> DataFrame:
     """Words outside the core with the classes beside them: a few rows a word and task.
 
-    ``entries`` are 64-bit numbers, 256 times a count plus a code.
+    ``entries`` are 32-bit numbers, 256 times a count plus a code; a larger count has several.
     """
     shared = shared_object(docs.sparkSession, known)
 
     def rows(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        packed = n * 256 + code
+        parts = n // MOST_COUNT + 1
+        if len(n) and parts.max() > 1:
+            left = n - (parts - 1) * MOST_COUNT
+            word, code, n = np.repeat(word, parts), np.repeat(code, parts), np.full(parts.sum(), MOST_COUNT, np.int64)
+            n[np.cumsum(parts) - 1] = left
+        packed = (n * 256 + code).astype(np.uint32)
         starts = np.flatnonzero(np.diff(word, prepend=word[:1] - 1))
         found, starts = word[starts], np.append(starts, len(word))
         for first in range(0, len(found), 10_000):
             last = min(first + 10_000, len(found))
             base, ends = starts[first], starts[first : last + 1]
-            offsets = pa.py_buffer(((ends - base) * 8).astype(np.int32))
+            offsets = pa.py_buffer(((ends - base) * 4).astype(np.int32))
             entries = pa.Array.from_buffers(pa.binary(), last - first, [None, offsets, pa.py_buffer(packed[base : ends[-1]].copy())])
             yield pa.RecordBatch.from_arrays([pa.array(found[first:last]), entries], ["h", "entries"])
 
@@ -379,7 +396,7 @@ def neighbours(docs: DataFrame, known: Lexicon) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h bigint, entries binary")
 
 
-def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> DataFrame:
+def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 13) -> DataFrame:
     """``h, listed, c, class`` of every word outside the core, each moved to its best class."""
     shared = beside.sparkSession.sparkContext.broadcast(grid)
 
@@ -388,7 +405,7 @@ def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> Data
             [pa.array(found), pa.array(listed), pa.array(c.astype(np.int64)), pa.array(new.astype(np.int8))], ["h", "listed", "c", "class"]
         )
 
-    def choose(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def choose(word: np.ndarray, code: np.ndarray, n: np.ndarray, few: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.diff(word, prepend=word[:1] - 1))
         found, sizes = word[starts], np.diff(np.append(starts, len(word)))
         mark = starts + sizes - 1  # the mark has the largest code of a word
@@ -398,10 +415,14 @@ def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> Data
         once = (sizes == 3) & (n[starts] == 1) & (code[starts] < RIGHT)
         at = starts[once]
         once_kinds, kind = np.unique((old[once] * 256 + code[at]) * 256 + code[at + 1], return_inverse=True)
-        tables = np.zeros((2 * CLASSES + 1, len(once_kinds)))
-        tables[(once_kinds >> 8) & 255, np.arange(len(once_kinds))] = 1
-        tables[once_kinds & 255, np.arange(len(once_kinds))] = 1
-        new = best_classes(shared.value, once_kinds >> 16, tables[:RIGHT].T, tables[RIGHT:OWN].T, tables[OWN])[kind]
+        new = np.zeros(len(once_kinds), np.int64)
+        for first in range(0, len(once_kinds), most // 2):
+            kinds = once_kinds[first : first + most // 2]
+            tables = np.zeros((2 * CLASSES + 1, len(kinds)))
+            tables[(kinds >> 8) & 255, np.arange(len(kinds))] = 1
+            tables[kinds & 255, np.arange(len(kinds))] = 1
+            new[first : first + len(kinds)] = best_classes(shared.value, kinds >> 16, tables[:RIGHT].T, tables[RIGHT:OWN].T, tables[OWN], few)
+        new = new[kind]
         yield answer(found[once], listed[once], np.ones(len(at)), new)
         rest = np.flatnonzero(~once)
         ends = np.cumsum(sizes[rest])
@@ -415,23 +436,26 @@ def reassigned(beside: DataFrame, grid: np.ndarray, most: int = 1 << 15) -> Data
             tables = np.zeros((2 * CLASSES + 1, len(some)))
             tables[code[entry], w] = n[entry]
             left, right, own = tables[:RIGHT].T, tables[RIGHT:OWN].T, tables[OWN]
-            yield answer(found[some], listed[some], left.sum(axis=1) + own, best_classes(shared.value, old[some], left, right, own))
+            yield answer(found[some], listed[some], left.sum(axis=1) + own, best_classes(shared.value, old[some], left, right, own, few))
             first = last
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
+        kept, few = [np.zeros(0, np.int64)] * 3, small_steps(shared.value)
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False)
             if not len(h):
                 continue
-            lists = batch.column("entries").to_pylist()
-            packed = np.frombuffer(b"".join(lists), np.int64)
-            word = np.repeat(h, [len(x) // 8 for x in lists])
-            kept = list(_summed(*(np.concatenate(pair) for pair in zip(kept, (word, packed & 255, packed >> 8), strict=True))))
+            lists = batch.column("entries").cast(pa.large_binary())
+            _, bounds, data = lists.buffers()
+            bounds = np.frombuffer(bounds, np.int64, len(h) + 1, 8 * lists.offset)
+            packed = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].copy().view(np.uint32)
+            word = np.repeat(h, np.diff(bounds) // 4)
+            fresh = (word, (packed & 255).astype(np.int64), (packed >> 8).astype(np.int64))
+            kept = list(_summed(*(np.concatenate(pair) for pair in zip(kept, fresh, strict=True)), together=True))
             cut = int(np.searchsorted(kept[0], h[-1]))  # rows come in order, so the last word may go on
-            yield from choose(*(k[:cut] for k in kept))
+            yield from choose(*(k[:cut] for k in kept), few)
             kept = [k[cut:] for k in kept]
-        yield from choose(*kept)
+        yield from choose(*kept, few)
 
     return beside.repartition("h").sortWithinPartitions("h").mapInArrow(decide, "h bigint, listed boolean, c bigint, class tinyint")
 
