@@ -294,3 +294,30 @@ def test_op6_scores_equal_the_model_token_by_token(spark, monkeypatch, table):
     assert math.isclose((10 ** (model.move)).sum(axis=1).max(), 1.0) and math.isclose((10 ** (model.move)).sum(axis=1).min(), 1.0)
     # Words outside the core are not bound to the class of their bin.
     assert any(r["class"] != known.bin_class[r["bin"]] for r in loose.join(class_lm.word_counts(docs).select("h", "bin"), "h").collect())
+
+
+def test_op6_passes_do_not_depend_on_how_counts_are_cut(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    vocabulary = class_lm.word_counts(docs).cache()
+    known = class_lm.lexicon(vocabulary, 700)
+    label = np.append(1 + np.arange(class_lm.UNITS - 1) % (class_lm.CLASSES - 1), class_lm.END_CLASS)
+    known = known.labelled(label)
+    grid = class_lm.bigrams(docs, known, class_lm.CLASSES)
+
+    def moved(parts):
+        rows = class_lm.reassigned(class_lm.neighbours(docs.repartition(parts), known), grid).collect()
+        return sorted((r["h"], r["listed"], r["c"], r["class"]) for r in rows)
+
+    expected = moved(1)
+    core = {int(h) for h in known.hashes[known.core()].view(np.int64)} | {int(class_lm.END.view(np.int64))}
+    counts = sorted((r["h"], r["c"]) for r in vocabulary.collect() if r["h"] not in core)
+    assert [(h, c) for h, _, c, _ in expected] == counts
+    assert any(k != label[r["bin"]] for r, (_, _, _, k) in zip(sorted((r for r in vocabulary.collect() if r["h"] not in core), key=lambda r: r["h"]), expected, strict=True))
+    monkeypatch.setattr(class_lm, "ENTRIES", 500)
+    monkeypatch.setattr(class_lm, "MOST_COUNT", 2)
+    monkeypatch.setattr(class_lm, "FEW", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert moved(5) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
