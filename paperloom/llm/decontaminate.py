@@ -4,7 +4,8 @@ Method: of every ``WINDOW`` consecutive ``GRAM``-word hashes the smallest is a f
 documents and items alike. A shared run of ``GRAM + WINDOW - 1`` (13) words holds one whole
 window on both sides, so both sides keep its smallest hash: no shared run of 13 words is
 missed. Equal fingerprints are hits; each is extended to both sides while the words agree,
-and a run of 13 or more words marks its document words. Items of fewer than 13 words are
+and a run of 13 or more words marks its document words. Where repeated words make very many
+hits of one item, runs are read off its consecutive shared windows instead. Items of fewer than 13 words are
 looked up by the hash of their whole word sequence at every place.
 
 The index of the items (fingerprints, places, word hashes: some 30 bytes a word) is broadcast
@@ -38,6 +39,8 @@ WINDOW = 8
 SPAN = GRAM + WINDOW - 1
 BROADCAST_WORDS = 1_000_000
 FILTER_ROWS = 1000
+#: Equal grams of one text and one item that are extended one by one.
+FEW_PAIRS = 256
 EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 
 
@@ -94,20 +97,7 @@ class Items:
         """``(first word, end, item)`` of every maximal shared run in one document's words."""
         found: list[tuple[int, int, int]] = []
         if len(hashes) >= SPAN and len(self.keys) and (likely is None or likely.any()):
-            grams = chained(hashes, GRAM)
-            low = np.searchsorted(self.keys, grams, side="left")
-            high = np.searchsorted(self.keys, grams, side="right")
-            reach: dict[tuple[int, int], int] = {}
-            for at in np.flatnonzero(high > low).tolist():
-                for place in self.places[low[at] : high[at]].tolist():
-                    item = int(self.owner[place])
-                    line = (item, place - at)
-                    if reach.get(line, -1) >= at + GRAM:
-                        continue
-                    first, last = self._extended(hashes, at, place, item)
-                    reach[line] = last
-                    if last - first >= SPAN:
-                        found.append((first, last, item))
+            found = self._long_spans(hashes)
         for width, known in self.short.items():
             runs = chained(hashes, width)
             keys = np.fromiter(known, np.uint64, len(known))
@@ -115,6 +105,53 @@ class Items:
                 found += [(at, at + width, item) for item in known[int(runs[at])]]
         return found
 
+    def _long_spans(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """Shared runs of ``SPAN`` or more words, item by item, in time linear in text and index.
+
+        Every equal gram of an item is counted first. Where they are few, each is extended to
+        both sides. Words that repeat make them as many as the product of both lengths; there
+        a run is what consecutive shared windows cover, which takes the same words.
+        """
+        grams = chained(hashes, GRAM)
+        gram, kind, uses = np.unique(grams, return_inverse=True, return_counts=True)
+        low, high = np.searchsorted(self.keys, gram, side="left"), np.searchsorted(self.keys, gram, side="right")
+        size = high - low
+        if not size.any():
+            return []
+        which = np.repeat(np.arange(len(gram)), size)
+        places = self.places[np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)]
+        order = np.argsort(self.owner[places], kind="stable")
+        which, places = which[order], places[order]
+        items, first = np.unique(self.owner[places], return_index=True)
+        by_kind = np.argsort(kind, kind="stable")
+        begin = np.cumsum(uses) - uses
+        windows: np.ndarray | None = None
+        found: list[tuple[int, int, int]] = []
+        for item, start, stop in zip(items.tolist(), first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+            if int(uses[which[start:stop]].sum()) > FEW_PAIRS:
+                windows = chained(hashes, SPAN) if windows is None else windows
+                found += [(a, b, item) for a, b in self._by_windows(windows, item)]
+                continue
+            pairs = [
+                (at, place) for g, place in zip(which[start:stop].tolist(), places[start:stop].tolist(), strict=True)
+                for at in by_kind[begin[g] : begin[g] + uses[g]].tolist()
+            ]
+            reach: dict[int, int] = {}
+            for at, place in sorted(pairs):
+                if reach.get(place - at, -1) >= at + GRAM:
+                    continue
+                begins, ends = self._extended(hashes, at, place, item)
+                reach[place - at] = ends
+                if ends - begins >= SPAN:
+                    found.append((begins, ends, item))
+        return found
+
+    def _by_windows(self, windows: np.ndarray, item: int) -> list[tuple[int, int]]:
+        """Stretches of a text that windows of an item cover, from hashes of all its windows."""
+        shared = np.isin(windows, chained(self.hashes[self.offsets[item] : self.offsets[item + 1]], SPAN))
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], shared, [False]]).astype(np.int8)))
+        return [(a, b + SPAN - 1) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+
     def _extended(self, hashes: np.ndarray, at: int, place: int, item: int) -> tuple[int, int]:
         """The run of equal words around a common gram."""
         back = min(at, place - int(self.offsets[item]))

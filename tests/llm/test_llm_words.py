@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from samples import SMALL, awkward, empty, lower, ordered
 
 from paperloom.llm import class_lm, ngram_join
-from paperloom.llm.decontaminate import contamination, without_contaminated
+from paperloom.llm.decontaminate import Items, _judged, contamination, without_contaminated
 from paperloom.llm.queries import QUERIES
 from paperloom.operators.components import components
 
@@ -78,6 +80,25 @@ def test_op8_neighbours_with_equal_windows_are_each_judged(spark, most_words):
     assert [r["doc_id"] for r in without_contaminated(docs, items, most_words=most_words).collect()] == [9]
 
 
+@pytest.mark.parametrize("most_words", [10**9, 0])
+def test_op8_repeated_words_equal_brute_force(spark, most_words):
+    rng = random.Random(8)
+    items = [(1, "la " * 40), (2, "la lo " * 30), (3, "x " + "la " * 20 + "y " * 14), (4, " ".join(rng.choice("ab") for _ in range(60)))]
+    texts = ["la " * 300, "lo la " * 90 + "z " + "la " * 12, "y " * 100 + "la " * 13 + "x", " ".join(rng.choice("ab") for _ in range(900)), "la " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_contamination(list(enumerate(texts)), items)
+    found = contamination(docs, spark.createDataFrame(items, "item_id long, text string"), most_words=most_words)
+    assert ordered(found.collect()) == ordered(expected)
+
+
+def test_op8_one_word_very_often_takes_linear_time():
+    index = Items(["1"], ["la " * 20_000])
+    started = time.monotonic()
+    n_words, n_hit, n_items, _ = _judged(index, pa.array(["la " * 20_000, "la lo " * 10_000]))
+    assert time.monotonic() - started < 10
+    assert (n_words.tolist(), n_hit.tolist(), n_items.tolist()) == ([20_000, 20_000], [20_000, 0], [1, 0])
+
+
 def test_op8_without_items_marks_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(awkward(spark), none).where("n_hit > 0").count() == 0
