@@ -1,13 +1,15 @@
 """Secret scans with DataFrame functions only.
 
 Three pattern kinds (``assign``, ``access``, ``hex``) find secrets by their form. The method
-adds a fourth kind, ``entropy``: runs of 20 or more key characters are candidates; a window of
-``WINDOW`` characters slides over each, and its Shannon entropy is kept up to date from the
-counts of the characters that enter and leave. A candidate is a secret if some window
-reaches the threshold of the candidate's character class (hexadecimal, letters with digits,
-any key character). An allow-list suppresses what merely looks random: plain words joined by
-signs, digits alone, UUIDs, alphabets and placeholders. Candidates inside a pattern span are
-not repeated.
+adds a fourth kind, ``entropy``: runs of ``SHORTEST`` or more key characters are candidates; a
+window of ``WINDOW`` characters (or the whole of a shorter candidate) slides over each, and
+its Shannon entropy is kept up to date from the counts of the characters that enter and
+leave. A candidate is a secret if some window reaches the threshold of the candidate's
+character class (hexadecimal, letters of one case, letters, letters with digits, any key character), which falls
+with the largest entropy a shorter window can have. An allow-list suppresses what merely looks
+random: plain words and numbers in a row, UUIDs, and candidates of which little is left without
+alphabets and placeholders. A key of letters alone is no plain word if it changes case inside
+or has 20 letters or more. Candidates inside a pattern span are not repeated.
 
 Places come from the pieces between the matches of a kind: their lengths add up. Whole texts
 are searched; a pattern is only run on texts that hold what it needs.
@@ -20,6 +22,8 @@ matches costs time in proportion to its length and k squared (copied spans).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +35,19 @@ ASSIGN_VALUE = 8
 KINDS = ("assign", "access", "hex", "entropy")
 NEEDED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+SHORTEST = 16
 WINDOW = 20
-THRESHOLDS = ((r"^[0-9a-fA-F]+$", 2.8), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.9))
+# Bits a window of WINDOW characters must reach, by what the candidate is made of.
+# Long compound words come to 3.8, so letters of one case have a threshold of their own.
+THRESHOLDS = ((r"^[0-9a-fA-F]+$", 2.8), (r"^[A-Z]?[a-z]+$|^[A-Z]+$", 3.9), (r"^[A-Za-z/_=+-]+$", 3.6), (r"^[A-Za-z0-9]+$", 3.6), (r"", 3.9))
+# Words and numbers in a row, with or without signs between them; and UUIDs. Possessive, so that long ones are no deep recursion.
 ALLOWED = (
-    r"^[/_=+-]*[A-Za-z]+(?:[/_=+-]+[A-Za-z]+)*[/_=+-]*$",
-    r"^[0-9/_=+-]+$",
+    r"^(?:[/_=+-]++|[A-Z]?[a-z]{3,19}+(?![a-z])|[A-Z]{3,19}+(?![A-Z])|(?<![A-Za-z0-9])[A-Za-z]{1,2}(?![A-Za-z0-9])|[0-9]++)*+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|abcdefghij|0123456789",
 )
+# What stands for a secret in manuals; only the rest of a candidate is judged.
+PLACEHOLDERS = r"(?i)example|placeholder|changeme|abcdefghij(?:klmnopqrst(?:uvwxyz)?)?|0123456789"
 MASK = "<SECRET>"
 SPAN = "struct<start: bigint, end: bigint, kind: int, value: string>"
 
@@ -65,13 +73,14 @@ def _times_log(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(F.greatest(count, F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def window_entropy(value: Column, width: int = WINDOW) -> Column:
+def window_entropy(value: Column, width: int | Column = WINDOW) -> Column:
     """Largest Shannon entropy of the windows of ``width`` characters, by incremental counts.
 
     With n characters of which c are equal, entropy is log2(n) - sum(c * log2(c)) / n. Each
     step takes the leaving character's count down and the entering one's up, and changes the
     sum by these two terms alone.
     """
+    width = F.lit(width)
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     alphabet = F.array_distinct(chars)
     at = F.transform(chars, lambda c, i: F.struct(i.alias("i"), c.alias("c"), F.lit(1).alias("by")))
@@ -90,7 +99,7 @@ def window_entropy(value: Column, width: int = WINDOW) -> Column:
         old = F.element_at(F.filter(state["counts"], lambda x: x["c"] == event["c"]), 1)["n"]
         total = state["sum"] - _times_log(old) + _times_log(old + event["by"])
         full = (event["by"] > 0) & (event["i"] >= width - 1)
-        entropy = F.log2(F.lit(float(width))) - total / width
+        entropy = F.log2(width.cast("double")) - total / width
         return F.struct(
             F.transform(
                 state["counts"],
@@ -108,10 +117,12 @@ def _random_looking(value: Column) -> Column:
     least = F.lit(THRESHOLDS[-1][1])
     for pattern, bits in reversed(THRESHOLDS[:-1]):
         least = F.when(value.rlike(pattern), F.lit(bits)).otherwise(least)
-    allowed = F.lit(False)
+    allowed = F.length(value) < SHORTEST
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= least)
+    width = F.least(F.length(value), F.lit(WINDOW))
+    least = least * F.log2(width.cast("double")) / math.log2(WINDOW)
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(value, width) >= least)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -135,7 +146,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
     def fresh(span: Column) -> Column:
         inside = F.exists("_base", lambda b: (b["start"] <= span["start"]) & (span["end"] <= b["end"]))
-        return ~inside & _random_looking(span["value"])
+        return ~inside & _random_looking(F.regexp_replace(span["value"], PLACEHOLDERS, ""))
 
     staged = staged.withColumn("_entropy", F.when(F.size("_some") > 0, F.filter("_some", fresh)).otherwise(none))
     # Sorted by start; pattern kinds before entropy where starts are equal.

@@ -154,6 +154,25 @@ def test_op7_equals_regular_expressions(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_op7_finds_random_keys_and_leaves_words(spark):
+    rng = np.random.default_rng(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = {"letters": (letters, 40, ""), "example": (letters + "0123456789", 36, "example"), "short": (letters + "0123456789", 16, ""),
+             "both": (letters + "0123456789", 40, "")}
+    keys = [(kind, "see " + "".join(rng.choice(list(of), size)) + end + " there") for kind, (of, size, end) in kinds.items() for _ in range(100)]
+    found = secret_spans(spark.createDataFrame(keys, "doc_id string, text string")).where("spans like 'entropy:4:%'")
+    counts = {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    assert all(counts[kind] >= 95 for kind in kinds), counts
+    plain = (
+        "Kraftfahrzeughaftpflichtversicherung Rechtsschutzversicherungsgesellschaften anticonstitutionnellement getUserAccountInformation "
+        "document_1234_part5 Version2Release10 https://host-name/docs/2024/annual-report 123456789012345678901 your-api-key-example "
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 550e8400-e29b-41d4-a716-446655440000 ======================== " + "a-b-" * 20_000
+    )
+    assert secret_spans(spark.createDataFrame([(1, plain)], "doc_id long, text string")).head()["spans"] == ""
+    prose = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    assert secret_spans(prose).where("spans like '%entropy%'").count() == 0
+
+
 def test_op7_masks_every_span_and_keeps_columns(spark):
     docs = awkward(spark, [(100 + i, t) for i, t in enumerate(TEXTS)]).withColumnRenamed("k", "_spans")
     masked = redacted(docs)
