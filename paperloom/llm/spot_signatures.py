@@ -14,7 +14,12 @@ a fingerprint, equal texts have equal ones, and likeness is always defined.
 The next document (for the edited text) is found without a global sort: a piecewise linear
 distribution from 100 quantiles of ``doc_id`` puts rows into at most ``MOST_BUCKETS`` ordered
 buckets of about ``BUCKET_ROWS`` rows; the first row of a bucket is also sent to the bucket
-before it. So whole texts are shuffled once, and a window sees one small bucket.
+before it. Buckets are counted first: where ids lie in far-apart ranges and some bucket has over
+four times its share, it is cut at quantiles of its own ids until none has. So whole texts are
+shuffled once, and a window sees one small bucket whatever the ids.
+
+Anchors are common words of four languages (``ANCHORS``); a longer text of any other language
+mostly has the one element above, so it is like its exact copies only.
 
 Results: one row per document row. Null text counts as empty (n_chars 0). Rows with one id are
 ordered by their text; very many rows of a single id stay in one bucket. A row with null id
@@ -27,14 +32,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.storage import materialize
+
 CHAIN = 3
 MARK = "\u0001"
 BUCKET_ROWS = 256
 MOST_BUCKETS = 100_000
+CUTS = 99
+SUBS = 256
 
 # Very common words of English, German, French and Spanish.
 ANCHORS = (
@@ -95,6 +104,33 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(near, F.when(value >= least, value).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def _cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of the buckets in ``cuts`` moved to sub-buckets, in order; a cut value has its own."""
+    met = rows.join(F.broadcast(cuts), "_bucket", "left")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("doc_id"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("doc_id")))
+    sub = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
+    return met.withColumn("_bucket", F.col("_bucket") * SUBS + sub).drop("_cuts")
+
+
+def _evened(placed: DataFrame, most: int) -> tuple[DataFrame, list[Row]]:
+    """``placed`` with no bucket of several ids above ``most`` rows, and its buckets with their largest id.
+
+    The driver gets one row a bucket. A round cuts a bucket into hundredths, between which only
+    a single id can lie, so a few rounds are enough for any distribution; only ids are read.
+    """
+    ids = placed.select("doc_id", "_bucket")
+    while True:
+        sized = ids.groupBy("_bucket").agg(F.max("doc_id").alias("top"), F.min("doc_id").alias("low"), F.count("*").alias("n")).collect()
+        large = [(r["_bucket"],) for r in sized if r["n"] > most and r["low"] < r["top"]]
+        if not large:
+            return placed, sized
+        inside = ids.join(F.broadcast(ids.sparkSession.createDataFrame(large, "_bucket bigint")), "_bucket")
+        shares = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+        cuts = inside.groupBy("_bucket").agg(F.array_distinct(F.percentile_approx("doc_id", shares, 10_000)).alias("_cuts"))
+        cuts = materialize(cuts, "cuts")
+        ids, placed = _cut(ids, cuts), _cut(placed, cuts)
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with an id, with ``next_<column>`` of the row that follows in descending id order."""
     rows = docs.where("doc_id is not null")
@@ -109,16 +145,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     below = F.greatest(F.size(F.filter(bounds, lambda m: m <= place)), F.lit(1))
     low, high = F.get(bounds, below - 1), F.coalesce(F.get(bounds, below), F.get(bounds, below - 1) + 1)
     inside = F.least(F.greatest((place - low) / F.greatest(high - low, F.lit(1.0)), F.lit(0.0)), F.lit(0.999999))
-    bucket = F.floor((below - 1 + inside) / len(marks) * count).cast("int")
+    bucket = F.floor((below - 1 + inside) / len(marks) * count).cast("bigint")
     placed = rows.withColumn("_bucket", bucket)
-    heads = sorted(
-        ((r["_bucket"], r["top"]) for r in rows.select("doc_id").withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max("doc_id").alias("top")).collect()),
-        reverse=True,
-    )  # at most MOST_BUCKETS rows
+    placed, sized = _evened(placed, 4 * max(BUCKET_ROWS, known["n"] // count))
+    heads = sorted(((r["_bucket"], r["top"]) for r in sized), reverse=True)
     # The head of each bucket visits the bucket before it in this order; the very first the last.
     visits = [(top, heads[at - 1][0]) for at, (_, top) in enumerate(heads)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    guests = docs.sparkSession.createDataFrame(visits, f"_top {kind}, _visit int")
+    guests = docs.sparkSession.createDataFrame(visits, f"_top {kind}, _visit bigint")
     copies = placed.join(F.broadcast(guests), F.col("doc_id") == F.col("_top"), "left").withColumn(
         "_at",
         F.explode(

@@ -6,8 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from samples import SMALL, awkward, empty, ordered
 
+from paperloom.llm import spot_signatures
 from paperloom.llm.language_id import identify
 from paperloom.llm.licenses import NOTICES, TEMPLATES, aligned, increasing, license_scan
 from paperloom.llm.quality import Discriminant, quality_scores, without_rejects
@@ -112,6 +115,32 @@ def test_op3_awkward_rows(spark):
     assert fingerprints(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["two ranges", "one far id", "one id mostly", "large ids"])
+def test_op3_buckets_are_even_whatever_the_ids(spark, name):
+    n = 60_000
+    ids = {
+        "two ranges": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10**15),
+        "one far id": F.when(F.col("id") == 7, F.lit(10**17)).otherwise(F.col("id")),
+        "one id mostly": F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id") ** 3).cast("bigint"),
+        "large ids": F.col("id") + (2**62),
+    }[name]
+    docs = spark.range(n, numPartitions=4).select(ids.alias("doc_id"), F.lit("").alias("text"))
+    placed, sized = spot_signatures._evened(docs.withColumn("_bucket", F.lit(3).cast("bigint")), 1024)
+    assert all(r["n"] <= 1024 or r["low"] == r["top"] for r in sized) and sum(r["n"] for r in sized) == n
+    counts = {r["_bucket"]: (r["n"], r["top"]) for r in sized}
+    assert {r["_bucket"]: r["count"] for r in placed.groupBy("_bucket").count().collect()} == {b: c for b, (c, _) in counts.items()}
+    tops = [counts[b][1] for b in sorted(counts)]
+    assert tops == sorted(tops)
+
+
+def test_op3_next_document_over_far_ranges(spark):
+    rows = [(i + (10**15 if i % 2 else 0), f"text {i}") for i in range(12_000)] + [(10**18, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = spot_signatures.with_next(docs, ["text"]).select("doc_id", "next_text").collect()
+    known = sorted(rows, reverse=True)
+    assert dict(map(tuple, found)) == {i: known[(at + 1) % len(known)][1] for at, (i, _) in enumerate(known)}
+
+
 def test_op3_likeness_is_pruned_by_length(spark):
     row = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 5], [1])], "a array<int>, b array<int>, c array<int>").select(
         likeness("a", "b").alias("ab"), likeness("a", "b", 0.8).alias("low"), likeness("a", "b", 0.5).alias("kept"), likeness("a", "c", 0.5).alias("ac")
