@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import text as tx
-from paperloom.operators.skew import lookup_join, row_lookup, top_keys, top_rows
+from paperloom.operators.skew import row_lookup, top_rows
 from paperloom.storage import materialize
 
 BROADCAST_GRAMS = 1_000_000
@@ -183,15 +183,15 @@ def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> Da
     """
     languages = [(r["lang"], r["total"]) for r in totals.orderBy("lang").collect()]
     logs = [F.sum(F.when(F.col("lang") == lang, F.log(F.col("c") + 1)).otherwise(0.0)) for lang, _ in languages]
-    table = counts.groupBy("gram").agg(F.array(*logs).cast("array<double>").alias("logs"), F.sum("c").alias("uses"))
+    table = counts.groupBy("gram").agg(F.array(*logs).cast("array<double>").alias("logs"))
     table = materialize(table, "trigram-logs")
     size = table.count()
     words = docs.select("doc_id", F.explode_outer(tx.tokens(F.col("text"))).alias("word"))
     grams = words.select("doc_id", F.explode_outer(tx.trigrams(F.col("word"))).alias("gram"))
     if size <= BROADCAST_GRAMS:
-        met = grams.join(F.broadcast(table.drop("uses")), "gram", "left")
+        met = grams.join(F.broadcast(table), "gram", "left")
     else:
-        met = lookup_join(grams, table.drop("uses"), ["gram"], F.col("doc_id"), top_keys(table, ["gram"], "uses"), "left")
+        met = row_lookup(grams, table, "gram", F.col("doc_id"))
     found = met.groupBy("doc_id").agg(
         F.count("gram").alias("n"), *(F.coalesce(F.sum(F.get("logs", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(languages)))
     )

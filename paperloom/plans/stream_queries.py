@@ -32,7 +32,7 @@ def stream_ingest(t):
     ),
 )
 def stream_cache_upsert(t):
-    return jobs.current_cache(jobs.cache_change_log(change_rows(audit_rows(t.stream("events")))))
+    return jobs.run_cache_upserts(change_rows(audit_rows(t.stream("events"))))
 
 
 @query(

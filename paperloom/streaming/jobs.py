@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.cache import latency_ewma, upsert_latest
-from paperloom.storage import scratch_path
+from paperloom.storage import materialize, scratch_path
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
@@ -94,6 +94,54 @@ def current_cache(change_log: DataFrame) -> DataFrame:
     return upsert_latest(change_log.drop("batch"), ["key"], ["written_at", "seq"])
 
 
+def _bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest batch that wrote each bucket; at most one row a bucket."""
+    written = spark.read.schema("bucket int, batch bigint").parquet(f"{path}/touched")
+    if before is not None:
+        written = written.where(F.col("batch") < before)
+    return {r["bucket"]: r["batch"] for r in written.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def cache_snapshot(spark: SparkSession, path: str, schema: T.StructType, versions: dict[int, int]) -> DataFrame:
+    """The cache rows of these buckets at these batches; no other file is read."""
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/rows/batch={n}/bucket={b}" for b, n in sorted(versions.items())))
+
+
+def run_cache_upserts(changes: DataFrame, name: str = "cache", path: str | None = None, buckets: int = 64) -> DataFrame:
+    """The cache that a stream of changes ``key, written_at, seq, ...`` leaves, kept as a table of key buckets.
+
+    A batch is cut to the last change of each key, and only the buckets of its keys are read,
+    merged and written under its number; the others stay at their older batch. A repeated
+    batch reads what came before it and replaces its own folders. With a ``path`` of the
+    caller's, a later call resumes. ``buckets`` stays the same for one path.
+    """
+    spark, order = changes.sparkSession, ["written_at", "seq"]
+    path = path or scratch_path(spark, name)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        last = materialize(upsert_latest(batch, ["key"], order).withColumn("bucket", bucket), f"{name}-batch")
+        touched = materialize(last.select("bucket").distinct(), f"{name}-touched")
+        wanted = {r["bucket"] for r in touched.collect()}  # at most ``buckets`` rows
+        held = {b: n for b, n in (_bucket_versions(session, path, number) if number else {}).items() if b in wanted}
+        known = cache_snapshot(session, path, changes.schema, held).withColumn("bucket", bucket)
+        merged = upsert_latest(last.unionByName(known), ["key"], order)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        touched.coalesce(1).write.mode("overwrite").parquet(f"{path}/touched/batch={number}")
+
+    query = (
+        changes.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{path}/_progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return cache_snapshot(spark, path, changes.schema, _bucket_versions(spark, path))
+
+
 def user_totals(log: DataFrame) -> DataFrame:
     """Running totals per user, for update mode."""
     return log.groupBy("user_id").agg(

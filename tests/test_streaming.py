@@ -129,3 +129,33 @@ def test_a_batch_of_ingest_touches_its_own_ids_only(spark, tmp_path):
     assert sorted(r["doc_id"] for r in found) == list(range(310))
     assert all(r["checksum"] == f"c{max(0, (r['doc_id'] - 10) // 50) if r['doc_id'] % 50 < 10 else r['doc_id'] // 50}" for r in found)
     assert touched == [60] * 6
+
+
+def test_cache_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    kind = "key string, value string, written_at timestamp_ntz, seq bigint"
+    (tmp_path / "in").mkdir()
+    start, log = datetime(2024, 1, 1), []
+
+    def land(part, keys, late=0):
+        rows = [(k, f"v{part}-{i}", start + timedelta(minutes=part - late), part * 1000 + i) for i, k in enumerate(keys)]
+        log.extend(rows)
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/parts/p{part}")
+        shutil.copy(glob.glob(f"{tmp_path}/parts/p{part}/*.parquet")[0], f"{tmp_path}/in/changes-{part}.parquet")
+
+    def run():
+        stream = jobs.read_table_stream(spark, f"{tmp_path}/in", "changes", spark.createDataFrame([], kind).schema, 1)
+        return sorted(tuple(r) for r in jobs.run_cache_upserts(stream, path=f"{tmp_path}/state", buckets=16).collect())
+
+    def wanted():
+        newest = {}
+        for row in sorted(log, key=lambda r: (r[2], r[3])):
+            newest[row[0]] = row
+        return sorted(newest.values())
+
+    land(0, [f"k{i}" for i in range(300)] + ["k7"])
+    assert run() == wanted()
+    land(1, ["k7", "new", "k7"])
+    land(2, ["k8", "k9"], late=5)  # older than what is held: nothing changes
+    assert run() == wanted()
+    written = [len(glob.glob(f"{tmp_path}/state/rows/batch={n}/bucket=*")) for n in range(3)]
+    assert written[0] == 16 and written[1] <= 2 and written[2] <= 2
