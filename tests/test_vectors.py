@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from paperloom.operators import neighbours, pivots, quality
 from paperloom.operators import vectors as vec
@@ -181,3 +183,35 @@ def test_a_text_without_words_has_a_vector_of_zeros(spark):
     got = {r["doc_id"]: r["embedding"] for r in vec.embed_hashing(df, "doc_id", "text", 8).collect()}
     assert sum(x * x for x in got[1]) == pytest.approx(1.0) and got[2] == got[3] == [0.0] * 8
     assert "Exchange" not in vec.embed_hashing(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+class Given:
+    """Stands for a DataFrame of queries, and keeps the function its batches go through."""
+
+    schema = StructType().add("query_id", "string").add("collection", "string").add("query_vec", ArrayType(DoubleType())).add("least", "double")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+
+def test_visits_of_many_pieces_come_in_bounded_batches():
+    rng = np.random.default_rng(9)
+    n, dims = 400, 64
+    bounds = pivots.sharded(pd.DataFrame(
+        {"piece": range(n), "collection": "all", "cell": range(n), "low": 0.0, "high": 3.0, "short": 1.0, "long": 9.0, "rows": 2000}
+    ))
+    shared = type("Shared", (), {"value": (pivots.unit(rng.standard_normal((n, dims)))[0], bounds, {"all": "cosine"})})
+    queries = pa.record_batch({
+        "query_id": [f"q{i}" for i in range(2000)], "collection": ["all"] * 2000,
+        "query_vec": rng.standard_normal((2000, dims)).tolist(), "least": [0.1] * 2000,
+    })
+    given = Given()
+    pivots.visiting(given, shared, 10, True)
+    batches = list(given.function(iter([queries])))
+    assert max(b.nbytes for b in batches) < 32 << 20
+    assert sum(len(p) for b in batches for p in b.column("pieces").to_pylist()) == 2000 * (n - 1)
+    assert sum(b.num_rows for b in batches) <= 2000 * (pivots.SHARDS + 2)
