@@ -16,12 +16,11 @@ from paperloom.storage import materialize, scratch_path
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
-    """New Parquet files of one table in ``folder``, as a stream."""
+    """New Parquet files of one table in ``folder``, as a stream; a table is files or a folder of files named for it."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{table}*.parquet")
     )
 
 

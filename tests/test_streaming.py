@@ -159,3 +159,12 @@ def test_cache_upserts_rewrite_touched_buckets_only(spark, tmp_path):
     assert run() == wanted()
     written = [len(glob.glob(f"{tmp_path}/state/rows/batch={n}/bucket=*")) for n in range(3)]
     assert written[0] == 16 and written[1] <= 2 and written[2] <= 2
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed_whole(spark, tables, tmp_path):
+    docs = tables.read("documents")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    shutil.copytree(f"{tmp_path}/documents.parquet", f"{tmp_path}/others.parquet")
+    stream = jobs.read_table_stream(spark, str(tmp_path), "documents", docs.schema, 2)
+    rows = jobs.run_ingest(describe(stream).select("doc_id", "file_path", "checksum", "size_bytes", "creation_date"))
+    assert rows.count() == docs.count()
