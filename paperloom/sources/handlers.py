@@ -18,6 +18,15 @@ from paperloom.functions import text as tx
 SCHEMA = "id string, part string, value string, status string, error string"
 
 
+#: Rows that are held as Python objects before they go on as a table.
+ROWS_PER_TABLE = 10_000
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("id", "part", "value", "status", "error"), columns, strict=True)})
+
+
 class Handler:
     """Base of handlers: ``parts(content)`` gives ``(part, value)`` pairs of one text.
 
@@ -29,13 +38,15 @@ class Handler:
 
     def eval(self, table: pa.RecordBatch) -> Iterator[pa.Table]:
         rows: list[tuple] = []
-        for name, content in zip(table.column("id").to_pylist(), table.column("content").to_pylist(), strict=True):
+        for name, content in zip(table.column("id"), table.column("content"), strict=True):
             try:
-                rows += [(name, part, value, "success", None) for part, value in self.parts(content or "")]
+                rows += [(name.as_py(), part, value, "success", None) for part, value in self.parts(content.as_py() or "")]
             except Exception as e:  # any fault of a handler is that row's own
-                rows.append((name, None, None, "failed", f"{type(e).__name__}: {e}"))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.table({n: pa.array(c, pa.string()) for n, c in zip(("id", "part", "value", "status", "error"), columns, strict=True)})
+                rows.append((name.as_py(), None, None, "failed", f"{type(e).__name__}: {e}"))
+            if len(rows) >= ROWS_PER_TABLE:
+                yield _table(rows)
+                rows = []
+        yield _table(rows)
 
 
 class Lines(Handler):

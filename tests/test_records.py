@@ -2,6 +2,7 @@
 
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -83,3 +84,9 @@ def test_roles_inherit_also_in_a_circle(spark):
     grants = spark.createDataFrame([("c", "public"), ("d", "internal"), ("lone", "secret")], "role string, access_level string")
     seen = {(r["role"], r["doc_id"]) for r in compliance.inherited_permissions(meta, grants, inherits).collect()}
     assert seen == {("a", 1), ("b", 1), ("c", 1), ("d", 1), ("d", 2), ("lone", 3)}
+
+
+def test_a_handler_passes_rows_on_in_bounded_tables():
+    rows = pa.record_batch({"id": [str(i) for i in range(300)], "content": ["x\n" * 100] * 299 + [None]})
+    tables = list(handlers.Lines().eval(rows))
+    assert sum(t.num_rows for t in tables) == 29_900 and max(t.num_rows for t in tables) <= handlers.ROWS_PER_TABLE + 100
