@@ -8,7 +8,7 @@ from paperloom.plans.catalog import query
 from paperloom.plans.fixtures import AS_OF, CUSTOMER, EPOCH, docx_files, mail_files, pptx_files, xlsx_files
 from paperloom.plans.sql import with_parts
 from paperloom.sources import files, listings, parsers, sinks, sync
-from paperloom.storage import scratch_path
+from paperloom.storage import scratch_path, spread_rows
 
 LINES = """SELECT d.doc_id || '{suffix}' AS path, o2 AS position, line AS value FROM (
              SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS o2, line
@@ -73,7 +73,7 @@ def parse_pptx(t):
        FROM part, unnest([{'col': 'A', 'value': p_name}, {'col': 'B', 'value': p_brand}, {'col': 'C', 'value': CAST(p_size AS VARCHAR)}]) u(c)""",
 )
 def parse_xlsx(t):
-    return parsers.parse_office(xlsx_files(t.read("part"))).select("path", "sheet", "row", "col", "value")
+    return parsers.parse_office(xlsx_files(spread_rows(t.read("part")))).select("path", "sheet", "row", "col", "value")
 
 
 @query(
@@ -82,7 +82,7 @@ def parse_xlsx(t):
               'conversation ' || conv_id || ' turn ' || turn AS subject, text || chr(10) AS body, 'success' AS status FROM conversations""",
 )
 def parse_email(t):
-    return parsers.parse_email(mail_files(t.read("conversations"))).select(
+    return parsers.parse_email(mail_files(spread_rows(t.read("conversations")))).select(
         "path", "sender", "recipient", "subject", "body", "status"
     )
 

@@ -2,6 +2,9 @@ import io
 import zipfile
 from email.message import EmailMessage
 
+import pandas as pd
+
+from paperloom.plans import source_queries
 from paperloom.sources import files, listings, parsers
 
 
@@ -58,3 +61,18 @@ def test_listing_fields_and_changes(spark):
     seen = spark.createDataFrame([(1, 5), (2, 4)], "k int, m int")
     got = {r["k"]: r["change"] for r in listings.incremental_sync(df, seen, "k", "m").collect()}
     assert got == {2: "changed", 3: "new"}
+
+
+def test_a_table_of_one_file_is_packed_and_parsed_on_all_cores(spark, tables):
+    cores = spark.sparkContext.defaultParallelism
+    for query in (source_queries.parse_xlsx, source_queries.parse_email):
+        assert query(tables).rdd.getNumPartitions() >= cores
+
+
+def test_a_header_is_parsed_once(monkeypatch):
+    asked = []
+    get = EmailMessage.__getitem__
+    monkeypatch.setattr(EmailMessage, "__getitem__", lambda self, name: (asked.append(name), get(self, name))[1])
+    rows = next(parsers._mail_batches(iter([pd.DataFrame({"path": ["a"], "content": [b"From: a@b.c\nSubject: s\n\nhi\n"]})])))
+    assert rows["sender"].tolist() == ["a@b.c"] and rows["recipient"].tolist() == [None]
+    assert [asked.count(n) for n in ("from", "to", "subject", "date")] == [1, 1, 1, 1]
