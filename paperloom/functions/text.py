@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ LICENSE = r"(?i)copyright|license"
 CITE_NUMBER = r"\[\d+\]"
 CITE_AUTHOR = r"\([A-Z][A-Za-z]+, \d{4}\)"
 CITE_DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
+#: Words that a task takes as arrays at a time.
+WORDS = 1 << 18
 NOT_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"[.\n]+"
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
@@ -62,6 +66,17 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.repeat(np.arange(len(sizes)), sizes), encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
 
 
+def word_slices(batch: pa.RecordBatch, column: str = "words") -> Iterator[pa.RecordBatch]:
+    """A batch as slices of at most ``WORDS`` words or one row, so that arrays made of them stay small."""
+    ends = batch.column(column).offsets.to_numpy().astype(np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, side="right")) - 1)
+        last = min(last, batch.num_rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def shingles(words: Column, width: int) -> Column:
     """Distinct runs of ``width`` consecutive words; empty for shorter texts.
 
@@ -82,6 +97,16 @@ def trigrams(word: Column) -> Column:
     return F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))
 
 
+def trigram_keys(texts: list[str], padding: int) -> tuple[np.ndarray, np.ndarray]:
+    """In a task: trigrams of texts with that many spaces around them, as numbers, and the place of the text of each."""
+    space = " " * padding
+    sizes = np.array([len(t) for t in texts], np.int64) + 2 * padding
+    points = np.frombuffer("".join(f"{space}{t}{space}" for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(owner[2:] == owner[:-2])
+    return points[inside] << 42 | points[inside + 1] << 21 | points[inside + 2], owner[inside]
+
+
 def decode_entities(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))

@@ -98,7 +98,7 @@ def term_lists(docs: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tx.word_slices(whole)):
             words = batch.column("words")
             owner, codes, distinct = tx.word_codes(words)
             pairs, times = np.unique(owner * max(len(distinct), 1) + codes, return_counts=True)
@@ -172,28 +172,71 @@ def language_model(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, counts.groupBy("lang").agg(F.sum("c").alias("total"))
 
 
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, grams``: the distinct trigrams of every text as numbers with their counts, inside the row.
+
+    Words are split in Spark; a word is cut into trigrams once for some rows at a time.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in tx.word_slices(whole)):
+            owner, codes, distinct = tx.word_codes(batch.column("words"))
+            pairs, times = np.unique(owner * max(len(distinct), 1) + codes, return_counts=True)
+            row, word = np.divmod(pairs, max(len(distinct), 1))
+            found, of_word = tx.trigram_keys(distinct, 1)
+            keys, place = np.unique(found, return_inverse=True)
+            first = np.searchsorted(of_word, np.arange(len(distinct) + 1))
+            sizes = np.diff(first)[word]
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            met = np.repeat(row, sizes) * max(len(keys), 1) + place[np.repeat(first[word], sizes) + within]
+            order = np.argsort(met)
+            met, weight = met[order], np.repeat(times, sizes)[order]
+            starts = np.flatnonzero(np.diff(met, prepend=-1))
+            row, code = np.divmod(met[starts], max(len(keys), 1))
+            tf = np.add.reduceat(weight, starts) if len(starts) else weight
+            grams = pa.StructArray.from_arrays([pa.array(keys[code]), pa.array(tf, pa.int64())], ["g", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), grams)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "grams"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", tx.tokens(F.col("text")).alias("words")).mapInArrow(
+        count, f"doc_id {kind}, grams array<struct<g: bigint, tf: bigint>>"
+    )
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """``gram, logs`` with the trigram's number ``g`` in its place."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _ = tx.trigram_keys(batch.column("gram").to_pylist(), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("logs")], ["g", "logs"])
+
+    return table.mapInArrow(number, "g bigint, logs array<double>")
+
+
 def detect_language(docs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Naive Bayes over character trigrams with add-one smoothing; ties go to the first name.
 
     An unseen trigram adds ln 1 = 0 to the count part, and the smoothing part is the
-    document's trigram number times ln(total + vocabulary). The trigram table has one row a
-    trigram with a number per language. Up to ``BROADCAST_GRAMS`` rows it is broadcast, so
+    document's trigram number times ln(total + vocabulary). The distinct trigrams of a
+    text are counted in its row. The trigram table has one row a trigram with a number per language. Up to ``BROADCAST_GRAMS`` rows it is broadcast, so
     that each text is scored where it is and only sums per document are exchanged; a larger
     one is met by a salted join. A text without words has a null language.
     """
     languages = [(r["lang"], r["total"]) for r in totals.orderBy("lang").collect()]
     logs = [F.sum(F.when(F.col("lang") == lang, F.log(F.col("c") + 1)).otherwise(0.0)) for lang, _ in languages]
     table = counts.groupBy("gram").agg(F.array(*logs).cast("array<double>").alias("logs"))
-    table = materialize(table, "trigram-logs")
+    table = materialize(_numbered(table), "trigram-logs")
     size = table.count()
-    words = docs.select("doc_id", F.explode_outer(tx.tokens(F.col("text"))).alias("word"))
-    grams = words.select("doc_id", F.explode_outer(tx.trigrams(F.col("word"))).alias("gram"))
+    grams = gram_counts(docs).select("doc_id", F.explode_outer("grams").alias("_g")).select("doc_id", "_g.*")
     if size <= BROADCAST_GRAMS:
-        met = grams.join(F.broadcast(table), "gram", "left")
+        met = grams.join(F.broadcast(table), "g", "left")
     else:
-        met = row_lookup(grams, table, "gram", F.col("doc_id"))
+        met = row_lookup(grams, table, "g", F.col("doc_id"))
+    sums = [F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(len(languages))]
     found = met.groupBy("doc_id").agg(
-        F.count("gram").alias("n"), *(F.coalesce(F.sum(F.get("logs", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(languages)))
+        F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), *(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums))
     )
     costs = [
         F.struct((-F.round(F.col(f"s{i}") - F.col("n") * math.log(total + size), 6)).alias("cost"), F.lit(lang).alias("lang"))

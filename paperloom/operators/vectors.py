@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import tokens, word_codes
+from paperloom.functions.text import tokens, word_codes, word_slices
 from paperloom.operators.neighbours import BEAM, HOPS, KEPT, Graph, beam_search, neighbour_graph
 from paperloom.operators.pivots import knn_join
 from paperloom.operators.skew import top_rows
@@ -21,13 +21,13 @@ SCORE_DIGITS = 6
 def embed_hashing(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, unit: bool = True) -> DataFrame:
     """Signed feature hashing of word counts (Weinberger et al. 2009), inside each row.
 
-    Words are split in Spark; a batched function hashes each distinct word of a batch once
+    Words are split in Spark; a batched function hashes each distinct word of some rows once
     and adds up. Nothing is exchanged. With ``unit=False`` the integer sums are kept, which
     cosine treats the same. A text without words has a vector of zeros.
     """
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in word_slices(whole)):
             owner, codes, distinct = word_codes(batch.column("words"))
             marks = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in distinct]
             cells = np.array([m % dims for m in marks], np.int64)

@@ -1,10 +1,13 @@
 import math
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators import compliance, enrich
+from paperloom.operators.vectors import embed_hashing
 
 
 def docs(spark, *texts):
@@ -95,3 +98,27 @@ def test_enrichments_are_switched_and_unknown_ones_refused(spark, tables):
     assert one.columns == ["doc_id", "language", "duplicate_of"] and one.count() == tables.documents.count()
     with pytest.raises(ValueError, match="mood"):
         enrich.enhance(tables.documents, {"mood"})
+
+
+def test_words_are_taken_in_bounded_slices(spark, monkeypatch):
+    texts = ["the dog and the cat", "", None, "a a b " * 40, "die katze"]
+    d = docs(spark, *texts)
+    counts, totals = enrich.language_model(spark.createDataFrame([("the cat", "en"), ("die katze", "de")], "text string, lang string"))
+
+    def results():
+        lists = {r["doc_id"]: (r["len"], sorted(map(tuple, r["terms"]))) for r in enrich.term_lists(d).collect()}
+        return lists, sorted(enrich.detect_language(d, counts, totals).collect()), sorted(embed_hashing(d, "doc_id", "text").collect())
+
+    whole = results()
+    monkeypatch.setattr(tx, "WORDS", 7)
+    assert results() == whole
+    rows = pa.record_batch({"words": [["w"] * 5, None, ["w"] * 9, [], ["w"], ["w"] * 6]})
+    parts = list(tx.word_slices(rows))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and pa.Table.from_batches(parts).to_pydict() == rows.to_pydict()
+
+
+def test_trigrams_of_a_text_are_counted_once(spark):
+    d = docs(spark, "aa aa aaaa é9", None)
+    got = {r["doc_id"]: sorted((x["g"], x["tf"]) for x in r["grams"]) for r in enrich.gram_counts(d).collect()}
+    wanted = Counter(f" {w} "[i : i + 3] for w in ("aa", "aa", "aaaa", "é9") for i in range(len(w)))
+    assert got == {0: sorted((int(tx.trigram_keys([g], 0)[0][0]), n) for g, n in wanted.items()), 1: []}
