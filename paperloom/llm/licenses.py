@@ -12,7 +12,7 @@ is at most a quarter and two words longer than the template's, in templates of f
 
 A text is searched whole. The places of the first marks are found by hashes for a batch at
 once. Other templates may be given: one of fewer than ``SHORT`` words without a mark must stand
-whole; a longer one is aligned in stretches that hold enough of its words. Braces mark only.
+whole; for a longer one the longest common subsequence with every stretch counts. Braces mark only.
 Templates are fixed values, so the broadcast has a fixed size.
 
 A place inside that of a longer template is not reported (BSD-3-Clause holds the whole text of
@@ -196,6 +196,21 @@ def aligned(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def common(masks: list[int], size: int) -> tuple[int, int]:
+    """Length of the longest common subsequence with ``size`` template words, and how many words of the text it needs.
+
+    ``masks`` has the template places of each word of the text as bits (Hyyro 2004).
+    """
+    whole = (1 << size) - 1
+    left, best, stop = whole, size, 0
+    for count, mask in enumerate(masks, 1):
+        both = left & mask
+        left = (left + both | left - both) & whole
+        if (rest := left.bit_count()) < best:
+            best, stop = rest, count
+    return size - best, stop
+
+
 class Templates:
     """Word hashes of the templates and the places of their marks."""
 
@@ -245,20 +260,44 @@ class Templates:
         return (coverage, min(known), max(known) + 1) if coverage >= self.least else None
 
     def stretches(self, text: np.ndarray, template: int) -> Iterator[tuple[float, int, int]]:
-        """Places of a long template without marks, at most one per half its length."""
+        """Places of a long template without marks, that do not overlap.
+
+        A place starts where a stretch of at most a quarter and two words more than the template
+        has the longest common subsequence with it, of all starts within half the template.
+        A wider stretch has no shorter one, so it rules out many starts at a time.
+        """
         own = self.words[template]
-        size, wide = len(own), 2 * len(own)
-        hit = np.concatenate([[0], np.cumsum(np.isin(text, own))])
-        starts = np.arange(max(1, len(text) - wide + 1))
-        dense = starts[hit[np.minimum(starts + wide, len(text))] - hit[starts] >= self.least * size]
-        after = -1
-        for start in dense.tolist():
-            if start < after:
+        size = len(own)
+        wide, step, least = size + size // 4 + 2, max(1, size // 4), self.least * size
+        bits: dict[int, int] = {}
+        for at, word in enumerate(own.tolist()):
+            bits[word] = bits.get(word, 0) | 1 << at
+        at = np.flatnonzero(np.isin(text, own))
+        masks = [bits[word] for word in text[at].tolist()]
+        start = 0
+        while start < len(text):
+            low, high = np.searchsorted(at, (start, start + wide + step)).tolist()
+            if high - low < least or common(masks[low:high], size)[0] < least:
+                start += step if low < len(at) else len(text)
                 continue
-            after = start + max(1, size // 2)
-            pairs = aligned(text[start : start + wide + size].tolist(), own.tolist())
-            if len(pairs) >= self.least * size and pairs[-1][0] - pairs[0][0] < size + size // 4 + 2:
-                yield len(pairs) / size, start + pairs[0][0], start + pairs[-1][0] + 1
+            best = (0, 0, 0)
+            end = start + step
+            # Only a word of the template can be the first of a place.
+            for first in range(low, len(at)):
+                if at[first] >= end:
+                    break
+                last = int(np.searchsorted(at, at[first] + wide))
+                if last - first < least:
+                    continue
+                length, stop = common(masks[first:last], size)
+                if length < least:
+                    continue
+                if not best[0]:
+                    end = int(at[first]) + max(1, size // 2) + 1
+                best = max(best, (length, int(at[first]), int(at[first + stop - 1]) + 1))
+            if best[0]:
+                yield best[0] / size, best[1], best[2]
+            start = best[2] if best[0] else start + step
 
     def scan(self, hashes: np.ndarray, bounds: np.ndarray) -> list[list[tuple[float, int, str, int, int]]]:
         """For each text what is found: coverage, template size, name, first word, end."""

@@ -2,17 +2,20 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import SMALL, awkward, empty, ordered
 
 from paperloom.llm import spot_signatures
+from paperloom.llm.buffers import text_bytes
 from paperloom.llm.language_id import identify
-from paperloom.llm.licenses import NOTICES, TEMPLATES, aligned, increasing, license_scan
+from paperloom.llm.licenses import NOTICES, TEMPLATES, Templates, _hashed, aligned, increasing, license_scan
 from paperloom.llm.quality import Discriminant, quality_scores, without_rejects
 from paperloom.llm.queries import QUERIES
 from paperloom.llm.secrets import find_spans, redacted, secret_spans, window_entropy
@@ -288,3 +291,35 @@ def subsequences(values):
     for i, v in enumerate(values):
         ends.append(max(([*ends[j], v] for j in range(i) if values[j] < v), key=len, default=[v]))
     return ends
+
+
+def _subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+    return row[-1]
+
+
+def test_op9_long_templates_are_found_wherever_a_stretch_reaches_the_threshold():
+    rng = random.Random(16)
+    own = [f"w{i}" for i in range(24)]
+    known = Templates((("own", " ".join(own)),))
+    size, wide = len(own), len(own) + len(own) // 4 + 2
+    copies = ["a", "b", "c", *own, *own, "d", *own]
+    cases = [copies, [*own[:22], *["x"] * 30, own[23], own[0]], ["x", own[20], "x", own[3], *own, own[5], own[0]]]
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            text += rng.choices([*own, "x", "y"], k=rng.randint(0, 30))
+            text += [w for w in own if rng.random() < rng.choice([0.75, 0.85, 1.0])]
+        cases.append(text)
+    for text in cases:
+        found = known.scan(*_hashed(*text_bytes(pa.array([" ".join(text)]))))[0]
+        best = max(_subsequence(text[i : i + wide], own) for i in range(len(text)))
+        assert bool(found) == (best >= 0.8 * size)
+        for coverage, _, _, first, end in found:
+            assert coverage == _subsequence(text[first:end], own) / size and end - first <= wide
+    places = known.scan(*_hashed(*text_bytes(pa.array([" ".join(copies)]))))[0]
+    assert [(p[3], p[4]) for p in places] == [(3, 27), (27, 51), (52, 76)]
