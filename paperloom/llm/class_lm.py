@@ -30,10 +30,11 @@ and every score is that of one unknown type. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +55,8 @@ ENTRIES = 1 << 20
 FEW = 16
 MOST_COUNT = (1 << 24) - 1
 TREND = 20.0
+#: Rows in a batch between Spark and Python: texts of a few KB then take a few MB at a time.
+BATCH_ROWS = 1000
 END = np.uint64(0x243F6A8885A308D3)
 
 
@@ -585,11 +588,25 @@ def rare_parts(asked: DataFrame, loose: DataFrame, model: ClassModel) -> DataFra
     )
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most ``BATCH_ROWS`` rows between Spark and Python, whose buffers count on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def class_scores(docs: DataFrame, divisor: int = 5, held: int = 1) -> DataFrame:
     """Learn from the rows outside the held-out fold and score every row; see the module."""
     rest = remainder(F.col("doc_id"), divisor)
     train = docs.where(rest != held)
-    vocabulary = materialize(word_counts(train), "vocabulary")
-    known, loose, model = fit(train, vocabulary, lexicon(vocabulary))
-    marked = docs.select("doc_id", "text", F.coalesce(rest == held, F.lit(False)).alias("held_out"))
-    return score(marked, vocabulary, known, loose, model)
+    with small_batches(docs.sparkSession):  # all work in Python is done when this returns
+        vocabulary = materialize(word_counts(train), "vocabulary")
+        known, loose, model = fit(train, vocabulary, lexicon(vocabulary))
+        marked = docs.select("doc_id", "text", F.coalesce(rest == held, F.lit(False)).alias("held_out"))
+        return score(marked, vocabulary, known, loose, model)

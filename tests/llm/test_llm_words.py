@@ -342,3 +342,12 @@ def test_op6_passes_do_not_depend_on_how_counts_are_cut(spark, monkeypatch):
         assert moved(5) == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_op6_takes_small_batches_and_leaves_the_session_as_it_was(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, count = spark.conf.get(name), [], class_lm.word_counts
+    monkeypatch.setattr(class_lm, "word_counts", lambda docs: (seen.append(int(spark.conf.get(name))), count(docs))[1])
+    docs = spark.createDataFrame([(i, f"one two w{i}") for i in range(20)], "doc_id long, text string")
+    assert class_lm.class_scores(docs).count() == 20
+    assert 0 < seen[0] <= 1000 and spark.conf.get(name) == before
