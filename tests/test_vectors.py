@@ -215,3 +215,19 @@ def test_visits_of_many_pieces_come_in_bounded_batches():
     assert max(b.nbytes for b in batches) < 32 << 20
     assert sum(len(p) for b in batches for p in b.column("pieces").to_pylist()) == 2000 * (n - 1)
     assert sum(b.num_rows for b in batches) <= 2000 * (pivots.SHARDS + 2)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_a_query_keeps_k_hits_of_all_pieces_it_visits_in_a_shard(metric):
+    rng = np.random.default_rng(10)
+    queries, vectors = rng.integers(-3, 4, (50, 8)).astype(float), rng.integers(-3, 4, (600, 8)).astype(float)
+    queries[3], vectors[::50], vectors[100:160] = 0.0, 0.0, vectors[101]
+    piece, ids = np.repeat(np.arange(12), 50), rng.permutation(600)
+    guest, host = np.repeat(np.arange(50), 12), np.tile(np.arange(12), 50)
+    scores = pivots.block_scores(queries, vectors, metric)
+    least = np.where(np.arange(50) % 2 == 0, -np.inf, np.sort(scores, axis=1)[:, -20])
+    row, near, value = pivots.best_of_pieces(queries, guest, host, least, vectors, ids, piece, metric, 7)
+    assert len(row) == 50 * 7
+    for q in range(50):
+        best = sorted(zip(-scores[q], ids, strict=True))[:7]
+        assert list(zip(-value[row == q], near[row == q], strict=True)) == best
