@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from paperloom.operators import neighbours, pivots, quality
+from paperloom.operators import neighbours, pivots, quality, retrieval
 from paperloom.operators import vectors as vec
 from paperloom.plans import search_queries
 
@@ -231,3 +231,17 @@ def test_a_query_keeps_k_hits_of_all_pieces_it_visits_in_a_shard(metric):
     for q in range(50):
         best = sorted(zip(-scores[q], ids, strict=True))[:7]
         assert list(zip(-value[row == q], near[row == q], strict=True)) == best
+
+
+def test_rerank_lists_terms_of_hits_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common word{i} common") for i in range(300)] + [(300, None)], "doc_id bigint, text string")
+    questions = spark.createDataFrame([("q", "Common word7 none")], "query_id string, query_text string")
+    hits = spark.createDataFrame([("q", 7, 0.9), ("q", 8, 0.8)], "query_id string, id bigint, score double")
+    stored, keep = {}, retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name="stage": stored.setdefault(name, keep(df, name)))
+    found = {r["id"]: r["rerank_score"] for r in retrieval.rerank_lexical(hits, questions, docs).collect()}
+    common, own = math.log(1 + (301 - 300 + 0.5) / 300.5), math.log(1 + (301 - 1 + 0.5) / 1.5)
+    norm = 1.2 * (1 - 0.75 + 0.75 * 3 / 3)
+    part = common * 2 * 2.2 / (2 + norm)
+    assert found == {7: 1.0, 8: pytest.approx(part / (part + own * 2.2 / (1 + norm)), abs=1e-6)}
+    assert max(df.count() for name, df in stored.items() if name != "terms") < 300
