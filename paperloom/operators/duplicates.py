@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.functions.text import shingles, tokens
 from paperloom.operators.components import components
@@ -12,6 +13,8 @@ from paperloom.storage import materialize
 
 KEY_MARGIN = 2
 BUCKET_ROWS = 4096
+#: Up to so many ids (some 64 MB in a hash table) are broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -23,14 +26,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _named_in(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is in ``pairs``, without an exchange; all of them where that needs too many ids."""
+    ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "pair-ids")
+    return rows.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
     """Pairs ``(id, other)`` whose shingle sets reach the threshold, with their Jaccard.
 
     Key sets are compared first, with a margin for two keys that are equal by chance; the
-    few pairs left are compared on the shingles. One ``other`` may be asked for by very
-    many documents, and is salted then.
+    few pairs left are compared on the shingles. Only sets that are in a pair are exchanged. One
+    ``other`` may be asked for by very many documents, and is salted then.
     """
-    keyed = reps.select("id", "n", "grams")
+    keyed = _named_in(pairs, reps.select("id", "n", "grams"))
     others = keyed.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("grams").alias("_b"))
     shared = F.size(F.array_intersect("grams", "_b")) + KEY_MARGIN
     likely = materialize(
@@ -40,7 +49,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, threshold: float) -
         .select("id", "other"),
         "likely-pairs",
     )
-    texts = reps.select("id", "words")
+    texts = _named_in(likely, reps.select("id", "words"))
     found = row_lookup(likely, texts.select(F.col("id").alias("other"), F.col("words").alias("_b")), "other", F.col("id"), "inner")
     sets = found.join(texts, "id").select(
         "id", "other", shingles(F.col("words"), width).alias("a"), shingles(F.col("_b"), width).alias("b")
@@ -76,9 +85,11 @@ def _prepared(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
     """
     worded = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     content = F.sha2(F.array_join("words", " "), 256).alias("content")
-    members = worded.select("doc_id", "words", content).groupBy("content").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("words", "doc_id").alias("words")
+    # As one string the words take less than half of what their array does in the exchange.
+    members = worded.select("doc_id", F.array_join("words", " ").alias("_text"), content).groupBy("content").agg(
+        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("_text", "doc_id").alias("_text")
     )
+    members = members.withColumn("words", F.filter(F.split("_text", " "), lambda t: t != ""))
     grams = members.select("*", shingles(F.col("words"), width).alias("_g"))
     reps = materialize(
         grams.select(
@@ -86,9 +97,10 @@ def _prepared(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
         ),
         "shingle-sets",
     ).where("n > 0")
+    # A window deals every shingle once, with a number for its set, where a count and a join would deal it twice.
     uses = reps.select("id", F.explode("grams").alias("g"))
-    shared = uses.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    found = uses.join(shared, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("found"))
+    shared = uses.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    found = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("found"))
     # A margin against rounding of t * n: one shingle too many does no harm.
     needed = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     placed = reps.select("id", "n").join(found, "id").select(

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import duplicates as dup
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -112,3 +114,27 @@ def test_exact_copies_are_near_duplicates(spark):
     for g in groups:
         same = {i for i, t in texts.items() if t == texts[g["canonical"]] and len(t.split()) >= 3}
         assert same - {g["canonical"]} <= linked
+
+
+def test_only_sets_in_a_pair_are_exchanged(spark, monkeypatch):
+    rows = spark.range(1000).withColumn("grams", F.array("id"))
+    pairs = spark.createDataFrame([(7, 3), (9, 3)], "id bigint, other bigint")
+    named = dup._named_in(pairs, rows)
+    assert sorted(r["id"] for r in named.collect()) == [3, 7, 9]
+    assert " Exchange" not in named._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dup, "BROADCAST_IDS", 2)
+    assert dup._named_in(pairs, rows).count() == 1000
+    assert {r["doc_id"]: r["duplicate_of"] for r in links(spark, sample()).collect()} == brute(sample())
+
+
+def test_shingles_are_dealt_once(spark, monkeypatch):
+    plans, keep = {}, dup.materialize
+
+    def kept(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(dup, "materialize", kept)
+    docs = spark.createDataFrame(list(sample().items()), "doc_id bigint, text string")
+    dup._prepared(docs, 0.8, 3)
+    assert sum("Exchange hashpartitioning(g#" in line for line in plans["prefixes"].splitlines()) == 1
