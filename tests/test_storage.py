@@ -18,3 +18,16 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session)
+
+
+def test_text_batches_end_with_the_block(spark):
+    before = spark.conf.get(storage.BATCH_CONF)
+    try:
+        for own, inside in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(storage.BATCH_CONF, own)
+            with pytest.raises(ZeroDivisionError), storage.text_batches(spark):
+                assert spark.conf.get(storage.BATCH_CONF) == inside
+                raise ZeroDivisionError
+            assert spark.conf.get(storage.BATCH_CONF) == own
+    finally:
+        spark.conf.set(storage.BATCH_CONF, before)

@@ -245,3 +245,50 @@ def test_rerank_lists_terms_of_hits_only(spark, monkeypatch):
     part = common * 2 * 2.2 / (2 + norm)
     assert found == {7: 1.0, 8: pytest.approx(part / (part + own * 2.2 / (1 + norm)), abs=1e-6)}
     assert max(df.count() for name, df in stored.items() if name != "terms") < 300
+
+
+def test_visits_are_passed_in_small_batches():
+    rng = np.random.default_rng(12)
+    bounds = pivots.sharded(pd.DataFrame(
+        {"piece": range(40), "collection": "all", "cell": range(40), "low": 0.0, "high": 3.0, "short": 1.0, "long": 9.0, "rows": 2000}
+    ))
+    shared = type("Shared", (), {"value": (pivots.unit(rng.standard_normal((40, 64)))[0], bounds, {"all": "cosine"})})
+    queries = pa.record_batch({
+        "query_id": [f"q{i}" for i in range(2000)], "collection": ["all"] * 2000,
+        "query_vec": rng.standard_normal((2000, 64)).tolist(), "least": [0.1] * 2000,
+    })
+    given = Given()
+    pivots.visiting(given, shared, 10, True)
+    batches = list(given.function(iter([queries])))
+    assert max(b.nbytes for b in batches) < 4 << 20
+    assert sum(len(p) for b in batches for p in b.column("pieces").to_pylist()) == 2000 * 39
+
+
+def checked(df, most):
+    """``df`` by a function that fails if it is given more rows at a time."""
+
+    def check(batches):
+        for batch in batches:
+            if batch.num_rows > most:
+                raise ValueError(f"{batch.num_rows} rows in a batch")
+            yield batch
+
+    return df.mapInArrow(check, df.schema)
+
+
+def test_search_and_rerank_take_texts_in_small_batches(spark):
+    docs = spark.range(2500, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 7).alias("text"))
+    corpus = checked(vec.embed_hashing(docs, "doc_id", "text", unit=False).withColumnRenamed("doc_id", "id"), 1000)
+    asked = docs.select(F.concat(F.lit("q"), "doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    queries = checked(vec.embed_hashing(asked, "query_id", "query_text", unit=False).withColumnRenamed("embedding", "query_vec"), 1000)
+    hits = retrieval.materialize(vec.vector_search(queries, corpus, 2).drop("rank"))
+    assert hits.count() == 5000 and hits.agg(F.min("score")).head()[0] == 1.0
+    assert retrieval.rerank_lexical(hits, asked, checked(docs, 1000)).where("rerank_score = 1").count() == 5000
+
+
+def test_shards_need_no_python(sample):
+    _, corpus, _, c = sample
+    rows = pivots.placed(c.withColumn("collection", F.lit("all")), pivots.unit(corpus[:20])[0])
+    pieced, _ = pivots.in_pieces(pivots.materialize(rows))
+    plan = pieced._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "ExistingRDD" not in plan and pieced.count() == 900
