@@ -4,7 +4,8 @@ The graph starts from overlapping cells: every vector is compared with the bound
 ``OVERLAP`` nearest pivots' cells. Rounds of NN-descent (Dong et al. 2011) then join every node's
 neighbours and reverse neighbours with each other, since a neighbour's neighbour is likely
 one's own; the reverse ones of a hub are sampled down to the degree. Rounds end when few edges
-change. A search starts at the best pivots, which are nodes, and follows the edges of the best
+change. An edge below a node's ``DEGREE``-th best is dropped where it is computed, since it can't
+be kept. A search starts at the best pivots, which are nodes, and follows the edges of the best
 candidates for a bounded number of hops. Every step is a join on ids; tasks hold one piece or
 one node's neighbours at a time.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators.pivots import as_matrix, best_of, rounded, unit
+from paperloom.operators.pivots import CELLS, SLACK, as_matrix, best_of, best_rows, rounded, unit
 from paperloom.operators.skew import top_rows
 from paperloom.storage import materialize
 
@@ -32,6 +33,8 @@ LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 ROUNDS = 4
 CHANGED = 0.02
 BEAM, KEPT, HOPS = 16, 64, 4
+#: Scores of rows with pivots that a task holds at a time.
+PIVOT_SCORES = 1 << 20
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -59,6 +62,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their rows by ``columns`` are at most ``PIVOT_SCORES`` cells, or one row."""
+    most = max(1, PIVOT_SCORES // max(1, columns))
+    for batch in batches:
+        for first in range(0, batch.num_rows, most):
+            yield batch.slice(first, most)
+
+
 def _edges(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's k best others of the same table."""
     scores = rounded(vectors @ vectors.T)
@@ -92,12 +103,78 @@ def local_edges(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return dealt.mapInArrow(compare, "id bigint, near bigint, score double")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches that come sorted by ``key``, cut between keys, so that no key is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        last = int(np.searchsorted(values, values[-1]))
+        if held and (last or held[-1].column(key)[-1].as_py() != values[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def edges_around(
+    hub: np.ndarray, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Id, other id and score of each row's k best others with the same ``hub`` that reach the row's ``least``.
+
+    Rows come sorted by ``hub``. Hubs of like size are compared in one product, padded to the largest.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
+    sizes = np.diff(np.append(starts, len(hub)))
+    order, first = np.argsort(-sizes, kind="stable"), 0
+    while first < len(order):
+        most = int(sizes[order[first]])
+        some = order[first : first + max(1, CELLS // most**2)]
+        first += len(some)
+        real = np.arange(most) < sizes[some, None]
+        place = np.where(real, starts[some, None] + np.arange(most), starts[some, None])
+        own, named = vectors[place], ids[place]
+        raw = own @ own.transpose(0, 2, 1)
+        reached = (raw >= (least[place] - SLACK)[:, :, None]) & real[:, :, None] & real[:, None, :] & (named[:, :, None] != named[:, None, :])
+        group, row, column = np.nonzero(reached)
+        score, row, near = rounded(raw[group, row, column]), group * most + row, named[group, column]
+        held = score >= least[place].ravel()[row]
+        row, near, score = row[held], near[held], score[held]
+        if len(row) and np.bincount(row).max() > k:
+            row, near, score = best_rows(row, near, score, k)
+        yield named.ravel()[row], near, score
+
+
+def hub_edges(rows: DataFrame, k: int) -> DataFrame:
+    """``id, near, score``: the k best others of every row (``hub, id, vector, least``) around its hub, without those below its ``least``."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "hub"):
+            vectors = as_matrix(part.column("vector").combine_chunks())
+            least = part.column("least").fill_null(-np.inf).to_numpy()
+            found = list(edges_around(part.column("hub").to_numpy(), part.column("id").to_numpy(), vectors, least, k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "near", "score"])
+
+    dealt = rows.select("hub", "id", "vector", "least").where("hub is not null").repartition("hub").sortWithinPartitions("hub")
+    return dealt.mapInArrow(compare, "id bigint, near bigint, score double")
+
+
 def best_edges(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct edges of every node; ``fresh`` if no earlier round had an edge."""
-    once = edges.groupBy("id", "near", "score").agg(F.min("fresh").alias("fresh"))
+    """The k best distinct edges of every node; ``fresh`` if no earlier round had an edge. Edges are exchanged once."""
+    once = edges.repartition("id").groupBy("id", "near", "score").agg(F.min("fresh").alias("fresh"))
     return top_rows(once, ["id"], [F.desc("score"), F.asc("near")], k).drop("rank")
 
 
+def with_least(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Nodes with ``least``, the score of the k-th best edge: one below it can't be among the k best. Null with fewer edges."""
+    kth = F.when(F.count("*") >= k, F.min("score")).alias("least")
+    return nodes.join(edges.groupBy("id").agg(kth), "id", "left")
+
+
 def hashed(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
@@ -128,7 +205,7 @@ def in_cells(nodes: DataFrame, pivots: np.ndarray, overlap: int) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in row_slices(batches, len(known)):
             scores = as_matrix(batch.column("vector"), known.shape[1]) @ known.T
             cells = np.argsort(-scores, axis=1, kind="stable")[:, :overlap]
             chosen = batch.take(pa.array(np.repeat(np.arange(len(scores)), cells.shape[1])))
@@ -164,8 +241,8 @@ def neighbour_graph(corpus: DataFrame, degree: int = DEGREE, rounds: int = ROUND
         out = edges.select(F.col("id").alias("hub"), F.col("near").alias("id"))
         back = edges.select(F.col("near").alias("hub"), "id")
         back = top_rows(back, ["hub"], [hashed(F.col("hub"), F.col("id")), F.asc("id")], degree).drop("rank")
-        around = out.unionByName(back).distinct().join(nodes, "id")
-        found = local_edges(around, ["hub"], degree).withColumn("fresh", F.lit(1))
+        around = out.unionByName(back).repartition("id").distinct().join(with_least(nodes, edges, degree), "id")
+        found = hub_edges(around, degree).withColumn("fresh", F.lit(1))
         edges = materialize(best_edges(edges.withColumn("fresh", F.lit(0)).unionByName(found), degree), "edges")
         if (edges.agg(F.avg("fresh")).head()[0] or 0.0) < CHANGED:
             break
@@ -195,7 +272,7 @@ def beam_search(queries: DataFrame, graph: Graph, beam: int = BEAM, kept: int =
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
-        for batch in batches:
+        for batch in row_slices(batches, len(ids)):
             asked, _ = unit(as_matrix(batch.column("query_vec")))
             scores = rounded(asked @ vectors.T) if len(ids) else np.zeros((len(asked), 0))
             row, column = best_of(scores, ids, kept)

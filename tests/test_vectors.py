@@ -292,3 +292,56 @@ def test_shards_need_no_python(sample):
     pieced, _ = pivots.in_pieces(pivots.materialize(rows))
     plan = pieced._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan and "ExistingRDD" not in plan and pieced.count() == 900
+
+
+def test_edges_around_hubs_are_the_best_that_reach_a_bound():
+    rng = np.random.default_rng(13)
+    hub = np.sort(rng.integers(0, 60, 700))
+    hub[:120] = -1  # one large hub
+    ids, vectors = rng.integers(0, 90, 700), pivots.unit(rng.standard_normal((700, 8)))[0]
+    vectors[50:90] = vectors[50]
+    least = np.where(rng.random(700) < 0.3, -np.inf, rng.uniform(-0.5, 0.9, 700))
+    found = [np.concatenate(c) for c in zip(*neighbours.edges_around(hub, ids, vectors, least, 5), strict=True)]
+    expected = []
+    for one in np.unique(hub):
+        mine = np.flatnonzero(hub == one)
+        for i in mine:
+            scores = {j: pivots.rounded(vectors[i] @ vectors[j]) for j in mine if ids[j] != ids[i]}
+            best = sorted((-x, ids[j]) for j, x in scores.items())[:5]
+            expected += [(ids[i], near, -x) for x, near in best if -x >= least[i]]
+    assert sorted(zip(*found, strict=True)) == sorted(expected)
+
+
+def test_batches_are_cut_between_hubs():
+    table = pa.table({"k": [1, 1, 2, 2, 2, 2, 3, 4], "v": list(range(8))})
+    batches = [b for first, n in ((0, 1), (1, 2), (3, 0), (3, 1), (4, 3), (7, 1)) for b in (table.slice(first, n).to_batches() or [table.to_batches()[0].slice(0, 0)])]
+    assert [t.column("v").to_pylist() for t in neighbours.whole_groups(iter(batches), "k")] == [[0, 1], [2, 3, 4, 5], [6], [7]]
+
+
+def test_a_round_passes_on_edges_that_can_be_among_the_best(spark):
+    rng = np.random.default_rng(14)
+    nodes = neighbours.nodes_of(frame(spark, range(300), rng.standard_normal((300, 8)), "id", "embedding", "bigint"))
+    hubs = nodes.select(F.lit(1).cast("bigint").alias("hub"), "id", "vector")
+    all_edges = neighbours.hub_edges(hubs.withColumn("least", F.lit(None).cast("double")), 4)
+    edges = neighbours.best_edges(all_edges.withColumn("fresh", F.lit(1)), 4).localCheckpoint()
+    assert edges.count() == 1200
+    again = neighbours.hub_edges(neighbours.with_least(hubs, edges, 3), 300)
+    at_most = neighbours.hub_edges(neighbours.with_least(hubs, edges.where("id <> 7"), 4), 300)
+    assert again.join(edges.select("id", "near"), ["id", "near"], "left_anti").count() == 0
+    assert at_most.where("id = 7").count() == 299 and at_most.where("id <> 7").count() < 1300
+    plan = neighbours.best_edges(edges, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1 and "hashpartitioning(id#" in plan
+
+
+def test_rows_meet_many_pivots_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PIVOT_SCORES", 35)
+    batch = pa.record_batch({"id": list(range(12))})
+    parts = list(neighbours.row_slices(iter([batch, batch.slice(0, 0)]), 7))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11]]
+    rng = np.random.default_rng(15)
+    vectors, known = rng.standard_normal((40, 8)), pivots.unit(rng.standard_normal((7, 8)))[0]
+    nodes = neighbours.nodes_of(frame(spark, range(40), vectors, "id", "embedding", "bigint").coalesce(1))
+    placed = {(r["id"], r["cell"]): r["vector"] for r in neighbours.in_cells(nodes, known, 2).collect()}
+    near = np.argsort(-(vectors @ known.T), axis=1)[:, :2]
+    assert set(placed) == {(i, c) for i in range(40) for c in near[i].tolist()}
+    assert all(np.allclose(v, pivots.unit(vectors[i : i + 1])[0][0]) for (i, _), v in placed.items())
