@@ -1,7 +1,10 @@
 """Best-fit packing of token sequences by bin completion.
 
 Tokens: texts are split at spaces, tabs and line ends, which this tokenizer drops and never
-merges across, and each distinct piece is tokenized once by the library itself.
+merges across, and where it splits them itself: between letters, single digits and signs. Letters
+are lower-cased as it does. Each distinct unit is tokenized once by the library itself, many in one
+call. This holds for ASCII and the letters of Latin-1; a white-space separated piece with anything
+else (or an apostrophe, or what a special string begins with) goes to the library as it is.
 
 Method: documents are cut into pieces of at most ``capacity`` tokens; full pieces are
 sequences of their own. For the others only the number of pieces of each length matters, so
@@ -27,6 +30,7 @@ text is cut, nothing is dropped.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.buffers import byte_class, run_hashes, runs, slices, text_bytes, worker_cache
+from paperloom.llm.buffers import lower_ascii, run_hashes, runs, slices, text_bytes, worker_cache
 from paperloom.storage import materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Distinct pieces in each of the two generations of a worker; a power of two.
+#: Distinct units in each of the two generations of a worker; a power of two.
 CACHE_ROWS = 1 << 19
+#: Units that the library gets as one text.
+JOINED = 500
+#: The split that ``Pieces.units`` follows, after lower-casing; files with another one get whole pieces only.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WHITE, LETTER, DIGIT, SIGN, ODD = range(5)
 NODES = 2000
 STEPS = 1000
 FILLINGS = 4
@@ -94,11 +103,29 @@ class Generation:
         return self.ids[np.repeat(begin - place, size) + np.arange(int(size.sum()))], size
 
 
+def byte_kinds(spec: dict) -> tuple[np.ndarray, bool]:
+    """Kind of each byte, and whether the file's split is the known one; if not, all but white bytes are odd."""
+    kinds = np.full(256, ODD, np.uint8)
+    kinds[[0x20, 0x09, 0x0A, 0x0D]] = WHITE
+    parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    changes = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    specials = [t["content"] for t in spec["added_tokens"]]
+    split = [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": SPLIT} and not parts[1]["add_prefix_space"]
+    known = split and changes == ["NFC", "Replace", "Lowercase"] and all(map(str.isascii, specials))
+    if known:
+        kinds[0x21:0x7F] = SIGN
+        kinds[0x30:0x3A] = DIGIT
+        kinds[0x41:0x5B] = kinds[0x61:0x7B] = LETTER
+        for sign in ("'", *specials):
+            kinds[[ord(sign[0].lower()), ord(sign[0].upper())]] = ODD
+    return kinds, known
+
+
 class Pieces:
-    """Token ids of white-space separated pieces, by their hash; kept in two generations.
+    """Token ids of texts from the ids of their distinct units, by hash; kept in two generations.
 
-    New pieces enter the young generation. When it is full it becomes the old one, and what is
-    asked for again is copied from there, so frequent pieces stay and single ones go.
+    New units enter the young generation. When it is full it becomes the old one, and what is
+    asked for again is copied from there, so frequent units stay and single ones go.
     """
 
     def __init__(self, path: str) -> None:
@@ -107,34 +134,85 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.young, self.old = Generation(CACHE_ROWS, self.kind), Generation(1, self.kind)
-        self.inside = ~byte_class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.kinds, self.known = byte_kinds(spec)
+        self.lower = lower_ascii()
+        # Tokens that end a unit; in this vocabulary every unit ends with one and has no other.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix := spec["model"].get("end_of_word_suffix"):
+            self.last[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     def make_room(self, count: int) -> None:
         if self.young.count + count > self.young.most:
             self.old, self.young = self.young, Generation(max(CACHE_ROWS, 1 << (count - 1).bit_length()), self.kind)
 
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, lower-cased in units that are not odd; starts, ends and kinds of the units."""
+        kind, lowered = self.kinds[data], self.lower[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) if self.known else ()
+        if len(lead):  # U+00C0 to U+00FF, letters but for U+00D7 and U+00F7
+            second = data[lead + 1]
+            letter = (second != 0x97) & (second != 0xB7)
+            lead, second = lead[letter], second[letter]
+            kind[lead] = kind[lead + 1] = LETTER
+            lowered[lead + 1] = np.where(second < 0x9F, second + 0x20, second)
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            starts, ends, _ = runs(kind != WHITE, offsets)
+            pieces = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+            steps = np.zeros(len(data) + 1, np.int8)
+            steps[starts[pieces]] += 1
+            steps[ends[pieces]] -= 1
+            whole = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+            kind[whole], lowered[whole] = ODD, data[whole]
+        begins = np.ones(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        begins[offsets[offsets < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts, len(data))[1:]
+        kind = kind[starts]
+        unit = kind != WHITE
+        return lowered, starts[unit], ends[unit], kind[unit]
+
+    def ask(self, units: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after another, those that are not odd first, and how many each has."""
+        plain = [u for u, o in zip(units, odd.tolist(), strict=True) if not o]
+        joined = [b" ".join(plain[i : i + JOINED]).decode() for i in range(0, len(plain), JOINED)]
+        found = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, self.kind), *found])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        single = [u.decode() for u, o in zip(units, odd.tolist(), strict=True) if o]
+        if len(ends) != len(plain):  # a vocabulary without ends of units
+            ids, ends, single = ids[:0], ends[:0], [*(u.decode() for u in plain), *single]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)] if single else []
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in encoded], np.int64)])
+        return np.concatenate([ids, np.fromiter((i for x in encoded for i in x), self.kind)]), sizes
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, with offsets; no separators."""
-        starts, ends, owner = runs(self.inside[data], offsets)
-        distinct, where, inverse = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        lowered, starts, ends, kind = self.units(data, offsets)
+        distinct, where, inverse = np.unique(run_hashes(lowered, starts, ends), return_index=True, return_inverse=True)
         if self.young.count + len(distinct) > self.young.most:
             self.make_room(len(distinct))
-        asked = np.flatnonzero(self.young.find(distinct) < 0)
+        slots = self.young.find(distinct)
+        asked = np.flatnonzero(slots < 0)
         kept = self.old.find(distinct[asked])
         again = kept >= 0
         if again.any():
+            slots[asked[again]] = self.young.count + np.arange(int(again.sum()))
             self.young.add(distinct[asked[again]], *self.old.ids_of(kept[again]))
         fresh = asked[~again]
         if len(fresh):
-            raw = data.tobytes()
-            new = [raw[s:e].decode() for s, e in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in encoded], np.int64)
-            ids = np.fromiter((i for x in encoded for i in x), self.kind, int(sizes.sum()))
-            self.young.add(distinct[fresh], ids, sizes)
-        ids, size = self.young.ids_of(self.young.find(distinct)[inverse])
-        per_text = np.bincount(owner, weights=size, minlength=len(offsets) - 1).astype(np.int64)
-        return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(per_text)])
+            odd = kind[where[fresh]] == ODD
+            raw = lowered.tobytes()
+            units = [raw[s:e] for s, e in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
+            fresh = np.concatenate([fresh[~odd], fresh[odd]])
+            slots[fresh] = self.young.count + np.arange(len(fresh))
+            self.young.add(distinct[fresh], *self.ask(units, odd))
+        ids, size = self.young.ids_of(slots[inverse])
+        before = np.concatenate([[0], np.cumsum(size)])
+        return ids.astype(np.uint32), before[np.searchsorted(starts, offsets)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -149,7 +227,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                 ids, offsets = known.encode(data[base : all_offsets[last]], all_offsets[first : last + 1] - base)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    own = np.append(ids[a:b], np.uint32(SEPARATOR)).astype("<u4")
+                    own = np.append(ids[a:b], np.uint32(SEPARATOR)).astype("<u4", copy=False)
                     for number, begin in enumerate(range(0, len(own), capacity)):
                         part = own[begin : begin + capacity]
                         rows.append(first + row)

@@ -1,6 +1,7 @@
 """Token counts and packing against the tokenizer library."""
 
 import bisect
+import json
 import random
 import zlib
 from collections import Counter
@@ -148,3 +149,69 @@ def test_pieces_outlive_a_full_cache(monkeypatch):
         ids, at = known.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
         expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == expected
+
+
+def encoded(known, texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *(len(t) for t in raw)])
+    ids, at = known.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_the_library_gets_a_word_once_whatever_its_case_and_signs():
+    known, library, asked = packing.Pieces(WORDS), Tokenizer.from_file(WORDS), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(word for text in texts for word in text.split())
+            return library.encode_batch_fast(texts, **options)
+
+    known.tokenizer = Counting()
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcdeéöñ") for _ in range(8)) for _ in range(700)})
+    texts = [" ".join(form(w) for w in words) for form in (str, str.upper, str.capitalize, "{},".format, "({}).".format, "{}7".format, "3{}-x2".format)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(known, texts) == expected
+    assert encoded(known, texts[::-1]) == expected[::-1]
+    assert sorted(asked) == sorted([*words, ",", "(", ").", "7", "3", "-", "x", "2"])
+
+
+UNIT_PARTS = [
+    "the", "The", "Café", "ÉTÉ", "Straße", "ab12", "2024", "don't", "'tis", "O'NEILL", "'s", "!'s", "'", ",", ").", "$$", "×", "÷", "²", "½", "ª",
+    "é", "≠", "́", "̧", "İ", "ẞ", "ſ", "K", "ǅ", "٣", "漢", "가", "😀", "—", "’", "\xa0", "\x00", "\x0b", "\x85", "　",
+    " ", "  ", "\n", "\t", "\r", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "_",
+]
+
+
+def test_units_equal_the_library_on_fuzzed_texts():
+    rng = random.Random(8)
+    plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xC0, 0x100))]
+    texts = ["".join(rng.choice(UNIT_PARTS) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += [a + b + c for a in plain for b in plain for c in ("", "'s")]
+    expected = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert encoded(packing.Pieces(WORDS), texts) == expected
+    unended = packing.Pieces(WORDS)
+    unended.last[:] = False
+    assert encoded(unended, texts[:6000]) == expected[:6000]
+    for few in ([], [""], ["", "a", ""], [" "]):
+        assert [len(ids) for ids in encoded(packing.Pieces(WORDS), few)] == [t.count("a") for t in few]
+
+
+def test_files_with_another_split_or_specials_keep_whole_pieces(tmp_path):
+    with open(WORDS, encoding="utf-8") as file:
+        spec = json.load(file)
+    split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+    changes = spec["normalizer"]["normalizers"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([*UNIT_PARTS, "x9", "Qu", "qu"]) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    for name, change in (
+        ("split", lambda: split.update(Regex=r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+")),
+        ("case", lambda: (split.update(Regex=packing.SPLIT), changes.pop())),
+        ("special", lambda: (changes.append({"type": "Lowercase"}), spec["added_tokens"].append({**spec["added_tokens"][0], "id": 320, "content": "qu"}))),
+    ):
+        change()
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(spec, file)
+        expected = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert encoded(packing.Pieces(path), texts) == expected
