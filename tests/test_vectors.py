@@ -345,3 +345,40 @@ def test_rows_meet_many_pivots_in_slices(spark, monkeypatch):
     near = np.argsort(-(vectors @ known.T), axis=1)[:, :2]
     assert set(placed) == {(i, c) for i in range(40) for c in near[i].tolist()}
     assert all(np.allclose(v, pivots.unit(vectors[i : i + 1])[0][0]) for (i, _), v in placed.items())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+@pytest.mark.parametrize("dense", [0, 16])
+def test_single_precision_loses_no_hit(monkeypatch, metric, dense):
+    monkeypatch.setattr(pivots, "DENSE", dense)
+    monkeypatch.setattr(pivots, "WAITING", 100)
+    rng = np.random.default_rng(14)
+    queries, vectors = rng.standard_normal((700, 96)), rng.standard_normal((3000, 96))
+    # Near copies differ by less than single precision holds, and lengths by many powers of ten.
+    vectors[1000:1400] = vectors[1] + 1e-7 * rng.standard_normal((400, 96))
+    queries[:50] = vectors[1] + 0.1 * rng.standard_normal((50, 96))
+    vectors *= 10.0 ** rng.integers(-3, 4, (3000, 1))
+    queries *= 10.0 ** rng.integers(-9, 9, (700, 1))
+    queries[60], vectors[70:90] = 0.0, 0.0
+    piece, ids = np.repeat(np.arange(4), 750), rng.permutation(3000)
+    scores = pivots.block_scores(queries, vectors, metric)
+    kth = np.sort(scores, axis=1)[:, -9]
+    least = np.where(np.arange(700) % 3 > 0, -np.inf, kth - 1e-12 * np.abs(kth))
+    guest, host = np.repeat(np.arange(700), 4), np.tile(np.arange(4), 700)
+    row, near, value = pivots.best_of_pieces(queries, guest, host, least, vectors, ids, piece, metric, 9)
+    for q in range(700):
+        np.testing.assert_allclose(value[row == q], np.sort(scores[q])[::-1][:9], rtol=1e-12, atol=1e-6)
+        sure = set(ids[scores[q] > kth[q] + 1.5e-6 + 1e-12 * abs(kth[q])])
+        assert sure <= set(near[row == q])
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(15)
+    queries, vectors = rng.standard_normal((1000, 64)), rng.standard_normal((6000, 64))
+    scored, whole = [], pivots.block_scores
+    monkeypatch.setattr(pivots, "block_scores", lambda q, v, m: scored.append(len(q) * len(v)) or whole(q, v, m))
+    single = pivots.single_scores
+    monkeypatch.setattr(pivots, "single_scores", lambda q, v, row, column, m: scored.append(len(row)) or single(q, v, row, column, m))
+    guest, host = np.repeat(np.arange(1000), 6), np.tile(np.arange(6), 1000)
+    pivots.best_of_pieces(queries, guest, host, np.full(1000, -np.inf), vectors, np.arange(6000), np.repeat(np.arange(6), 1000), "cosine", 10)
+    assert 0 < sum(scored) < 0.12 * 1000 * 6000
