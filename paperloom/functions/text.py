@@ -68,7 +68,10 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 def word_slices(batch: pa.RecordBatch, column: str = "words") -> Iterator[pa.RecordBatch]:
     """A batch as slices of at most ``WORDS`` words or one row, so that arrays made of them stay small."""
-    ends = batch.column(column).offsets.to_numpy().astype(np.int64)
+    yield from _slices(batch, batch.column(column).offsets.to_numpy().astype(np.int64))
+
+
+def _slices(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, side="right")) - 1)
@@ -77,6 +80,13 @@ def word_slices(batch: pa.RecordBatch, column: str = "words") -> Iterator[pa.Rec
         first = last
 
 
+def sentence_slices(batch: pa.RecordBatch, column: str = "words") -> Iterator[pa.RecordBatch]:
+    """As ``word_slices``, for a column that has a list of words for every sentence."""
+    texts = batch.column(column)
+    ends = texts.values.offsets.to_numpy().astype(np.int64)[texts.offsets.to_numpy()]
+    yield from _slices(batch, ends)
+
+
 def shingles(words: Column, width: int) -> Column:
     """Distinct runs of ``width`` consecutive words; empty for shorter texts.
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import text as tx
 from paperloom.operators.skew import row_lookup, top_rows
-from paperloom.storage import materialize
+from paperloom.storage import materialize, text_batches
 
 BROADCAST_GRAMS = 1_000_000
 CITE_FORMS = {"numbered": tx.CITE_NUMBER, "author_year": tx.CITE_AUTHOR, "doi": tx.CITE_DOI}
@@ -131,12 +131,56 @@ def key_phrases(docs: DataFrame, k: int = 5) -> DataFrame:
     return top_rows(scored, ["doc_id"], [F.desc("score"), F.asc("term")], k)
 
 
+def sentence_sums(docs: DataFrame) -> DataFrame:
+    """``doc_id, sentences, sums``: per sentence with words its place, their number and the sum of their counts in the text.
+
+    Sentences and words are split in Spark and counted in batches inside the row, so nothing is exchanged.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in tx.sentence_slices(whole)):
+            first = batch.column("words").offsets.to_numpy().astype(np.int64)
+            owner, codes, distinct = tx.word_codes(batch.column("words").flatten())
+            text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            _, word, times = np.unique(text[owner] * max(len(distinct), 1) + codes, return_inverse=True, return_counts=True)
+            words = np.bincount(owner, minlength=len(text))
+            total = np.zeros(len(text), np.int64)
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            total[owner[starts]] = np.add.reduceat(times[word], starts) if len(starts) else 0
+            spoken = np.flatnonzero(words)
+            place = spoken - (first[:-1] - first[0])[text[spoken]]
+            sums = pa.StructArray.from_arrays([pa.array(place), pa.array(total[spoken]), pa.array(words[spoken])], ["position", "total", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[spoken], np.arange(batch.num_rows + 1)), pa.int32()), sums)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sentences"), lists], ["doc_id", "sentences", "sums"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    split = docs.select("doc_id", F.split("text", tx.SENTENCE_END).alias("sentences"))
+    return split.withColumn("words", F.transform("sentences", tx.tokens)).mapInArrow(
+        count, f"doc_id {kind}, sentences array<string>, sums array<struct<position: bigint, total: bigint, n: bigint>>"
+    )
+
+
 def summarize_extractive(docs: DataFrame, k: int = 3) -> DataFrame:
     """The k sentences whose words are most frequent in the document, in text order.
 
-    Only sentence numbers travel with the words, so a long sentence costs its own length;
-    the winning sentences are cut from the texts at the end. A text without words has a
-    null summary.
+    Words are counted inside the row of a text, and no text is exchanged. Rows that share an id are one
+    document, so only their words meet. A text without words has a null summary.
+    """
+    shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    alone = docs.join(shared, "doc_id", "left_anti") if shared.head() else docs
+    ranked = F.sort_array(F.transform("sums", lambda s: F.struct(-F.round(s["total"] / s["n"], 6), s["position"].cast("int").alias("position"))))
+    best = F.sort_array(F.transform(F.slice(ranked, 1, k), lambda s: s["position"]))
+    summary = F.array_join(F.transform(best, lambda at: F.trim(F.get("sentences", at))), ". ")
+    with text_batches(docs.sparkSession):
+        found = sentence_sums(alone).select("doc_id", F.when((F.size("sums") > 0) & F.col("doc_id").isNotNull(), summary).alias("summary"))
+        found = materialize(found, "summaries")
+    return found.unionByName(_shared_summaries(docs.join(shared, "doc_id", "left_semi"), k)) if alone is not docs else found
+
+
+def _shared_summaries(docs: DataFrame, k: int) -> DataFrame:
+    """Summaries where several rows have an id: the words of a sentence are those at its place in all of them.
+
+    Only sentence numbers travel with the words; the winning sentences are cut from the texts at the end.
     """
     sentences = docs.select("doc_id", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("position", "sentence"))
     words = sentences.select("doc_id", "position", F.explode(tx.tokens(F.col("sentence"))).alias("term"))

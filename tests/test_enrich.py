@@ -122,3 +122,26 @@ def test_trigrams_of_a_text_are_counted_once(spark):
     got = {r["doc_id"]: sorted((x["g"], x["tf"]) for x in r["grams"]) for r in enrich.gram_counts(d).collect()}
     wanted = Counter(f" {w} "[i : i + 3] for w in ("aa", "aa", "aaaa", "é9") for i in range(len(w)))
     assert got == {0: sorted((int(tx.trigram_keys([g], 0)[0][0]), n) for g, n in wanted.items()), 1: []}
+
+
+def test_summaries_of_shared_null_and_odd_rows(spark):
+    rows = [(1, "a b. b c. c c d"), (2, "x y"), (2, "x. y y z"), (None, "a. b"), (3, None), (4, "..."), (5, " . \n one. one two \n. three"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    found = sorted((r["doc_id"] or 0, r["summary"]) for r in enrich.summarize_extractive(docs, 1).where("summary is not null").collect())
+    assert found == [(1, "b c"), (2, "x"), (2, "x y"), (5, "one")]
+    assert enrich.summarize_extractive(docs).count() == len(rows)
+    assert sorted(r["summary"] for r in enrich.summarize_extractive(docs).where("doc_id = 5").collect()) == ["one. one two. three"]
+
+
+def test_summaries_are_the_same_in_small_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ". ".join(f"w{(i * j) % 11} w{j % 7} w{i % 5}" for j in range(i % 9))) for i in range(200)], "doc_id bigint, text string")
+    whole = sorted(map(tuple, enrich.summarize_extractive(docs).collect()))
+    monkeypatch.setattr(enrich.tx, "WORDS", 10)
+    assert sorted(map(tuple, enrich.summarize_extractive(docs).collect())) == whole
+    assert sorted(map(tuple, enrich._shared_summaries(docs, 3).collect())) == whole
+
+
+def test_summaries_exchange_no_words(spark):
+    docs = spark.createDataFrame([(1, "a b. b c")], "doc_id bigint, text string")
+    plan = enrich.sentence_sums(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
