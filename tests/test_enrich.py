@@ -1,12 +1,15 @@
+import hashlib
 import math
+import types
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from paperloom.functions import text as tx
-from paperloom.operators import compliance, enrich
+from paperloom.operators import compliance, enrich, vectors
 from paperloom.operators.vectors import embed_hashing
 
 
@@ -145,3 +148,41 @@ def test_summaries_exchange_no_words(spark):
     docs = spark.createDataFrame([(1, "a b. b c")], "doc_id bigint, text string")
     plan = enrich.sentence_sums(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_texts_without_a_needed_character_are_not_searched(spark):
+    texts = ["none here", "see [12] and (Smith, 2020), 10.1234/abc", "a@b.co 10.0.0.1 1234 5678 9012 3456 +49 170 123456", "<IP> <CARD> ()[]@", None, "1.2.3.4 1.2.3.4 copyright"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in enrich.enhance(docs, {"citations", "entities"}).collect()}
+    assert [tuple(rows[i])[1:] for i in range(6)] == [(0, 0, 0, 0), (1, 1, 1, 0), (0, 0, 0, 4), (0, 0, 0, 0), (None,) * 4, (0, 0, 0, 3)]
+    entities = enrich.extract_entities(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in entities} == {2: 4, 5: 3}
+    plan = enrich.enhance(docs, {"citations"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains") >= 3
+
+
+def test_each_word_is_hashed_once_in_a_task(spark, monkeypatch):
+    made = []
+
+    class Hashing:
+        @staticmethod
+        def md5(data):
+            made.append(data)
+            return hashlib.md5(data)
+
+    class Given:
+        schema = {"doc_id": types.SimpleNamespace(dataType=LongType())}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(vectors, "hashlib", Hashing)
+    batch = pa.record_batch({"doc_id": [1, 2], "words": [["a", "b", "a"], ["c"]]})
+    embed = vectors.embed_hashing(Given(), "doc_id", "text")
+    first, second = (b.column("embedding").to_pylist() for b in embed(iter([batch, batch])))
+    assert first == second and sorted(made) == [b"a", b"b", b"c"]
+    monkeypatch.setattr(vectors, "KNOWN_WORDS", 0)
+    assert [b.column("embedding").to_pylist() for b in embed(iter([batch, batch]))] == [first, first]
