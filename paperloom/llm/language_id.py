@@ -45,7 +45,7 @@ def _letters() -> np.ndarray:
 
 def text_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of all n-grams of the texts, the text index of each, and whether a text has letters."""
-    table = worker_cache("letters", _letters)
+    table = worker_cache("letter points", _letters)
     points, offsets = code_points(texts)
     letter = table[points]
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))

@@ -85,7 +85,7 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 def batch_words(ids: list, column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Words and their counts, slice by slice; a word may come in several slices."""
     data, all_offsets = text_bytes(column)
-    letter = worker_cache("letters", lambda: byte_class((65, 90), (97, 122)))
+    letter = worker_cache("letter bytes", lambda: byte_class((65, 90), (97, 122)))
     for first, last in slices(all_offsets):
         base = all_offsets[first]
         lowered = lower_ascii()[data[base : all_offsets[last]]]

@@ -323,3 +323,14 @@ def test_op9_long_templates_are_found_wherever_a_stretch_reaches_the_threshold()
             assert coverage == _subsequence(text[first:end], own) / size and end - first <= wide
     places = known.scan(*_hashed(*text_bytes(pa.array([" ".join(copies)]))))[0]
     assert [(p[3], p[4]) for p in places] == [(3, 27), (27, 51), (52, 76)]
+
+
+def test_op10_and_op11_share_a_worker():
+    from paperloom.llm import language_id, spelling_variants
+
+    texts = pa.array(["Größe, words 中\U0001f600 one two"])
+    words = [w for part, _ in spelling_variants.batch_words([1], texts) for w in part.to_pylist()]
+    cells, _, has = language_id.text_cells(texts.to_pylist())
+    assert "words" in words and has.tolist() == [True] and len(cells) > 30
+    again = [w for part, _ in spelling_variants.batch_words([1], texts) for w in part.to_pylist()]
+    assert again == words
